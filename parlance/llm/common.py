@@ -49,45 +49,83 @@ def batches(texts: pd.Series, most: int = 4_000_000) -> Iterator[pd.Series]:
 
 
 class Subwords:
-    """Hashed features of a word: itself and the character n-grams of <word>, by CRC-32.
+    """Hashed features of words: each word itself and the character n-grams of <word>.
 
-    Words repeat, so what is known of a word is kept; beyond `keep` words the store starts anew.
+    A polynomial hash over code points, computed for many words at once.
     """
 
-    def __init__(self, low: int, high: int, buckets: int, whole: bool = True, keep: int = 300_000):
-        self.low, self.high, self.buckets, self.whole, self.keep = low, high, buckets, whole, keep
-        self.known: dict[str, np.ndarray] = {}
-
-    def __call__(self, word: str) -> np.ndarray:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= self.keep:
-                self.known.clear()
-            found = self.known[word] = np.array(self.ids(word), dtype=np.int32)
-        return found
-
-    def ids(self, word: str) -> list[int]:
-        crc, buckets = zlib.crc32, self.buckets
-        marked = f"<{word}>"
-        size = len(marked)
-        out = [crc(marked.encode("utf-8", "surrogatepass"), 1) % buckets] if self.whole else []
-        for n in range(self.low, self.high + 1):
-            out += [crc(marked[i : i + n].encode("utf-8", "surrogatepass")) % buckets for i in range(size - n + 1)]
-        return out or [crc(marked.encode("utf-8", "surrogatepass")) % buckets]
-
-
-class WordScores(dict):
-    """word -> value, computed when first asked for; beyond `keep` words the store starts anew."""
-
-    def __init__(self, value: Callable[[str], object], keep: int = 400_000):
-        super().__init__()
-        self.value, self.keep = value, keep
-
-    def __missing__(self, word: str):
-        if len(self) >= self.keep:
-            self.clear()
-        found = self[word] = self.value(word)
-        return found
+    def __init__(self, low: int, high: int, buckets: int):
+        self.low, self.high, self.buckets = low, high, buckets
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, id): for every feature the position of its word in `words`, and its bucket."""
+        codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        ends = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        left = ends[owner] - np.arange(len(codes))  # characters from here to the end of the word
+        at = (sizes[owner] - left).astype(np.uint64)
+        owners, ids = [np.arange(len(words))], []
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(int(sizes.max(initial=1)), 0x9E3779B97F4A7C15, np.uint64))
+            ids.append(self._bucket(np.add.reduceat(codes * power[at.astype(np.int64)], ends - sizes) if len(words) else codes, 1))
+            rolling = codes.copy()
+            for n in range(2, self.high + 1):
+                rolling = rolling[:-1] * np.uint64(0x100000001B3) + codes[n - 1 :]
+                if n >= self.low:
+                    inside = left[: len(rolling)] >= n
+                    owners.append(owner[: len(rolling)][inside])
+                    ids.append(self._bucket(rolling[inside], n + 1))
+        return np.concatenate(owners), np.concatenate(ids)
+
+    def _bucket(self, h: np.ndarray, salt: int) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * salt)
+        return ((h ^ (h >> np.uint64(32))) % np.uint64(self.buckets)).astype(np.int64)
+
+    def apart(self, words: list[str]) -> list[np.ndarray]:
+        """The feature ids of each word."""
+        owner, ids = self(words)
+        order = np.argsort(owner, kind="stable")
+        return np.split(ids[order].astype(np.int32), np.cumsum(np.bincount(owner, minlength=len(words)))[:-1]) if words else []
+
+
+class Lexicon:
+    """Rows of numbers for words, `rows(words)` computed when words first occur and then kept.
+
+    Beyond `keep` words the store starts anew, so memory is bounded.
+    """
+
+    def __init__(self, rows: Callable[[list[str]], np.ndarray], keep: int = 400_000):
+        self.rows, self.keep = rows, keep
+        self.index: dict[str, int] = {}
+        self.values: np.ndarray | None = None
+        self.used = 0
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """A row for each of `words`."""
+        new = list(set(words).difference(self.index))
+        if new:
+            if self.used + len(new) > self.keep:
+                self.index, self.values, self.used = {}, None, 0
+                new = list(set(words))
+            made = self.rows(new)
+            if self.values is None or self.used + len(new) > len(self.values):
+                grown = np.zeros((max(2 * self.used, self.used + len(new), 1024), *made.shape[1:]), made.dtype)
+                if self.used:
+                    grown[: self.used] = self.values[: self.used]
+                self.values = grown
+            self.values[self.used : self.used + len(new)] = made
+            self.index.update(zip(new, range(self.used, self.used + len(new))))
+            self.used += len(new)
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        return self.values[at] if len(at) else self.rows([])
+
+
+def sums(values: np.ndarray, sizes: list[int] | np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of rows; an empty group gives 0."""
+    ends = np.cumsum(sizes)
+    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
+    return total[ends] - total[ends - np.asarray(sizes)]
 
 
 def sigmoid(z):

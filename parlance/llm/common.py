@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -153,4 +152,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return sample, totals
 
 
-TEXT_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+def class_weights(y: np.ndarray, totals: dict[int, int]) -> np.ndarray:
+    """For each drawn label, its class's share among all labels over its share in the sample."""
+    drawn = np.bincount(y, minlength=2) / max(1, len(y))
+    share = np.array([totals[0], totals[1]], float) / sum(totals.values())
+    return (share / np.maximum(drawn, 1e-9))[y]
+
+
+def fit_in_task(sample: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
+    """What `fit` makes of a bounded sample, made in one task of an executor and sent to the driver.
+
+    The sample's rows are sorted by doc_id first, so the result doesn't depend on how they arrive.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "y": np.zeros(0, int)}), *parts], ignore_index=True).astype({"y": int}).sort_values("doc_id", kind="stable", ignore_index=True)
+        yield pd.DataFrame({"model": [pickle.dumps(fit(rows))]})
+
+    return pickle.loads(sample.repartition(1).mapInPandas(run, "model binary").first()["model"])

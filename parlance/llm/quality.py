@@ -6,8 +6,8 @@ are trained together by stochastic gradient descent in numpy. As the layer is li
 one number per feature (its vector's part of the logit), kept per word.
 
 Training takes at most `per_class` labelled documents of each class (a bounded, documented sample;
-whole texts). Features are made on the executors; the driver gets distinct feature ids with counts,
-at most BUCKETS of them per document. Classes are weighted back to their shares among all labels.
+whole texts) to one task of an executor; the driver gets the model. Classes are weighted back to
+their shares among all labels.
 
 Defined results: a null or empty text has no feature and gets the class shares' score. Long texts
 are averaged whole. Input columns called like an output are replaced. With labels of one class only
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import Lexicon, Subwords, batches, labelled_sample, sigmoid, sums, without
+from parlance.llm.common import Lexicon, Subwords, batches, class_weights, fit_in_task, labelled_sample, sigmoid, sums, without
 
 BUCKETS, LOW, HIGH, WIDTH = 1 << 18, 3, 5, 8
 AGAIN = "\x00"
@@ -89,19 +89,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, folds: int
         p = float(next(iter(totals), 0.5))
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((p + 1e-6) / (1 - p + 1e-6))))
 
-    def featurise(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def learn(rows: pd.DataFrame) -> Model:
         subwords = Subwords(LOW, HIGH, BUCKETS)
-        for part in parts:
-            for _, few in part.groupby(part["text"].str.len().fillna(0).cumsum() // 500_000, sort=False):
-                bags = [counted(t, subwords) for t in few["text"]]
-                yield pd.DataFrame({"doc_id": few["doc_id"], "y": few["y"], "ids": [b[0] for b in bags], "often": [b[1] for b in bags]})
-
-    rows = sample.mapInPandas(featurise, "doc_id long, y int, ids array<int>, often array<int>").toPandas().sort_values("doc_id", kind="stable")
-    y = rows["y"].to_numpy()
-    drawn = np.bincount(y, minlength=2)
-    share = np.array([totals[0], totals[1]], float) / sum(totals.values())
-    weight = (share / np.maximum(drawn / max(1, drawn.sum()), 1e-9))[y]
-    return fit([(np.asarray(i), np.asarray(o)) for i, o in zip(rows["ids"], rows["often"])], y, weight)
+        y = rows["y"].to_numpy()
+        return fit([counted(t, subwords) for t in rows["text"]], y, class_weights(y, totals))
+
+    return fit_in_task(sample, learn)
 
 
 class Scorer:

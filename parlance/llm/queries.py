@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat_format, quality, toxicity
+from parlance.llm import chat_format, prefix_forest, quality, simhash, toxicity
 from parlance.llm.common import remainder, table
 
 
@@ -53,8 +53,19 @@ def op1_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return prefix_forest.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_quality": op1_subword_quality,
+    "op2_simhash_trie": op2_simhash_trie,
+    "op3_prefix_forest": op3_prefix_forest,
     "op9_chat_format": op9_chat_format,
     "op10_mil_toxicity": op10_mil_toxicity,
 }

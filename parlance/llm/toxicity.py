@@ -7,8 +7,8 @@ document labels alone by stochastic gradient descent (AdaGrad, L2) in numpy. The
 scores then say which sentences offend.
 
 Training takes at most `per_class` labelled documents of each class (a bounded, documented sample;
-whole texts). Their features are made on the executors; the driver gets integer ids of distinct
-words in sentences. Classes are weighted back to their shares among all labels.
+whole texts) to one task of an executor; the driver gets the model. Classes are weighted back to
+their shares among all labels.
 
 Defined results: a null or empty text has no sentence and gets the score of a bag with one empty
 sentence. Long texts are scored whole, sentence after sentence. Input columns called like an output
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import Lexicon, Subwords, batches, labelled_sample, sigmoid, sums, without
+from parlance.llm.common import Lexicon, Subwords, batches, class_weights, fit_in_task, labelled_sample, sigmoid, sums, without
 
 #: A sentence ends at . ! ? or a line end; words are what ASCII white space and punctuation leave.
 ENDS = ".!?\n\r"
@@ -98,21 +98,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, folds: int
         p = float(next(iter(totals), 0.5))
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((p + 1e-6) / (1 - p + 1e-6))))
 
-    def featurise(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def learn(rows: pd.DataFrame) -> Model:
         subwords = Subwords(LOW, HIGH, BUCKETS)
-        for part in parts:
-            for _, few in part.groupby(part["text"].str.len().fillna(0).cumsum() // 500_000, sort=False):
-                bags = [bag(t, subwords) for t in few["text"]]
-                yield pd.DataFrame({"doc_id": few["doc_id"], "y": few["y"], "ids": [b[0] for b in bags], "starts": [b[1] for b in bags]})
-
-    rows = sample.mapInPandas(featurise, "doc_id long, y int, ids array<int>, starts array<long>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
-    y = rows["y"].to_numpy()
-    drawn = np.bincount(y, minlength=2)
-    share = np.array([totals[0], totals[1]], float) / sum(totals.values())
-    weight = (share / np.maximum(drawn / max(1, drawn.sum()), 1e-9))[y]
-    bags = [(np.asarray(i, np.int32), np.asarray(s, np.int64)) for i, s in zip(rows["ids"], rows["starts"])]
-    return fit(bags, y, weight)
+        y = rows["y"].to_numpy()
+        return fit([bag(t, subwords) for t in rows["text"]], y, class_weights(y, totals))
+
+    return fit_in_task(sample, learn)
 
 
 class Scorer:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat_format, prefix_forest, quality, simhash, toxicity
+from parlance.llm import chat_format, decontamination, prefix_forest, quality, simhash, toxicity
 from parlance.llm.common import remainder, table
 
 
@@ -62,10 +62,15 @@ def op3_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_quality": op1_subword_quality,
     "op2_simhash_trie": op2_simhash_trie,
     "op3_prefix_forest": op3_prefix_forest,
+    "op8_cgk_decontamination": op8_cgk_decontamination,
     "op9_chat_format": op9_chat_format,
     "op10_mil_toxicity": op10_mil_toxicity,
 }

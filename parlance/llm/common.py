@@ -48,13 +48,13 @@ def batches(texts: pd.Series, most: int = 4_000_000) -> Iterator[pd.Series]:
 
 
 class Subwords:
-    """Hashed features of words: each word itself and the character n-grams of <word>.
+    """Hashed features of words: the character n-grams of <word> and, if `whole`, each word itself.
 
     A polynomial hash over code points, computed for many words at once.
     """
 
-    def __init__(self, low: int, high: int, buckets: int):
-        self.low, self.high, self.buckets = low, high, buckets
+    def __init__(self, low: int, high: int, buckets: int, whole: bool = True):
+        self.low, self.high, self.buckets, self.whole = low, high, buckets, whole
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(owner, id): for every feature the position of its word in `words`, and its bucket."""
@@ -63,11 +63,13 @@ class Subwords:
         ends = np.cumsum(sizes)
         owner = np.repeat(np.arange(len(words)), sizes)
         left = ends[owner] - np.arange(len(codes))  # characters from here to the end of the word
-        at = (sizes[owner] - left).astype(np.uint64)
-        owners, ids = [np.arange(len(words))], []
+        at = sizes[owner] - left
+        owners, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         with np.errstate(over="ignore"):
-            power = np.cumprod(np.full(int(sizes.max(initial=1)), 0x9E3779B97F4A7C15, np.uint64))
-            ids.append(self._bucket(np.add.reduceat(codes * power[at.astype(np.int64)], ends - sizes) if len(words) else codes, 1))
+            if self.whole and len(words):
+                power = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
+                owners.append(np.arange(len(words)))
+                ids.append(self._bucket(np.add.reduceat(codes * power[at], ends - sizes), 1))
             rolling = codes.copy()
             for n in range(2, self.high + 1):
                 rolling = rolling[:-1] * np.uint64(0x100000001B3) + codes[n - 1 :]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat_format, decontamination, language_id, prefix_forest, quality, simhash, toxicity
+from parlance.llm import chat_format, decontamination, language_id, packing, prefix_forest, quality, simhash, toxicity
 from parlance.llm.common import remainder, table
 
 
@@ -72,10 +72,15 @@ def op7_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_quality": op1_subword_quality,
     "op2_simhash_trie": op2_simhash_trie,
     "op3_prefix_forest": op3_prefix_forest,
+    "op5_conflict_packing": op5_conflict_packing,
     "op7_ftrl_language": op7_ftrl_language,
     "op8_cgk_decontamination": op8_cgk_decontamination,
     "op9_chat_format": op9_chat_format,

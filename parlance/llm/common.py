@@ -21,16 +21,23 @@ def remainder(column: str, k: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % k
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder and read back, so that lost executors do not undo it.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder for checkpoints (spark.checkpoint.dir).
 
-    The folder is the cluster's (spark.checkpoint.dir). Only where none is set, as in tests, a
-    temporary one is used.
+    Only where none is set, as in tests, a temporary one is used.
     """
-    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+    if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back, so that lost executors do not undo it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

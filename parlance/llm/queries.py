@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat_format, decontamination, language_id, packing, pii, prefix_forest, quality, simhash, toxicity
+from parlance.llm import chat_format, decontamination, language_id, packing, pii, prefix_forest, pseudo_likelihood, quality, simhash, toxicity
 from parlance.llm.common import remainder, table
 
 
@@ -81,12 +81,18 @@ def op4_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs)).drop("text")
 
 
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs)).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_quality": op1_subword_quality,
     "op2_simhash_trie": op2_simhash_trie,
     "op3_prefix_forest": op3_prefix_forest,
     "op4_weak_pii": op4_weak_pii,
     "op5_conflict_packing": op5_conflict_packing,
+    "op6_pseudo_likelihood": op6_pseudo_likelihood,
     "op7_ftrl_language": op7_ftrl_language,
     "op8_cgk_decontamination": op8_cgk_decontamination,
     "op9_chat_format": op9_chat_format,

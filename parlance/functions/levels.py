@@ -24,8 +24,7 @@ def event_level(layer: Column, metres: Column, floor: Column | None = None) -> C
 
 def duck(requested: Column, event: Column, voice: float = VOICE_LUFS, most_over: float = MOST_OVER_VOICE_DB) -> Column:
     """Ducking of the voice, limited so that the event stays at most `most_over` above it."""
-    room = F.greatest(F.lit(voice + most_over) - event, F.lit(0.0))
-    return F.greatest(requested, -room)
+    return F.greatest(requested, F.least(event - F.lit(voice + most_over), F.lit(0.0)))
 
 
 def jittered(u: Column, centre: float = BACKGROUND_LUFS, width: float = JITTER_LU) -> Column:

@@ -59,8 +59,8 @@ def ranked(df: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame
     return df.withColumn("rank", (F.row_number().over(whole.orderBy(*order)) - 1).cast("long")).withColumn("n", F.count("*").over(whole))
 
 
-def split_counts(n: Column, ratios: dict[str, float], each_one: bool = False) -> dict[str, Column]:
-    """How many of n go to train, dev and test: largest remainder, ties in that order.
+def split_counts(n: Column, ratios: dict[str, float], each_one: bool = False) -> Column:
+    """How many of n go to train, dev and test, as an array: largest remainder, ties in that order.
 
     each_one: every split with a ratio gets at least one where n allows, taken from the largest (the first
     of equals) while that keeps one; fewer than there are such splits: one each for the first n.
@@ -76,19 +76,19 @@ def split_counts(n: Column, ratios: dict[str, float], each_one: bool = False) ->
         others = [(fraction[o] > fraction[s]) if SPLITS.index(o) > i else (fraction[o] >= fraction[s]) for o in SPLITS if o != s]
         return sum((c.cast("int") for c in others), F.lit(0))
 
-    counts = {s: floor[s] + F.when(place(s) < left, 1).otherwise(0) for s in SPLITS}
+    counts = F.array(*[(floor[s] + F.when(place(s) < left, 1).otherwise(0)).cast("long") for s in SPLITS])
     if not each_one:
         return counts
     wanted = [s for s in SPLITS if ratios.get(s, 0.0) > 0]
-    for s in wanted:
-        most = F.greatest(*counts.values())
-        donor, before, empty = {}, F.lit(False), counts[s] == 0
-        for o in SPLITS:
-            donor[o] = ~before & (counts[o] == most) & (most > 1) & empty
-            before = before | (counts[o] == most)
-        given = F.when(empty & (most > 1), 1).otherwise(0)
-        counts = {o: counts[o] - F.when(donor[o], 1).otherwise(0) + (given if o == s else F.lit(0)) for o in SPLITS}
-    return {s: F.when(n >= len(wanted), counts[s]).otherwise(F.when(n > wanted.index(s), 1).otherwise(0) if s in wanted else F.lit(0)) for s in SPLITS}
+
+    def fill(now: Column, i: Column) -> Column:
+        """`now` with one moved to place i from the first of the largest, where i has none and another has two."""
+        moved = F.transform(now, lambda c, k: c + (k == i).cast("long") - (k == F.array_position(now, F.array_max(now)) - 1).cast("long"))
+        return F.when((F.get(now, i) == 0) & (F.array_max(now) > 1), moved).otherwise(now)
+
+    filled = F.aggregate(F.array(*[F.lit(SPLITS.index(s)) for s in wanted]), counts, fill)
+    few = F.array(*[F.when(n > wanted.index(s), 1).otherwise(0).cast("long") if s in wanted else F.lit(0).cast("long") for s in SPLITS])
+    return F.when(n >= len(wanted), filled).otherwise(few)
 
 
 def assign_split(df: DataFrame, by: list[str], order: list[Column | str], ratios: dict[str, float], each_one: bool = False) -> DataFrame:
@@ -96,11 +96,10 @@ def assign_split(df: DataFrame, by: list[str], order: list[Column | str], ratios
 
     A group's ranks come from one window over `by`; use a fine `by` (category and theme, pool).
     """
-    rows = ranked(df, by, order)
-    counts = split_counts(F.col("n"), ratios, each_one)
-    first = counts["train"]
-    split = F.when(F.col("rank") < first, "train").when(F.col("rank") < first + counts["dev"], "dev").otherwise("test")
-    return rows.withColumn("split", split).drop("rank", "n")
+    rows = ranked(df, by, order).withColumn("_counts", split_counts(F.col("n"), ratios, each_one))
+    train, dev = F.get("_counts", F.lit(0)), F.get("_counts", F.lit(1))
+    split = F.when(F.col("rank") < train, "train").when(F.col("rank") < train + dev, "dev").otherwise("test")
+    return rows.withColumn("split", split).drop("rank", "n", "_counts")
 
 
 def partition_files(files: DataFrame, ratios: dict[str, float], pool: str = "pool", name: str = "name", salted_by: str | None = None) -> DataFrame:

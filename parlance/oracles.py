@@ -20,7 +20,7 @@ _KAPPA = """
     (sum(CASE WHEN gold = '0' THEN n ELSE 0 END) * sum(CASE WHEN pred = '0' THEN n ELSE 0 END)
      + sum(CASE WHEN gold = '1' THEN n ELSE 0 END) * sum(CASE WHEN pred = '1' THEN n ELSE 0 END)) / (sum(n) * sum(n)) AS expected
   FROM counts {group}"""
-_WORDS = "list_filter(regexp_split_to_array({t}, '[ \\t\\r\\n]+'), w -> w <> '')"
+_WORDS = "list_filter(regexp_split_to_array({t}, '[ \\t\\r\\n]+'), lambda w: w <> '')"
 _SPLIT = """
 WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha1('7|' || doc_id), doc_id) - 1 AS rank, count(*) OVER (PARTITION BY lang, source) AS n FROM documents),
 e AS (SELECT *, CAST(floor(n * CAST(0.8 AS DOUBLE)) AS BIGINT) AS f0, CAST(floor(n * CAST(0.1 AS DOUBLE)) AS BIGINT) AS f1,
@@ -41,7 +41,7 @@ i AS (SELECT q.item_id, g.gold, g.w, q.options FROM q JOIN g USING (item_id))
 """
 _ANSWERS = _ITEMS + """,
 r AS (SELECT *, trim(lower(CASE WHEN item_id % 3 = 0 THEN upper(gold) WHEN item_id % 3 = 1 THEN 'it is ' || w[1] ELSE '' END)) AS said FROM i),
-h AS (SELECT *, list_filter(options, o -> lower(o) = said) AS equal, list_filter(options, o -> contains(said, lower(o))) AS held FROM r),
+h AS (SELECT *, list_filter(options, lambda o: lower(o) = said) AS equal, list_filter(options, lambda o: contains(said, lower(o))) AS held FROM r),
 a AS (SELECT *, CASE WHEN said = '' THEN NULL WHEN len(equal) > 0 THEN equal[1] WHEN len(held) = 1 THEN held[1] END AS answer FROM h)
 """
 _CATALOG = """
@@ -87,6 +87,22 @@ _UTTERANCES = """
 WITH u AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seen,
   CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS BIGINT) AS total FROM conversations)
 """
+_FILL = "CAST(c{i} = 0 AND greatest(c0, c1, c2) > 1 AS BIGINT)"
+_FILLS = "".join(
+    f"""s{i} AS (SELECT * EXCLUDE (c0, c1, c2), c0 + g * ({int(i == 0)} - CAST(c0 = m AS BIGINT)) AS c0, c1 + g * ({int(i == 1)} - CAST(c1 = m AND c0 < m AS BIGINT)) AS c1,
+  c2 + g * ({int(i == 2)} - CAST(c2 = m AND c0 < m AND c1 < m AS BIGINT)) AS c2 FROM (SELECT * EXCLUDE (g, m), {_FILL.format(i=i)} AS g, greatest(c0, c1, c2) AS m FROM {f's{i - 1}' if i else 'c'})),
+"""
+    for i in range(3)
+)
+_FILES = """
+WITH r AS (SELECT lang, source, 'f' || doc_id || '.wav' AS name FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY sha1('s|' || name), name) - 1 AS rank, count(*) OVER (PARTITION BY lang, source) AS n FROM r),
+x AS (SELECT *, n * CAST(0.9 AS DOUBLE) AS x0, n * CAST(0.05 AS DOUBLE) AS x1 FROM n),
+f AS (SELECT *, x0 - floor(x0) AS d0, x1 - floor(x1) AS d1, n - CAST(floor(x0) AS BIGINT) - 2 * CAST(floor(x1) AS BIGINT) AS rest FROM x),
+c AS (SELECT lang, source, name, rank, n, CAST(floor(x0) AS BIGINT) + CAST(2 * CAST(d1 > d0 AS BIGINT) < rest AS BIGINT) AS c0, CAST(floor(x1) AS BIGINT) + CAST(CAST(d0 >= d1 AS BIGINT) < rest AS BIGINT) AS c1,
+  CAST(floor(x1) AS BIGINT) + CAST(CAST(d0 >= d1 AS BIGINT) + 1 < rest AS BIGINT) AS c2, 0 AS g, 0 AS m FROM f),
+""" + _FILLS + """t AS (SELECT lang, source, name, rank, CASE WHEN n < 3 THEN 1 ELSE c0 END AS a, CASE WHEN n < 3 THEN n - 1 ELSE c1 END AS b FROM s2)
+SELECT lang, source, name, CASE WHEN rank < a THEN 'train' WHEN rank < a + b THEN 'dev' ELSE 'test' END AS split FROM t"""
 _OFFSET = "-20 * log10(m / CAST(1.5 AS DOUBLE))"
 
 ORACLES = {
@@ -115,7 +131,7 @@ ORACLES = {
         FROM ({_PAIRS}) JOIN documents USING (doc_id) GROUP BY lang, source),
       t AS (SELECT *, correct + reversed AS n, greatest(correct, reversed) AS k FROM c)
       SELECT lang, source, correct, reversed, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(k, n + 1),
-        i -> exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) END, 9) AS p FROM t""",
+        lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) END, 9) AS p FROM t""",
     "paired_table": """
       WITH i AS (SELECT doc_id - doc_id % 2 AS pair_id, doc_id % 2 = 0 AS gold, CASE WHEN quality = 1 THEN toxic = 1 END AS pred FROM labels),
       s AS (SELECT pair_id, count(*) FILTER (gold) AS np, count(*) FILTER (NOT gold) AS nm, max(CASE WHEN gold THEN CAST(pred AS INT) END) AS yes, max(CASE WHEN NOT gold THEN CAST(pred AS INT) END) AS no FROM i GROUP BY pair_id),
@@ -124,7 +140,7 @@ ORACLES = {
       h AS (SELECT count(*) AS n_items, count(*) FILTER (pred IS NULL) AS n_unreadable, coalesce(count(*) FILTER (gold AND pred) / nullif(count(*) FILTER (gold), 0), 0.0) AS hit_rate,
         coalesce(count(*) FILTER (NOT gold AND pred) / nullif(count(*) FILTER (NOT gold), 0), 0.0) AS false_alarm_rate FROM i),
       m AS (SELECT *, correct + reversed AS n, greatest(correct, reversed) AS k FROM t, h),
-      q AS (SELECT *, CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(k, n + 1), i -> exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) END AS p FROM m)
+      q AS (SELECT *, CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) END AS p FROM m)
       SELECT n_pairs, n_items, n_unreadable, correct, reversed, always_yes, always_no, hit_rate, false_alarm_rate, coalesce(correct / nullif(n_pairs, 0), 0.0) AS paired_accuracy,
         hit_rate - false_alarm_rate AS sensitivity, round(p, 9) AS mcnemar_p, CASE WHEN p < 0.05 AND correct > reversed THEN 'discriminates' ELSE 'does not discriminate' END AS verdict FROM q""",
     "share_vs_base": """
@@ -155,10 +171,10 @@ ORACLES = {
         CASE WHEN total < 3 THEN true ELSE seen / total >= band / CAST(3.0 AS DOUBLE) - CAST(0.10 AS DOUBLE) AND seen / total <= (band + 1) / CAST(3.0 AS DOUBLE) + CAST(0.10 AS DOUBLE) END AS fits FROM s""",
     "after_turn_idx": _UTTERANCES + "SELECT conv_id, turn, CASE WHEN seen > 0 THEN seen - 1 END AS after_turn FROM u WHERE role <> 'user'",
     "speaker_anchor": """
-      WITH p AS (SELECT *, CASE WHEN role = 'user' THEN turn END AS at, turn % 2 AS speaker FROM conversations)
+      WITH p AS (SELECT *, CASE WHEN role = 'user' THEN turn END AS place, turn % 2 AS speaker FROM conversations)
       SELECT conv_id, turn, coalesce(
-        max(at) OVER (PARTITION BY conv_id, speaker ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), min(at) OVER (PARTITION BY conv_id, speaker ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING),
-        max(at) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), min(at) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS anchor FROM p""",
+        max(place) OVER (PARTITION BY conv_id, speaker ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), min(place) OVER (PARTITION BY conv_id, speaker ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING),
+        max(place) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), min(place) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS anchor FROM p""",
     "next_utterance": """
       WITH p AS (SELECT *, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_turn FROM conversations)
       SELECT p.conv_id, p.turn, p.next_turn, length(c.text) AS next_n_chars FROM p LEFT JOIN conversations c ON c.conv_id = p.conv_id AND c.turn = p.next_turn""",
@@ -198,7 +214,7 @@ ORACLES = {
     "degenerate_text": """
       WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM documents),
       a AS (SELECT doc_id, max(n) AS top_word_count FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM w) GROUP BY ALL) GROUP BY doc_id),
-      g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' '))) AS x FROM w WHERE len(w) >= 3),
+      g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS x FROM w WHERE len(w) >= 3),
       b AS (SELECT doc_id, max(n) AS top_run_count FROM (SELECT doc_id, x, count(*) AS n FROM g GROUP BY ALL) GROUP BY doc_id)
       SELECT w.doc_id, len(w.w) AS n_words, top_word_count, top_run_count, CASE WHEN len(w.w) = 0 THEN 'no alphabetic word' WHEN top_word_count > 8 AND top_word_count > len(w.w) * 0.3 THEN 'a word repeats'
         WHEN len(w.w) > 12 AND top_run_count > 8 THEN 'a run repeats' END AS reason FROM w LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)""",
@@ -218,14 +234,15 @@ ORACLES = {
       SELECT event_id, CASE WHEN event_id % 2 = 0 OR event_id % 5 <> 0 THEN 'ok' ELSE 'no_json' END AS status,
         CASE WHEN event_id % 2 = 0 OR event_id % 5 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""",
     "compositions30": """
-      WITH n AS (SELECT unnest(range(0, 4)) AS x), c AS (SELECT p.x AS pivot, v.x AS verbal, b.x AS behavioral, a.x AS ambient FROM n p, n v, n b, n a WHERE p.x <= 1 AND p.x + v.x + b.x + a.x <= 3)
-      SELECT row_number() OVER (ORDER BY pivot + verbal + behavioral + ambient, pivot, verbal, behavioral) - 1 AS position, 'P' || pivot || 'V' || verbal || 'B' || behavioral || 'A' || ambient AS composition, pivot, verbal, behavioral, ambient FROM c""",
+      WITH n AS (SELECT unnest(range(0, 4)) AS x), c AS (SELECT p.x AS "pivot", v.x AS verbal, b.x AS behavioral, a.x AS ambient FROM n p, n v, n b, n a WHERE p.x <= 1 AND p.x + v.x + b.x + a.x <= 3)
+      SELECT row_number() OVER (ORDER BY "pivot" + verbal + behavioral + ambient, "pivot", verbal, behavioral) - 1 AS position, 'P' || "pivot" || 'V' || verbal || 'B' || behavioral || 'A' || ambient AS composition, "pivot", verbal, behavioral, ambient FROM c""",
     "quota_even": "SELECT o_orderpriority, i, total // 7 + CASE WHEN i < total % 7 THEN 1 ELSE 0 END AS quota FROM (SELECT o_orderpriority, count(*) AS total FROM orders GROUP BY 1), (SELECT unnest(range(0, 7)) AS i)",
     "quota_weighted": """
       WITH g AS (SELECT lang, source, count(*) AS w FROM documents GROUP BY ALL), e AS (SELECT *, CAST(100 * w AS DOUBLE) / sum(w) OVER (PARTITION BY lang) AS x FROM g),
       f AS (SELECT *, CAST(floor(x) AS BIGINT) AS fl FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY x - fl DESC, source) AS rank, 100 - sum(fl) OVER (PARTITION BY lang) AS rest FROM f)
       SELECT lang, source, fl + CASE WHEN rank <= rest THEN 1 ELSE 0 END AS quota FROM r""",
     "stratified_split": _SPLIT + "SELECT * FROM split",
+    "file_partition_sha1": _FILES,
     "split_report": _SPLIT + "SELECT split, count(*) AS n, count(DISTINCT source) AS templates, count(DISTINCT lang) AS themes FROM split GROUP BY split",
     "leak_audit": _SPLIT + "SELECT source, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM split GROUP BY source HAVING count(DISTINCT split) > 1",
     "pool_check": _SPLIT + """, p AS (SELECT lang || '/' || source AS pool, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'dev') AS dev, count(*) FILTER (split = 'test') AS test FROM split GROUP BY 1)
@@ -272,7 +289,7 @@ ORACLES = {
       SELECT l_orderkey, l_linenumber, round(greatest(base + greatest(least({_OFFSET}, 4), -9), -34), 6) AS level, round(CASE WHEN m > 2 THEN greatest(16000 * 2 / m, 3500) END, 6) AS cutoff FROM t""",
     "duck_limit": """
       WITH t AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, -30 + l_quantity / 3 AS e FROM lineitem), b AS (SELECT *, round(e + 25, 2) AS m FROM t)
-      SELECT l_orderkey, l_linenumber, round(greatest(-9, -greatest(-17 - e, 0)), 6) AS duck,
+      SELECT l_orderkey, l_linenumber, round(greatest(-9, least(e + 17, 0)), 6) AS duck,
         CASE WHEN m >= 0 AND m < 3 THEN '0-3 dB' WHEN m >= 3 AND m < 6 THEN '3-6 dB' WHEN m >= 6 AND m < 12 THEN '6-12 dB' WHEN m >= 12 THEN '12-inf dB' ELSE 'unknown' END AS bucket FROM b""",
     "background_jitter": """
       WITH u AS (SELECT DISTINCT conv_id, CAST(('0x' || substring(sha1('bg|' || conv_id), 1, 8)) AS BIGINT) / 4294967296 AS u FROM conversations), r AS (SELECT *, (u * 90) % 30 AS rest FROM u)

@@ -81,7 +81,7 @@ def balanced_accuracy(spark, d):
 
 @query
 def mcnemar_exact(spark, d):
-    cells = _with_lang(spark, d).groupBy("lang", "source").agg(F.count_if("gold = '1' AND pred = '0'").alias("correct"), F.count_if("gold = '0' AND pred = '1'").alias("reversed"))
+    cells = _with_lang(spark, d).groupBy("lang", "source").agg(F.count_if(F.expr("gold = '1' AND pred = '0'")).alias("correct"), F.count_if(F.expr("gold = '0' AND pred = '1'")).alias("reversed"))
     return cells.withColumn("p", F.round(metrics.mcnemar_p(F.col("correct"), F.col("reversed")), 9))
 
 
@@ -222,7 +222,7 @@ def validation_reason(spark, d):
 
 @query
 def turn_cap(spark, d):
-    rows = _turns(spark, d).groupBy("conv_id").agg(F.count_if("role = 'user'").alias("n_utterances"), F.count_if("role = 'assistant'").alias("n_events"), F.max((F.col("role") == "system").cast("int")).alias("p"))
+    rows = _turns(spark, d).groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("n_utterances"), F.count_if(F.col("role") == "assistant").alias("n_events"), F.max((F.col("role") == "system").cast("int")).alias("p"))
     most = timeline.most_turns(F.col("p") == 1, F.col("n_events"), 2)
     reason = F.when(F.col("n_utterances") < 2, "too few").when(F.col("n_utterances") > most, "too many")
     return rows.select("conv_id", "n_utterances", most.alias("most"), reason.alias("reason"))
@@ -297,8 +297,9 @@ def quote_evidence(spark, d):
     quotes = parquet(spark, d, "benchmark").select("item_id", text.fold(F.col("text")).alias("q"))
     quotes = quotes.withColumn("start", F.array_join(F.slice(F.split("q", " "), 1, 5), " "))
     docs = parquet(spark, d, "documents").select("doc_id", text.fold(F.col("text")).alias("t"))
-    starts = docs.select("doc_id", F.explode(F.array_distinct(text.runs_of(F.split("t", " "), 5))).alias("start"))
-    found = starts.join(quotes.select("item_id", "start"), "start").select("doc_id", "item_id")
+    split = docs.select("doc_id", F.split("t", " ").alias("w"))
+    starts = split.select("doc_id", F.explode(text.runs_of(F.col("w"), 5)).alias("start"))
+    found = starts.join(quotes.select("item_id", "start"), "start").select("doc_id", "item_id").distinct()
     return found.join(docs, "doc_id").join(quotes.select("item_id", "q"), "item_id").where(F.contains("t", F.col("q"))).select("doc_id", "item_id")
 
 

@@ -3,8 +3,10 @@
 Texts become word sequences (lower-cased; ASCII punctuation and white space part words). The CGK random
 walk reads a sequence from some start: at step j it puts out the word under the pointer, and moves on or
 stays by a random bit of (j, word). Sequences a few edits apart put out strings that differ in few places,
-so edit distance becomes Hamming distance. From every word of every document a walk starts and covers a
-window of an item's size. Sampled steps of the walk, hashed together, are the keys of bit-sampling LSH: a
+so edit distance becomes Hamming distance. From words of a document walks start and cover a window of an
+item's size. An item of n words and a stretch at most k edits from it share a run of at least (n - k) / (k + 1)
+words unchanged, so a walk starts from every word within an item's reach of such a run (of at most RUN words),
+and words that no item can be near are passed over without a loss. Sampled steps of the walk, hashed together, are the keys of bit-sampling LSH: a
 walk is drawn `walks` times, and from each `samples` keys of `width` steps. Items are walked likewise from
 several anchors (their start, and every `STRIDE` words), so that edits near one anchor leave others. A key
 that an item and a window share makes a candidate. Each candidate is verified by the exact edit distance (in
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import batches
 
-STRIDE, FAR, TABLE = 12, 24, 1 << 22
+STRIDE, FAR, TABLE, RUN = 12, 24, 1 << 22, 4
 #: Lower-cased text with ASCII punctuation and white space as blanks.
 BLANK = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -56,6 +59,7 @@ class Items:
     owners: np.ndarray
     anchors: np.ndarray
     seen: np.ndarray  # bit table of the keys
+    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length: sorted hashes, how far an item reaches, bit table
 
 
 def sample_steps(walks: int, samples: int, width: int, seed: int) -> np.ndarray:
@@ -96,10 +100,55 @@ def prepare(ids: list, texts: list[str | None], similarity: float = 0.8, walks:
                         anchors.append(anchor)
     keys = np.array(keys, np.uint64)
     order = np.argsort(keys, kind="stable")
+    budgets = np.array([int((1 - similarity) * len(own) + 1e-9) for own in coded], np.int64)
+    return Items([i for i, _ in found], coded, budgets, vocabulary, moves, steps, mixers, keys[order], np.array(owners, np.int64)[order], np.array(anchors, np.int64)[order], bit_table(keys), shared_runs(coded, budgets, mixers[0]))
+
+
+def bit_table(keys: np.ndarray) -> np.ndarray:
     seen = np.zeros(TABLE, bool)
     seen[(keys >> np.uint64(42)).astype(np.int64)] = True
-    budgets = np.array([int((1 - similarity) * len(own) + 1e-9) for own in coded], np.int64)
-    return Items([i for i, _ in found], coded, budgets, vocabulary, moves, steps, mixers, keys[order], np.array(owners, np.int64)[order], np.array(anchors, np.int64)[order], seen)
+    return seen
+
+
+def run_hashes(coded: np.ndarray, mixer: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hashes): of the runs of 1, 2, ... `most` words from each place that has as many words left."""
+    mixed = mixer[coded]
+    h = mixed * np.uint64(0xBF58476D1CE4E5B9)
+    for length in range(1, most + 1):
+        if length > 1:
+            h = ((h[:-1] ^ (h[:-1] >> np.uint64(31))) + mixed[length - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+        yield length, h
+
+
+def shared_runs(coded: list[np.ndarray], budgets: np.ndarray, mixer: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of the items: an item's own length of run is what a stretch within its budget can't be without."""
+    reach: dict[int, dict[int, int]] = {}
+    for own, budget in zip(coded, budgets.tolist()):
+        needed = min(RUN, max(1, -(-(len(own) - budget) // (budget + 1))))
+        *_, (_, hashes) = run_hashes(own, mixer, needed)
+        known = reach.setdefault(needed, {})
+        for h in hashes.tolist():
+            known[h] = max(known.get(h, 0), len(own) + 2 * budget)
+    out = {}
+    for length, known in reach.items():
+        hashes = np.array(sorted(known), np.uint64)
+        out[length] = hashes, np.array([known[h] for h in hashes.tolist()], np.int64), bit_table(hashes)
+    return out
+
+
+def within_reach(coded: np.ndarray, items: Items) -> np.ndarray:
+    """Places of `coded` that a stretch near an item can hold: those within its reach of a shared run."""
+    change = np.zeros(len(coded) + 1, np.int64)
+    for length, h in run_hashes(coded, items.mixers[0], max(items.runs, default=0)):
+        if length in items.runs:
+            hashes, reach, seen = items.runs[length]
+            hit = np.flatnonzero(seen[(h >> np.uint64(42)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(hashes, h[hit]), len(hashes) - 1)
+            same = hashes[at] == h[hit]
+            hit, far = hit[same], reach[at[same]]
+            np.add.at(change, np.maximum(hit - far, 0), 1)
+            np.add.at(change, np.minimum(hit + far, len(coded)), -1)
+    return np.flatnonzero(np.cumsum(change[:-1]) > 0)
 
 
 def mix(parts: list, v: int, s: int):
@@ -117,16 +166,17 @@ def candidates(coded: np.ndarray, ends: np.ndarray, items: Items) -> tuple[np.nd
     coded: documents one after the other, which end before `ends`, with FAR zeros after each.
     """
     padded = np.concatenate([coded, np.zeros(FAR + 1, coded.dtype)])
+    starts = within_reach(coded, items)
     doc_all, at_all, own_all = [], [], []
-    for v in range(len(items.moves)):
-        moves, mixed = items.moves[v][padded], items.mixers[v][padded]
-        at = np.arange(len(coded))
+    for v in range(len(items.moves) if len(starts) else 0):
+        at = starts
         wanted = {int(j) for j in items.steps[v].ravel()}
         path = {}
         for j in range(max(wanted) + 1):
+            word = padded[at]
             if j in wanted:
-                path[j] = mixed[at]
-            at = at + ((moves[at] >> j) & 1)
+                path[j] = items.mixers[v][word]
+            at = at + ((items.moves[v][word] >> j) & 1)
         for s in range(items.steps.shape[1]):
             key = mix([path[int(j)] for j in items.steps[v, s]], v, s)
             hit = np.flatnonzero(items.seen[(key >> np.uint64(42)).astype(np.int64)])
@@ -134,8 +184,9 @@ def candidates(coded: np.ndarray, ends: np.ndarray, items: Items) -> tuple[np.nd
                 low, high = np.searchsorted(items.keys, key[hit]), np.searchsorted(items.keys, key[hit], "right")
                 n = high - low
                 k = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-                doc_all.append(np.searchsorted(ends, np.repeat(hit, n), "right"))
-                at_all.append(np.repeat(hit, n) - items.anchors[k])
+                place = np.repeat(starts[hit], n)
+                doc_all.append(np.searchsorted(ends, place, "right"))
+                at_all.append(place - items.anchors[k])
                 own_all.append(items.owners[k])
     if not at_all:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -179,7 +230,7 @@ def matches(texts: list[str | None], items: Items) -> Iterator[tuple[int, int, i
     coded = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
     get = items.vocabulary.get
     for words, end in zip(split, (ends - FAR).tolist()):
-        coded[end - len(words) : end] = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
+        coded[end - len(words) : end] = np.fromiter(map(get, words, repeat(0)), np.int32, len(words))
     doc, own, at = candidates(coded, ends, items)
     edges = np.flatnonzero(np.diff(doc, prepend=-1)).tolist()
     for low, high in zip(edges, [*edges[1:], len(doc)]):

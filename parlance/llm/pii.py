@@ -219,7 +219,8 @@ def train(docs: DataFrame) -> Model | None:
                 base = base_spans(text)
                 for span, is_base in [*((s, True) for s in base), *((s, False) for s in loose_spans(text, base))]:
                     seen[(span[2], *votes(text, span, is_base), *features(text, span))] += 1
-        yield pd.DataFrame({"pattern": [list(p) for p in seen], "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"pattern": [list(p) for p in seen], "n": list(seen.values())})
 
     rows = docs.select("text").mapInPandas(count, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()
     if rows.empty:

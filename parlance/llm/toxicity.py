@@ -8,7 +8,8 @@ scores then say which sentences offend.
 
 Training takes at most `per_class` labelled documents of each class (a bounded, documented sample;
 whole texts) to one task of an executor; the driver gets the model. Classes are weighted back to
-their shares among all labels.
+their shares among all labels. Features that fewer than `rare` of the sample's documents have (and those of
+one document) are not learned, as they would only recall single documents.
 
 Defined results: a null or empty text has no sentence and gets the score of a bag with one empty
 sentence. Long texts are scored whole, sentence after sentence. Input columns called like an output
@@ -65,33 +66,48 @@ def bag(text: str | None, subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
     return ids[order].astype(np.int32), np.cumsum(counts) - counts
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, epochs: int = 3, rate: float = 0.5, l2: float = 1e-3, seed: int = 11) -> Model:
+def without_rare(bags: list[tuple[np.ndarray, np.ndarray]], rare: float) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(ids, starts, blank): the bags without rare features; `blank` sentences have none left."""
+    has = np.zeros(BUCKETS, np.int64)
+    for ids, _ in bags:
+        has[np.unique(ids)] += 1
+    common = has >= max(2.0, rare * len(bags))
+    out = []
+    for ids, starts in bags:
+        sentence = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+        kept = common[ids]
+        counts = np.bincount(sentence[kept], minlength=len(starts))
+        out.append((ids[kept], (np.cumsum(counts) - counts)[counts > 0], int((counts == 0).sum())))
+    return out
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, weight: np.ndarray, epochs: int = 4, rate: float = 0.2, l2: float = 1e-2, seed: int = 11) -> Model:
     """Stochastic gradient descent on the noisy-or likelihood, a document at a time."""
     w, seen = np.zeros(BUCKETS), np.full(BUCKETS, 1e-4)
     bias, seen_bias = -4.0, 1e-2
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for d in order.permutation(len(bags)):
-            ids, starts = bags[d]
+            ids, starts, blank = bags[d]
             if not len(ids):
                 continue
             z = np.add.reduceat(w[ids], starts) + bias
-            p = sigmoid(z)
-            none_toxic = np.exp(-np.logaddexp(0.0, z).sum())
+            none_toxic = np.exp(-np.logaddexp(0.0, z).sum() - blank * np.logaddexp(0.0, bias))
             # d(-log likelihood)/dz: p for a clean document, -p (1 - P) / P for a toxic one
-            g = (p if y[d] == 0 else -p * none_toxic / max(1.0 - none_toxic, 1e-9)) * weight[d]
+            slope = weight[d] * (1.0 if y[d] == 0 else -none_toxic / max(1.0 - none_toxic, 1e-9))
+            g = sigmoid(z) * slope
             each = np.repeat(g, np.diff(np.append(starts, len(ids))))
             distinct, at = np.unique(ids, return_inverse=True)
             grad = np.bincount(at, each) + l2 * w[distinct]
             seen[distinct] += grad * grad
             w[distinct] -= rate * grad / np.sqrt(seen[distinct])
-            total = g.sum()
+            total = g.sum() + blank * sigmoid(bias) * slope
             seen_bias += total * total
             bias -= rate * total / np.sqrt(seen_bias)
     return Model(w.astype(np.float32), float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, folds: int = 5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, folds: int = 5, rare: float = 0.004) -> Model:
     """A model from `labels.toxic`; rows of fold 0 (crc32 of the id modulo `folds`) take no part."""
     sample, totals = labelled_sample(docs, labels, "toxic", per_class, folds)
     if len(totals) < 2:
@@ -101,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, folds: int
     def learn(rows: pd.DataFrame) -> Model:
         subwords = Subwords(LOW, HIGH, BUCKETS)
         y = rows["y"].to_numpy()
-        return fit([bag(t, subwords) for t in rows["text"]], y, class_weights(y, totals))
+        return fit(without_rare([bag(t, subwords) for t in rows["text"]], rare), y, class_weights(y, totals))
 
     return fit_in_task(sample, learn)
 

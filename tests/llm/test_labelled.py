@@ -1,6 +1,7 @@
 """Quality and toxicity: held-out figures, sentences that offend, odd rows."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,8 +64,6 @@ def test_noisy_or_is_of_the_sentences(spark):
     docs, labels = corpus(spark)
     scorer = toxicity.Scorer(toxicity.train(docs, labels))
     text = f"{CLEAN}. {BAD}! {CLEAN}\n{BAD}"
-    import pandas as pd
-
     p = toxicity.sigmoid(scorer.logits([words for _, _, words in toxicity.sentences(text)]))
     assert scorer.documents(pd.Series([text]))[0] == pytest.approx(1 - np.prod(1 - p), abs=1e-9)
 

@@ -8,7 +8,8 @@ item's size. An item of n words and a stretch at most k edits from it share a ru
 words unchanged, so a walk starts from every word within an item's reach of such a run (of at most RUN words),
 and words that no item can be near are passed over without a loss. Sampled steps of the walk, hashed together, are the keys of bit-sampling LSH: a
 walk is drawn `walks` times, and from each `samples` keys of `width` steps. Items are walked likewise from
-several anchors (their start, and every `STRIDE` words), so that edits near one anchor leave others. A key
+anchors over their whole length (each word of items below 24 words, then every twelfth part of the item, at
+most `STRIDE` words apart, and near the end), so that edits near one anchor leave others. A key
 that an item and a window share makes a candidate. Each candidate is verified by the exact edit distance (in
 words, bit-parallel) between the item and the best-fitting stretch of text around the candidate.
 
@@ -82,26 +83,37 @@ def prepare(ids: list, texts: list[str | None], similarity: float = 0.8, walks:
     moves = random.integers(0, 1 << FAR, (walks, len(vocabulary) + 1), dtype=np.int64).astype(np.int32)
     mixers = random.integers(0, 2**63, (walks, len(vocabulary) + 1), dtype=np.int64).view(np.uint64)
     steps = sample_steps(walks, samples, width, seed)
-    keys, owners, anchors = [], [], []
-    for n, own in enumerate(coded):
-        size = len(own)
-        for anchor in range(0, max(1, size - STRIDE + 1), STRIDE) if size >= STRIDE else range(size - 2):
-            for v in range(walks):
-                at, path = anchor, []
-                for j in range(FAR):
-                    path.append(at if at < size else -1)
-                    if at < size:
-                        at += (int(moves[v, own[at]]) >> j) & 1
-                for s in range(samples):
-                    places = [path[j] for j in steps[v, s]]
-                    if min(places) >= 0:  # all within the item
-                        keys.append(mix([mixers[v, own[p]] for p in places], v, s))
-                        owners.append(n)
-                        anchors.append(anchor)
-    keys = np.array(keys, np.uint64)
-    order = np.argsort(keys, kind="stable")
+    keys, owners, anchors = item_keys(coded, moves, steps, mixers)
     budgets = np.array([int((1 - similarity) * len(own) + 1e-9) for own in coded], np.int64)
-    return Items([i for i, _ in found], coded, budgets, vocabulary, moves, steps, mixers, keys[order], np.array(owners, np.int64)[order], np.array(anchors, np.int64)[order], bit_table(keys), shared_runs(coded, budgets, mixers[0]))
+    return Items([i for i, _ in found], coded, budgets, vocabulary, moves, steps, mixers, keys, owners, anchors, bit_table(keys), shared_runs(coded, budgets, mixers[0]))
+
+
+def anchors_of(size: int) -> np.ndarray:
+    """Places of an item where walks start: over its whole length, the last one at the last word but one."""
+    return np.unique(np.append(np.arange(0, size - 1, min(STRIDE, max(1, size // 12))), size - 2))
+
+
+def item_keys(coded: list[np.ndarray], moves: np.ndarray, steps: np.ndarray, mixers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, owners, anchors), sorted by key: of the walks from all anchors, where all sampled steps are within the item."""
+    places = [anchors_of(len(own)) for own in coded]
+    owner = np.repeat(np.arange(len(coded), dtype=np.int32), [len(a) for a in places])
+    anchor = np.concatenate([*places, np.zeros(0, np.int64)])
+    ends = np.cumsum([len(own) for own in coded], dtype=np.int64)
+    words = np.concatenate([*coded, np.zeros(FAR + 1, np.int32)])
+    begin = np.concatenate([np.zeros(1, np.int64), ends])[owner]
+    keys, which = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for v in range(len(moves)):
+        at, path = begin + anchor, []
+        for j in range(FAR):
+            path.append(at)
+            at = at + ((moves[v][words[at]] >> j) & 1)
+        for s, sampled in enumerate(steps[v].tolist()):
+            inside = np.flatnonzero(path[max(sampled)] < ends[owner])
+            keys.append(mix([mixers[v][words[path[j][inside]]] for j in sampled], v, s))
+            which.append(inside)
+    keys, which = np.concatenate(keys), np.concatenate(which)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], owner[which[order]], anchor[which[order]].astype(np.int32)
 
 
 def bit_table(keys: np.ndarray) -> np.ndarray:

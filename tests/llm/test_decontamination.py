@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from parlance.llm import decontamination
 
 
@@ -74,3 +76,30 @@ def test_odd_rows(spark):
     assert decontamination.find(df, bench.where("item_id = 0")).count() == 0
     assert decontamination.find(df.where("doc_id = 0"), bench).count() == 0
     assert sorted(str(r["doc_id"]) for r in decontamination.drop_contaminated(df, bench).collect()) == ["1", "2", "None"]
+
+
+def edited(dice, held, how):
+    """`held` with a fifth of its words edited, all that its budget allows."""
+    budget = len(held) // 5
+    if how == "start dropped":
+        return held[budget:]
+    if how == "end dropped":
+        return held[: len(held) - budget]
+    places = {"start replaced": range(budget), "end replaced": range(len(held) - budget, len(held)), "anywhere": dice.sample(range(len(held)), budget)}[how]
+    return [f"new{dice.randint(0, 9)}" if i in places else w for i, w in enumerate(held)]
+
+
+def recall(size, how, n=50):
+    dice = random.Random(f"{size} {how}")
+    words = [f"w{i}" for i in range(400)] + ["the"] * 60
+    some = lambda k: [dice.choice(words) for _ in range(k)]
+    texts = [some(size) for _ in range(n)]
+    items = decontamination.prepare(list(range(n)), [" ".join(t) for t in texts])
+    docs = [" ".join([*some(30), *edited(dice, t, how), *some(30)]) for t in texts]
+    return sum(d == i for d, i, _, _ in decontamination.matches(docs, items)) / n
+
+
+@pytest.mark.parametrize("size", [5, 11, 12, 15, 18, 23, 24, 36, 80])
+def test_recall_by_length(size):
+    found = {how: recall(size, how) for how in ("start dropped", "start replaced", "end dropped", "end replaced", "anywhere")}
+    assert min(found.values()) >= 0.98, found

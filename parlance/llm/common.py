@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -24,14 +25,16 @@ def remainder(column: str, k: int) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's folder for checkpoints (spark.checkpoint.dir).
 
-    Only where none is set, as in tests, a temporary one is used.
+    Where none is set: a temporary one under a local master, as in tests; elsewhere one in the warehouse, which a
+    cluster shares as well. A cluster whose warehouse is on the driver's disk has to set spark.checkpoint.dir.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        local = re.fullmatch(r"local(\[[^\[\]]*\])?", context.master) is not None
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -47,6 +50,14 @@ def without(df: DataFrame, *names: str) -> list[str]:
     return [f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in taken]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores behind it until no column of `df` is called so, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def batches(texts: pd.Series, most: int = 4_000_000) -> Iterator[pd.Series]:
     """Parts of a batch with about `most` characters each; a longer text is a part of its own."""
     ends = texts.str.len().fillna(0).cumsum() // most
@@ -140,13 +151,18 @@ def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35.0, 35.0)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int = 5) -> tuple[DataFrame, dict[int, int]]:
+#: Longer texts are scored like all others, but no classifier learns from them, so that a sample's size is bounded.
+LONGEST = 1 << 19
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int = 5, longest: int = LONGEST) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, text, y): at most `per_class` labelled documents of each class outside fold 0, those
     with the smallest hash of the id; and how many there are of each class in all.
 
-    The bound is the operator's parameter. Ids are drawn from `labels` alone; texts follow by a join
-    in which at most 2 x per_class ids (16 bytes each) are broadcast. Null labels, ids and labels
-    other than 0 and 1 take no part; repeated labels of a document count once (the largest).
+    The bounds are the operator's parameters. Ids are drawn from `labels` alone; texts follow by a join
+    in which at most 2 x per_class ids (16 bytes each) are broadcast. Of the rows of one id one is learned from
+    (the smallest text of at most `longest` characters; null ones if there is no other), picked with partial aggregation. Null
+    labels, ids and labels other than 0 and 1 take no part; repeated labels of a document count once (the largest).
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", folds) != 0))
@@ -157,8 +173,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         drawn = part if drawn is None else drawn.unionByName(part)
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    return sample, totals
+    fine = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    return fine.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), totals
 
 
 def class_weights(y: np.ndarray, totals: dict[int, int]) -> np.ndarray:

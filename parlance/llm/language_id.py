@@ -7,7 +7,8 @@ follow-the-regularised-leader (per-coordinate rates, L1 and L2), which leaves mo
 fifth of the sample is kept from training, and on it a temperature is fitted that divides the logits.
 
 The classifier is fitted on about `per_class` documents of each language, drawn by a hash of the id against
-a threshold per language (a bounded, documented sample); document frequencies cover all of them.
+a threshold per language (a bounded, documented sample; of the rows of one id and language one, and no text of
+more than `longest` characters); document frequencies cover all of them.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, and so is every text where no
 language could be learned. Long texts are read whole. Rows with a null id or lang are never learned from.
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import Lexicon, Subwords, batches, fit_in_task, remainder, sums, without
+from parlance.llm.common import LONGEST, Lexicon, Subwords, batches, fit_in_task, remainder, sums, unused, without
 
 BUCKETS, LOW, HIGH, SCALE = 1 << 15, 2, 4, 50.0
 LETTER = re.compile(r"[^\W\d_]")
@@ -127,7 +128,7 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(min(np.geomspace(0.05, 20.0, 241), key=loss))
 
 
-def train(docs: DataFrame, per_class: int = 600, folds: int = 4, held: int = 2) -> Model:
+def train(docs: DataFrame, per_class: int = 600, folds: int = 4, held: int = 2, longest: int = LONGEST) -> Model:
     """A model from text and lang of the documents outside fold `held`."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", folds) != held)).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -139,7 +140,8 @@ def train(docs: DataFrame, per_class: int = 600, folds: int = 4, held: int = 2)
     place = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_class / counts[lang]))])
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(uniform < share[F.col("lang")]).select("doc_id", "text", place[F.col("lang")].alias("y"))
+    drawn = known.where((uniform < share[F.col("lang")]) & (F.coalesce(F.length("text"), F.lit(0)) <= longest))
+    sample = drawn.groupBy("doc_id", place[F.col("lang")].alias("y")).agg(F.min("text").alias("text"))
 
     def learn(rows: pd.DataFrame) -> Model:
         subwords = grams()
@@ -191,5 +193,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             done = [scorer.documents(part) for part in batches(texts.fillna(""))]
             yield pd.concat(done, ignore_index=True) if done else pd.DataFrame({"lang_pred": [], "score": []})
 
-    found = docs.withColumn("_language", predict(F.col("text")))
-    return found.select(*without(docs, *names, "_language"), F.col("_language.lang_pred").alias("lang_pred"), F.col("_language.score").alias("score"))
+    own = unused(docs, "_language")
+    found = docs.withColumn(own, predict(F.col("text")))
+    return found.select(*without(docs, *names), *(F.col(f"{own}.{c}").alias(c) for c in names))

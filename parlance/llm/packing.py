@@ -9,7 +9,8 @@ of more words than a bin are cut: full bins of their own first, then the rest as
 
 Documents are dealt by a hash of the id into shards of about `shard` documents, each packed by itself, so a
 hot source or a large cluster is spread over all shards in proportion, and no task holds more than a shard's
-rows (id, length, source, cluster; never texts). A shard's last bins are the only ones that a global packing
+rows (id, length, source, cluster; never texts). Equal rows of these four are counted with partial aggregation and
+dealt out evenly, number by number, so that a repeated or missing id crowds no shard. A shard's last bins are the only ones that a global packing
 could fill better.
 
 Lengths are counts of words between white space. A cluster is the hash of the words in lower case, so exact
@@ -77,8 +78,12 @@ def pack(docs: DataFrame, capacity: int = 2048, shard: int = 4096) -> DataFrame:
     """One row per piece: doc_id, bin_id, position in the bin, start and end in words, words of the bin."""
     rows = measured(docs)
     shards = max(1, -(-rows.count() // shard))
-    # repeated and null ids spread by the content
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("cluster"))), F.lit(shards)).cast("int"))
+    # equal rows follow each other from shard to shard
+    once = rows.groupBy("doc_id", "length", "source", "cluster").agg(F.count("*").alias("n"))
+    zero, step = F.lit(0).cast("long"), F.lit(1 << 16).cast("long")  # in two steps, so that no array is long
+    each = once.withColumn("j", F.explode(F.sequence(zero, F.col("n") - 1, step)))
+    each = each.withColumn("i", F.explode(F.sequence(F.col("j"), F.least(F.col("j") + step, "n") - 1)))
+    dealt = each.withColumn("shard", F.pmod(F.xxhash64("doc_id", "length", "source", "cluster") + F.col("i"), F.lit(shards)).cast("int")).drop("n", "i", "j")
 
     def pack_shard(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "length", "source", "cluster"], kind="stable", na_position="last", ignore_index=True)

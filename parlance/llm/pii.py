@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import sigmoid, without
+from parlance.llm.common import sigmoid, unused, without
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -114,8 +115,32 @@ def loose_spans(text: str, base: list[Span]) -> list[Span]:
     if text.count(":") >= 3:
         out += [(m.start(), m.end(), 1) for m in LOOSE_IP.finditer(text)]
     out += [(m.start(1), m.end(1), 4) for m in ASSIGNED.finditer(text)]
-    taken = [(s, e) for s, e, _ in base]
-    return [c for c in out if not any(s < c[1] and c[0] < e for s, e in taken)]
+    taken = Taken(base)
+    return [c for c in out if taken.free(c)]
+
+
+class Taken:
+    """Places that spans hold: their disjoint union, in order."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end, _ in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def free(self, span: Span) -> bool:
+        at = bisect_right(self.ends, span[0])
+        return at == len(self.starts) or self.starts[at] >= span[1]
+
+    def add(self, span: Span) -> None:
+        """A span that is free."""
+        at = bisect_right(self.ends, span[0])
+        self.starts.insert(at, span[0])
+        self.ends.insert(at, span[1])
 
 
 def votes(text: str, span: Span, is_base: bool) -> tuple[int, ...]:
@@ -255,11 +280,12 @@ class Finder:
             p = self.score((span[2], *votes(text, span, False), *features(text, span)))
             if p >= self.threshold:
                 scored.append((-p, span))
-        taken: list[Span] = []
+        taken, added = Taken([]), []
         for _, span in sorted(scored):
-            if not any(s < span[1] and span[0] < e for s, e, _ in taken):
-                taken.append(span)
-        return base, sorted([*base, *taken], key=lambda s: (s[0], s[2]))
+            if taken.free(span):
+                taken.add(span)
+                added.append(span)
+        return base, sorted([*base, *added], key=lambda s: (s[0], s[2]))
 
 
 def written(spans: list[Span]) -> str:
@@ -284,8 +310,9 @@ def find(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFr
                 rows.append((*(counts[k] for k in range(4)), hashlib.sha256(written(base).encode()).hexdigest(), written(every)))
             yield pd.DataFrame(rows, columns=list(DIGEST))
 
-    found = docs.withColumn("_pii", detect(F.col("text")))
-    return found.select(*without(docs, "_pii", *DIGEST), *(F.col(f"_pii.{c}").alias(c) for c in DIGEST))
+    own = unused(docs, "_pii")
+    found = docs.withColumn(own, detect(F.col("text")))
+    return found.select(*without(docs, *DIGEST), *(F.col(f"{own}.{c}").alias(c) for c in DIGEST))
 
 
 def redact(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:

@@ -31,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -182,23 +182,55 @@ def link(fps: DataFrame, budget: int = 2, subtree: int = 1024, most: int = 4096)
     return dealt.groupBy("p", "slice", "q", "other").applyInPandas(walk, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, budget: int = 2, subtree: int = 1024, most: int = 4096) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of `docs` (doc_id, text)."""
-    marked = cut_lineage(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
+def grouped(docs: DataFrame, row: Column, budget: int = 2, subtree: int = 1024, most: int = 4096, large: int = 256, listed: int = 1 << 20) -> DataFrame:
+    """(doc_id, row, fp, component_id, best): `best` is the row of a component that stays, as (no id, doc_id, row).
+
+    Fingerprints of at least `large` documents are told by a broadcast of at most `listed` of them (by count, `large`
+    grows with the table), so that no task gets all the copies of a text; the others are joined.
+    """
+    marked = cut_lineage(with_fingerprints(docs.select("doc_id", "text", row.alias("row"))).select("doc_id", "row", "fp"))
     # equal fingerprints: one leaf with the smallest id of its documents
-    leaves = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
+    leaves = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), first, F.count("*").alias("n")))
     roots = components(link(leaves.select("fp"), budget, subtree, most))
-    least = roots.join(leaves, roots["node"] == leaves["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    leaves = leaves.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(leaves, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = roots.join(leaves, roots["node"] == leaves["fp"]).groupBy("root").agg(F.min("least").alias("component_id"), F.min("best").alias("first"))
+    linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id", "first")
+    leaves = leaves.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("first", "best").alias("best"))
+    leaves = cut_lineage(leaves)
+    large = max(large, -(-marked.count() // max(1, listed)))
+    hot = leaves.where(F.col("n") >= large).select("fp", F.struct("component_id", "best").alias("leaf"))
+    told = marked.join(F.broadcast(hot), "fp", "left")
+    names = ("doc_id", "row", "fp", "component_id", "best")
+    rest = told.where("leaf IS NULL").drop("leaf").join(leaves.where(F.col("n") < large).drop("n"), "fp")
+    return told.where("leaf IS NOT NULL").select("doc_id", "row", "fp", "leaf.*").select(*names).unionByName(rest.select(*names))
+
+
+def near_duplicates(docs: DataFrame, **parameters: int) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of `docs` (doc_id, text)."""
+    found = grouped(docs, F.lit(0).cast("long"), **parameters)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, **parameters: int) -> DataFrame:
-    """`docs` with one document of each group of near-duplicates: the one with the smallest doc_id.
+def keep_first(docs: DataFrame, listed: int = 1 << 20, **parameters: int) -> DataFrame:
+    """`docs` with one row of each group of near-duplicates: the one with the smallest doc_id.
 
-    Rows that share the kept id all stay, and so do rows without an id, which nothing can be told by.
+    Rows are told apart by doc_id and a hash of all their columns. Rows of one id: the one with the smaller hash stays;
+    of equal rows one; rows without an id stay only in groups where none has one, and then one. Texts stay where they
+    are: the dropped rows' ids and hashes are broadcast where they are at most `listed`, joined otherwise. Only rows
+    that occur several times are shuffled.
     """
-    found = near_duplicates(docs, **parameters)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*without(docs)).unionByName(docs.where("doc_id IS NULL"))
+    key = F.xxhash64(*without(docs))
+    found = cut_lineage(grouped(docs, key, listed=listed, **parameters))
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row") == F.col("best.row"))
+    dropped = found.where(~kept).select("doc_id", "row").distinct()
+    repeated = found.where(kept).groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "row")
+
+    def joined(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("_id"), F.col("row").alias("_own"))
+        keys = F.broadcast(keys) if keys.count() <= listed else keys
+        return rows.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_own")), how)
+
+    left = joined(docs, dropped, "left_anti")
+    if repeated.isEmpty():
+        return left
+    return joined(left, repeated, "left_anti").unionByName(joined(left, repeated, "left_semi").distinct())

@@ -9,7 +9,8 @@ sentence scores then say which sentences offend.
 Training takes at most `per_class` labelled documents of each class (a bounded, documented sample;
 whole texts) to one task of an executor; the driver gets the model. Classes are weighted back to
 their shares among all labels. Features that fewer than `rare` of the sample's documents have (and those of
-one document) are not learned, as they would only recall single documents.
+one document) are not learned, as they would only recall single documents; a document with no other features
+teaches nothing, not even the bias, which toxic ones would raise without telling what offends.
 
 Defined results: a null or empty text has no sentence and gets the score of a bag with one empty
 sentence. Long texts are scored whole, sentence after sentence. Input columns called like an output
@@ -19,12 +20,12 @@ labels). An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,9 +156,9 @@ class Scorer:
         return -np.expm1(-sums(np.logaddexp(0.0, self.logits(bags)), sizes))
 
 
-def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """`docs` with the probability that its text is toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def probability(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function of a text's column: the probability that it is toxic."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())
     def toxicity(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -166,7 +167,12 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             out = np.concatenate([scorer.documents(part) for part in batches(texts.fillna(""))]) if len(texts) else []
             yield pd.Series(out, dtype="float64")
 
-    return docs.select(*without(docs, column), toxicity(F.col("text")).alias(column))
+    return toxicity
+
+
+def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """`docs` with the probability that its text is toxic."""
+    return docs.select(*without(docs, column), probability(docs.sparkSession, model)(F.col("text")).alias(column))
 
 
 def locate(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

@@ -1,12 +1,15 @@
 """Quality and toxicity: held-out figures, sentences that offend, odd rows."""
 
+import math
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from parlance.llm import quality, toxicity
-from parlance.llm.common import remainder
+from parlance.llm.common import Subwords, labelled_sample, remainder
 from parlance.llm.queries import op1_subword_quality, op10_mil_toxicity
 
 DIR = "/root/testdata/sf0.01"
@@ -97,3 +100,75 @@ def test_held_out_labels_are_never_learned_from(spark):
     changed = labels.withColumn("toxic", F.when(remainder("doc_id", 5) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.train(docs, labels), toxicity.train(docs, changed)
     assert (a.weights == b.weights).all() and a.bias == b.bias
+
+
+def plain_words(model, words, low, high, buckets):
+    """Sum of a model's weights over the features of words, and how many there are, one word at a time."""
+    total, n = 0.0, 0
+    for w in words:
+        for ids in Subwords(low, high, buckets).apart([w]):
+            total += float(model[ids].sum(dtype=np.float64))
+            n += len(ids)
+    return total, n
+
+
+@pytest.fixture(scope="module")
+def some_texts(spark):
+    rows = spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id % 40 = 0").select("doc_id", "text").collect()
+    return [(r["doc_id"], r["text"]) for r in rows] + [(-1, None), (-2, ""), (-3, "a a a b")]
+
+
+def test_quality_scores_against_brute_force(spark, some_texts):
+    random = np.random.default_rng(5)
+    model = quality.Model((random.standard_normal(quality.BUCKETS) * 3).astype(np.float32), -0.3)
+    found = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame(some_texts, "doc_id long, text string"), model).collect()}
+    for i, text in some_texts:
+        total, n = plain_words(model.features, quality.tokens(text), quality.LOW, quality.HIGH, quality.BUCKETS)
+        assert abs(found[i] - 1 / (1 + math.exp(0.3 - total / max(n, 1)))) < 1e-6
+
+
+def test_quality_training_against_plain_steps():
+    """One pass over three small bags, each step written out anew."""
+    bags = [(np.array([1, 5]), np.array([2, 1])), (np.array([5]), np.array([4])), (np.array([2, 1]), np.array([1, 1]))]
+    y, weight = np.array([1, 0, 1]), np.array([0.5, 1.0, 2.0])
+    model = quality.fit(bags, y, weight, epochs=1)
+    random = np.random.default_rng(7)
+    v = random.uniform(-1 / quality.WIDTH, 1 / quality.WIDTH, (quality.BUCKETS, quality.WIDTH)).astype(np.float32)
+    layer, bias = np.zeros((quality.WIDTH, 2)), np.zeros(2)
+    for step, d in enumerate(random.permutation(3)):
+        ids, often = bags[d]
+        share = often / often.sum()
+        hidden = sum(s * v[i].astype(float) for s, i in zip(share, ids))
+        e = np.exp(hidden @ layer + bias)
+        g = (e / e.sum() - np.eye(2)[y[d]]) * weight[d] * 5.0 * (1 - step / 3)
+        back = layer @ g
+        layer, bias = layer - np.outer(hidden, g), bias - 0.1 * g
+        for s, i in zip(share, ids):
+            v[i] -= s * len(ids) * 0.05 * back
+    assert np.allclose(model.features, v @ (layer[:, 1] - layer[:, 0]), atol=1e-5) and abs(model.bias - (bias[1] - bias[0])) < 1e-5
+
+
+def test_toxicity_scores_against_brute_force(spark, some_texts):
+    random = np.random.default_rng(6)
+    model = toxicity.Model((random.standard_normal(toxicity.BUCKETS) * 0.05).astype(np.float32), -2.0)
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(some_texts, "doc_id long, text string"), model).collect()}
+    for i, text in some_texts:
+        none = 1.0
+        for sentence in re.split(r"[.!?\n\r]", text or ""):
+            words = set(re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]", " ", sentence.lower()).split())
+            if words:
+                none /= 1 + math.exp(-2.0 + plain_words(model.weights, words, toxicity.LOW, toxicity.HIGH, toxicity.BUCKETS)[0])
+        if none == 1.0:  # no sentence: a bag with one empty sentence
+            none /= 1 + math.exp(-2.0)
+        assert abs(found[i] - (1 - none)) < 1e-6
+
+
+@pytest.mark.parametrize("label", ["quality", "toxic"])
+def test_a_sample_holds_one_row_of_an_id(spark, label):
+    docs = spark.range(100_000).selectExpr("if(id < 99000, 7, id) AS doc_id", "concat('text ', id) AS text")
+    docs = docs.unionByName(spark.createDataFrame([(99_500, "x" * 60)], "doc_id long, text string"))
+    labels = docs.selectExpr("doc_id", f"cast(doc_id % 2 AS int) AS {label}")
+    sample, totals = labelled_sample(docs, labels, label, 40, longest=50)
+    rows = sample.collect()
+    assert len(rows) == len({r["doc_id"] for r in rows}) <= 80 and sum(totals.values()) == docs.select("doc_id").distinct().where("crc32(cast(doc_id AS string)) % 5 <> 0").count()
+    assert all(len(r["text"]) <= 50 for r in rows)

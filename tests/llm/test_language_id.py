@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 from parlance.llm import language_id as L
@@ -44,3 +45,48 @@ def test_nothing_to_learn(spark):
     rows = L.identify(docs, L.train(docs)).collect()
     assert [(r["lang_pred"], r["score"]) for r in rows] == [("und", 0.0)]
     assert L.identify(docs.where("doc_id = 2"), L.train(docs.where("doc_id = 2"))).count() == 0
+
+
+def test_scores_against_brute_force(spark):
+    """TF-IDF logits summed feature by feature, and the softmax of the temperature."""
+    random = np.random.default_rng(8)
+    model = L.Model(["de", "en", "fr"], random.standard_normal((L.BUCKETS, 3)), random.standard_normal(3), 1.7)
+    texts = ["the river ran by the mill", "Der Fluss, der Fluss!", "x", "12 a1b"]
+    found = L.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for text, row in zip(texts, found):
+        ids = [int(i) for w in re.sub(r"[^a-z]", " ", text.lower()).split() for i in L.grams().apart([w])[0]]
+        logits = (sum(model.weights[i] for i in ids) / max(1, len(ids)) + model.bias) / 1.7
+        p = np.exp(logits) / np.exp(logits).sum()
+        assert row["lang_pred"] == model.languages[int(p.argmax())] and abs(row["score"] - p.max()) < 1e-9
+
+
+def test_ftrl_against_plain_steps():
+    """Weights after two passes, each coordinate's update written out on its own."""
+    rows = [(np.array([0, 3]), np.array([1.0, 0.5])), (np.array([3]), np.array([2.0])), (np.array([1]), np.array([1.5]))]
+    y = np.array([0, 1, 1])
+    w, bias = L.ftrl(rows, y, 2, epochs=2)
+    z, n = {}, {}
+
+    def weight(i, c):
+        zi = z.get((i, c), 0.0)
+        return 0.0 if abs(zi) <= 0.02 else -(zi - math.copysign(0.02, zi)) / ((1 + math.sqrt(n.get((i, c), 0.0))) / 0.5 + 0.02)
+
+    for e in range(2):
+        for d in np.random.default_rng([3, e]).permutation(3):
+            own = [*zip(rows[d][0].tolist(), rows[d][1].tolist()), (-1, 1.0)]
+            logits = [sum(x * weight(i, c) for i, x in own) for c in (0, 1)]
+            p = [math.exp(a) / sum(map(math.exp, logits)) for a in logits]
+            steps = [(i, c, x * (p[c] - (y[d] == c)), weight(i, c)) for i, x in own for c in (0, 1)]
+            for i, c, g, now in steps:
+                before = n.get((i, c), 0.0)
+                n[i, c] = before + g * g
+                z[i, c] = z.get((i, c), 0.0) + g - (math.sqrt(n[i, c]) - math.sqrt(before)) / 0.5 * now
+    assert all(abs(w[i, c] - weight(i, c)) < 1e-9 for i in range(5) for c in (0, 1)) and all(abs(bias[c] - weight(-1, c)) < 1e-9 for c in (0, 1))
+
+
+def test_repeated_rows_teach_once(spark):
+    rows = [(i, ("the cat sat" if i % 2 else "der hund lief") + f" {i}", "en" if i % 2 else "de") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hot = docs.unionByName(spark.range(100_000).selectExpr("7L AS doc_id", "'the cat sat 7' AS text", "'en' AS lang"))
+    found = L.identify(docs, L.train(hot, per_class=60_000))
+    assert found.where("lang_pred = lang").count() == 200

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from parlance.llm import packing
 
 
@@ -60,3 +62,12 @@ def test_odd_rows(spark):
     rows = packing.pack(df, capacity=8).collect()
     assert len(rows) == 4 and len({r["bin_id"] for r in rows}) == 4
     assert packing.pack(df.where("doc_id = 5")).count() == 0
+
+
+def test_one_row_a_hundred_thousand_times(spark):
+    """Equal rows, with and without an id, are dealt over all shards and all placed."""
+    docs = spark.range(100_000).selectExpr("if(id % 2 = 0, 5L, NULL) AS doc_id", "'some words here' AS text", "NULL AS source")
+    bins = packing.pack(docs, shard=1000)
+    assert bins.count() == 100_000
+    shards = bins.groupBy(F.substring_index("bin_id", "-", 1).alias("s")).count()
+    assert shards.count() == 100 and shards.agg(F.max("count")).first()[0] <= 1100

@@ -76,3 +76,17 @@ def test_odd_rows(spark):
     assert found[:4] == [("1", 0, ""), ("2", 0, ""), ("3", 1, "email:0:6"), ("3", 1, "email:0:6")] and found[-1] == ("None", 1, "email:0:6")
     assert pii.train(df.where("doc_id = 9")) is None and pii.find(df.where("doc_id = 9"), None).count() == 0
     assert {r["text"] for r in pii.redact(df, None).collect()} >= {None, "", "<EMAIL>"}
+
+
+def test_overlaps_against_all_pairs():
+    dice = random.Random(3)
+    span = lambda: (a := dice.randint(0, 400), a + dice.randint(1, 12), dice.randint(0, 4))
+    for _ in range(50):
+        base = [span() for _ in range(dice.randint(0, 40))]
+        taken, kept = pii.Taken(base), list(base)
+        for own in (span() for _ in range(60)):
+            free = not any(s < own[1] and own[0] < e for s, e, _ in kept)
+            assert taken.free(own) == free
+            if free:
+                taken.add(own)
+                kept.append(own)

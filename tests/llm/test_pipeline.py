@@ -83,5 +83,42 @@ def test_packing_holds_every_document(stages):
     assert {r[0] for r in after.select("doc_id").collect()} == {r[0] for r in before.select("doc_id").collect()}
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd(spark):
+    long = " ".join(f"w{i % 977}" for i in range(20_000))
+    texts = [None, "", "a plain sentence about the mill and the river", long, "write to me@site.org today", "a plain sentence about the mill and the river"]
+    rows = [(i, t, "en", None, None) for i, t in enumerate(texts)] + [(2, texts[2], "en", None, None), (None, "one more text without an id", None, "web", 7), (None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA), rows
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows_in_every_stage(spark, name):
+    """Nulls in any column, empty and very long texts, repeated rows, and columns of helpers' names."""
+    docs, given = odd(spark)
+    docs = docs.withColumns({c: F.lit("x") for c in ("_pii", "row", "fp", "_toxicity", "cluster_", "score")})
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, DIR)
+    found = out.collect()
+    if name == "packing":
+        assert {r["doc_id"] for r in found} == {r[0] for r in given}
+        return
+    assert out.columns == docs.columns and {r["fp"] for r in found} == {"x"}
+    left = Counter(str((r["doc_id"], r["text"])) for r in found)
+    if name == "near_dedup":  # 0, 1 and the last row have no word, 2 occurs three times in all
+        assert left == Counter(str((i, t)) for i, t, *_ in [given[0], given[2], given[3], given[4], given[7]])
+    elif name == "pii":
+        assert len(found) == len(given) and left[str((4, "write to <EMAIL> today"))] == 1
+    else:
+        assert left == Counter(str((i, t)) for i, t, *_ in given)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_empty_tables_in_every_stage(spark, name):
+    empty = spark.createDataFrame([], SCHEMA)
+    out = dict(corpus_pipeline.STAGES)[name](spark, empty, DIR)
+    assert out.count() == 0 and (name == "packing" or out.columns == empty.columns)
+
+
 def test_run(spark, stages):
     assert rows(corpus_pipeline.run(spark, DIR).drop("bin_id")) == rows(stages["packing"][1].drop("bin_id"))

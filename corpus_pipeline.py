@@ -1,7 +1,11 @@
 """A corpus pipeline of the training-data operators.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that the next one gets as docs, written and
-read again in between. All but the last return the columns of documents.
+read again in between. All but the last return the columns of documents, other columns of whatever name too.
+
+Defined results of every stage: nulls may stand in any column; a null or empty text is clean, is a near-duplicate
+of other texts without a word, and is packed with length 0. Rows are decided one by one, also those that
+repeat an id or have none. Very long texts are read whole. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from parlance.llm.common import shared_folder, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below 0.5, by a model of the labels outside fold 0."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "_toxicity").where(F.col("_toxicity") < 0.5).drop("_toxicity")
+    return docs.where(toxicity.probability(spark, model)(F.col("text")) < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,17 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+START, END = "(?i)(^|[^a-z0-9_])", "($|[^a-z0-9_])"
 #: What a spoken text must not hold, in the order in which it is looked for.
 FORBIDDEN = (
     ("em dash", "—"),
     ("semicolon", ";"),
     ("parenthesis", r"[()]"),
-    ("hesitation filler", r"(?i)(^|[^a-z0-9_])(uh|um|er|erm|hmm)($|[^a-z0-9_])"),
-    ("speaker label", r"(?i)^(A|B)[ ]*:"),
+    ("hesitation filler", START + "(uh|um|er|erm|hmm)" + END),
+    ("phone call marker", START + "are you (still |)there" + END),
+    ("speakerphone", START + "speakerphone" + END),
+    ("phone call marker", START + r"hold on,?[ \t\r\n]+i'?m on (a|the|another) call" + END),
+    ("phone call marker", START + "can you hear me" + END),
+    ("speaker label", r"(?i)^(A|B)[ \t\r\n]*:"),
     ("stage direction", r"\*[^*]+\*"),
+    ("tags only", r"^[ \t\r\n]*(\[[^\]]+\][ \t\r\n]*)+$"),
+    ("worn phrasing: what was I saying", "(?i)what was i saying"),
+    ("worn phrasing: where was I", r"(?i)where was i[ \t\r\n]*[?.!]"),
+    ("worn phrasing: where were we", r"(?i)where were we[ \t\r\n]*[?.!]"),
+    ("worn phrasing: what were we talking about", "(?i)what were we talking about"),
+    ("worn phrasing: what was the last thing I said", "(?i)what was the last thing i (said|was saying)"),
+    ("worn phrasing: I lost my train of thought", "(?i)lost my train of thought"),
+    ("worn phrasing: I lost my place", "(?i)lost my place"),
+    ("worn phrasing: I've completely lost it", "(?i)completely lost it"),
+    ("worn phrasing: sorry, I blanked", "(?i)i blanked"),
 )
-#: Characters folded to ASCII before quotes are compared.
-FOLDED = ("‘’‚‛“”„‐‑‒–—−  ", "''''\"\"\"------  ")
+#: Characters folded to ASCII before quotes are compared (an ellipsis becomes three dots).
+FOLDED = ("‘’‚‛′“”„″‐‑‒–—\u00a0\u202f", "'''''\"\"\"\"-----  ")
 REACTIONS = ("pivot", "verbal", "behavioral", "ambient")
 
 
@@ -60,6 +75,45 @@ def evidence_in(evidence: Column, text: Column) -> Column:
     return F.coalesce((F.size(words(quote)) >= 2) & F.contains(fold(text), quote), F.lit(False))
 
 
+def quoted(docs: DataFrame, doc: str, doc_text: str, quotes: DataFrame, quote: str, quote_text: str, most: int = 1 << 24) -> DataFrame:
+    """(doc, quote): texts that contain a quote, both folded; every pair once per rows of them.
+
+    Quotes are the small side: they are broadcast in blocks of at most `most` characters in all, each as one list
+    that a text is looked through for where it is read, so texts are never shuffled. An empty quote is in every text.
+    """
+    rows = quotes.select(F.col(quote).alias("q"), fold(F.col(quote_text)).alias("t")).where("t IS NOT NULL")
+    blocks = max(1, -(-(rows.agg(F.sum(F.length("t"))).first()[0] or 0) // most))
+    listed = rows.groupBy(F.pmod(F.xxhash64("q", "t"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("q", "t")).alias("listed"))
+    texts = docs.select(F.col(doc).alias("d"), fold(F.col(doc_text)).alias("text"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    found = texts.join(F.broadcast(listed), "b").select("d", F.explode(F.filter("listed", lambda x: F.contains(F.col("text"), x["t"]))).alias("x"))
+    return found.select(F.col("d").alias(doc), F.col("x.q").alias(quote))
+
+
+#: Fields in which a reply's object may hold the answer, in the order in which they are looked for.
+ANSWER_FIELDS = ("answer", "choice", "option", "sound", "scene", "location")
+PRESENCE_FIELDS = ("sound_present", "present", "sound", "answer")
+
+
+def field_of(value: Column, names: tuple[str, ...]) -> Column:
+    """The first of the named fields that a JSON object has, as text; anything else than an object as it is, a string unquoted."""
+    keys = F.coalesce(F.json_object_keys(value), F.array().cast("array<string>"))
+    held = F.coalesce(*[F.when(F.array_contains(keys, n), F.coalesce(F.get_json_object(value, f"$.{n}"), F.lit(""))) for n in names])
+    plain = F.when(F.trim(value).startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")).otherwise(value)
+    return F.coalesce(held, plain)
+
+
+def presence_of(value: Column) -> Column:
+    """Whether a reply's value says that a sound is there: true, yes or oui; false, no or non; null for anything else."""
+    said = F.lower(F.trim(field_of(value, PRESENCE_FIELDS)))
+    return F.when(said.isin("true", "yes", "oui"), True).when(said.isin("false", "no", "non"), False)
+
+
+def reaction_of(value: Column) -> Column:
+    """The reaction that a reply's value names exactly; null for anything else."""
+    said = F.lower(F.trim(field_of(value, ("reaction",))))
+    return F.when(said.isin(*REACTIONS), said)
+
+
 def read_choice(reply: Column, options: Column) -> Column:
     """The option a reply names: equal but for case, else the only one it contains; else null."""
     said = F.lower(F.trim(reply))
@@ -92,35 +146,45 @@ def runs_of(text_words: Column, n: int) -> Column:
     return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(text_words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def degeneracy(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_words, n_characters, top_word_count, top_run_count): what tells looping texts.
+def most_repeated(values: Column) -> Column:
+    """How often the most frequent value of an array occurs: the longest run of equals once sorted; null for an empty one."""
+    start = F.struct(F.lit(None).cast("string").alias("now"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
-    Each document's words are exploded and counted with partial aggregation; documents without an
-    alphabetic word have null counts. top_run_count is of three-word runs.
-    """
-    base = df.select(F.col(key), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    base = base.withColumn("_w", F.regexp_extract_all("_t", F.lit("[a-z']+"), 0))
-    flat = base.select(key, F.size(F.array_distinct(F.split(F.regexp_replace("_t", r"[ \t\r\n]+", ""), ""))).alias("n_characters"), F.size("_w").alias("n_words"))
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when(acc["now"] == x, acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("now"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    def most(column: Column, name: str) -> DataFrame:
-        each = base.select(key, F.explode(column).alias("_x")).groupBy(key, "_x").agg(F.count("*").alias("_n"))
-        return each.groupBy(key).agg(F.max("_n").alias(name))
+    return F.nullif(F.aggregate(F.array_sort(values), start, step, lambda acc: acc["best"]), F.lit(0))
 
-    return flat.join(most(F.col("_w"), "top_word_count"), key, "left").join(most(runs_of(F.col("_w"), 3), "top_run_count"), key, "left")
 
+def degeneracy(df: DataFrame, text: str, most: int = 8) -> DataFrame:
+    """`df` with n_words, top_word_count, top_run_count and reason, which tells looping texts; null for sound ones.
 
-def degeneracy_reason(n_words: Column, top_word: Column, top_run: Column, most: int = 8) -> Column:
-    """Why a text is degenerate, from the counts of degeneracy(); null if it isn't."""
-    return (
-        F.when(n_words == 0, "no alphabetic word")
-        .when((top_word > most) & (top_word > n_words * 0.3), "a word repeats")
-        .when((n_words > 12) & (top_run > most), "a run repeats")
+    Words are alphabetic. A run of three words counts in texts of more than twelve, the last one excepted; longer runs
+    that repeat hold one of three that does. All is counted within the row, so nothing is shuffled.
+    """
+    said = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[ \t\r\n]+", " "))
+    dense = F.replace(said, F.lit(" "), F.lit(""))
+    rows = df.withColumn("_w", F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z']+"), 0))
+    runs = runs_of(F.col("_w"), 3)
+    rows = rows.withColumns({"n_words": F.size("_w"), "top_word_count": most_repeated(F.col("_w")), "top_run_count": most_repeated(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))))})
+    n, top = F.col("n_words"), F.col("top_word_count")
+    without_first = F.replace(dense, F.substring(dense, 1, 1), F.lit(""))
+    few = (F.length(dense) > 20) & (F.replace(without_first, F.substring(without_first, 1, 1), F.lit("")) == "")
+    reason = (
+        F.when(dense == "", "empty reply").when(few, "one or two characters").when(n == 0, "no alphabetic word")
+        .when((top > most) & (top > n * 0.3), "a word repeats").when((n > 12) & (F.col("top_run_count") > most), "a run repeats")
     )
+    return rows.withColumn("reason", reason).drop("_w")
 
 
-def safe_ids(df: DataFrame, column: str, longest: int = 64) -> DataFrame:
-    """`df` with safe_id: the column in [A-Za-z0-9_-], cut; where several collide, ended by eight digits of a SHA-1."""
-    plain = F.substring(F.regexp_replace(F.col(column), "[^A-Za-z0-9_-]", "_"), 1, longest)
-    counts = df.select(plain.alias("_p"), column).distinct().groupBy("_p").agg(F.count("*").alias("_n"))
+def safe_ids(df: DataFrame, column: str, order: str, longest: int = 64) -> DataFrame:
+    """`df` with safe_id: the column in [A-Za-z0-9_-] (other characters become -), cut; an empty one becomes id.
+
+    Where several values collide, the first by `order` keeps its name, the others end in eight digits of their SHA-1.
+    """
+    plain = F.coalesce(F.nullif(F.substring(F.regexp_replace(F.col(column), "[^A-Za-z0-9_-]", "-"), 1, longest), F.lit("")), F.lit("id"))
+    first = df.groupBy(plain.alias("_p")).agg(F.min_by(column, order).alias("_first"))
     marked = F.concat(F.substring(F.col("_p"), 1, longest - 9), F.lit("-"), F.substring(F.sha1(F.col(column).cast("binary")), 1, 8))
-    return df.withColumn("_p", plain).join(counts, "_p").withColumn("safe_id", F.when(F.col("_n") > 1, marked).otherwise(F.col("_p"))).drop("_p", "_n")
+    rows = df.withColumn("_p", plain).join(first, "_p")
+    return rows.withColumn("safe_id", F.when(F.col(column).eqNullSafe(F.col("_first")), F.col("_p")).otherwise(marked)).drop("_p", "_first")

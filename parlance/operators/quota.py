@@ -102,6 +102,50 @@ def assign_split(df: DataFrame, by: list[str], order: list[Column | str], ratios
     return rows.withColumn("split", split).drop("rank", "n", "_counts")
 
 
+def proportional_shares(size: Column, left: Column) -> Column:
+    """How many of a group of `size` go to each split, as an array, in proportion to what is `left` for each.
+
+    Floors first, then one more for the largest fractions (ties in the splits' order) of those that have any left.
+    """
+    total = F.aggregate(left, F.lit(0).cast("long"), lambda a, x: a + x)
+    exact = F.transform(left, lambda x: F.coalesce(F.try_divide((size * x).cast("double"), total.cast("double")), F.lit(0.0)))
+    base = F.zip_with(exact, left, lambda e, x: F.least(F.floor(e).cast("long"), x))
+    rest = size - F.aggregate(base, F.lit(0).cast("long"), lambda a, x: a + x)
+    open_ = F.transform(base, lambda b, i: F.get(left, i) > b)
+    fraction = F.transform(exact, lambda e: e - F.floor(e))
+
+    def before(i: Column) -> Column:
+        """How many splits with some left come before split i."""
+        first = lambda f, j: F.get(open_, j) & ((f > F.get(fraction, i)) | ((f == F.get(fraction, i)) & (j < i)))
+        return F.size(F.filter(F.transform(fraction, first), lambda x: x))
+
+    return F.transform(base, lambda b, i: b + (F.get(open_, i) & (before(i) < rest)).cast("long"))
+
+
+def assign_sizes(df: DataFrame, by: list[str], order: list[Column | str], sizes: dict[str, int]) -> DataFrame:
+    """`df` with `split`: in all as many rows per split as `sizes` asks for, spread over the groups of `by`.
+
+    Groups are taken in the order of their names, each shared out in proportion to what the splits still need, which is
+    carried from group to group. The groups' names and sizes (a catalogue's categories and themes) are folded in one row;
+    the rows themselves are ranked within their group.
+    """
+    name = F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in by])
+    groups = df.groupBy(name.alias("_g")).agg(F.count("*").alias("n"))
+    listed = groups.agg(F.array_sort(F.collect_list(F.struct("_g", "n"))).alias("groups"))
+    needed = F.array(*[F.lit(int(sizes.get(s, 0))).cast("long") for s in SPLITS])
+    none = F.expr("cast(array() as array<struct<_g:string,shares:array<bigint>>>)")
+
+    def step(acc: Column, g: Column) -> Column:
+        shares = proportional_shares(g["n"], acc["left"])
+        return F.struct(F.concat(acc["done"], F.array(F.struct(g["_g"].alias("_g"), shares.alias("shares")))).alias("done"), F.zip_with(acc["left"], shares, lambda x, y: x - y).alias("left"))
+
+    shares = listed.select(F.explode(F.aggregate("groups", F.struct(none.alias("done"), needed.alias("left")), step, lambda acc: acc["done"])).alias("s")).select("s.*")
+    rows = ranked(df.withColumn("_g", name), ["_g"], order).join(F.broadcast(shares), "_g")
+    train, dev, test = (F.get("shares", F.lit(i)) for i in range(3))
+    split = F.when(F.col("rank") < train, "train").when(F.col("rank") < train + dev, "dev").when(F.col("rank") < train + dev + test, "test")
+    return rows.withColumn("split", split).drop("_g", "rank", "n", "shares")
+
+
 def partition_files(files: DataFrame, ratios: dict[str, float], pool: str = "pool", name: str = "name", salted_by: str | None = None) -> DataFrame:
     """`files` with `split`, each pool ordered by the CRC-32 of salt|name, then the name; every split gets a file where there are enough."""
     salt = F.col(salted_by or pool).cast("string")
@@ -121,30 +165,36 @@ def shared_between_splits(df: DataFrame, key: str, split: str = "split") -> Data
     return found.where(F.size("splits") > 1)
 
 
-def split_report(df: DataFrame, template: str, theme: str, events: str | None = None) -> DataFrame:
+def split_report(df: DataFrame, template: str, theme: str) -> DataFrame:
     """Rows, distinct templates and themes per split."""
     return df.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct(template).alias("templates"), F.countDistinct(theme).alias("themes"))
 
 
-def round_robin(df: DataFrame, order: str, shards: int, by: list[str] | None = None) -> DataFrame:
-    """`df` with `shard`, the rank in `order` modulo `shards`.
+def round_robin(df: DataFrame, order: str, shards: int, parts: int = 64) -> DataFrame:
+    """`df` with `shard`, the rank in `order` (a number or a time) modulo `shards`.
 
-    The rank is made without sorting all rows in one task: rows are range-partitioned by the order, ranks
-    are counted within parts, and the parts' sizes are added up.
+    The rank is made without sorting all rows in one task: quantiles cut the order into `parts` ranges, ranks are
+    counted within them, and the ranges' sizes are added up. Which range a row is in follows from its value alone.
     """
-    parts = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    cuts = df.agg(F.percentile_approx(F.col(order), [i / parts for i in range(1, parts)], F.lit(10 * parts))).first()[0]
+    cuts = F.array(*[F.lit(x) for x in sorted(set(cuts or []))]).cast(f"array<{df.schema[order].dataType.simpleString()}>")
+    rows = df.withColumn("_part", F.size(F.filter(cuts, lambda x: x < F.col(order))))
     own = Window.partitionBy("_part").orderBy(order)
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    rows = parts.join(F.broadcast(offsets), "_part")
-    return rows.withColumn("shard", ((F.col("_before") + F.row_number().over(own) - 1) % shards).cast("long")).drop("_part", "_before")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = rows.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    ranked_rows = rows.join(F.broadcast(offsets), "_part")
+    return ranked_rows.withColumn("shard", ((F.col("_before") + F.row_number().over(own) - 1) % shards).cast("long")).drop("_part", "_before")
+
 
+def register_cycle(df: DataFrame, by: list[str], order: list[Column | str], registers: int, salt: str = "cycle") -> DataFrame:
+    """`df` with cycle and `register`: draws without repetition until all have been used, in an order drawn anew per cycle.
 
-def register_cycle(df: DataFrame, by: list[str], order: list[Column | str], registers: int) -> DataFrame:
-    """`df` with `register`: draws without repetition until all have been used, in an order drawn anew per cycle."""
+    A cycle's order is that of the hashes of salt|group|cycle|register.
+    """
     rows = ranked(df, by, order).withColumn("cycle", F.floor(F.col("rank") / registers).cast("long"))
-    return rows.withColumn("register", (F.col("rank") % registers).cast("long")).drop("rank", "n")
+    key = lambda r: F.sha1(F.concat_ws("|", F.lit(salt), *[F.col(c).cast("string") for c in by], F.col("cycle").cast("string"), r.cast("string")).cast("binary"))
+    drawn = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(registers - 1)), lambda r: F.struct(key(r).alias("k"), r.cast("long").alias("r"))))
+    return rows.withColumn("register", F.get(drawn, (F.col("rank") % registers).cast("int"))["r"]).drop("rank", "n")
 
 
 def event_balance(placements: DataFrame, event: str, reaction: str, reactions: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from parlance.functions.text import FORBIDDEN
+
 _PAIRS = "SELECT doc_id, CAST(quality AS VARCHAR) AS gold, CAST(toxic AS VARCHAR) AS pred FROM labels"
 _PER_CLASS = """
   SELECT {by} c.class, CAST(sum(CASE WHEN gold = class AND pred = class THEN n ELSE 0 END) AS BIGINT) AS tp,
@@ -22,14 +24,19 @@ _KAPPA = """
   FROM counts {group}"""
 _WORDS = "list_filter(regexp_split_to_array({t}, '[ \\t\\r\\n]+'), lambda w: w <> '')"
 _SPLIT = """
-WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha1('7|' || doc_id), doc_id) - 1 AS rank, count(*) OVER (PARTITION BY lang, source) AS n FROM documents),
-e AS (SELECT *, CAST(floor(n * CAST(0.8 AS DOUBLE)) AS BIGINT) AS f0, CAST(floor(n * CAST(0.1 AS DOUBLE)) AS BIGINT) AS f1,
-  n * CAST(0.8 AS DOUBLE) - floor(n * CAST(0.8 AS DOUBLE)) AS x0, n * CAST(0.1 AS DOUBLE) - floor(n * CAST(0.1 AS DOUBLE)) AS x1 FROM r),
-k AS (SELECT *, n - f0 - 2 * f1 AS left_over, CASE WHEN x1 > x0 THEN 2 ELSE 0 END AS p0, CASE WHEN x0 >= x1 THEN 1 ELSE 0 END AS p1 FROM e),
-s AS (SELECT *, f0 + CASE WHEN p0 < left_over THEN 1 ELSE 0 END AS c0, f1 + CASE WHEN p1 < left_over THEN 1 ELSE 0 END AS c1 FROM k),
-split AS (SELECT doc_id, lang, source, CASE WHEN rank < c0 THEN 'train' WHEN rank < c0 + c1 THEN 'dev' ELSE 'test' END AS split FROM s)
+WITH RECURSIVE g AS (SELECT lang, source, count(*) AS n, row_number() OVER (ORDER BY lang || chr(1) || source) AS k FROM documents GROUP BY lang, source),
+f AS (SELECT CAST(0 AS BIGINT) AS k, count(*) - 2 * (count(*) // 10) AS l0, count(*) // 10 AS l1, count(*) // 10 AS l2, CAST(0 AS BIGINT) AS s0, CAST(0 AS BIGINT) AS s1, CAST(0 AS BIGINT) AS s2 FROM documents
+  UNION ALL SELECT k, l0 - s0, l1 - s1, l2 - s2, s0, s1, s2 FROM (SELECT k, l0, l1, l2,
+    b0 + CAST(b0 < l0 AND CAST(b1 < l1 AND x1 > x0 AS INT) + CAST(b2 < l2 AND x2 > x0 AS INT) < n - b0 - b1 - b2 AS BIGINT) AS s0,
+    b1 + CAST(b1 < l1 AND CAST(b0 < l0 AND x0 >= x1 AS INT) + CAST(b2 < l2 AND x2 > x1 AS INT) < n - b0 - b1 - b2 AS BIGINT) AS s1,
+    b2 + CAST(b2 < l2 AND CAST(b0 < l0 AND x0 >= x2 AS INT) + CAST(b1 < l1 AND x1 >= x2 AS INT) < n - b0 - b1 - b2 AS BIGINT) AS s2
+    FROM (SELECT k, n, l0, l1, l2, e0 - floor(e0) AS x0, e1 - floor(e1) AS x1, e2 - floor(e2) AS x2, least(l0, CAST(floor(e0) AS BIGINT)) AS b0, least(l1, CAST(floor(e1) AS BIGINT)) AS b1, least(l2, CAST(floor(e2) AS BIGINT)) AS b2
+      FROM (SELECT g.k, g.n, l0, l1, l2, coalesce(CAST(g.n * l0 AS DOUBLE) / nullif(l0 + l1 + l2, 0), 0) AS e0, coalesce(CAST(g.n * l1 AS DOUBLE) / nullif(l0 + l1 + l2, 0), 0) AS e1, coalesce(CAST(g.n * l2 AS DOUBLE) / nullif(l0 + l1 + l2, 0), 0) AS e2
+        FROM f JOIN g ON g.k = f.k + 1)))),
+r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha1('7|' || doc_id), doc_id) - 1 AS rank FROM documents),
+split AS (SELECT doc_id, lang, source, CASE WHEN rank < s0 THEN 'train' WHEN rank < s0 + s1 THEN 'dev' WHEN rank < s0 + s1 + s2 THEN 'test' END AS split FROM r JOIN g USING (lang, source) JOIN f USING (k))
 """
-_FOLD = "trim(regexp_replace(lower(replace(translate({t}, '‘’‚‛“”„‐‑‒–—−  ', '''''''''\"\"\"------  '), '…', '...')), '[ \\t\\r\\n]+', ' ', 'g'))"
+_FOLD = "trim(regexp_replace(lower(replace(translate({t}, '‘’‚‛′“”„″‐‑‒–—\u00a0\u202f', '''''''''''\"\"\"\"-----  '), '…', '...')), '[ \\t\\r\\n]+', ' ', 'g'))"
 _ITEMS = """
 WITH b AS (SELECT item_id, """ + _WORDS.format(t="lower(text)") + """ AS w FROM benchmark),
 g AS (SELECT item_id, w, w[-1] AS gold FROM b),
@@ -73,15 +80,11 @@ f AS (SELECT conv_id, turn, n, 0 AS chunk, s AS size FROM t WHERE n = 1
   FROM f JOIN t ON t.conv_id = f.conv_id AND t.n = f.n + 1),
 packed AS (SELECT conv_id, CAST(chunk AS BIGINT) AS chunk, min(turn) AS first, max(turn) AS last, CAST(max(size) AS BIGINT) AS size FROM f GROUP BY conv_id, chunk)
 """
-_HIT = "regexp_matches({t}, '{p}')"
-_RULES = [
-    ("em dash", "—", ""), ("semicolon", ";", ""), ("parenthesis", "[()]", ""),
-    ("hesitation filler", "(^|[^a-z0-9_])(uh|um|er|erm|hmm)($|[^a-z0-9_])", "i"), ("speaker label", "^(A|B)[ ]*:", "i"), ("stage direction", "\\*[^*]+\\*", ""),
-]
-_FORBIDDEN = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}'{", 'i'" if o else ''}) THEN '{label}'" for label, p, o in _RULES) + " END"
+_FORBIDDEN = "CASE " + " ".join("WHEN regexp_matches(text, '{}') THEN '{}'".format(*(x.replace("'", "''") for x in (p, label))) for label, p in FORBIDDEN) + " END"
+_SPOKEN = "trim(regexp_replace(text, '\\[[^\\]]+\\]', ' ', 'g'))"
 _REASON = f"""
   SELECT conv_id, turn, CASE WHEN role NOT IN ('user', 'assistant') THEN 'invalid speaker' WHEN trim(coalesce(text, '')) = '' THEN 'empty text'
-    ELSE coalesce({_FORBIDDEN}, CASE WHEN len({_WORDS.format(t='text')}) > 60 THEN 'too long' END) END AS reason FROM conversations"""
+    ELSE coalesce({_FORBIDDEN}, CASE WHEN len({_WORDS.format(t=_SPOKEN)}) > 60 THEN 'too long' END) END AS reason FROM conversations"""
 _FIRST_REASON = f"SELECT conv_id, arg_min(reason, turn) FILTER (WHERE reason IS NOT NULL) AS reason FROM ({_REASON}) GROUP BY conv_id"
 _UTTERANCES = """
 WITH u AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seen,
@@ -103,7 +106,7 @@ c AS (SELECT lang, source, name, rank, n, CAST(floor(x0) AS BIGINT) + CAST(2 * C
   CAST(floor(x1) AS BIGINT) + CAST(CAST(d0 >= d1 AS BIGINT) + 1 < rest AS BIGINT) AS c2, 0 AS g, 0 AS m FROM f),
 """ + _FILLS + """t AS (SELECT lang, source, name, rank, CASE WHEN n < 3 THEN 1 ELSE c0 END AS a, CASE WHEN n < 3 THEN n - 1 ELSE c1 END AS b FROM s2)
 SELECT lang, source, name, CASE WHEN rank < a THEN 'train' WHEN rank < a + b THEN 'dev' ELSE 'test' END AS split FROM t"""
-_OFFSET = "-20 * log10(m / CAST(1.5 AS DOUBLE))"
+_OFFSET = "-20 * log10(m / CAST(2 AS DOUBLE))"
 
 ORACLES = {
     "confusion_long": f"SELECT gold, pred, count(*) AS n FROM ({_PAIRS}) GROUP BY gold, pred",
@@ -210,13 +213,14 @@ ORACLES = {
     "chunk_offsets": _PACK + "SELECT conv_id, chunk, coalesce(CAST(sum(size / 16) OVER (PARTITION BY conv_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0) AS \"offset\" FROM packed",
     "forbidden_pattern_hits": f"SELECT doc_id, label FROM (SELECT doc_id, {_FORBIDDEN} AS label FROM documents) WHERE label IS NOT NULL",
     "tag_strip": "SELECT page_id, length(s) AS n, md5(s) AS digest FROM (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS s FROM pages)",
-    "prosody_strip": "SELECT conv_id, turn, trim(regexp_replace('[sighs] ' || substring(text, 1, 40) || ' [laughs softly] end', '\\[[^\\]]+\\]', ' ', 'g')) AS spoken FROM conversations",
+    "prosody_strip": "SELECT conv_id, turn, trim(regexp_replace('[sighs] ' || text || ' [laughs softly] end', '\\[[^\\]]+\\]', ' ', 'g')) AS spoken FROM conversations",
     "degenerate_text": """
-      WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM documents),
+      WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+') AS w, regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', '', 'g') AS dense FROM documents),
       a AS (SELECT doc_id, max(n) AS top_word_count FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM w) GROUP BY ALL) GROUP BY doc_id),
-      g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS x FROM w WHERE len(w) >= 3),
+      g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' '))) AS x FROM w WHERE len(w) >= 4),
       b AS (SELECT doc_id, max(n) AS top_run_count FROM (SELECT doc_id, x, count(*) AS n FROM g GROUP BY ALL) GROUP BY doc_id)
-      SELECT w.doc_id, len(w.w) AS n_words, top_word_count, top_run_count, CASE WHEN len(w.w) = 0 THEN 'no alphabetic word' WHEN top_word_count > 8 AND top_word_count > len(w.w) * 0.3 THEN 'a word repeats'
+      SELECT w.doc_id, len(w.w) AS n_words, top_word_count, top_run_count, CASE WHEN dense = '' THEN 'empty reply' WHEN length(dense) > 20 AND len(list_distinct(string_split(dense, ''))) <= 2 THEN 'one or two characters'
+        WHEN len(w.w) = 0 THEN 'no alphabetic word' WHEN top_word_count > 8 AND top_word_count > len(w.w) * 0.3 THEN 'a word repeats'
         WHEN len(w.w) > 12 AND top_run_count > 8 THEN 'a run repeats' END AS reason FROM w LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)""",
     "quote_evidence": f"""
       WITH d AS (SELECT doc_id, {_FOLD.format(t='text')} AS t FROM documents), b AS (SELECT item_id, {_FOLD.format(t='text')} AS q FROM benchmark)
@@ -226,9 +230,9 @@ ORACLES = {
       SELECT conv_id, turn, said, CASE turn % 3 WHEN 0 THEN true WHEN 1 THEN false END AS presence, CASE WHEN conv_id % 2 = 0 THEN 'verbal' END AS reaction FROM t""",
     "event_names": "SELECT doc_id, lang || '_bell_' || doc_id AS name, lang || ' bell ' || doc_id AS pretty FROM documents",
     "safe_ids": """
-      WITH p AS (SELECT page_id, url, substring(regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g'), 1, 24) AS s FROM pages),
-      c AS (SELECT s, count(DISTINCT url) AS n FROM p GROUP BY s)
-      SELECT page_id, CASE WHEN n > 1 THEN substring(s, 1, 15) || '-' || substring(sha1(url), 1, 8) ELSE s END AS safe_id FROM p JOIN c USING (s)""",
+      WITH p AS (SELECT page_id, url, coalesce(nullif(substring(regexp_replace(url, '[^A-Za-z0-9_-]', '-', 'g'), 1, 24), ''), 'id') AS s FROM pages),
+      c AS (SELECT s, arg_min(url, page_id) AS first FROM p GROUP BY s)
+      SELECT page_id, CASE WHEN url IS DISTINCT FROM first THEN substring(s, 1, 15) || '-' || substring(sha1(url), 1, 8) ELSE s END AS safe_id FROM p JOIN c USING (s)""",
     "json_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "loose_json_reply": """
       SELECT event_id, CASE WHEN event_id % 2 = 0 OR event_id % 5 <> 0 THEN 'ok' ELSE 'no_json' END AS status,
@@ -249,7 +253,9 @@ ORACLES = {
       SELECT * FROM p WHERE train = 0 OR dev = 0 OR test = 0""",
     "round_robin_shards": "SELECT page_id, (row_number() OVER (ORDER BY page_id) - 1) % 4 AS shard FROM pages",
     "register_cycle": """
-      WITH r AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY sha1('r|' || p_partkey), p_partkey) - 1 AS rank FROM part) SELECT p_partkey, rank // 7 AS cycle, rank % 7 AS register FROM r""",
+      WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY sha1('r|' || p_partkey), p_partkey) - 1 AS rank FROM part),
+      c AS (SELECT *, rank // 7 AS cycle FROM r)
+      SELECT p_partkey, cycle, CAST(string_split(list_sort(list_transform(range(7), lambda i: sha1('cycle|' || p_brand || '|' || cycle || '|' || i) || '#' || i))[rank % 7 + 1], '#')[2] AS BIGINT) AS register FROM c""",
     "event_balance": """
       WITH c AS (SELECT l_suppkey, count(*) AS used, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1),
       o AS (SELECT sum(a) / sum(used) AS sa, sum(n) / sum(used) AS sn, sum(r) / sum(used) AS sr FROM c), g AS (SELECT unnest([abs(a / used - sa), abs(n / used - sn), abs(r / used - sr)]) AS gap FROM c, o)
@@ -285,15 +291,25 @@ ORACLES = {
     "resume_pending": "SELECT o_orderkey, o_orderstatus FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R')",
     "summary_merge": "SELECT o_orderpriority AS task, CASE WHEN o_orderpriority < '3' THEN -count(*) ELSE count(*) END AS n FROM orders GROUP BY 1",
     "distance_level": f"""
-      WITH t AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity / 4 AS m, CAST(CASE l_returnflag WHEN 'A' THEN -26 WHEN 'R' THEN -24 ELSE -30 END AS DOUBLE) AS base FROM lineitem)
-      SELECT l_orderkey, l_linenumber, round(greatest(base + greatest(least({_OFFSET}, 4), -9), -34), 6) AS level, round(CASE WHEN m > 2 THEN greatest(16000 * 2 / m, 3500) END, 6) AS cutoff FROM t""",
+      WITH t AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity / 4 AS m, CAST(CASE l_returnflag WHEN 'A' THEN -20 WHEN 'R' THEN -17 ELSE -23 END AS DOUBLE) AS base FROM lineitem)
+      SELECT l_orderkey, l_linenumber, round(greatest(base + greatest(least({_OFFSET}, 4), -9), -34), 6) AS level, round(CASE WHEN m > 2 THEN greatest(18000 * power(2 / m, 0.6), 3500) END, 6) AS cutoff FROM t""",
     "duck_limit": """
       WITH t AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, -30 + l_quantity / 3 AS e FROM lineitem), b AS (SELECT *, round(e + 25, 2) AS m FROM t)
-      SELECT l_orderkey, l_linenumber, round(greatest(-9, least(e + 17, 0)), 6) AS duck,
-        CASE WHEN m >= 0 AND m < 3 THEN '0-3 dB' WHEN m >= 3 AND m < 6 THEN '3-6 dB' WHEN m >= 6 AND m < 12 THEN '6-12 dB' WHEN m >= 12 THEN '12-inf dB' ELSE 'unknown' END AS bucket FROM b""",
+      SELECT l_orderkey, l_linenumber, round(greatest(-9, -greatest(-14 - e, 0)), 6) AS duck,
+        CASE WHEN m >= 0 AND m < 6 THEN '0-6 dB' WHEN m >= 6 AND m < 10 THEN '6-10 dB' WHEN m >= 10 AND m < 15 THEN '10-15 dB' WHEN m >= 15 THEN '15-inf dB' ELSE 'unknown' END AS bucket FROM b""",
     "background_jitter": """
       WITH u AS (SELECT DISTINCT conv_id, CAST(('0x' || substring(sha1('bg|' || conv_id), 1, 8)) AS BIGINT) / 4294967296 AS u FROM conversations), r AS (SELECT *, (u * 90) % 30 AS rest FROM u)
-      SELECT conv_id, round(-32 + (2 * u - 1) * 2, 6) AS lufs, round(CASE WHEN rest > 0 AND rest < 1 THEN 1 - rest ELSE 0 END, 6) AS pad FROM r""",
+      SELECT conv_id, round(-32 + (2 * u - 1) * 3, 6) AS lufs, round(CASE WHEN rest > 0 AND rest < 1 THEN 1 - rest ELSE 0 END, 6) AS pad FROM r""",
+    "signal_fade": """
+      WITH t AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda v, i: v * power(sin(pi() / 2 * least(least(i - 1, 64 - i) / CAST(7 AS DOUBLE), 1)), 2)) AS x FROM embeddings)
+      SELECT vec_id, round(x[1], 9) + 0 AS x0, round(x[2], 9) AS x1, round(x[5], 9) AS x4, round(x[8], 9) AS x7, round(x[31], 9) AS x30, round(x[58], 9) AS x57, round(x[64], 9) + 0 AS x63,
+        round(list_sum(list_transform(x, lambda v, i: v * i)), 6) AS weighted FROM t""",
+    "signal_trim": """
+      WITH t AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+      v AS (SELECT vec_id, e, list_transform(range(1, 65), lambda i: sqrt(list_sum(list_transform(range(i - 2, i + 2), lambda j: power(e[greatest(1, least(64, j))], 2))) / 4 + 1e-12)) AS v FROM t),
+      l AS (SELECT vec_id, e, list_filter(range(1, 65), lambda i: v[i] >= list_max(v) * power(10, CAST(-0.3 AS DOUBLE))) AS loud FROM v),
+      c AS (SELECT vec_id, e, greatest(1, loud[1] - 12) AS a, least(64, loud[-1] + 12) AS b FROM l)
+      SELECT vec_id, b - a + 1 AS n, round(e[a], 9) AS first FROM c""",
     "voice_pair": """
       WITH u AS (SELECT DISTINCT conv_id, CAST(floor(CAST(('0x' || substring(sha1('voice|' || conv_id), 1, 8)) AS BIGINT) / 4294967296 * 8) AS BIGINT) AS a, CAST(floor(CAST(('0x' || substring(sha1('other|' || conv_id), 1, 8)) AS BIGINT) / 4294967296 * 7) AS BIGINT) AS b FROM conversations)
       SELECT conv_id, a AS voice_a, (a + 1 + b) % 8 AS voice_b FROM u""",

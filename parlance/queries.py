@@ -212,7 +212,7 @@ def pause_gap(spark, d):
 def _rules():
     said = F.coalesce(F.trim("text"), F.lit(""))
     forbidden = [(label, F.col("text").rlike(pattern)) for label, pattern in text.FORBIDDEN]
-    return [("invalid speaker", ~F.col("role").isin("user", "assistant")), ("empty text", said == ""), *forbidden, ("too long", F.size(text.words(F.col("text"))) > 60)]
+    return [("invalid speaker", ~F.col("role").isin("user", "assistant")), ("empty text", said == ""), *forbidden, ("too long", F.size(text.words(text.strip_tags(F.col("text")))) > 60)]
 
 
 @query
@@ -280,27 +280,20 @@ def tag_strip(spark, d):
 
 @query
 def prosody_strip(spark, d):
-    tagged = F.concat(F.lit("[sighs] "), F.substring("text", 1, 40), F.lit(" [laughs softly] end"))
+    tagged = F.concat(F.lit("[sighs] "), F.col("text"), F.lit(" [laughs softly] end"))
     return _turns(spark, d).select("conv_id", "turn", text.strip_tags(tagged).alias("spoken"))
 
 
 @query
 def degenerate_text(spark, d):
-    found = text.degeneracy(parquet(spark, d, "documents"), "doc_id", "text")
-    reason = text.degeneracy_reason(F.col("n_words"), F.col("top_word_count"), F.col("top_run_count"))
-    return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("top_word_count"), F.col("top_run_count"), reason.alias("reason"))
+    found = text.degeneracy(parquet(spark, d, "documents").select("doc_id", "text"), "text")
+    return found.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("n_words", "top_word_count", "top_run_count")], "reason")
 
 
 @query
 def quote_evidence(spark, d):
-    """Benchmark passages that documents quote: candidates by their first five words, then containment."""
-    quotes = parquet(spark, d, "benchmark").select("item_id", text.fold(F.col("text")).alias("q"))
-    quotes = quotes.withColumn("start", F.array_join(F.slice(F.split("q", " "), 1, 5), " "))
-    docs = parquet(spark, d, "documents").select("doc_id", text.fold(F.col("text")).alias("t"))
-    split = docs.select("doc_id", F.split("t", " ").alias("w"))
-    starts = split.select("doc_id", F.explode(text.runs_of(F.col("w"), 5)).alias("start"))
-    found = starts.join(quotes.select("item_id", "start"), "start").select("doc_id", "item_id").distinct()
-    return found.join(docs, "doc_id").join(quotes.select("item_id", "q"), "item_id").where(F.contains("t", F.col("q"))).select("doc_id", "item_id")
+    """Benchmark passages that documents quote."""
+    return text.quoted(parquet(spark, d, "documents"), "doc_id", "text", parquet(spark, d, "benchmark"), "item_id", "text")
 
 
 @query
@@ -319,7 +312,7 @@ def event_names(spark, d):
 
 @query
 def safe_ids(spark, d):
-    return text.safe_ids(parquet(spark, d, "pages").select("page_id", "url"), "url", 24).select("page_id", "safe_id")
+    return text.safe_ids(parquet(spark, d, "pages").select("page_id", "url"), "url", "page_id", 24).select("page_id", "safe_id")
 
 
 @query
@@ -356,12 +349,11 @@ def quota_weighted(spark, d):
     return quota.largest_remainder(groups, "total", "weight", "source", ("lang",)).select("lang", "source", "quota")
 
 
-RATIOS = {"train": 0.8, "dev": 0.1, "test": 0.1}
-
-
 def _split(spark, d):
     docs = parquet(spark, d, "documents").select("doc_id", "lang", "source")
-    return quota.assign_split(docs, ["lang", "source"], [quota.hash_order("7", "doc_id"), F.col("doc_id")], RATIOS)
+    n = docs.count()
+    sizes = {"train": n - 2 * (n // 10), "dev": n // 10, "test": n // 10}
+    return quota.assign_sizes(docs, ["lang", "source"], [quota.hash_order("7", "doc_id"), F.col("doc_id")], sizes)
 
 
 @query
@@ -592,12 +584,17 @@ def background_jitter(spark, d):
 
 @query
 def signal_fade(spark, d):
-    return parquet(spark, d, "embeddings").select("vec_id", signal.faded(8)(F.col("embedding").cast("array<double>")).alias("samples"))
+    faded = signal.faded(8)(F.col("embedding").cast("array<double>"))
+    rows = parquet(spark, d, "embeddings").select("vec_id", faded.alias("x"))
+    at = [F.round(F.get("x", F.lit(i)) + 0.0, 9).alias(f"x{i}") for i in (0, 1, 4, 7, 30, 57, 63)]
+    return rows.select("vec_id", *at, F.round(F.aggregate(F.zip_with("x", F.sequence(F.lit(1), F.size("x")), lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v), 6).alias("weighted"))
 
 
 @query
 def signal_trim(spark, d):
-    return parquet(spark, d, "embeddings").select("vec_id", F.size(signal.trimmed(-6.0)(F.col("embedding").cast("array<double>"))).cast("long").alias("n"))
+    cut = signal.trimmed(400, -6.0)(F.col("embedding").cast("array<double>"))
+    rows = parquet(spark, d, "embeddings").select("vec_id", cut.alias("x"))
+    return rows.select("vec_id", F.size("x").cast("long").alias("n"), F.round(F.get("x", F.lit(0)), 9).alias("first"))
 
 
 # --- streams --------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,17 +82,32 @@ def finish(accepted_rows: DataFrame, scenarios: DataFrame, key: str, fields: lis
     return rows.withColumns({f: carried(F.col(f), F.col(f"_{f}")) for f in fields}).drop(*[f"_{f}" for f in fields])
 
 
-def near_vectors(vectors: DataFrame, key: str, vector: str, group: str, tau: float) -> DataFrame:
-    """(a, b, cosine) of vectors of one group with a cosine of at least tau, a < b, without a group in one task.
+def near_vectors(vectors: DataFrame, key: str, vector: str, group: str, tau: float, cell: int = 2048) -> DataFrame:
+    """(group, a, b, cosine) of vectors of one group with a cosine of at least tau, a < b.
 
-    Rows of a group are dealt into cells; every pair of cells of a group meets in one join key, so that the
-    comparisons of a large group are spread over (cells x cells) keys. The comparisons themselves are what
-    the operator asks for.
+    A group of n vectors is dealt into n / `cell` cells by a hash of the key; every pair of cells is a task's work, a
+    product of two small matrices, so that a large group is spread over many. Only pairs over tau are put out. Null
+    and zero vectors and null groups take no part; vectors are of one length.
     """
-    cells = 8
-    norm = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.col(group).alias("g"), F.pmod(F.xxhash64(key), F.lit(cells)).alias("c"))
-    every = F.array(*[F.lit(i).cast("long") for i in range(cells)])
-    left = norm.select("g", F.col("k").alias("a"), F.col("v").alias("va"), F.col("c").alias("ca"), F.explode(every).alias("cb"))
-    right = norm.select("g", F.col("k").alias("b"), F.col("v").alias("vb"), F.explode(every).alias("ca"), F.col("c").alias("cb"))
-    pairs = left.join(right, ["g", "ca", "cb"]).where("a < b").select(F.col("g").alias(group), "a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine"))
-    return pairs.where(F.col("cosine") >= tau)
+    rows = vectors.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(group).alias("g")).where("k IS NOT NULL AND g IS NOT NULL AND exists(v, x -> x <> 0)")
+    cells = rows.groupBy("g").agg(F.ceil(F.count("*") / cell).cast("int").alias("cells"))
+    placed = rows.join(cells, "g").withColumn("c", F.pmod(F.xxhash64("k"), F.col("cells")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    paired = placed.select("g", "k", "v", "c", F.least("c", "other").alias("low"), F.greatest("c", "other").alias("high"))
+
+    def compare(place: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        _, low, high = place
+        unit = np.stack(own["v"])
+        unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+        keys, left, right = own["k"].to_numpy(), np.flatnonzero(own["c"] == low), np.flatnonzero(own["c"] == high)
+        cosine = unit[left] @ unit[right].T
+        near = cosine >= tau
+        if low == high:
+            near = np.triu(near, 1)
+        i, j = np.nonzero(near)
+        a, b = keys[left[i]], keys[right[j]]
+        return pd.DataFrame({"g": [place[0]] * len(i), "a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": cosine[i, j]})
+
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    found = paired.groupBy("g", "low", "high").applyInPandas(compare, f"g {kind('g')}, a {kind('k')}, b {kind('k')}, cosine double")
+    return found.where("a < b").withColumnRenamed("g", group)

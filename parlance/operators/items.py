@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.text import REACTIONS, pretty
 from parlance.operators.metrics import ratio
 
 
@@ -43,3 +44,55 @@ def answer_positions(answers: DataFrame) -> DataFrame:
     """(position, n): where in the options the read answers stand, from 0."""
     at = (F.array_position("options", F.col("answer")) - 1).cast("long")
     return answers.where(F.col("answer").isNotNull()).groupBy(at.alias("position")).agg(F.count("*").alias("n"))
+
+
+def margin(level: Column, bed: Column) -> Column:
+    """How far an event is over the background (dB); null where either is unknown."""
+    return level - bed
+
+
+def is_rare(event: Column) -> Column:
+    return F.coalesce(F.contains(event["source_file"], F.lit("rare_events/")), F.lit(False)) | F.coalesce(event["layer"] == "rare", F.lit(False)) | F.coalesce(event["is_rare"], F.lit(False))
+
+
+def _item(key: str, *parts: str | Column) -> Column:
+    return F.concat_ws("::", F.col(key).cast("string"), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def scene_items(manifests: DataFrame, scenes: DataFrame, key: str = "scenario_id") -> DataFrame:
+    """A multiple-choice item per scene of the catalogue: which place is it? The places are a short list."""
+    plain = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
+    listed = scenes.agg(F.array_sort(F.collect_set("scene")).alias("_all"))
+    known = scenes.select("scene", F.lit(1).alias("_k")).distinct().join(F.broadcast(listed.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    rows = manifests.join(F.broadcast(known), "scene").withColumn("item_id", _item(key, "scene")).withColumn("gold", plain(F.col("scene")))
+    return rows.withColumn("options", options(F.col("item_id"), F.col("gold"), F.transform("_all", plain))).select("item_id", key, "scene", "gold", "options")
+
+
+def placed(manifests: DataFrame, key: str = "scenario_id") -> DataFrame:
+    """(key, scene, bed, rank, event): a row per placed event, ranked from 0."""
+    return manifests.select(key, "scene", "bed", F.posexplode("events_placed").alias("rank", "event"))
+
+
+def sound_items(manifests: DataFrame, pool: DataFrame, key: str = "scenario_id") -> DataFrame:
+    """A multiple-choice item per placed event: distractors are of the scene's pool (scene, event), not heard in the scene.
+
+    Scenes that the pool doesn't know and events with fewer than three distractors give none.
+    """
+    names = pool.groupBy("scene").agg(F.array_sort(F.collect_set(pretty(F.col("event")))).alias("_pool"))
+    heard = manifests.withColumn("_heard", F.transform("events_placed", lambda e: pretty(e["event_id"])))
+    rows = heard.join(F.broadcast(names), "scene").select(key, "scene", "bed", F.array_except("_pool", "_heard").alias("_others"), F.posexplode("events_placed").alias("rank", "event"))
+    rows = rows.withColumn("item_id", _item(key, "mcq-sound", F.col("rank"))).withColumn("gold", pretty(F.col("event.event_id")))
+    rows = rows.withColumn("options", options(F.col("item_id"), F.col("gold"), F.col("_others"))).where("options IS NOT NULL")
+    return rows.select("item_id", key, "scene", F.col("event.start_s").alias("t"), "gold", "options", F.col("event.reaction").alias("reaction"), margin(F.col("event.level_lufs"), F.col("bed")).alias("margin_db"))
+
+
+def reaction_items(manifests: DataFrame, key: str = "scenario_id") -> DataFrame:
+    """An item per placed event with a known reaction: which one is it?"""
+    rows = placed(manifests, key).where(F.col("event.reaction").isin(*REACTIONS))
+    return rows.select(_item(key, "reaction", F.col("rank")).alias("item_id"), key, "scene", "event.event_id", "event.start_s", margin(F.col("event.level_lufs"), F.col("bed")).alias("margin_db"), F.col("event.reaction").alias("gold"))
+
+
+def gold_sounds(manifests: DataFrame, key: str = "scenario_id") -> DataFrame:
+    """(key, scene, gold): what a summary may mention, as an array of event_id, name, reaction, is_rare, margin_db; scenes without a sound are left out."""
+    sound = lambda e: F.struct(e["event_id"].alias("event_id"), pretty(e["event_id"]).alias("name"), e["reaction"].alias("reaction"), is_rare(e).alias("is_rare"), margin(e["level_lufs"], F.col("bed")).alias("margin_db"))
+    return manifests.where(F.size("events_placed") > 0).select(key, "scene", F.transform("events_placed", sound).alias("gold"))

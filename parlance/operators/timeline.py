@@ -118,3 +118,31 @@ def pack_in_order(df: DataFrame, key: str, order: str, size: Column, limit: int)
 def most_turns(has_pivot: Column, n_events: Column, base: int = 13) -> Column:
     """Utterances a dialogue may have: more by its events and one if it has a pivot."""
     return F.when(has_pivot, base + n_events + 1).otherwise(base)
+
+
+ELLIPSES, CLOSERS = ("...", "…"), "[.!?]"
+
+
+def break_offset(text: Column, words: Column, start: Column) -> Column:
+    """Seconds from a turn's start to the first word behind its first ellipsis; null without one, or without a word there.
+
+    words: (start, end, off), off being a word's place in the text from 0.
+    """
+    places = F.filter(F.array(*[F.instr(text, F.lit(m)) for m in ELLIPSES]), lambda p: p > 0)
+    behind = F.get(F.filter(words, lambda w: w["off"] > F.array_min(places) - 1), F.lit(0))
+    return F.greatest(behind["start"] - start, F.lit(0.0)) * F.nullif(behind.isNotNull().cast("int"), F.lit(0))
+
+
+def pause_offset(text: Column, words: Column, start: Column, least: float = 1.2) -> Column:
+    """Seconds from a turn's start to the word behind its first pause of at least `least` seconds inside a sentence."""
+    between = lambda a, b: F.regexp_replace(F.substr(text, a["off"] + 1, F.greatest(b["off"] - a["off"], F.lit(0).cast("long"))), r"\.\.\.|…", " ")
+    inside = lambda a, b: ~F.coalesce(between(a, b).rlike(CLOSERS), F.lit(False))
+    follow = F.transform(words, lambda w, i: F.struct(w.alias("a"), F.get(words, i + 1).alias("b")))
+    found = F.get(F.filter(follow, lambda p: p["b"].isNotNull() & (p["b"]["start"] - p["a"]["end"] >= least) & inside(p["a"], p["b"])), F.lit(0))["b"]
+    return F.when(found.isNotNull(), F.greatest(found["start"] - start, F.lit(0.0)))
+
+
+def resume_offset(text: Column, words: Column, start: Column, least: float = 1.2) -> Column:
+    """struct(offset, kind) of whichever comes first, a break (of equals it goes first) or a pause; null for neither."""
+    kinds = [F.when(offset.isNotNull(), F.struct(offset.alias("offset"), F.lit(kind).alias("kind"))) for offset, kind in ((break_offset(text, words, start), "break"), (pause_offset(text, words, start, least), "pause"))]
+    return F.array_min(F.array(*kinds))

@@ -108,6 +108,38 @@ c AS (SELECT lang, source, name, rank, n, CAST(floor(x0) AS BIGINT) + CAST(2 * C
 SELECT lang, source, name, CASE WHEN rank < a THEN 'train' WHEN rank < a + b THEN 'dev' ELSE 'test' END AS split FROM t"""
 _OFFSET = "-20 * log10(m / CAST(2 AS DOUBLE))"
 
+_SCENARIOS = """
+WITH e AS (SELECT *, ['pivot', 'verbal', 'behavioral', 'ambient'][turn % 4 + 1] AS reaction FROM conversations WHERE turn % 3 <> 2),
+c AS (SELECT conv_id, count(*) AS n_events, count(*) FILTER (reaction = 'pivot') AS p, count(*) FILTER (reaction = 'verbal') AS v, count(*) FILTER (reaction = 'behavioral') AS b, count(*) FILTER (reaction = 'ambient') AS a,
+  bool_or(turn % 2 = 0 AND turn % 5 = 4) AS rare,
+  string_agg(role || '/loud_knock_' || turn || ':' || CASE WHEN turn % 2 = 1 THEN 'calm' ELSE '-' END || ':' || ['early', 'middle', 'late', '-'][turn % 4 + 1], ',' ORDER BY turn) AS events FROM e GROUP BY conv_id),
+s AS (SELECT i.conv_id, coalesce(n_events, 0) AS n_events, coalesce(p, 0) AS p, coalesce(v, 0) AS v, coalesce(b, 0) AS b, coalesce(a, 0) AS a, coalesce(p + v + b, 0) AS n_reacted_to, coalesce(rare, false) AS any_rare, coalesce(p > 0, false) AS has_pivot, events,
+  CASE WHEN i.conv_id % 7 = 0 THEN i.conv_id % 2 = 0 END AS flag, CASE i.conv_id % 3 WHEN 0 THEN 'Theme ' || i.conv_id WHEN 1 THEN 'Plain ' || i.conv_id END AS label FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN c USING (conv_id))
+"""
+_SUMMARIES = """
+WITH b AS (SELECT unnest([25, 75, 200]) AS budget), f AS (SELECT conv_id, any_value(text) AS text FROM conversations WHERE turn = 0 GROUP BY conv_id),
+r AS (SELECT c.conv_id, turn, budget, ['pivot', 'verbal', 'behavioral', 'ambient', ''][turn % 5 + 1] AS reaction, turn % 4 = 1 AS rare, (c.conv_id + turn + budget) % 3 = 0 AS m, (c.conv_id + turn) % 7 = 0 AS d, CASE WHEN c.conv_id % 5 > 0 THEN f.text END AS summary
+  FROM conversations c LEFT JOIN f USING (conv_id), b),
+g AS (SELECT *, summary IS NOT NULL OR bool_or(m) OVER (PARTITION BY conv_id, budget) AS used FROM r)
+"""
+_MANIFESTS = """
+WITH m AS (SELECT conv_id, turn, r_name AS scene, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS rank, 'x/' || n_name AS event_id, ['pivot', 'verbal', 'behavioral', 'ambient', 'other'][turn % 5 + 1] AS reaction,
+  turn * CAST(2 AS DOUBLE) AS t, CASE WHEN turn % 6 < 5 THEN CAST(12 AS DOUBLE) - turn END AS margin_db FROM conversations JOIN nation ON n_nationkey = (conv_id + turn) % 25 LEFT JOIN region ON r_regionkey = conv_id % 6)
+"""
+_TODOS = """
+WITH size AS (SELECT count(*) * 10 AS n FROM part WHERE p_size = 7), x AS (SELECT unnest(range(0, 4)) AS x),
+c AS (SELECT p.x AS p, v.x AS v, b.x AS b, a.x AS a, row_number() OVER (ORDER BY p.x + v.x + b.x + a.x, p.x, v.x, b.x) AS k FROM x p, x v, x b, x a WHERE p.x <= 1 AND p.x + v.x + b.x + a.x <= 3),
+q AS (SELECT *, n // 30 + CASE WHEN k <= n % 30 THEN 1 ELSE 0 END AS quota FROM c, size),
+comps AS (SELECT 'P' || p || 'V' || v || 'B' || b || 'A' || a AS composition, p, v, b, a, quota FROM q WHERE quota > 0), pivots AS (SELECT CAST(sum(quota) FILTER (p = 1) AS BIGINT) AS pivots FROM comps)
+"""
+_SCENARIO_EVENTS = _TODOS + """,
+u AS (SELECT composition, p, v, b, a, unnest(range(0, quota)) AS u FROM comps),
+s AS (SELECT row_number() OVER (ORDER BY sha1('composition|' || composition || '|' || p || '|' || v || '|' || b || '|' || a || '|' || u)) - 1 AS local, p, p + v + b + a AS n FROM u),
+h AS (SELECT local, row_number() OVER (ORDER BY sha1('rare|' || local), local) AS k FROM s WHERE p = 1),
+t AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS t FROM part WHERE p_size = 7), z AS (SELECT unnest(range(1, 11)) AS z)
+SELECT format('{}__s{:02d}', p_partkey, z) AS scenario_id, s.n, s.n AS n_different, p AS n_pivot, 0 AS n_late_pivots, CASE WHEN h.k <= round(size.n * 0.05) THEN 1 ELSE 0 END AS n_rare, s.n AS n_places
+FROM t, z JOIN s ON s.local = t.t * 10 + z.z - 1 LEFT JOIN h USING (local), size WHERE s.n > 0"""
+
 ORACLES = {
     "confusion_long": f"SELECT gold, pred, count(*) AS n FROM ({_PAIRS}) GROUP BY gold, pred",
     "confusion_dense": f"""
@@ -317,4 +349,86 @@ ORACLES = {
     "streaming_session": """
       WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
       s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""",
+    "canonical_records": _SCENARIOS + """
+      SELECT CAST(conv_id AS VARCHAR) AS scenario_id, CASE WHEN conv_id % 4 = 0 THEN 'Template' ELSE coalesce(label, '') END AS theme_title, CASE WHEN conv_id % 3 = 0 THEN 'About' ELSE '' END AS theme_description, label AS theme_label,
+        CASE WHEN conv_id % 2 = 0 THEN 'subject ' ELSE 'made ' END || conv_id AS subject, CASE WHEN conv_id % 5 = 0 THEN 'clerk' ELSE 'guest' END AS role_a, 'owner' AS role_b, n_events, n_reacted_to, 'r' || n_reacted_to AS stratum,
+        any_rare OR coalesce(flag, false) AS has_rare, has_pivot, coalesce(flag, any_rare) AS has_rare_event, coalesce(events, '') AS events FROM s""",
+    "record_distributions": _SCENARIOS + """
+      SELECT kind, value, count(*) AS n FROM (
+        SELECT 'composition' AS kind, 'P' || p || 'V' || v || 'B' || b || 'A' || a AS value FROM s UNION ALL SELECT 'n_events', CAST(n_events AS VARCHAR) FROM s UNION ALL SELECT 'scene', 'scene_' || conv_id % 4 FROM s
+        UNION ALL SELECT 'relation', CASE WHEN conv_id % 5 = 0 THEN 'clerk' ELSE 'guest' END || ' / owner' FROM s UNION ALL SELECT 'flag', 'pivot' FROM s WHERE has_pivot UNION ALL SELECT 'flag', 'rare' FROM s WHERE coalesce(flag, any_rare)
+        UNION ALL SELECT 'reaction', reaction FROM e UNION ALL SELECT 'event', role || '/loud_knock_' || turn FROM e) GROUP BY ALL""",
+    "timeline_validation": f"""
+      WITH t AS (SELECT conv_id, turn, turn % 4 = 3 AS heard, CASE WHEN conv_id % 6 = 5 OR role = 'user' THEN 'A' ELSE 'B' END AS speaker, trim(coalesce(text, '')) AS text FROM conversations),
+      u AS (SELECT *, lag(speaker, 1) OVER w AS s1, lag(speaker, 2) OVER w AS s2 FROM t WHERE NOT heard WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+      a AS (SELECT conv_id, turn, coalesce(CASE WHEN text = '' THEN 'empty text' END, {_FORBIDDEN}, CASE WHEN {_SPOKEN} = '' THEN 'no speech' WHEN len({_WORDS.format(t=_SPOKEN)}) > 150 THEN 'too long' WHEN s1 = speaker AND s2 = speaker THEN 'same speaker in a row' END) AS reason FROM u),
+      own AS (SELECT conv_id, min(turn) AS position, arg_min(reason, turn) AS reason FROM a WHERE reason IS NOT NULL GROUP BY conv_id),
+      c AS (SELECT conv_id, count(*) FILTER (NOT heard) AS n, count(*) FILTER (heard) AS e, count(DISTINCT speaker) FILTER (NOT heard) AS speakers, min(turn) FILTER (heard) AS first FROM t GROUP BY conv_id),
+      p AS (SELECT conv_id, count(*) AS rest FROM t JOIN c USING (conv_id) WHERE NOT heard AND turn > first AND conv_id % 3 = 0 GROUP BY conv_id),
+      x AS (SELECT *, sum(CAST(NOT heard AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS seen, sum(CAST(NOT heard AS INT)) OVER (PARTITION BY conv_id) AS total FROM t),
+      o AS (SELECT conv_id, min(turn) AS at FROM x WHERE heard AND conv_id % 2 = 0 AND total >= 3 AND seen / total > CAST(1 AS DOUBLE) / 3 + CAST(0.1 AS DOUBLE) GROUP BY conv_id),
+      m AS (SELECT conv_id, min(turn) AS at FROM t JOIN c USING (conv_id) WHERE NOT heard AND e > 0 AND regexp_matches(lower(text), '(^|[^a-z0-9_])loud($|[^a-z0-9_])') AND regexp_matches(lower(text), '(^|[^a-z0-9_])knock($|[^a-z0-9_])') GROUP BY conv_id),
+      r AS (SELECT c.conv_id, CASE WHEN own.reason IS NOT NULL THEN own.reason WHEN n < 2 THEN 'too few turns' WHEN n > 6 + CASE WHEN c.conv_id % 3 = 0 AND e > 0 THEN e + 1 ELSE 0 END THEN 'too many turns'
+        WHEN c.conv_id % 3 = 0 AND e > 0 AND coalesce(rest, 0) < 4 THEN 'pivot too late' WHEN o.at IS NOT NULL THEN 'event outside its slot' WHEN m.at IS NOT NULL THEN 'names the event' WHEN speakers <> 2 THEN 'missing speakers' END AS reason, own.position, o.at AS slot_at, m.at AS named_at
+        FROM c LEFT JOIN own USING (conv_id) LEFT JOIN p USING (conv_id) LEFT JOIN o USING (conv_id) LEFT JOIN m USING (conv_id))
+      SELECT conv_id, reason IS NULL AS valid, reason, CASE WHEN position IS NOT NULL THEN position WHEN reason = 'event outside its slot' THEN slot_at WHEN reason = 'names the event' THEN named_at END AS position FROM r""",
+    "inferred_verdicts": """
+      WITH r AS (SELECT event_id, event_type, CASE WHEN event_id % 11 = 0 THEN 'not an object' WHEN event_id % 7 = 0 THEN 'subject empty or too short' WHEN event_id % 5 = 0 THEN 'invalid reaction' END AS reason FROM events)
+      SELECT event_id, CASE WHEN reason IS NULL THEN 'a subject' END AS subject, CASE WHEN reason IS NULL THEN event_type || '=verbal' || CASE WHEN event_type <> 'click' THEN ',click=pivot' ELSE '' END END AS predicted, CASE WHEN reason IS NULL THEN 'ghost' END AS spurious, reason FROM r""",
+    "judge_verdicts": f"""
+      WITH t AS (SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:3], ' ') AS first, {_FOLD.format(t='text')} AS folded FROM conversations),
+      q AS (SELECT conv_id, turn, folded, {_FOLD.format(t='first')} AS quote FROM t),
+      f AS (SELECT conv_id, turn, len(list_filter(string_split(quote, ' '), lambda w: w <> '')) >= 2 AND contains(folded, quote) AS ok FROM q)
+      SELECT conv_id, turn, CASE WHEN ok THEN 'bell' ELSE '' END AS heard, CASE WHEN ok THEN 'dog' ELSE '' END AS nature, '' AS discussed, 'horn' AS off_list, CASE WHEN ok THEN 'cat' ELSE 'bell,bell,dog,cat' END AS no_evidence FROM f""",
+    "summary_scores": _SUMMARIES + """, c AS (SELECT budget, reaction, count(*) AS n_present, count(*) FILTER (m) AS n_mentioned, count(*) FILTER (d) AS n_discussed FROM g WHERE used AND reaction <> '' GROUP BY budget, reaction)
+      SELECT *, n_present / sum(n_present) OVER w AS share_present, n_mentioned / nullif(sum(n_mentioned) OVER w, 0) AS share_mentioned, n_mentioned / n_present AS recall FROM c WINDOW w AS (PARTITION BY budget)""",
+    "summary_scores_by_sound": _SUMMARIES + """, u AS (SELECT conv_id, turn, any_value(reaction) AS reaction, max(CAST(m AS INT)) AS m, max(CAST(d AS INT)) AS d FROM g WHERE used AND reaction <> '' AND NOT rare GROUP BY conv_id, turn),
+      c AS (SELECT reaction, count(*) AS n_present, CAST(sum(m) AS BIGINT) AS n_mentioned, CAST(sum(d) AS BIGINT) AS n_discussed FROM u GROUP BY reaction)
+      SELECT *, n_present / sum(n_present) OVER () AS share_present, n_mentioned / nullif(sum(n_mentioned) OVER (), 0) AS share_mentioned, n_mentioned / n_present AS recall FROM c""",
+    "summary_lengths": _SUMMARIES + f""", s AS (SELECT conv_id, budget, any_value(summary) AS summary, bool_or(m) AS any_m FROM g WHERE used GROUP BY conv_id, budget),
+      w AS (SELECT budget, any_m, CASE WHEN summary <> '' THEN len({_WORDS.format(t='summary')}) END AS w FROM s)
+      SELECT budget, count(*) AS n_scenes, list_sort(list(w) FILTER (w IS NOT NULL))[count(w) // 2 + 1] AS median_words, count(*) FILTER (w > 1.5 * budget) / nullif(count(w), 0) AS over_budget_rate, count(*) FILTER (NOT any_m) AS n_without FROM w GROUP BY budget""",
+    "scene_items": _MANIFESTS + """, i AS (SELECT DISTINCT conv_id, scene, conv_id || '::scene' AS item_id FROM m WHERE scene IS NOT NULL),
+      d AS (SELECT item_id, r_name AS o, row_number() OVER (PARTITION BY item_id ORDER BY sha1('draw|' || item_id || '|' || r_name)) AS k FROM i, region WHERE r_name <> scene),
+      u AS (SELECT item_id, o FROM d WHERE k <= 3 UNION ALL SELECT item_id, scene FROM i)
+      SELECT item_id, conv_id, scene, scene AS gold, string_agg(o, ' / ' ORDER BY sha1('show|' || item_id || '|' || o)) AS options FROM u JOIN i USING (item_id) GROUP BY ALL""",
+    "sound_items": _CATALOG.replace("WITH scenes", "WITH scenes", 1) + _MANIFESTS.replace("WITH m AS", ", m AS", 1) + """, i AS (SELECT conv_id, scene, conv_id || '::mcq-sound::' || rank AS item_id, t, reaction, margin_db, replace(replace(event_id, 'x/', ''), '_', ' ') AS gold FROM m WHERE scene IS NOT NULL),
+      names AS (SELECT DISTINCT scene, replace(event, '_', ' ') AS o FROM pool),
+      d AS (SELECT item_id, o, row_number() OVER (PARTITION BY item_id ORDER BY sha1('draw|' || item_id || '|' || o)) AS k FROM i JOIN names USING (scene) WHERE NOT EXISTS (SELECT 1 FROM i AS h WHERE h.conv_id = i.conv_id AND h.gold = o)),
+      u AS (SELECT item_id, o FROM d WHERE k <= 3 UNION ALL SELECT item_id, gold FROM i),
+      q AS (SELECT item_id, string_agg(o, ' / ' ORDER BY sha1('show|' || item_id || '|' || o)) AS options FROM u GROUP BY item_id HAVING count(*) = 4)
+      SELECT item_id, conv_id, scene, t, gold, options, reaction, margin_db FROM i JOIN q USING (item_id)""",
+    "reaction_items": _MANIFESTS + "SELECT conv_id || '::reaction::' || rank AS item_id, conv_id, scene, event_id, t AS start_s, margin_db, reaction AS gold FROM m WHERE reaction <> 'other'",
+    "gold_sounds": _MANIFESTS + "SELECT conv_id, event_id, replace(replace(event_id, 'x/', ''), '_', ' ') AS name, reaction, turn % 3 = 0 AS is_rare, margin_db FROM m",
+    "word_offsets": f"""
+      WITH t AS (SELECT conv_id, turn, lower({_SPOKEN}) AS s FROM conversations),
+      z AS (SELECT conv_id, turn, unnest(regexp_extract_all(s, '[^a-z'']*[a-z'']+')) AS piece, generate_subscripts(regexp_extract_all(s, '[^a-z'']*[a-z'']+'), 1) AS n FROM t),
+      o AS (SELECT conv_id, turn, regexp_extract(piece, '[a-z'']+$') AS word, sum(length(piece)) OVER (PARTITION BY conv_id, turn ORDER BY n) - length(regexp_extract(piece, '[a-z'']+$')) AS place FROM z)
+      SELECT conv_id, turn, count(*) AS n, CAST(sum(place) AS BIGINT) AS places, CAST(max(place) AS BIGINT) AS last, CAST(sum(length(word)) AS BIGINT) AS letters FROM o GROUP BY conv_id, turn""",
+    "resume_offsets": """
+      WITH w AS (SELECT conv_id, turn, turn + ((turn + conv_id) // 3) * 1.5 AS s, turn * 4 AS off, CASE conv_id % 4 WHEN 0 THEN 'one two. three... four five' WHEN 1 THEN 'one two three. four. five' ELSE 'one two three four five' END AS said FROM conversations),
+      n AS (SELECT *, min(s) OVER (PARTITION BY conv_id) AS zero, lag(s + 0.5) OVER v AS last_end, lag(off) OVER v AS last_off FROM w WINDOW v AS (PARTITION BY conv_id ORDER BY s)),
+      b AS (SELECT conv_id, min(s - zero) AS o FROM n WHERE contains(said, '...') AND off > instr(said, '...') - 1 GROUP BY conv_id),
+      p AS (SELECT conv_id, min(s - zero) AS o FROM n WHERE s - last_end >= 1.2 AND NOT regexp_matches(replace(substring(said, last_off + 1, off - last_off), '...', ' '), '[.!?]') GROUP BY conv_id)
+      SELECT conv_id, CAST(round(least(b.o, p.o), 6) AS DOUBLE) AS offset, CASE WHEN b.o <= coalesce(p.o, b.o) THEN 'break' WHEN p.o IS NOT NULL THEN 'pause' END AS kind
+      FROM (SELECT DISTINCT conv_id FROM w) LEFT JOIN b USING (conv_id) LEFT JOIN p USING (conv_id)""".replace("AS offset", 'AS "offset"'),
+    "event_tags": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '[laughs]' WHEN 2 THEN '[clears throat]' END AS tag, CASE WHEN event_id % 2 = 0 THEN '[gunshot]' END AS effect FROM events",
+    "composition_sequence": """
+      WITH n AS (SELECT unnest(range(0, 4)) AS x), c AS (SELECT p.x AS p, v.x AS v, b.x AS b, a.x AS a FROM n p, n v, n b, n a WHERE p.x <= 1 AND p.x + v.x + b.x + a.x <= 3),
+      e AS (SELECT *, CAST(1000 AS DOUBLE) * power(CAST(2 AS DOUBLE), p) / sum(power(CAST(2 AS DOUBLE), p)) OVER () AS x, row_number() OVER (ORDER BY p + v + b + a, p, v, b) - 1 AS position FROM c),
+      q AS (SELECT *, CAST(floor(x) AS BIGINT) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, position) <= 1000 - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS quota FROM e),
+      u AS (SELECT 'P' || p || 'V' || v || 'B' || b || 'A' || a AS composition, p, v, b, a, unnest(range(0, quota)) AS u FROM q)
+      SELECT row_number() OVER (ORDER BY sha1('composition|' || composition || '|' || p || '|' || v || '|' || b || '|' || a || '|' || u)) - 1 AS local, composition FROM u""",
+    "scenario_todos": _TODOS + """
+      SELECT 'scene' AS kind, r_name AS value, n // 5 + CASE WHEN row_number() OVER (ORDER BY r_name) <= n % 5 THEN 1 ELSE 0 END AS n FROM region, size UNION ALL
+      SELECT 'gender', g, n // 4 + CASE WHEN k <= n % 4 THEN 1 ELSE 0 END FROM (VALUES ('FF', 1), ('FM', 2), ('MF', 3), ('MM', 4)) v(g, k), size UNION ALL
+      SELECT 'relation', lower(n_name), n // 25 + CASE WHEN row_number() OVER (ORDER BY n_name || '|' || lower(n_name)) <= n % 25 THEN 1 ELSE 0 END FROM nation, size UNION ALL
+      SELECT 'composition', composition, quota FROM comps UNION ALL
+      SELECT 'rare', 'with pivot 1', least(CAST(round(n * 0.05) AS BIGINT), pivots) FROM size, pivots UNION ALL SELECT 'rare', 'no', n - least(CAST(round(n * 0.05) AS BIGINT), pivots) FROM size, pivots""",
+    "scenario_events": _SCENARIO_EVENTS,
+    "distance_ranges": """
+      WITH e AS (SELECT event_id AS n, CASE event_id % 3 WHEN 0 THEN 'beach' WHEN 1 THEN 'rare_events' ELSE 'rural' END AS ns, event_type AS leaf, event_id % 2 = 0 AS office FROM events),
+      r AS (SELECT n, CAST(CASE WHEN ns = 'beach' AND leaf = 'view' THEN 5 WHEN ns = 'rare_events' THEN CASE WHEN leaf = 'click' THEN 300 ELSE 5 END WHEN leaf = 'view' THEN 5 WHEN office THEN 1 ELSE 1.5 END AS DOUBLE) AS near,
+        CAST(CASE WHEN ns = 'beach' AND leaf = 'view' THEN 60 WHEN ns = 'rare_events' THEN CASE WHEN leaf = 'click' THEN 3000 ELSE 60 END WHEN leaf = 'view' THEN 60 WHEN office THEN 6 ELSE 20 END AS DOUBLE) AS far FROM e)
+      SELECT n, near, far, round(near + (far - near) * (CAST(('0x' || substring(sha1('m|' || n), 1, 8)) AS BIGINT) / 4294967296), 6) AS metres, round(least(0.25, near * near / (near * near + CAST(4 AS DOUBLE) * (1 / CAST(0.05 AS DOUBLE) - 1))), 9) AS wet FROM r""",
 }

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.functions import levels, signal, text
+from parlance.functions import levels, signal, tags, text
 from parlance.functions.loose_json import read_reply
-from parlance.operators import cache, catalog, filtering, items, metrics, placement, quota, timeline
+from parlance.operators import cache, catalog, filtering, items, metrics, placement, quota, records, timeline, validation, verdicts
+from parlance.plans import allocation
 from parlance.sources.tables import merge_summaries, parquet
 from parlance.streaming import events as stream_events
 
@@ -603,10 +604,211 @@ def signal_trim(spark, d):
 @query
 def streaming_tumbling(spark, d):
     counts = stream_events.tumbling(stream_events.stream(spark, d), "1 day", by=("event_type",))
-    return stream_events.run_to_end(counts.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total")), "complete")
+    return stream_events.run_to_end(counts.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total")), "update", ["event_type", "start"])
 
 
 @query
 def streaming_session(spark, d):
     found = stream_events.sessions(stream_events.stream(spark, d), "6 hours", "user_id")
-    return stream_events.run_to_end(found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n"), "complete")
+    return stream_events.run_to_end(found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n"), "complete", ["user_id", "start"])
+
+
+# --- records, validation, verdicts ----------------------------------------------------------
+
+
+def _scenarios(spark, d):
+    """A scenario per conversation; its turns are the events."""
+    of = lambda *values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("turn") % len(values)).cast("int"))
+    event = F.struct(
+        F.when(F.col("turn") % 3 == 2, "").otherwise(F.concat_ws("/", "role", F.concat(F.lit("loud_knock_"), F.col("turn")))).alias("event_id"), of("pivot", "verbal", "behavioral", "ambient").alias("reaction"),
+        F.when(F.col("turn") % 2 == 0, F.col("turn") % 5 == 4).alias("is_rare"), of("", "calm").alias("register"), of(*timeline.SLOTS, "").alias("slot"),
+    )
+    rows = _turns(spark, d).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", event.alias("e")))).alias("t"))
+    i = F.col("conv_id")
+    return rows.select(
+        i.cast("string").alias("scenario_id"), (i % 10).cast("string").alias("template_id"), F.lit("c").alias("category"),
+        F.when(i % 3 == 0, F.to_json(F.struct(F.concat(F.lit("Theme "), i).alias("title"), F.lit("About").alias("description")))).when(i % 3 == 1, F.concat(F.lit("Plain "), i)).alias("theme"),
+        F.when(i % 4 == 0, "Template").otherwise("").alias("template_title"), F.lit(None).cast("string").alias("template_description"), F.concat(F.lit("scene_"), i % 4).alias("scene"),
+        F.when(i % 2 == 0, F.concat(F.lit(" subject "), i)).alias("subject"), F.struct(F.concat(F.lit("made "), i).alias("subject")).alias("llm_output"),
+        F.lit("F").alias("gender_a"), F.lit("M").alias("gender_b"), (i % 10).cast("int").alias("scenario_idx_in_template"),
+        F.struct(F.lit("guest").alias("A"), F.when(i % 2 == 0, "host").otherwise("").alias("B")).alias("speakers"), F.when(i % 5 == 0, "clerk").alias("role_a"), F.lit("owner").alias("role_b"),
+        F.transform("t", lambda x: x["e"]).alias("events"), F.when(i % 7 == 0, i % 2 == 0).alias("has_rare_event"), F.lit("train").alias("split"),
+    )
+
+
+@query
+def canonical_records(spark, d):
+    rows = records.normalised(_scenarios(spark, d))
+    return rows.select("scenario_id", "theme_title", "theme_description", "theme_label", "subject", "role_a", "role_b", "n_events", "n_reacted_to", "stratum", "has_rare", "has_pivot", "has_rare_event", F.array_join(F.transform("events", lambda e: F.concat_ws(":", e["event_id"], F.coalesce(e["register"], F.lit("-")), F.coalesce(e["slot"], F.lit("-")))), ",").alias("events"))
+
+
+@query
+def record_distributions(spark, d):
+    return records.distributions(records.normalised(_scenarios(spark, d)))
+
+
+def _dialogue(spark, d):
+    """Conversations as timelines: every fourth item is an event, other turns are said by A and B."""
+    t, i = F.col("turn"), F.col("conv_id")
+    heard = t % 4 == 3
+    items_ = _turns(spark, d).select(
+        "conv_id", t.alias("position"), F.when(heard, "event").when(t % 4 == 0, F.lit(None)).otherwise("utterance").alias("type"),
+        F.when(~heard, F.when(i % 6 == 5, "A").when(F.col("role") == "user", "A").otherwise("B")).alias("speaker"), F.when(~heard, F.col("text")).alias("text"), F.when(heard, F.concat(F.lit("e/loud_knock_"), t)).alias("event_id"),
+    )
+    items_ = items_.withColumn("type", records.item_type(*[F.col(c) for c in ("type", "speaker", "text", "event_id")]))
+    expected = items_.where("type = 'event'").select("conv_id", "event_id", F.when(i % 3 == 0, "pivot").otherwise("ambient").alias("reaction"), F.when(i % 2 == 0, "early").alias("slot"), F.array().cast("array<string>").alias("tags"))
+    return items_, expected
+
+
+@query
+def timeline_validation(spark, d):
+    items_, expected = _dialogue(spark, d)
+    return validation.validated(items_.select("conv_id").distinct(), items_, expected, "conv_id", least=2, most=6, most_words=150)
+
+
+@query
+def inferred_verdicts(spark, d):
+    i = F.col("event_id")
+    reply = F.when(i % 11 == 0, "[1]").otherwise(F.to_json(F.struct(F.when(i % 7 == 0, "one").otherwise("a subject").alias("subject"), F.array(
+        F.struct(F.col("event_type").alias("event_id"), F.when(i % 5 == 0, "loud").otherwise(" Verbal ").alias("reaction")), F.struct(F.lit("click").alias("event_id"), F.lit("pivot").alias("reaction")), F.struct(F.lit("ghost").alias("event_id"), F.lit("ambient").alias("reaction"))).alias("sounds"))))
+    rows = parquet(spark, d, "events").select("event_id", verdicts.inferred(reply, F.array("event_type", F.lit("click"))).alias("r"))
+    return rows.select("event_id", "r.subject", F.array_join(F.transform("r.predicted", lambda p: F.concat_ws("=", p["event_id"], p["reaction"])), ",").alias("predicted"), F.array_join("r.spurious", ",").alias("spurious"), "r.reason")
+
+
+@query
+def judge_verdicts(spark, d):
+    say = lambda sound, verdict, evidence: F.struct(sound.alias("sound"), F.lit(verdict).alias("verdict"), evidence.alias("evidence"))
+    first = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    listed = F.to_json(F.array(say(F.lit("bell"), "heard", first), say(F.lit("bell"), "nature", first), say(F.lit("dog"), "nature", F.concat(F.lit("  "), first)), say(F.lit("cat"), "discussed", F.lit("words that nobody said")), say(F.lit("horn"), "heard", first), say(F.lit("dog"), "perhaps", first)))
+    rows = _turns(spark, d).select("conv_id", "turn", verdicts.judged(listed, F.array(*[F.lit(n) for n in ("bell", "dog", "cat")]), F.col("text")).alias("v"))
+    return rows.select("conv_id", "turn", *[F.array_join(f"v.{c}", ",").alias(c) for c in ("heard", "nature", "discussed", "off_list", "no_evidence")])
+
+
+def _summaries(spark, d):
+    """Three budgets for each conversation; its turns are the sounds, some mentioned."""
+    i, t = F.col("conv_id"), F.col("turn")
+    name = F.concat(F.lit("s"), t)
+    gold = F.struct(name.alias("name"), F.get(F.array(*[F.lit(r) for r in (*text.REACTIONS, "")]), (t % 5).cast("int")).alias("reaction"), (t % 4 == 1).alias("is_rare"))
+    rows = _turns(spark, d).withColumn("budget", F.explode(F.array(F.lit(25), F.lit(75), F.lit(200))))
+    return rows.groupBy(F.col("conv_id").alias("scenario_id"), "budget").agg(
+        F.collect_list(gold).alias("gold"), F.collect_list(F.when((i + t + F.col("budget")) % 3 == 0, name)).alias("mentioned"), F.collect_list(F.when((i + t) % 7 == 0, name)).alias("discussed"), F.max(F.when(t == 0, F.when(i % 5 > 0, F.col("text")))).alias("summary"),
+    )
+
+
+@query
+def summary_scores(spark, d):
+    return verdicts.summary_scores(_summaries(spark, d))
+
+
+@query
+def summary_scores_by_sound(spark, d):
+    return verdicts.summary_scores(_summaries(spark, d), by_budget=False, with_rare=False)
+
+
+@query
+def summary_lengths(spark, d):
+    return verdicts.summary_lengths(_summaries(spark, d))
+
+
+def _manifests(spark, d):
+    """A manifest per conversation: its turns are nations' events, placed in a region's scene."""
+    i, t = F.col("conv_id"), F.col("turn")
+    names = parquet(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.concat(F.lit("x/"), F.col("n_name")).alias("event_id"))
+    places = parquet(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("r"), F.col("r_name").alias("scene"))
+    rows = _turns(spark, d).select("conv_id", "turn", ((i + t) % 25).alias("k"), (i % 6).alias("r")).join(F.broadcast(names), "k").join(F.broadcast(places), "r", "left")
+    event = F.struct("turn", "event_id", F.get(F.array(*[F.lit(x) for x in (*text.REACTIONS, "other")]), (t % 5).cast("int")).alias("reaction"), F.when(t % 3 == 0, "rare").otherwise("core").alias("layer"), F.lit(None).cast("string").alias("source_file"), F.lit(False).alias("is_rare"), F.when(t % 6 < 5, -20.0 - t).alias("level_lufs"), (t * 2.0).alias("start_s"))
+    return rows.groupBy("conv_id", "scene").agg(F.sort_array(F.collect_list(event)).alias("events_placed")).select("conv_id", "scene", F.lit(-32.0).alias("bed"), "events_placed")
+
+
+@query
+def scene_items(spark, d):
+    scenes = _catalogue(spark, d)[3]
+    return items.scene_items(_manifests(spark, d), scenes, "conv_id").withColumn("options", F.array_join("options", " / "))
+
+
+@query
+def sound_items(spark, d):
+    pool = catalog.scene_pool(*_catalogue(spark, d))
+    return items.sound_items(_manifests(spark, d), pool, "conv_id").withColumn("options", F.array_join("options", " / "))
+
+
+@query
+def reaction_items(spark, d):
+    return items.reaction_items(_manifests(spark, d), "conv_id")
+
+
+@query
+def gold_sounds(spark, d):
+    rows = items.gold_sounds(_manifests(spark, d), "conv_id")
+    return rows.select("conv_id", F.explode("gold").alias("g")).select("conv_id", "g.event_id", "g.name", "g.reaction", "g.is_rare", "g.margin_db")
+
+
+# --- words and tags -------------------------------------------------------------------------
+
+
+@query
+def word_offsets(spark, d):
+    """Per turn: words, and sums of their places and lengths."""
+    rows = tags.words_with_offsets(_turns(spark, d), ["conv_id", "turn"], "text")
+    return rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.sum("offset").alias("places"), F.max("offset").alias("last"), F.sum(F.length("word")).alias("letters"))
+
+
+@query
+def resume_offsets(spark, d):
+    """Each conversation's words, a second apart, with longer pauses behind some."""
+    t = F.col("turn")
+    start = t * 1.0 + F.floor((t + F.col("conv_id")) / 3) * 1.5
+    word = F.struct(start.alias("start"), (start + 0.5).alias("end"), (t * 4).alias("off"))
+    rows = _turns(spark, d).groupBy("conv_id").agg(F.sort_array(F.collect_list(word)).alias("words"))
+    said = F.when(F.col("conv_id") % 4 == 0, "one two. three... four five").when(F.col("conv_id") % 4 == 1, "one two three. four. five").otherwise("one two three four five")
+    found = timeline.resume_offset(said, F.col("words"), F.get("words", F.lit(0))["start"])
+    return rows.select("conv_id", found.alias("r")).select("conv_id", F.round("r.offset", 6).alias("offset"), "r.kind")
+
+
+@query
+def event_tags(spark, d):
+    i = F.col("event_id")
+    named = F.when(i % 4 == 0, "vocal/Laughter").when(i % 4 == 1, "loud_cough").when(i % 4 == 2, "x/clear_throat").otherwise(F.col("event_type"))
+    return parquet(spark, d, "events").select("event_id", tags.event_tag(named).alias("tag"), tags.event_tag(F.concat(F.lit("sfx/gun_"), F.when(i % 2 == 0, "clap").otherwise("x")), effects=True).alias("effect"))
+
+
+# --- allocation -----------------------------------------------------------------------------
+
+
+@query
+def composition_sequence(spark, d):
+    rows = allocation.composition_sequence(spark, 1000, {"pivot": 2.0})
+    return rows.select("local", "composition")
+
+
+def _todos(spark, d):
+    templates = parquet(spark, d, "part").where("p_size = 7").select("p_partkey")
+    region = parquet(spark, d, "region").select(F.col("r_name").alias("scene"))
+    relations = parquet(spark, d, "nation").select(F.col("n_name").alias("role_a"), F.lower("n_name").alias("role_b"))
+    return allocation.todos(templates, "p_partkey", "p_partkey", region, relations)
+
+
+@query
+def scenario_todos(spark, d):
+    """How often every value of every sequence was given to a scenario."""
+    rows = _todos(spark, d)
+    values = {"scene": "scene", "composition": "composition", "gender": F.concat("gender_a", "gender_b"), "relation": F.greatest(F.lower("role_a"), F.lower("role_b")), "rare": F.when(F.col("has_rare_event"), F.concat(F.lit("with pivot "), F.col("pivot"))).otherwise("no")}
+    pair = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), (F.col(v) if isinstance(v, str) else v).alias("value")) for k, v in values.items()]))
+    return rows.select(pair.alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
+
+
+@query
+def scenario_events(spark, d):
+    pool = catalog.scene_pool(*_catalogue(spark, d)).select("scene", F.col("event").alias("event_id"))
+    rare = _catalogue(spark, d)[3].withColumn("event_id", F.explode(F.array(*[F.lit(f"rare_events/{n}") for n in ("thunder", "alarm", "siren")])))
+    found = allocation.scenario_events(_todos(spark, d), pool, rare)
+    return found.groupBy("scenario_id").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_different"), F.count_if(F.expr("reaction = 'pivot'")).alias("n_pivot"), F.count_if(F.expr("slot = 'late' AND reaction = 'pivot'")).alias("n_late_pivots"), F.count_if("is_rare").alias("n_rare"), F.count_distinct("place").alias("n_places"))
+
+
+@query
+def distance_ranges(spark, d):
+    profiles = spark.createDataFrame([("beach/view", 5.0, 60.0), ("rare_events/click", 300.0, 3000.0)], "event_id string, near double, far double")
+    i = F.col("event_id")
+    rows = parquet(spark, d, "events").select(i.alias("n"), F.concat_ws("/", F.when(i % 3 == 0, "beach").when(i % 3 == 1, "rare_events").otherwise("rural"), "event_type").alias("event_id"), F.when(i % 2 == 0, "office").alias("scene"))
+    found = levels.with_distance_range(rows, F.broadcast(profiles))
+    return found.select("n", "near", "far", F.round(levels.drawn_distance(F.col("near"), F.col("far"), quota.uniform("m", "n")), 6).alias("metres"), F.round(levels.wet_mix(F.lit(0.05), F.col("near")), 9).alias("wet"))

@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 EVENT = T.StructType([T.StructField("event_id", T.StringType()), T.StructField("reaction", T.StringType()), T.StructField("is_rare", T.BooleanType()), T.StructField("register", T.StringType()), T.StructField("slot", T.StringType())])
 SCENARIO = T.StructType([
     T.StructField("scenario_id", T.StringType()), T.StructField("template_id", T.StringType()), T.StructField("category", T.StringType()),
-    T.StructField("scene", T.StringType()), T.StructField("subject", T.StringType()),
+    T.StructField("theme", T.StringType()), T.StructField("template_title", T.StringType()), T.StructField("template_description", T.StringType()),
+    T.StructField("scene", T.StringType()), T.StructField("subject", T.StringType()), T.StructField("gender_a", T.StringType()), T.StructField("gender_b", T.StringType()),
+    T.StructField("scenario_idx_in_template", T.IntegerType()),
     T.StructField("llm_output", T.StructType([T.StructField("subject", T.StringType())])),
     T.StructField("speakers", T.StructType([T.StructField("A", T.StringType()), T.StructField("B", T.StringType())])),
     T.StructField("role_a", T.StringType()), T.StructField("role_b", T.StringType()),

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.session import shared_folder
+
 
 def stream(spark: SparkSession, folder: str, name: str = "events", time: str = "ts") -> DataFrame:
     """The files of a table as a stream; its time without zone becomes a timestamp, as watermarks need."""
@@ -35,13 +37,24 @@ def once(rows: DataFrame, keys: list[str], late: str, time: str = "ts") -> DataF
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_end(result: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """The result table of a streaming query over all that is there now, by memory sink: for small results and tests."""
-    name = f"t{uuid.uuid4().hex}"
-    writer = result.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return result.sparkSession.table(name)
+def run_to_end(result: DataFrame, mode: str, keys: list[str]) -> DataFrame:
+    """The result table of a streaming query over all that is there now, from files in the shared folder.
+
+    Every batch is written by the executors. In complete mode the last batch is the result, in update mode the last row
+    of each of `keys`; nothing passes through the driver. A batch done again after a failure replaces its files.
+    """
+    spark = result.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    result.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out")
+    if mode == "complete":
+        return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*keys, "r.*")
 
 
 def resume(rows: DataFrame, checkpoint: str, path: str, work: Callable[[DataFrame], DataFrame]) -> None:

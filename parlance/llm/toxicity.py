@@ -95,20 +95,21 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, weight: n
         z = lead[ids]
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) * alpha / (1.0 + np.sqrt(squares[ids])))
 
+    # what does not change from epoch to epoch: distinct features, where they are, lengths of sentences
+    fixed = [(*np.unique(ids, return_inverse=True), starts, np.diff(np.append(starts, len(ids))), blank) for ids, starts, blank in bags]
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for d in order.permutation(len(bags)):
-            ids, starts, blank = bags[d]
-            if not len(ids):
+            distinct, at, starts, lengths, blank = fixed[d]
+            if not len(distinct):
                 continue
-            distinct, at = np.unique(ids, return_inverse=True)
             w = now(distinct)
             z = np.add.reduceat(w[at], starts) + bias
             none_toxic = np.exp(-np.logaddexp(0.0, z).sum() - blank * np.logaddexp(0.0, bias))
             # d(-log likelihood)/dz: p for a clean document, -p (1 - P) / P for a toxic one
             slope = weight[d] * (1.0 if y[d] == 0 else -none_toxic / max(1.0 - none_toxic, 1e-9))
             g = sigmoid(z) * slope
-            grad = np.bincount(at, np.repeat(g, np.diff(np.append(starts, len(ids)))))
+            grad = np.bincount(at, np.repeat(g, lengths))
             more = squares[distinct] + grad * grad
             lead[distinct] += grad - (np.sqrt(more) - np.sqrt(squares[distinct])) / alpha * w
             squares[distinct] = more

@@ -12,14 +12,19 @@ def scene_pool(own: DataFrame, shared: DataFrame, general: DataFrame, scenes: Da
     own, shared, forbidden: (scene, event); general: (event); scenes: (scene). General events meet scenes by
     an array of the scenes (a catalogue's scenes are a short list) that is exploded, not by a cross join.
     """
-    listed = scenes.agg(F.collect_set("scene").alias("s")).withColumn("k", F.lit(1))
-    everywhere = general.withColumn("k", F.lit(1)).join(F.broadcast(listed), "k").select(F.explode("s").alias("scene"), "event")
-    allowed = everywhere.join(forbidden, ["scene", "event"], "left_anti")
+    allowed = allowed_everywhere(general, scenes, forbidden)
     branches = [own.select("scene", "event"), shared.select("scene", "event"), allowed]
     rows = [df.withColumn("branch", F.lit(i)) for i, df in enumerate(branches)]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+def allowed_everywhere(events: DataFrame, scenes: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """(scene, event): events of no scene of their own (general or rare ones) in every scene that doesn't forbid them."""
+    listed = scenes.agg(F.collect_set("scene").alias("s")).withColumn("k", F.lit(1))
+    everywhere = events.withColumn("k", F.lit(1)).join(F.broadcast(listed), "k").select(F.explode("s").alias("scene"), "event")
+    return everywhere.join(forbidden, ["scene", "event"], "left_anti")
+
+
 def gaps(pool: DataFrame, scenes: DataFrame, least: int) -> DataFrame:
     """(scene, n): scenes with fewer than `least` distinct events to choose from."""
     counts = pool.groupBy("scene").agg(F.countDistinct("event").alias("n"))

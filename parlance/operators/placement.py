@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.operators.quota import uniform
+
 
 def shifted_turns(turns: DataFrame, key: str, order: str, start: str, end: str, gap: str) -> DataFrame:
     """`turns` with new_start and new_end after a gap is put in behind each turn: times move by the gaps before."""
@@ -30,3 +32,18 @@ def sample_span(start: Column, end: Column, total: Column, rate: int = 44_100) -
     """struct(first, last) of samples in [start, end) seconds, clipped to the signal."""
     clip = lambda t: F.greatest(F.lit(0), F.least(F.floor(t * rate), total)).cast("long")
     return F.struct(clip(start).alias("first"), clip(end).alias("last"))
+
+
+def spaced_turns(turns: DataFrame, key: str, order: str, start: str, end: str, low: float, high: float, salt: str = "gap") -> DataFrame:
+    """`turns` with a drawn pause of `low` to `high` seconds behind each but the last: gap, new_start and new_end.
+
+    Scenes whose turns' ends are unknown or do not rise stay as they are.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    whole = Window.partitionBy(key)
+    last = F.lead(order).over(w).isNull()
+    wrong = F.coalesce(F.col(end) < F.lag(end).over(w), F.lit(False)) & ~last | (F.col(end).isNull() & ~last)
+    rows = turns.withColumn("_last", last).withColumn("_wrong", wrong)
+    drawn = low + (max(low, high) - low) * uniform(salt, key, order)
+    rows = rows.withColumn("gap", F.when(F.col("_last") | F.max("_wrong").over(whole), 0.0).otherwise(drawn)).drop("_last", "_wrong")
+    return shifted_turns(rows, key, order, start, end, "gap")

@@ -208,3 +208,26 @@ def event_balance(placements: DataFrame, event: str, reaction: str, reactions: l
     gaps = rows.select(gap.alias("gap")).agg((100 * F.avg("gap")).alias("mean_gap"), (100 * F.max("gap")).alias("max_gap"))
     usage = wide.agg(F.sum("used").alias("placements"), F.count("*").alias("events"), F.min("used").alias("least"), F.max("used").alias("most"))
     return usage.withColumn("k", F.lit(1)).join(F.broadcast(gaps.withColumn("k", F.lit(1))), "k").drop("k")
+
+
+#: Fixed value: share of a scene's ordinary events that are placed as supporting ones.
+SUPPORTING_RATE = 0.35
+
+
+def layer(event_id: Column, is_rare: Column, u: Column, rate: float = SUPPORTING_RATE) -> Column:
+    """Whether an event is rare, supporting or core; null for an event without an id. u: a uniform number of the event."""
+    rare = F.coalesce(is_rare, F.lit(False)) | event_id.startswith("rare_events/")
+    return F.when(F.coalesce(event_id, F.lit("")) != "", F.when(rare, "rare").when(u < rate, "supporting").otherwise("core"))
+
+
+def parse_sizes(spec: str | None, n: int) -> dict[str, int] | None:
+    """Rows per split from `train/dev/test`, as numbers or percentages of n, which must add up to n; None for no split."""
+    if not spec or spec.lower() in ("none", "off"):
+        return None
+    parts = [p.strip() for p in spec.split("/")]
+    if len(parts) != len(SPLITS):
+        raise ValueError(f"expected train/dev/test or none, got {spec!r}")
+    sizes = {s: round(n * float(p[:-1]) / 100) if p.endswith("%") else int(p) for s, p in zip(SPLITS, parts)}
+    if sum(sizes.values()) != n or min(sizes.values()) < 0:
+        raise ValueError(f"{sizes} do not share out {n} rows")
+    return sizes

@@ -122,3 +122,18 @@ def validated(dialogues: DataFrame, items: DataFrame, expected: DataFrame, key:
         *[F.when(broken, found(F.lit(reason) if reason else F.col("fault"), F.col(at) if at else nowhere)) for reason, broken, at in late],
     )
     return out.select(key, first.alias("x")).select(key, F.col("x").isNull().alias("valid"), "x.reason", "x.position")
+
+
+def template_faults(templates: DataFrame, key: str, order: str, n: int = 10) -> DataFrame:
+    """(key, reason, position) per theme: why its generated templates can't be used; null if they can.
+
+    templates: key, order, title, description. A theme has n templates, each with a title, which no earlier one of the
+    theme has but for case and punctuation at its ends, and a description of at least four words.
+    """
+    title, told = F.trim(F.coalesce("title", F.lit(""))), F.trim(F.coalesce("description", F.lit("")))
+    plain = F.regexp_replace(F.lower(title), r"^[ .,\-—–]+|[ .,\-—–]+$", "")
+    again = F.row_number().over(Window.partitionBy(key, plain).orderBy(order)) > 1
+    reason = F.when(title == "", "empty title").when(told == "", "empty description").when(F.size(T.words(told)) < 4, "description too short").when(again, "duplicate title")
+    found = templates.withColumn("_r", reason).groupBy(key).agg(F.count("*").alias("_n"), F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col(order))).alias("reason"), F.min(F.when(F.col("_r").isNotNull(), F.col(order))).alias("position"))
+    count = F.col("_n") != n
+    return found.select(key, F.when(count, "wrong count").otherwise(F.col("reason")).alias("reason"), F.when(~count, F.col("position")).alias("position"))

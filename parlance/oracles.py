@@ -431,4 +431,18 @@ ORACLES = {
       r AS (SELECT n, CAST(CASE WHEN ns = 'beach' AND leaf = 'view' THEN 5 WHEN ns = 'rare_events' THEN CASE WHEN leaf = 'click' THEN 300 ELSE 5 END WHEN leaf = 'view' THEN 5 WHEN office THEN 1 ELSE 1.5 END AS DOUBLE) AS near,
         CAST(CASE WHEN ns = 'beach' AND leaf = 'view' THEN 60 WHEN ns = 'rare_events' THEN CASE WHEN leaf = 'click' THEN 3000 ELSE 60 END WHEN leaf = 'view' THEN 60 WHEN office THEN 6 ELSE 20 END AS DOUBLE) AS far FROM e)
       SELECT n, near, far, round(near + (far - near) * (CAST(('0x' || substring(sha1('m|' || n), 1, 8)) AS BIGINT) / 4294967296), 6) AS metres, round(least(0.25, near * near / (near * near + CAST(4 AS DOUBLE) * (1 / CAST(0.05 AS DOUBLE) - 1))), 9) AS wet FROM r""",
+    "rare_pool": _CATALOG + "SELECT scene, event FROM pool WHERE branch = 2",
+    "event_layers": """
+      SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 'rare'
+        WHEN CAST(('0x' || substring(sha1('layer|' || event_id), 1, 8)) AS BIGINT) / 4294967296 < 0.35 THEN 'supporting' ELSE 'core' END END AS layer FROM events""",
+    "spaced_turns": """
+      WITH t AS (SELECT conv_id, turn, turn * CAST(2 AS DOUBLE) AS s, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN CAST(0 AS DOUBLE) ELSE turn * CAST(2 AS DOUBLE) + 1.5 END AS e, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+      w AS (SELECT *, NOT last AND coalesce(e < lag(e) OVER (PARTITION BY conv_id ORDER BY turn), false) AS wrong FROM t),
+      g AS (SELECT *, CASE WHEN last OR bool_or(wrong) OVER (PARTITION BY conv_id) THEN 0 ELSE CAST(0.2 AS DOUBLE) + CAST(0.7 AS DOUBLE) * (CAST(('0x' || substring(sha1('gap|' || conv_id || '|' || turn), 1, 8)) AS BIGINT) / 4294967296) END AS gap FROM w),
+      m AS (SELECT *, coalesce(sum(gap) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved FROM g)
+      SELECT conv_id, turn, round(gap, 6) AS gap, round(s + moved, 6) AS new_start, round(e + moved, 6) AS new_end FROM m""",
+    "template_faults": """
+      WITH t AS (SELECT n_regionkey, n_nationkey AS i, CASE WHEN n_nationkey % 8 = 3 THEN 'same' WHEN n_nationkey % 8 = 6 THEN '' ELSE lower(n_name) END AS title, n_nationkey % 11 = 7 AS short FROM nation),
+      r AS (SELECT n_regionkey, i, CASE WHEN title = '' THEN 'empty title' WHEN short THEN 'description too short' WHEN row_number() OVER (PARTITION BY n_regionkey, title ORDER BY i) > 1 THEN 'duplicate title' END AS reason FROM t)
+      SELECT n_regionkey, CASE WHEN count(*) <> 5 THEN 'wrong count' ELSE arg_min(reason, i) FILTER (WHERE reason IS NOT NULL) END AS reason, CASE WHEN count(*) = 5 THEN min(i) FILTER (WHERE reason IS NOT NULL) END AS position FROM r GROUP BY n_regionkey""",
 }

@@ -812,3 +812,31 @@ def distance_ranges(spark, d):
     rows = parquet(spark, d, "events").select(i.alias("n"), F.concat_ws("/", F.when(i % 3 == 0, "beach").when(i % 3 == 1, "rare_events").otherwise("rural"), "event_type").alias("event_id"), F.when(i % 2 == 0, "office").alias("scene"))
     found = levels.with_distance_range(rows, F.broadcast(profiles))
     return found.select("n", "near", "far", F.round(levels.drawn_distance(F.col("near"), F.col("far"), quota.uniform("m", "n")), 6).alias("metres"), F.round(levels.wet_mix(F.lit(0.05), F.col("near")), 9).alias("wet"))
+
+
+@query
+def rare_pool(spark, d):
+    _, _, general, scenes, forbidden = _catalogue(spark, d)
+    return catalog.allowed_everywhere(general, scenes, forbidden)
+
+
+@query
+def event_layers(spark, d):
+    i = F.col("event_id")
+    named = F.when(i % 9 == 0, "").otherwise(F.concat(F.when(i % 7 == 0, "rare_events/").otherwise("x/"), "event_type"))
+    return parquet(spark, d, "events").select("event_id", quota.layer(named, i % 5 == 0, quota.uniform("layer", "event_id")).alias("layer"))
+
+
+@query
+def spaced_turns(spark, d):
+    t = F.col("turn")
+    rows = _turns(spark, d).select("conv_id", "turn", (t * 2.0).alias("start"), F.when((F.col("conv_id") % 5 == 0) & (t == 1), 0.0).otherwise(t * 2.0 + 1.5).alias("end"))
+    found = placement.spaced_turns(rows, "conv_id", "turn", "start", "end", 0.2, 0.9)
+    return found.select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("gap", "new_start", "new_end")])
+
+
+@query
+def template_faults(spark, d):
+    n = F.col("n_nationkey")
+    rows = parquet(spark, d, "nation").select("n_regionkey", n.alias("i"), F.when(n % 8 == 3, "Same. ").when(n % 8 == 6, "").otherwise(F.col("n_name")).alias("title"), F.when(n % 11 == 7, "short one").otherwise("a description of some length").alias("description"))
+    return validation.template_faults(rows, "n_regionkey", "i", 5)

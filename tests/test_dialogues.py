@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance.functions import tags
-from parlance.operators import items, records, timeline, validation, verdicts
+from parlance.operators import items, quota, records, timeline, validation, verdicts
 from parlance.plans import allocation
 from parlance.sources import tables
 from parlance.streaming import events as stream_events
@@ -274,3 +274,18 @@ def test_streams_once_and_resume(spark, tmp_path):
             (tmp_path / "added").mkdir()
         elif more == 3:
             spark.createDataFrame([(5,)], "k long").selectExpr("k", "cast('2024-01-02' AS timestamp) AS ts").write.mode("append").parquet(f"{tmp_path}/in")
+
+
+@pytest.mark.parametrize(("changes", "want"), [({}, None), ({"n": 2}, "wrong count"), ({0: (" ", "a b c d")}, "empty title"), ({1: ("B", None)}, "empty description"), ({1: ("B", "a b c")}, "description too short"), ({2: (" a.", "a b c d")}, "duplicate title")])
+def test_template_faults(spark, changes, want):
+    rows = [("k", i, *changes.get(i, (title, "a b c d"))) for i, title in enumerate(["A", "B", "C"])]
+    df = spark.createDataFrame(rows, "k string, i int, title string, description string")
+    assert validation.template_faults(df, "k", "i", changes.get("n", 3)).first()["reason"] == want
+
+
+def test_sizes():
+    assert quota.parse_sizes("80%/10%/10%", 1000) == {"train": 800, "dev": 100, "test": 100} and quota.parse_sizes("8/1/1", 10)["train"] == 8
+    assert quota.parse_sizes("none", 5) is None and quota.parse_sizes("", 5) is None
+    for wrong in ("5/5", "5/5/5", "12/-1/-1"):
+        with pytest.raises(ValueError):
+            quota.parse_sizes(wrong, 10)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +35,7 @@ FORBIDDEN = (
 )
 #: Characters folded to ASCII before quotes are compared (an ellipsis becomes three dots).
 FOLDED = ("‘’‚‛′“”„″‐‑‒–—\u00a0\u202f", "'''''\"\"\"\"-----  ")
+WORD = re.compile("[a-z']+")
 REACTIONS = ("pivot", "verbal", "behavioral", "ambient")
 
 
@@ -140,34 +145,31 @@ def strip_thinking(raw: Column) -> Column:
     return F.trim(F.regexp_replace(closed, r"(?is)<think(ing)?>.*$", " "))
 
 
-def runs_of(text_words: Column, n: int) -> Column:
-    """Word n-grams of an array of words, joined by blanks."""
-    size = F.size(text_words)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(text_words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
+def repetitions(lower: Column) -> Column:
+    """Alphabetic words of a text in lower case, how often the most frequent one occurs, and the most frequent run of three but the last."""
 
-def most_repeated(values: Column) -> Column:
-    """How often the most frequent value of an array occurs: the longest run of equals once sorted; null for an empty one."""
-    start = F.struct(F.lit(None).cast("string").alias("now"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+    def counts(text: str | None) -> tuple[int, int | None, int | None]:
+        found = WORD.findall(text or "")
+        runs = Counter(zip(found[:-1], found[1:-1], found[2:-1])) if len(found) > 3 else {}
+        return len(found), max(Counter(found).values(), default=None), max(runs.values(), default=None)
 
-    def step(acc: Column, x: Column) -> Column:
-        run = F.when(acc["now"] == x, acc["run"] + 1).otherwise(1)
-        return F.struct(x.alias("now"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+    @F.pandas_udf("n_words int, top_word_count int, top_run_count int")
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([counts(t) for t in texts], columns=["n_words", "top_word_count", "top_run_count"]).astype("Int32")
 
-    return F.nullif(F.aggregate(F.array_sort(values), start, step, lambda acc: acc["best"]), F.lit(0))
+    return counted(lower)
 
 
 def degeneracy(df: DataFrame, text: str, most: int = 8) -> DataFrame:
     """`df` with n_words, top_word_count, top_run_count and reason, which tells looping texts; null for sound ones.
 
     Words are alphabetic. A run of three words counts in texts of more than twelve, the last one excepted; longer runs
-    that repeat hold one of three that does. All is counted within the row, so nothing is shuffled.
+    that repeat hold one of three that does. All is counted within the row, in Arrow batches, so nothing is shuffled.
     """
     said = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[ \t\r\n]+", " "))
     dense = F.replace(said, F.lit(" "), F.lit(""))
-    rows = df.withColumn("_w", F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z']+"), 0))
-    runs = runs_of(F.col("_w"), 3)
-    rows = rows.withColumns({"n_words": F.size("_w"), "top_word_count": most_repeated(F.col("_w")), "top_run_count": most_repeated(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))))})
+    rows = df.withColumn("_r", repetitions(F.lower(F.coalesce(F.col(text), F.lit("")))))
+    rows = rows.withColumns({c: F.col(f"_r.{c}") for c in ("n_words", "top_word_count", "top_run_count")})
     n, top = F.col("n_words"), F.col("top_word_count")
     without_first = F.replace(dense, F.substring(dense, 1, 1), F.lit(""))
     few = (F.length(dense) > 20) & (F.replace(without_first, F.substring(without_first, 1, 1), F.lit("")) == "")
@@ -175,7 +177,7 @@ def degeneracy(df: DataFrame, text: str, most: int = 8) -> DataFrame:
         F.when(dense == "", "empty reply").when(few, "one or two characters").when(n == 0, "no alphabetic word")
         .when((top > most) & (top > n * 0.3), "a word repeats").when((n > 12) & (F.col("top_run_count") > most), "a run repeats")
     )
-    return rows.withColumn("reason", reason).drop("_w")
+    return rows.withColumn("reason", reason).drop("_r")
 
 
 def safe_ids(df: DataFrame, column: str, order: str, longest: int = 64) -> DataFrame:

@@ -46,6 +46,12 @@ def pending(candidates: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return candidates.join(done.select(key), key, "left_anti")
 
 
+def without(stored: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """`stored` without the rows whose key is listed, which are to be made again. Rows without a key stay."""
+    listed = ids.select(F.col(key).cast("string").alias("_id")).where("_id <> ''").distinct()
+    return stored.join(listed, F.col(key).cast("string") == F.col("_id"), "left_anti")
+
+
 def next_steps(scenarios: DataFrame, accepted_ids: DataFrame, attempts: DataFrame, key: str, most: int) -> DataFrame:
     """`scenarios` with n_attempts and state: accepted, abandoned (at `most` attempts) or regenerate."""
     tries = attempts.groupBy(key).agg(F.count("*").alias("n_attempts"))

@@ -37,6 +37,11 @@ r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source
 split AS (SELECT doc_id, lang, source, CASE WHEN rank < s0 THEN 'train' WHEN rank < s0 + s1 THEN 'dev' WHEN rank < s0 + s1 + s2 THEN 'test' END AS split FROM r JOIN g USING (lang, source) JOIN f USING (k))
 """
 _FOLD = "trim(regexp_replace(lower(replace(translate({t}, '‘’‚‛′“”„″‐‑‒–—\u00a0\u202f', '''''''''''\"\"\"\"-----  '), '…', '...')), '[ \\t\\r\\n]+', ' ', 'g'))"
+_TURN_WORDS = """
+WITH t AS (SELECT conv_id, turn, lower(trim(regexp_replace('[sighs] ' || text, '\\[[^\\]]+\\]', ' ', 'g'))) AS s FROM conversations),
+c AS (SELECT conv_id, turn, s, list_transform(range(1, length(s) + 1), lambda i: regexp_matches(substring(s, i, 1), '[a-z'']')) AS f FROM t),
+k AS (SELECT conv_id, turn, regexp_extract_all(s, '[a-z'']+') AS words, list_filter(range(1, len(f) + 1), lambda i: f[i] AND (i = 1 OR NOT f[i - 1])) AS starts FROM c)
+"""
 _ITEMS = """
 WITH b AS (SELECT item_id, """ + _WORDS.format(t="lower(text)") + """ AS w FROM benchmark),
 g AS (SELECT item_id, w, w[-1] AS gold FROM b),
@@ -445,4 +450,27 @@ ORACLES = {
       WITH t AS (SELECT n_regionkey, n_nationkey AS i, CASE WHEN n_nationkey % 8 = 3 THEN 'same' WHEN n_nationkey % 8 = 6 THEN '' ELSE lower(n_name) END AS title, n_nationkey % 11 = 7 AS short FROM nation),
       r AS (SELECT n_regionkey, i, CASE WHEN title = '' THEN 'empty title' WHEN short THEN 'description too short' WHEN row_number() OVER (PARTITION BY n_regionkey, title ORDER BY i) > 1 THEN 'duplicate title' END AS reason FROM t)
       SELECT n_regionkey, CASE WHEN count(*) <> 5 THEN 'wrong count' ELSE arg_min(reason, i) FILTER (WHERE reason IS NOT NULL) END AS reason, CASE WHEN count(*) = 5 THEN min(i) FILTER (WHERE reason IS NOT NULL) END AS position FROM r GROUP BY n_regionkey""",
+    "word_table": _TURN_WORDS + "SELECT conv_id, turn, position - 1 AS position, words[position] AS word, starts[position] - 1 AS offset FROM (SELECT *, unnest(range(1, len(words) + 1)) AS position FROM k)",
+    "turns_from_words": _TURN_WORDS + """,
+      b AS (SELECT conv_id, turn, turn * 60.0::DOUBLE + (starts[1] - 1) / 16 AS s, turn * 60.0::DOUBLE + (starts[-1] - 1 + length(words[-1])) / 16 AS e FROM k WHERE len(words) > 0),
+      l AS (SELECT conv_id, max(turn) * 60.0::DOUBLE + 120 AS duration FROM conversations WHERE conv_id % 5 > 0 GROUP BY conv_id),
+      m AS (SELECT conv_id, turn, e, duration, (lag(e) OVER w + s) / 2 AS before, (e + lead(s) OVER w) / 2 AS after FROM b LEFT JOIN l USING (conv_id) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+      SELECT conv_id, turn, coalesce(before, 0) AS turn_start, coalesce(after, duration, e) AS turn_end FROM m""",
+    "turns_by_source": """
+      WITH n AS (SELECT conv_id, count(*) AS n, CASE WHEN conv_id % 3 = 0 THEN 'alignment' WHEN conv_id % 3 = 1 AND conv_id % 2 = 0 THEN 'meta' WHEN conv_id % 5 < 4 THEN 'plain' END AS source FROM conversations GROUP BY conv_id)
+      SELECT conv_id, source, n FROM n WHERE source IS NOT NULL""",
+    "voices_by_gender": """
+      WITH p AS (SELECT n_name AS v, CASE WHEN n_nationkey % 3 = 0 THEN 'f' ELSE 'm' END AS g FROM nation),
+      l AS (SELECT list(v ORDER BY v) AS every, list(v ORDER BY v) FILTER (g = 'f') AS f, list(v ORDER BY v) FILTER (g = 'm') AS m FROM p),
+      s AS (SELECT DISTINCT conv_id, CASE conv_id % 4 WHEN 1 THEN 'f' WHEN 2 THEN 'm' WHEN 3 THEN 'x' END AS gender_a, CASE WHEN conv_id % 3 = 0 THEN 'f' ELSE 'm' END AS gender_b,
+        CAST('0x' || substring(sha1('voice|' || conv_id), 1, 8) AS BIGINT) / 4294967296 AS ua, CAST('0x' || substring(sha1('voice b|' || conv_id), 1, 8) AS BIGINT) / 4294967296 AS ub FROM conversations),
+      a AS (SELECT s.*, CASE gender_a WHEN 'f' THEN f WHEN 'm' THEN m ELSE every END AS pa, CASE WHEN gender_a IS NULL THEN every WHEN gender_b = 'f' THEN f ELSE m END AS pb FROM s, l),
+      c AS (SELECT *, pa[1 + CAST(floor(ua * len(pa)) AS BIGINT)] AS voice_a FROM a),
+      r AS (SELECT *, list_filter(pb, lambda x: x <> voice_a) AS rest FROM c)
+      SELECT conv_id, gender_a, gender_b, voice_a, rest[1 + CAST(floor(ub * len(rest)) AS BIGINT)] AS voice_b FROM r""",
+    "speaker_gains": """
+      WITH l AS (SELECT user_id, event_type, 20 * log10(sqrt(avg(value * value) + 1e-12) + 1e-12) AS level FROM events WHERE event_type IS NOT NULL GROUP BY user_id, event_type),
+      o AS (SELECT *, avg(level) OVER (PARTITION BY user_id) - level AS off FROM l)
+      SELECT user_id, event_type, round(level, 4) AS level, round(CASE WHEN abs(off) < 0.1 THEN 0 ELSE greatest(least(off, 12), -12) END, 4) AS gain FROM o""",
+    "made_again": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import levels, signal, tags, text
 from parlance.functions.loose_json import read_reply
-from parlance.operators import cache, catalog, filtering, items, metrics, placement, quota, records, timeline, validation, verdicts
+from parlance.operators import alignment, cache, catalog, filtering, items, metrics, placement, quota, records, timeline, validation, verdicts
 from parlance.plans import allocation
 from parlance.sources.tables import merge_summaries, parquet
 from parlance.streaming import events as stream_events
@@ -840,3 +840,57 @@ def template_faults(spark, d):
     n = F.col("n_nationkey")
     rows = parquet(spark, d, "nation").select("n_regionkey", n.alias("i"), F.when(n % 8 == 3, "Same. ").when(n % 8 == 6, "").otherwise(F.col("n_name")).alias("title"), F.when(n % 11 == 7, "short one").otherwise("a description of some length").alias("description"))
     return validation.template_faults(rows, "n_regionkey", "i", 5)
+
+
+# --- spoken turns ---------------------------------------------------------------------------
+
+
+def _words(spark, d):
+    tagged = _turns(spark, d).select("conv_id", "turn", F.concat(F.lit("[sighs] "), F.col("text")).alias("text"))
+    return alignment.word_table(tagged, "conv_id", "turn", "text")
+
+
+@query
+def word_table(spark, d):
+    return _words(spark, d)
+
+
+@query
+def turns_from_words(spark, d):
+    """Bounds of turns whose words start where their characters do, 16 a second, one turn a minute."""
+    start = F.col("turn") * 60.0 + F.col("offset") / 16
+    timed = _words(spark, d).withColumn("start", start).withColumn("end", F.col("start") + F.length("word") / 16)
+    lengths = _turns(spark, d).groupBy("conv_id").agg((F.max("turn") * 60.0 + 120).alias("duration")).where("conv_id % 5 > 0")
+    return alignment.turns_from_words(timed, lengths, "conv_id", "turn")
+
+
+@query
+def turns_by_source(spark, d):
+    i = F.col("conv_id")
+    listed = _turns(spark, d).groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    meta = listed.where(i % 3 < 2).withColumn("turns", F.when(i % 2 == 0, F.col("turns")).otherwise(F.slice("turns", 1, 0)))
+    sources = {"alignment": listed.where(i % 3 == 0), "meta": meta, "plain": listed.where(i % 5 < 4)}
+    return alignment.by_source(sources, "conv_id").select("conv_id", "source", F.size("turns").cast("long").alias("n"))
+
+
+@query
+def voices_by_gender(spark, d):
+    i = F.col("conv_id")
+    pool = parquet(spark, d, "nation").select(F.col("n_name").alias("voice_id"), F.when(F.col("n_nationkey") % 3 == 0, "f").otherwise("m").alias("gender"))
+    own = F.when(i % 4 == 1, "f").when(i % 4 == 2, "m").when(i % 4 == 3, "x")
+    scenes = _turns(spark, d).select("conv_id").distinct().withColumn("gender_a", own).withColumn("gender_b", F.when(i % 3 == 0, "f").otherwise("m"))
+    return alignment.voices_for(scenes, pool, "conv_id")
+
+
+@query
+def speaker_gains(spark, d):
+    parts = parquet(spark, d, "events").select("user_id", "event_type", (F.col("value") * F.col("value")).alias("energy"), F.lit(1).alias("n"))
+    found = alignment.speaker_gains(parts, "user_id", "event_type", "energy", "n")
+    return found.select("user_id", "event_type", F.round("level", 4).alias("level"), F.round("gain", 4).alias("gain"))
+
+
+@query
+def made_again(spark, d):
+    """Orders kept when those with a returned item are to be made again."""
+    ids = parquet(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return filtering.without(parquet(spark, d, "orders").select("o_orderkey", "o_orderpriority"), ids, "o_orderkey")

@@ -38,6 +38,14 @@ def records(spark: SparkSession, path: str, schema: T.StructType, key: str) -> D
     return rows.withColumn("n", F.row_number().over(last)).where("n = 1").select("ordinal", "r.*")
 
 
+def listed_ids(spark: SparkSession, path: str, key: str = "scenario_id") -> DataFrame:
+    """(key) of a JSON file: the entries of a list, or the names of an object, each once, without empty ones. Anything else holds none."""
+    whole = spark.read.text(path, wholetext=True).select(F.ltrim(F.col("value")).alias("v"))
+    names = F.map_keys(F.from_json("v", "map<string,string>"))
+    found = F.when(F.col("v").startswith("["), F.from_json("v", "array<string>")).when(F.col("v").startswith("{"), names)
+    return whole.select(F.explode(found).alias(key)).where(F.col(key) != "").distinct()
+
+
 def manifests(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """Scene manifests (`*.manifest.json`) that have placed events, with the path they came from."""
     read = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.manifest.json").json(folder)

@@ -46,6 +46,11 @@ def answer_positions(answers: DataFrame) -> DataFrame:
     return answers.where(F.col("answer").isNotNull()).groupBy(at.alias("position")).agg(F.count("*").alias("n"))
 
 
+def frequent_answers(answers: DataFrame, k: int = 5) -> DataFrame:
+    """(answer, n): the k answers read most often, ties to the smaller one."""
+    return answers.where(F.col("answer").isNotNull()).groupBy("answer").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "answer").limit(k)
+
+
 def margin(level: Column, bed: Column) -> Column:
     """How far an event is over the background (dB); null where either is unknown."""
     return level - bed

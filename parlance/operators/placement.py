@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.operators.quota import uniform
+from parlance.operators.timeline import utterances_before
 
 
 def shifted_turns(turns: DataFrame, key: str, order: str, start: str, end: str, gap: str) -> DataFrame:
@@ -47,3 +48,33 @@ def spaced_turns(turns: DataFrame, key: str, order: str, start: str, end: str, l
     drawn = low + (max(low, high) - low) * uniform(salt, key, order)
     rows = rows.withColumn("gap", F.when(F.col("_last") | F.max("_wrong").over(whole), 0.0).otherwise(drawn)).drop("_last", "_wrong")
     return shifted_turns(rows, key, order, start, end, "gap")
+
+
+#: Where the id of a sound that a person makes starts, and what it may hold.
+BEHAVIOURAL_PREFIX = "behavioral/"
+BEHAVIOURAL_PARTS = ("cough", "sneeze", "sniff", "throat", "sigh", "breath", "yawn", "laugh", "chuckle", "hiccup", "gulp", "swallow", "clear_throat", "paper_rustling")
+
+
+def is_behavioural(event_id: Column) -> Column:
+    low = F.lower(event_id)
+    return F.coalesce(low.startswith(BEHAVIOURAL_PREFIX) | low.rlike("|".join(BEHAVIOURAL_PARTS)), F.lit(False))
+
+
+def event_placements(items: DataFrame, events: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, event_id, layer, after_turn, is_behavioural, reaction): where a timeline's events go and what they are.
+
+    items: (key, order, type, event_id). events: (key, event_id, layer, reaction, behavioural) of each scenario; several
+    rows of one event count once: rare before core before supporting, the greatest reaction, behavioural if one says so.
+    Unknown events are core. after_turn counts utterances from 0 and is null before the first.
+    """
+    layer = F.col("layer")
+    known = events.groupBy(key, "event_id").agg(
+        F.coalesce(F.bool_or(layer == "rare"), F.lit(False)).alias("_rare"), F.coalesce(F.bool_or(layer == "core"), F.lit(False)).alias("_core"),
+        F.coalesce(F.bool_or(layer == "supporting"), F.lit(False)).alias("_supporting"), F.max("reaction").alias("reaction"), F.coalesce(F.bool_or("behavioural"), F.lit(False)).alias("_own"),
+    )
+    kind = F.coalesce("type", F.lit(""))
+    placed = utterances_before(items.where(kind.isin("utterance", "event")), key, order, kind == "utterance").where("type = 'event'")
+    rows = placed.select(key, order, "event_id", "after_turn").join(known, [key, "event_id"], "left")
+    rare = F.coalesce("_rare", F.lit(False)) | F.coalesce(F.col("event_id").startswith("rare_events/"), F.lit(False))
+    found = F.when(rare, "rare").when(F.coalesce("_core", F.lit(False)), "core").when(F.coalesce("_supporting", F.lit(False)), "supporting").otherwise("core")
+    return rows.select(key, order, "event_id", found.alias("layer"), "after_turn", (F.coalesce("_own", F.lit(False)) | is_behavioural(F.col("event_id"))).alias("is_behavioural"), "reaction")

@@ -186,6 +186,14 @@ def round_robin(df: DataFrame, order: str, shards: int, parts: int = 64) -> Data
     return ranked_rows.withColumn("shard", ((F.col("_before") + F.row_number().over(own) - 1) % shards).cast("long")).drop("_part", "_before")
 
 
+def shard_sizes(sharded: DataFrame, shards: int) -> DataFrame:
+    """(shard, n) for every shard from 0, empty ones too; rows of no such shard are counted under null."""
+    known = F.when(F.col("shard").between(0, shards - 1), F.col("shard").cast("long"))
+    counts = sharded.groupBy(known.alias("shard")).agg(F.count("*").alias("n"))
+    every = sharded.sparkSession.range(shards).select(F.col("id").alias("shard"), F.lit(0).cast("long").alias("n"))
+    return counts.unionByName(every).groupBy("shard").agg(F.sum("n").alias("n"))
+
+
 def register_cycle(df: DataFrame, by: list[str], order: list[Column | str], registers: int, salt: str = "cycle") -> DataFrame:
     """`df` with cycle and `register`: draws without repetition until all have been used, in an order drawn anew per cycle.
 

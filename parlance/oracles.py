@@ -145,6 +145,9 @@ t AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS t FROM par
 SELECT format('{}__s{:02d}', p_partkey, z) AS scenario_id, s.n, s.n AS n_different, p AS n_pivot, 0 AS n_late_pivots, CASE WHEN h.k <= round(size.n * 0.05) THEN 1 ELSE 0 END AS n_rare, s.n AS n_places
 FROM t, z JOIN s ON s.local = t.t * 10 + z.z - 1 LEFT JOIN h USING (local), size WHERE s.n > 0"""
 
+#: Gain at 40 samples a second, t samples after a rare event's end.
+_RARE_GAIN = "(CASE WHEN {t} < 0 OR {t} >= 60 THEN 1 WHEN {t} <= 1 THEN 1 + (power(10, -0.3) - 1) * {t} WHEN {t} < 44 THEN power(10, -0.3) ELSE power(10, -0.3) + (1 - power(10, -0.3)) * ({t} - 44) / 15 END)"
+
 ORACLES = {
     "confusion_long": f"SELECT gold, pred, count(*) AS n FROM ({_PAIRS}) GROUP BY gold, pred",
     "confusion_dense": f"""
@@ -473,4 +476,35 @@ ORACLES = {
       o AS (SELECT *, avg(level) OVER (PARTITION BY user_id) - level AS off FROM l)
       SELECT user_id, event_type, round(level, 4) AS level, round(CASE WHEN abs(off) < 0.1 THEN 0 ELSE greatest(least(off, 12), -12) END, 4) AS gain FROM o""",
     "made_again": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
+    "frequent_answers": _ANSWERS + "SELECT answer, count(*) AS n FROM a WHERE answer IS NOT NULL GROUP BY answer ORDER BY n DESC, answer LIMIT 5",
+    "transcripts": """
+      WITH t AS (SELECT conv_id, string_agg(CASE WHEN turn % 3 = 2 THEN '[SOUND: e/knock_' || turn % 4 || ']' WHEN turn % 7 <> 6 THEN (CASE role WHEN 'user' THEN 'A' ELSE 'B' END) || ': ' || coalesce(text, '') END, chr(10) ORDER BY turn) AS said FROM conversations GROUP BY conv_id),
+      e AS (SELECT conv_id, 'e/knock_' || turn % 4 AS id, min(turn) AS first FROM conversations WHERE turn % 3 = 2 GROUP BY ALL)
+      SELECT conv_id, coalesce(said, '') AS transcript, coalesce(heard, '') AS heard FROM t LEFT JOIN (SELECT conv_id, string_agg(id, ',' ORDER BY first) AS heard FROM e GROUP BY conv_id) USING (conv_id)""",
+    "event_prompts": """
+      WITH l AS (SELECT conv_id, turn, 'x/hum_' || turn AS id, '    - x/hum_' || turn || '  →  ' || ['PIVOT', 'VERBAL', 'AMBIENT'][turn % 3 + 1] || (CASE turn % 3 WHEN 2 THEN '  (rare, disruptive)' ELSE '' END)
+        || (CASE turn % 4 WHEN 0 THEN '   [PLACEMENT: in the FIRST THIRD of the conversation]' WHEN 2 THEN '   [PLACEMENT: in the LAST THIRD of the conversation]' ELSE '' END)
+        || (CASE WHEN turn % 3 = 0 AND turn % 2 = 0 THEN chr(10) || '        move calm: stop short' || chr(10) || '        tags: [gasps], [sighs]' WHEN turn % 3 = 1 AND turn % 2 = 1 THEN chr(10) || '        move terse: ask about it' ELSE '' END) AS line FROM conversations),
+      p AS (SELECT conv_id, 'Pivot ' || coalesce(arg_min(id, turn) FILTER (turn % 3 = 0), '') || chr(10) || string_agg('    - ' || id, chr(10) ORDER BY turn) || chr(10) || string_agg(line, chr(10) ORDER BY turn) AS task FROM l GROUP BY conv_id)
+      SELECT conv_id, 'system' AS role, 'Write.' AS content FROM p UNION ALL SELECT conv_id, 'user', task FROM p""",
+    "revealed_sounds": """
+      SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 3 = 0 THEN 'A sound occurs.' WHEN event_id % 3 = 1 THEN printf('A sound at %.1f s.', event_id / 2) ELSE printf('A sound at %.1f s: ', event_id / 2) || 'soft ' || coalesce(replace(event_type, '_', ' '), '') || '.' END AS said,
+        '  - ' || event_type || chr(10) || '  - none of them' AS options FROM events""",
+    "listening_clues": """
+      WITH t AS (SELECT conv_id, turn, lower(text) AS low, lower(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '')) AS before FROM conversations),
+      w AS (SELECT *, list_filter(list_sort(list_distinct(regexp_extract_all(before, '[a-z]{6,}'))), lambda x: contains(low, x)) AS echoed FROM t)
+      SELECT conv_id, turn, CASE WHEN contains(low, 'ther') OR contains(low, 'east') OR contains(low, 'hall') THEN 'ther east hall' END AS place,
+        concat_ws(',', CASE WHEN contains(low, 'answer') THEN 'answer' END, CASE WHEN contains(low, 'tion') THEN 'tion of' END, CASE WHEN contains(low, 'ther') AND contains(low, 'that') THEN 'ther that' END) AS sounds,
+        array_to_string(echoed[1:4], ',') AS echoed FROM w""",
+    "event_placements": """
+      WITH u AS (SELECT conv_id, turn, turn % 4 AS k, turn % 3 = 2 AS heard, count(*) FILTER (turn % 3 <> 2 AND turn % 7 <> 6) OVER (PARTITION BY conv_id ORDER BY turn) AS seen FROM conversations)
+      SELECT conv_id, turn, 'e/knock_' || k AS event_id, CASE WHEN k = 0 THEN 'rare' WHEN k = 1 OR (k = 2 AND conv_id % 2 = 1) THEN 'supporting' ELSE 'core' END AS layer,
+        CASE WHEN seen > 0 THEN seen - 1 END AS after_turn, k < 3 AND conv_id % 3 = k AS is_behavioural, CASE WHEN k = 1 THEN 'verbal' END AS reaction FROM u WHERE heard""",
+    "shard_sizes": "SELECT s AS shard, count(o_orderkey) AS n FROM range(7) r(s) LEFT JOIN orders ON o_orderkey % 6 = s AND s <> 3 GROUP BY s",
+    "signal_rare_duck": f"""
+      WITH t AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda v, i: v * least({_RARE_GAIN.format(t='(i - 3)')}, {_RARE_GAIN.format(t='(i - 21)')})) AS x FROM embeddings)
+      SELECT vec_id, {', '.join(f'round(x[{i + 1}], 9) + 0 AS x{i}' for i in (1, 2, 3, 30, 50, 63))}, round(list_sum(list_transform(x, lambda v, i: v * i)), 6) AS weighted FROM t""",
+    "audio_formats": """
+      WITH f AS (SELECT p_partkey, coalesce(['mp3', 'pcm', 'opus'][p_partkey % 3 + 1] || '_' || CASE WHEN p_partkey % 4 > 0 THEN CAST((p_partkey % 5 + 1) * 8000 AS VARCHAR) END || CASE WHEN p_partkey % 2 = 0 THEN '_128' ELSE '' END, 'mp3_high_64') AS f FROM part)
+      SELECT p_partkey, nullif(regexp_extract(f, '^mp3_[^_]*_([0-9]+)$', 1), '') || 'k' AS bitrate, CAST(regexp_extract(f, '_([0-9]+)(_|$)', 1) AS BIGINT) AS rate, round(p_partkey * 1000 / 88200, 6) AS seconds FROM f""",
 }

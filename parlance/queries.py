@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import levels, signal, tags, text
 from parlance.functions.loose_json import read_reply
-from parlance.operators import alignment, cache, catalog, filtering, items, metrics, placement, quota, records, timeline, validation, verdicts
+from parlance.operators import alignment, cache, catalog, filtering, items, metrics, placement, prompts, quota, records, timeline, validation, verdicts
 from parlance.plans import allocation
 from parlance.sources.tables import merge_summaries, parquet
 from parlance.streaming import events as stream_events
@@ -140,6 +140,11 @@ def mcq_positions(spark, d):
     return items.answer_positions(_answers(spark, d))
 
 
+@query
+def frequent_answers(spark, d):
+    return items.frequent_answers(_answers(spark, d))
+
+
 @query
 def summary_items(spark, d):
     scenes = parquet(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"))
@@ -894,3 +899,82 @@ def made_again(spark, d):
     """Orders kept when those with a returned item are to be made again."""
     ids = parquet(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     return filtering.without(parquet(spark, d, "orders").select("o_orderkey", "o_orderpriority"), ids, "o_orderkey")
+
+
+# --- prompts and placements -----------------------------------------------------------------
+
+
+def _timelines(spark, d):
+    """Conversations as one array of items each: turns of users are said by A, every third turn is an event."""
+    t = F.col("turn")
+    kind = F.when(t % 3 == 2, "event").when(t % 7 == 6, "pause").otherwise("utterance")
+    item = F.struct("turn", kind.alias("type"), F.when(F.col("role") == "user", "A").otherwise("B").alias("speaker"), F.col("text"), F.concat(F.lit("e/knock_"), t % 4).alias("event_id"))
+    return _turns(spark, d).groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("timeline"))
+
+
+@query
+def transcripts(spark, d):
+    line = F.col("timeline")
+    return _timelines(spark, d).select("conv_id", prompts.transcript(line).alias("transcript"), F.array_join(prompts.heard_ids(line), ",").alias("heard"))
+
+
+@query
+def event_prompts(spark, d):
+    of = lambda *values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("turn") % len(values)).cast("int"))
+    event = F.struct("turn", F.concat(F.lit("x/hum_"), "turn").alias("event_id"), of("pivot", "verbal", "ambient").alias("reaction"), of(False, None, True).cast("boolean").alias("is_rare"), of("early", "", "late", None).alias("slot"), of("calm", "terse").alias("register"))
+    rows = _turns(spark, d).groupBy("conv_id").agg(F.sort_array(F.collect_list(event)).alias("events"))
+    known = spark.createDataFrame([("pivot", "calm", "stop short", ["[gasps]", "[sighs]"]), ("verbal", "terse", "ask about it", []), ("ambient", "calm", "", ["[coughs]"])], "reaction string, register string, move string, required_tags array<string>")
+    lines = prompts.with_event_lines(rows, known, "        move {register}: {move}", "        tags: {tags}")
+    task = prompts.filled_in("Pivot {pivot}\n{sounds}\n{lines}", pivot=prompts.pivot_of(F.col("events")), sounds=prompts.bullets(F.transform("events", lambda e: e["event_id"]), 4, "    (none)"), lines=F.col("event_lines"))
+    return lines.select("conv_id", F.explode(prompts.messages(F.lit("Write."), task)).alias("m")).select("conv_id", "m.role", "m.content")
+
+
+@query
+def revealed_sounds(spark, d):
+    i = F.col("event_id")
+    reveal = F.when(i % 3 == 0, "none").when(i % 3 == 1, "time").otherwise("time_id")
+    rows = parquet(spark, d, "events")
+    said = prompts.revealed(F.when(i % 5 > 0, i / 2.0), F.concat(F.lit("x/soft_"), "event_type"), reveal, "A sound occurs.", "A sound at {t} s.", "A sound at {t} s: {name}.")
+    return rows.select("event_id", said.alias("said"), prompts.bullets(F.array("event_type", F.lit("none of them"))).alias("options"))
+
+
+@query
+def listening_clues(spark, d):
+    """Replies are the conversations' texts, set against the text before."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = _turns(spark, d).select("conv_id", "turn", "text", before.alias("before"))
+    found = rows.select("conv_id", "turn", prompts.clues(F.col("text"), F.lit("ther_east_hall"), F.array(F.lit("x/answer"), F.lit("x/tion_of"), F.lit("y/ther_that")), F.col("before")).alias("c"))
+    return found.select("conv_id", "turn", "c.place", F.array_join("c.sounds", ",").alias("sounds"), F.array_join("c.echoed", ",").alias("echoed"))
+
+
+@query
+def event_placements(spark, d):
+    rows = _timelines(spark, d).select("conv_id", F.explode("timeline").alias("i")).select("conv_id", "i.turn", "i.type", "i.event_id")
+    i, k = F.col("conv_id"), F.col("k")
+    layer = F.when(k == 0, "rare").when(k == 1, "supporting").when(k == 2, F.when(i % 2 == 0, "core").otherwise("supporting"))
+    known = rows.select("conv_id").distinct().select("conv_id", F.explode(F.array(*[F.lit(n) for n in (0, 1, 2, 1)])).alias("k"))
+    known = known.select("conv_id", F.concat(F.lit("e/knock_"), k).alias("event_id"), layer.alias("layer"), F.when(k == 1, "verbal").alias("reaction"), (i % 3 == k).alias("behavioural"))
+    return placement.event_placements(rows, known, "conv_id", "turn")
+
+
+@query
+def shard_sizes(spark, d):
+    """Orders over seven shards, two of which stay empty."""
+    return quota.shard_sizes(parquet(spark, d, "orders").select((F.col("o_orderkey") % 6).cast("long").alias("shard")).where("shard <> 3"), 7)
+
+
+@query
+def signal_rare_duck(spark, d):
+    ends = F.array(F.lit(0.05), F.lit(0.5), F.lit(9.0))
+    low = signal.ducked_after(40)(F.col("embedding").cast("array<double>"), ends)
+    weighted = F.aggregate(F.zip_with("x", F.sequence(F.lit(1), F.size("x")), lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v)
+    rows = parquet(spark, d, "embeddings").select("vec_id", low.alias("x"))
+    return rows.select("vec_id", *[F.round(F.get("x", F.lit(i)) + 0.0, 9).alias(f"x{i}") for i in (1, 2, 3, 30, 50, 63)], F.round(weighted, 6).alias("weighted"))
+
+
+@query
+def audio_formats(spark, d):
+    p = F.col("p_partkey")
+    name = F.concat(F.when(p % 3 == 0, "mp3").when(p % 3 == 1, "pcm").otherwise("opus"), F.lit("_"), F.when(p % 4 > 0, (p % 5 + 1) * 8000).cast("string"), F.when(p % 2 == 0, "_128").otherwise(""))
+    name = F.coalesce(name, F.lit("mp3_high_64"))
+    return parquet(spark, d, "part").select("p_partkey", signal.mp3_bitrate(name).alias("bitrate"), signal.sample_rate(name).alias("rate"), F.round(signal.pcm_seconds(p * 1000, F.lit(44100)), 6).alias("seconds"))

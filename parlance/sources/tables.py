@@ -46,6 +46,21 @@ def listed_ids(spark: SparkSession, path: str, key: str = "scenario_id") -> Data
     return whole.select(F.explode(found).alias(key)).where(F.col(key) != "").distinct()
 
 
+def themes(spark: SparkSession, path: str) -> DataFrame:
+    """(topic, place, category, theme, theme_key) of a JSON file {topics: [{category, items}]}, places from 0; theme_key is category::theme."""
+    rows = spark.read.schema("topics array<struct<category:string,items:array<string>>>").json(path, multiLine=True)
+    topics = rows.select(F.posexplode("topics").alias("topic", "t"))
+    listed = topics.select("topic", F.posexplode("t.items").alias("place", "theme"), F.col("t.category").alias("category"))
+    return listed.select("topic", "place", "category", "theme", F.concat_ws("::", "category", "theme").alias("theme_key"))
+
+
+def registers(spark: SparkSession, path: str) -> DataFrame:
+    """(reaction, place, register, move, required_tags) of a JSON file {registers: {reaction: [{key, move, required_tags}]}}."""
+    rows = spark.read.schema("registers map<string,array<struct<key:string,move:string,required_tags:array<string>>>>").json(path, multiLine=True)
+    listed = rows.select(F.explode("registers").alias("reaction", "r")).select("reaction", F.posexplode("r").alias("place", "r"))
+    return listed.select("reaction", "place", F.col("r.key").alias("register"), F.coalesce("r.move", F.lit("")).alias("move"), F.coalesce("r.required_tags", F.array().cast("array<string>")).alias("required_tags"))
+
+
 def manifests(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """Scene manifests (`*.manifest.json`) that have placed events, with the path they came from."""
     read = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.manifest.json").json(folder)

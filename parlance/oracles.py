@@ -507,4 +507,14 @@ ORACLES = {
     "audio_formats": """
       WITH f AS (SELECT p_partkey, coalesce(['mp3', 'pcm', 'opus'][p_partkey % 3 + 1] || '_' || CASE WHEN p_partkey % 4 > 0 THEN CAST((p_partkey % 5 + 1) * 8000 AS VARCHAR) END || CASE WHEN p_partkey % 2 = 0 THEN '_128' ELSE '' END, 'mp3_high_64') AS f FROM part)
       SELECT p_partkey, nullif(regexp_extract(f, '^mp3_[^_]*_([0-9]+)$', 1), '') || 'k' AS bitrate, CAST(regexp_extract(f, '_([0-9]+)(_|$)', 1) AS BIGINT) AS rate, round(p_partkey * 1000 / 88200, 6) AS seconds FROM f""",
+    "final_dialogues": """
+      SELECT CAST(conv_id AS VARCHAR) AS scenario_id, 'scene_' || conv_id % 4 AS scene, 'train' AS split, 'F' AS gender_a, count(*) FILTER (turn % 3 <> 2) AS n_events, count(*) FILTER (turn % 3 <> 2 AND turn % 7 <> 6) AS n_turns_total,
+        count(*) FILTER (turn % 3 <> 2 AND turn % 7 <> 6 AND role = 'user') AS n_turns_a, count(*) FILTER (turn % 3 <> 2 AND turn % 7 <> 6 AND role <> 'user') AS n_turns_b, count(*) FILTER (turn % 3 = 2) AS n_events_in_timeline,
+        string_agg(CASE WHEN turn % 3 = 2 THEN 'event' WHEN turn % 7 = 6 THEN 'pause' ELSE 'utterance' END, ',' ORDER BY turn) AS types FROM conversations WHERE conv_id % 9 > 0 GROUP BY conv_id""",
+    "batch_results": """
+      SELECT CASE WHEN o_orderkey % 4 > 0 THEN '' ELSE 'c' END || o_orderkey AS item_id, CASE o_orderstatus WHEN 'F' THEN 'batch:succeeded' WHEN 'O' THEN 'batch:errored:' || CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority ELSE 'unknown' END ELSE 'batch:expired' END AS status,
+        CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS reply, CASE WHEN o_orderstatus = 'O' THEN 'O' END AS parameter FROM orders""",
+    "master_levels": """
+      SELECT p_partkey AS scenario_id, CASE WHEN p_partkey % 5 = 0 THEN '/a/' || p_partkey || '.mp3' ELSE '/scenes/' || p_partkey || '.wav' END AS path,
+        CASE WHEN p_partkey % 3 > 0 AND p_partkey % 2 = 0 THEN p_partkey / -8 END AS master_input_lufs, CASE WHEN p_partkey % 3 > 0 AND p_partkey % 2 = 1 THEN 1.0::DOUBLE END AS master_limiter_gain FROM part""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import levels, signal, tags, text
 from parlance.functions.loose_json import read_reply
-from parlance.operators import alignment, cache, catalog, filtering, items, metrics, placement, prompts, quota, records, timeline, validation, verdicts
+from parlance.operators import alignment, assembly, cache, catalog, filtering, items, metrics, placement, prompts, quota, records, timeline, validation, verdicts
 from parlance.plans import allocation
 from parlance.sources.tables import merge_summaries, parquet
 from parlance.streaming import events as stream_events
@@ -978,3 +978,33 @@ def audio_formats(spark, d):
     name = F.concat(F.when(p % 3 == 0, "mp3").when(p % 3 == 1, "pcm").otherwise("opus"), F.lit("_"), F.when(p % 4 > 0, (p % 5 + 1) * 8000).cast("string"), F.when(p % 2 == 0, "_128").otherwise(""))
     name = F.coalesce(name, F.lit("mp3_high_64"))
     return parquet(spark, d, "part").select("p_partkey", signal.mp3_bitrate(name).alias("bitrate"), signal.sample_rate(name).alias("rate"), F.round(signal.pcm_seconds(p * 1000, F.lit(44100)), 6).alias("seconds"))
+
+
+# --- finished records -----------------------------------------------------------------------
+
+
+@query
+def final_dialogues(spark, d):
+    told = _timelines(spark, d).where("conv_id % 9 > 0").select(F.col("conv_id").cast("string").alias("scenario_id"), "timeline")
+    rows = assembly.final_dialogues(records.normalised(_scenarios(spark, d)), told)
+    return rows.select("scenario_id", "scene", "split", "gender_a", "n_events", "n_turns_total", "n_turns_a", "n_turns_b", "n_events_in_timeline", F.array_join(F.transform("timeline", lambda i: i["type"]), ",").alias("types"))
+
+
+@query
+def batch_results(spark, d):
+    o = parquet(spark, d, "orders")
+    custom = F.concat(F.lit("c"), "o_orderkey")
+    kind = F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "O", "errored").otherwise("expired")
+    found = o.select(custom.alias("custom_id"), kind.alias("kind"), F.col("o_orderpriority").alias("reply"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("error_type"), F.concat(F.lit("{'param': '"), "o_orderstatus", F.lit("'}")).alias("error"))
+    sent = o.where("o_orderkey % 4 > 0").select(custom.alias("custom_id"), F.col("o_orderkey").cast("string").alias("item_id"))
+    return assembly.batch_results(found, sent).select("item_id", "status", "reply", assembly.rejected_parameter(F.col("note")).alias("parameter"))
+
+
+@query
+def master_levels(spark, d):
+    rows = parquet(spark, d, "part").select(F.col("p_partkey").alias("scenario_id"))
+    p = F.col("scenario_id")
+    kept = rows.where(p % 3 > 0).select("scenario_id", F.when(p % 2 == 0, F.to_json(F.struct((p / -8).alias("master_input_lufs"), F.lit("none").alias("master_limiter_gain")))).otherwise(F.to_json(F.struct(F.lit(1).alias("master_limiter_gain")))).alias("processing"))
+    files = rows.where(p % 5 == 0).select(F.concat(F.lit("/a/"), p, F.lit(".mp3")).alias("path"))
+    declared = rows.select("scenario_id", F.concat(F.lit("/a/"), p, F.lit(".mp3")).alias("audio"))
+    return assembly.master_levels(assembly.declared_audio(declared, files, "/scenes").select("scenario_id", "path"), kept)

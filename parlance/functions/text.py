@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 START, END = "(?i)(^|[^a-z0-9_])", "($|[^a-z0-9_])"
 #: What a spoken text must not hold, in the order in which it is looked for.
@@ -80,18 +84,46 @@ def evidence_in(evidence: Column, text: Column) -> Column:
     return F.coalesce((F.size(words(quote)) >= 2) & F.contains(fold(text), quote), F.lit(False))
 
 
-def quoted(docs: DataFrame, doc: str, doc_text: str, quotes: DataFrame, quote: str, quote_text: str, most: int = 1 << 24) -> DataFrame:
+def _quotes_in(block: pa.Table):
+    """For mapInArrow: (d, text) to (d, q), by one automaton of a block of quotes (q, t)."""
+    ids, quotes = block["q"].combine_chunks(), block["t"].to_pylist()
+
+    def run(batches):
+        rows_of: dict[str, list[int]] = {}
+        for n, t in enumerate(quotes):
+            rows_of.setdefault(t, []).append(n)
+        everywhere = rows_of.pop("", [])
+        machine = ahocorasick.Automaton()
+        for t, rows in rows_of.items():
+            machine.add_word(t, rows)
+        if rows_of:
+            machine.make_automaton()
+        for batch in batches:
+            at, which = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                hits = {rows[0]: rows for _, rows in machine.iter(text)} if rows_of else {}
+                found = [n for rows in (everywhere, *hits.values()) for n in rows]
+                at += [i] * len(found)
+                which += found
+            yield pa.RecordBatch.from_arrays([batch.column("d").take(pa.array(at, pa.int64())), ids.take(pa.array(which, pa.int64()))], ["d", "q"])
+
+    return run
+
+
+def quoted(docs: DataFrame, doc: str, doc_text: str, quotes: DataFrame, quote: str, quote_text: str, most: int = 1 << 22) -> DataFrame:
     """(doc, quote): texts that contain a quote, both folded; every pair once per rows of them.
 
-    Quotes are the small side: they are broadcast in blocks of at most `most` characters in all, each as one list
-    that a text is looked through for where it is read, so texts are never shuffled. An empty quote is in every text.
+    Quotes are the small side: blocks of about `most` characters go to every task, where one automaton finds all of a
+    block's quotes in one pass over each text, so texts are never shuffled. An empty quote is in every text; null texts
+    and quotes are in none.
     """
     rows = quotes.select(F.col(quote).alias("q"), fold(F.col(quote_text)).alias("t")).where("t IS NOT NULL")
     blocks = max(1, -(-(rows.agg(F.sum(F.length("t"))).first()[0] or 0) // most))
-    listed = rows.groupBy(F.pmod(F.xxhash64("q", "t"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("q", "t")).alias("listed"))
-    texts = docs.select(F.col(doc).alias("d"), fold(F.col(doc_text)).alias("text"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    found = texts.join(F.broadcast(listed), "b").select("d", F.explode(F.filter("listed", lambda x: F.contains(F.col("text"), x["t"]))).alias("x"))
-    return found.select(F.col("d").alias(doc), F.col("x.q").alias(quote))
+    texts = docs.select(F.col(doc).alias("d"), fold(F.col(doc_text)).alias("text")).where("text IS NOT NULL")
+    schema = T.StructType([T.StructField("d", docs.schema[doc].dataType), T.StructField("q", quotes.schema[quote].dataType)])
+    block = lambda b: rows.where(F.pmod(F.xxhash64("q", "t"), F.lit(blocks)) == b).toArrow()
+    found = reduce(DataFrame.unionByName, [texts.mapInArrow(_quotes_in(block(b)), schema) for b in range(blocks)])
+    return found.select(F.col("d").alias(doc), F.col("q").alias(quote))
 
 
 #: Fields in which a reply's object may hold the answer, in the order in which they are looked for.

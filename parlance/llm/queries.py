@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat_format, decontamination, language_id, packing, pii, prefix_forest, pseudo_likelihood, quality, simhash, toxicity
-from parlance.llm.common import remainder, table
+from parlance.llm import binary_packing, chat_format, decontamination, language_id, packing, pii, prefix_forest, pseudo_likelihood, quality, simhash, token_alignment, toxicity, whitening
+from parlance.llm.common import remainder, table, tokenizer
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,22 @@ def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs)).drop("text")
 
 
+def op11_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    rows = whitening.whiten(vectors, whitening.train(vectors))
+    each = rows.select("vec_id", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"), "n", "deviation", "identity_error")
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", F.col("deviation").try_cast("long").alias("deviation"), "c.whitened", "c.explained", "identity_error")
+
+
+def op12_bitset_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digest(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = binary_packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "batch_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_quality": op1_subword_quality,
     "op2_simhash_trie": op2_simhash_trie,
@@ -97,5 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cgk_decontamination": op8_cgk_decontamination,
     "op9_chat_format": op9_chat_format,
     "op10_mil_toxicity": op10_mil_toxicity,
+    "op11_exact_whitening": op11_exact_whitening,
+    "op12_bitset_alignment": op12_bitset_alignment,
+    "op13_binary_packing": op13_binary_packing,
 }
 ORACLES: dict[str, str] = {"op9_chat_format": OP9_SQL}

@@ -25,6 +25,7 @@ def libraries():
     return a, b
 
 
+@cache
 def byte_level_bytes(token):
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
     table = {chr(b): b for b in keep} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in keep)}

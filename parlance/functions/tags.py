@@ -74,15 +74,3 @@ def event_tag(event_id: Column, effects: bool = False, extra: dict[str, str] | N
     composed = F.when((F.size(parts) > 0) & F.forall(parts, lambda w: w.isin(*single)), F.try_element_at(listed, F.get(parts, F.lit(0))))
     found = F.coalesce(F.try_element_at(listed, event_id), F.try_element_at(listed, F.lower(event_id)), F.try_element_at(listed, leaf), composed)
     return F.when(event_id != "", found)
-
-
-def words_with_offsets(df, key: list[str], text: str):
-    """(key, n, word, offset): a text's words in lower case, tags taken off, with the place of each from 0."""
-    from parlance.functions.text import strip_tags
-
-    low = F.lower(strip_tags(F.col(text)))
-    gaps, found = (F.regexp_extract_all(low, F.lit("([^a-z']*)([a-z']+)"), i) for i in (1, 2))
-    rows = df.select(*key, F.arrays_zip(gaps.alias("gap"), found.alias("word")).alias("z"))
-    before = lambda i: F.aggregate(F.slice("z", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x["gap"]) + F.length(x["word"]))
-    placed = F.transform("z", lambda x, i: F.struct(x["word"].alias("word"), (before(i) + F.length(x["gap"])).cast("long").alias("offset")))
-    return rows.select(*key, F.posexplode(placed).alias("n", "w")).select(*key, F.col("n").cast("long").alias("n"), "w.word", "w.offset")

@@ -45,6 +45,35 @@ def turns_from_words(words: DataFrame, lengths: DataFrame, key: str, order: str,
     return met.select(key, order, F.when(first, 0.0).otherwise(F.col("bound_start")).alias("turn_start"), F.when(last, F.coalesce(length, "bound_end")).otherwise(F.col("bound_end")).alias("turn_end"))
 
 
+#: Where an alignment file keeps its turns, if it isn't their list itself, and names of a turn's fields.
+TURN_LISTS = ("turns", "turns_meta")
+SPEAKER_NAMES = ("speaker", "speaker_id", "spk", "voice", "voice_id", "speaker_label")
+START_NAMES = ("t_start_s", "start_s", "start", "t_start", "start_time_seconds")
+END_NAMES = ("t_end_s", "end_s", "end", "t_end", "end_time_seconds")
+
+
+def field(turn: Column, names: tuple[str, ...], kind: str) -> Column:
+    """The first of `names` that a turn (a variant) has and that isn't null; null if it isn't of that kind."""
+    return F.coalesce(*[F.try_variant_get(turn, f"$.{n}", kind) for n in names])
+
+
+def read_turns(raw: Column) -> Column:
+    """Turns of an alignment file's text as array of (speaker, start, end), whatever form it has; null where it holds none.
+
+    The first list that isn't empty counts: under one of TURN_LISTS, else the root itself. An entry that is no object is a turn
+    without fields. Text that isn't JSON holds none.
+    """
+    root = F.try_parse_json(raw)
+    lists = [F.try_variant_get(root, path, "array<variant>") for path in (*(f"$.{n}" for n in TURN_LISTS), "$")]
+    first = F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists])
+    return F.transform(first, lambda t: F.struct(field(t, SPEAKER_NAMES, "string").alias("speaker"), field(t, START_NAMES, "double").alias("start"), field(t, END_NAMES, "double").alias("end")))
+
+
+def is_timed(turns: Column) -> Column:
+    """Whether any turn has a start or an end."""
+    return F.coalesce(F.exists(turns, lambda t: t["start"].isNotNull() | t["end"].isNotNull()), F.lit(False))
+
+
 def by_source(sources: dict[str, DataFrame], key: str, turns: str = "turns") -> DataFrame:
     """(key, source, turns): each scene's turns from the first source that has any.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.operators.quota import hash_order, ranked, uniform
+
 
 def scene_pool(own: DataFrame, shared: DataFrame, general: DataFrame, scenes: DataFrame, forbidden: DataFrame) -> DataFrame:
     """(scene, event, branch): own events, shared ones, then general ones that the scene doesn't forbid.
@@ -45,7 +47,18 @@ def summary(**tables: DataFrame) -> DataFrame:
     return out
 
 
-def least_used(usage: DataFrame, by: list[str], n: str, order: str) -> DataFrame:
-    """The least used event per group, ties by `order`."""
-    w = Window.partitionBy(*by).orderBy(n, order)
-    return usage.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def takes(wants: DataFrame, files: DataFrame, key: str, pool: str = "pool", split: str = "split", name: str = "name", salt: str = "take") -> DataFrame:
+    """`wants` with `name`: a file of each row's pool, of its own split, drawn by a hash of its key; null where there is none.
+
+    files: (pool, split, name), each pool split by quota.partition_files(). A row without a split draws from its whole pool. The files of a
+    pool and split are numbered by their names' hashes, and a row meets the one whose number its own hash gives, so that a pool is
+    never gathered, and a pool that many rows want is spread over its files.
+    """
+    own = files.where(F.col(name).isNotNull()).select(pool, F.coalesce(split, F.lit("")).alias(split), name)
+    every = own.where(F.col(split) != "").unionByName(own.select(pool, F.lit("").alias(split), name)).distinct()
+    listed = ranked(every.withColumn("_h", hash_order("file", name)), [pool, split], ["_h", name]).select(F.col(pool).alias("_pool"), F.col(split).alias("_split"), F.col("rank").alias("_rank"), F.col("n").alias("_size"), name)
+    sizes = listed.groupBy("_pool", "_split").agg(F.max("_size").alias("_n"))
+    rows = wants.withColumn("_want", F.coalesce(split, F.lit("")))
+    rows = rows.join(sizes, (F.col(pool) == F.col("_pool")) & (F.col("_want") == F.col("_split")), "left").drop("_pool", "_split")
+    rows = rows.withColumn("_at", F.floor(uniform(salt, key) * F.col("_n")).cast("long")).drop("_n")
+    return rows.join(listed.drop("_size"), (F.col(pool) == F.col("_pool")) & (F.col("_want") == F.col("_split")) & (F.col("_at") == F.col("_rank")), "left").drop("_pool", "_split", "_want", "_at", "_rank")

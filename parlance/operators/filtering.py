@@ -62,12 +62,55 @@ def next_steps(scenarios: DataFrame, accepted_ids: DataFrame, attempts: DataFram
 
 
 def stratum_acceptance(steps: DataFrame, first_try: DataFrame, key: str, stratum: str) -> DataFrame:
-    """Per stratum: scenarios, accepted, rate, first-try rate, and mean attempts of the accepted."""
+    """Per stratum: scenarios, accepted, rate, those accepted at the first try, their rate, and mean attempts of all scenarios."""
     rows = steps.join(first_try.select(key, F.col("accepted").alias("_first")), key, "left")
     ok = F.col("state") == "accepted"
+    first = F.count_if(ok & F.coalesce("_first", F.lit(False)))
     return rows.groupBy(stratum).agg(
         F.count("*").alias("n"), F.count_if(ok).alias("n_accepted"), ratio(F.count_if(ok), F.count("*")).alias("acceptance_rate"),
-        ratio(F.count_if(ok & F.coalesce("_first", F.lit(False))), F.count("*")).alias("first_try_rate"), F.avg(F.when(ok, F.col("n_attempts"))).alias("mean_attempts"),
+        first.alias("n_first_try"), ratio(first, F.count("*")).alias("first_try_rate"), ratio(F.sum("n_attempts"), F.count("*")).alias("mean_attempts"),
+    )
+
+
+def regeneration_report(steps: DataFrame, last: DataFrame, key: str, rare: str = "has_rare", pivot: str = "has_pivot") -> DataFrame:
+    """One row over next_steps(): scenarios by state, acceptance in all, with and without a rare event, with a pivot, and rescued sounds.
+
+    last: (key, n_rescued) of each attempted scenario's last attempt, also of those that `steps` doesn't know.
+    """
+    ok, known = F.col("state") == "accepted", lambda c: F.coalesce(F.col(c), F.lit(False))
+    rows = steps.agg(
+        F.count("*").alias("n"), *[F.count_if(F.col("state") == s).alias(f"n_{s}") for s in ("accepted", "regenerate", "abandoned")], ratio(F.count_if(ok), F.count("*")).alias("acceptance_rate"),
+        *[x for name, of in (("rare", known(rare)), ("usual", ~known(rare)), ("pivot", known(pivot))) for x in (F.count_if(of).alias(f"n_{name}"), F.count_if(of & ok).alias(f"n_{name}_accepted"), ratio(F.count_if(of & ok), F.count_if(of)).alias(f"{name}_rate"))],
+    )
+    return rows.join(F.broadcast(last.agg(F.coalesce(F.sum("n_rescued"), F.lit(0)).alias("n_rescued"))), F.lit(True))  # two single rows
+
+
+def evaluated(scenarios: DataFrame, inferences: DataFrame, key: str) -> DataFrame:
+    """`scenarios` with what was inferred for them, if it was evaluated.
+
+    inferences: (key, subject_cos, pairs, n_sounds, n_missing, n_spurious, reactions_ok), pairs an array of (gold, pred); all null but the
+    key where an evaluation is missing. Left out: scenarios without an evaluation, and those with sounds where neither a subject nor a
+    pair came out, as nothing was heard there.
+    """
+    fields = ("subject_cos", "pairs", "n_sounds", "n_missing", "n_spurious", "reactions_ok")
+    some = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
+    nothing = F.col("subject_cos").isNull() & (F.coalesce(F.size("pairs"), F.lit(0)) <= 0) & (F.coalesce("n_sounds", F.lit(0)) > 0)
+    return scenarios.join(inferences.where((some > 0) & ~nothing).select(key, *fields), key)
+
+
+def recovery_metrics(rows: DataFrame, tau: float, reactions: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """Over evaluated(): scenarios, sounds, typed, missing and spurious ones, share of right sounds, subjects, their mean cosine, and the rates of recovered subjects, exact reactions and acceptance.
+
+    Rates of nothing are null.
+    """
+    count = lambda f: F.coalesce(F.size(F.filter("pairs", f)), F.lit(0))
+    topic, exact = F.coalesce(F.col("subject_cos") >= tau, F.lit(False)), F.coalesce("reactions_ok", F.lit(False))
+    own = rows.select(*by, "subject_cos", topic.alias("_topic"), exact.alias("_exact"), "n_missing", "n_spurious", F.greatest(F.coalesce(F.size("pairs"), F.lit(0)), F.lit(0)).alias("_n"),
+        F.greatest(count(lambda p: p["pred"].isin(*reactions)), F.lit(0)).alias("_typed"), F.greatest(count(lambda p: (p["gold"] == p["pred"]) & p["gold"].isin(*reactions)), F.lit(0)).alias("_right"))
+    return own.groupBy(*by).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_sounds"), F.coalesce(F.sum("_typed"), F.lit(0)).alias("n_typed"), F.coalesce(F.sum("n_missing"), F.lit(0)).alias("n_missing"), F.coalesce(F.sum("n_spurious"), F.lit(0)).alias("n_spurious"),
+        ratio(F.sum("_right"), F.sum("_n")).alias("sound_accuracy"), F.count("subject_cos").alias("n_subjects"), F.avg("subject_cos").alias("mean_cosine"),
+        ratio(F.count_if("_topic"), F.count("*")).alias("topic_rate"), ratio(F.count_if("_exact"), F.count("*")).alias("reaction_rate"), ratio(F.count_if(F.col("_topic") & F.col("_exact")), F.count("*")).alias("accept_rate"),
     )
 
 
@@ -92,10 +135,10 @@ def near_vectors(vectors: DataFrame, key: str, vector: str, group: str, tau: flo
     """(group, a, b, cosine) of vectors of one group with a cosine of at least tau, a < b.
 
     A group of n vectors is dealt into n / `cell` cells by a hash of the key; every pair of cells is a task's work, a
-    product of two small matrices, so that a large group is spread over many. Only pairs over tau are put out. Null
-    and zero vectors and null groups take no part; vectors are of one length.
+    product of two small matrices, so that a large group is spread over many. Only pairs over tau are put out. Vectors that are null,
+    zero or hold null or non-finite components take no part, and neither do null groups; vectors are of one length.
     """
-    rows = vectors.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(group).alias("g")).where("k IS NOT NULL AND g IS NOT NULL AND exists(v, x -> x <> 0)")
+    rows = vectors.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(group).alias("g")).where("k IS NOT NULL AND g IS NOT NULL AND exists(v, x -> x <> 0) AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
     cells = rows.groupBy("g").agg(F.ceil(F.count("*") / cell).cast("int").alias("cells"))
     placed = rows.join(cells, "g").withColumn("c", F.pmod(F.xxhash64("k"), F.col("cells")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))

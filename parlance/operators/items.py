@@ -24,11 +24,20 @@ def summary_items(scenes: DataFrame, key: str, budgets: tuple[int, ...] = (25, 7
     return scenes.select("*", budget.alias("budget")).withColumn("item_id", F.concat_ws("::", F.col(key).cast("string"), F.lit("summary"), F.col("budget").cast("string")))
 
 
-def grounding_items(base: DataFrame, muted: DataFrame, key: str, position: str) -> DataFrame:
-    """Two rows, present and muted, for each counterfactual: its first muted event, matched by key and position."""
-    first = muted.where("muted").groupBy(key).agg(F.min(position).alias(position))
-    both = base.join(first, [key, position])
-    return both.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("gold")).withColumn("pair_id", F.concat_ws("::", F.col(key).cast("string"), F.col(position).cast("string")))
+def grounding_items(manifests: DataFrame, muted: DataFrame, key: str = "scenario_id") -> DataFrame:
+    """Two items, present and muted, for each counterfactual: was this sound heard there?
+
+    manifests: (key, scene, bed, audio, events_placed), one row per scene. muted: the same columns of the counterfactual scenes, whose events
+    have `muted`, and `rank`, their folder's place in the list of folders. The first muted event counts, by its place among the events; there
+    is no pair where the scene is unknown, nothing is muted, the scene has no event at that place, or the muted one no start.
+    """
+    first = F.array_position(F.transform("events_placed", lambda e: F.coalesce(e["muted"], F.lit(False))), F.lit(True)) - 1
+    gone = muted.select(key, "rank", F.col("scene").alias("_scene"), F.col("audio").alias("_audio"), first.alias("_at"), F.get("events_placed", first.cast("int")).alias("_event")).where("_at >= 0 AND _event.start_s IS NOT NULL")
+    both = gone.join(manifests.select(key, "bed", "audio", "events_placed"), key).where(F.col("_at") < F.size("events_placed"))
+    heard, pair = F.get("events_placed", F.col("_at").cast("int")), _item(key, "pair", F.col("rank"))
+    rows = both.select(key, F.col("_scene").alias("scene"), "audio", "_audio", pair.alias("pair_id"), F.col("_event.event_id").alias("event_id"), heard["start_s"].alias("start_s"), margin(heard["level_lufs"], F.col("bed")).alias("margin_db"), heard["reaction"].alias("reaction"), F.explode(F.array(F.lit(True), F.lit(False))).alias("gold"))
+    item = F.concat_ws("::", "pair_id", F.when(F.col("gold"), "present").otherwise("muted"))
+    return rows.select(item.alias("item_id"), "pair_id", key, "scene", F.when(F.col("gold"), F.col("audio")).otherwise(F.col("_audio")).alias("audio"), "event_id", "start_s", "margin_db", "reaction", "gold")
 
 
 def score_choices(answers: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -35,19 +35,72 @@ def sample_span(start: Column, end: Column, total: Column, rate: int = 44_100) -
     return F.struct(clip(start).alias("first"), clip(end).alias("last"))
 
 
-def spaced_turns(turns: DataFrame, key: str, order: str, start: str, end: str, low: float, high: float, salt: str = "gap") -> DataFrame:
+def spaced_turns(turns: DataFrame, key: str, order: str, start: str, end: str, length: str, low: float, high: float, cut: str | None = None, salt: str = "gap") -> DataFrame:
     """`turns` with a drawn pause of `low` to `high` seconds behind each but the last: gap, new_start and new_end.
 
-    Scenes whose turns' ends are unknown or do not rise stay as they are.
+    A scene is cut where its turns end (or at `cut`, a better place near there), clipped to its `length`. The first turn then starts at
+    0, any other where the one before is cut, moved by all pauses so far; the last ends with the scene. Scenes of one turn, or where an
+    end but the last is unknown or the clipped ends fall, stay as they are.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    whole = Window.partitionBy(key)
+    w, whole = Window.partitionBy(key).orderBy(order), Window.partitionBy(key)
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.col(length).cast("double"), F.col(c).cast("double")))
     last = F.lead(order).over(w).isNull()
-    wrong = F.coalesce(F.col(end) < F.lag(end).over(w), F.lit(False)) & ~last | (F.col(end).isNull() & ~last)
-    rows = turns.withColumn("_last", last).withColumn("_wrong", wrong)
+    rows = turns.withColumn("_last", last).withColumn("_bound", F.when(F.col(end).isNotNull(), clip(end))).withColumn("_cut", F.coalesce(F.col(cut), F.col("_bound")) if cut else F.col("_bound"))
+    wrong = ~F.col("_last") & (F.col("_bound").isNull() | F.coalesce(F.col("_bound") < F.lag("_bound").over(w), F.lit(False)))
+    rows = rows.withColumn("_stays", (F.max(wrong.cast("int")).over(whole) == 1) | (F.count("*").over(whole) < 2) | ~F.coalesce(F.col(length) > 0, F.lit(False)))
     drawn = low + (max(low, high) - low) * uniform(salt, key, order)
-    rows = rows.withColumn("gap", F.when(F.col("_last") | F.max("_wrong").over(whole), 0.0).otherwise(drawn)).drop("_last", "_wrong")
-    return shifted_turns(rows, key, order, start, end, "gap")
+    rows = rows.withColumn("gap", F.when(F.col("_last") | F.col("_stays"), 0.0).otherwise(drawn))
+    shift = F.coalesce(F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = rows.withColumn("_shift", shift).withColumn("_before", F.lag("_cut").over(w))
+    rows = rows.withColumn("new_start", F.when(F.col("_stays"), F.col(start)).otherwise(F.coalesce(F.col("_before") + F.col("_shift"), F.lit(0.0))))
+    rows = rows.withColumn("new_end", F.when(F.col("_stays"), F.col(end)).when(F.col("_last"), F.col(length) + F.col("_shift")).otherwise(F.col("_cut") + F.col("_shift")))
+    return rows.drop("_last", "_bound", "_cut", "_stays", "_shift", "_before")
+
+
+def with_silence(samples: Column, cuts: Column, gaps: Column) -> Column:
+    """`samples` with gaps[i] zeros put in at cuts[i], which rise."""
+    none = F.filter(samples, lambda x: F.lit(False))
+    pieces = F.transform(cuts, lambda c, i: F.concat(F.slice(samples, F.coalesce(F.get(cuts, i - 1), F.lit(0)) + 1, c - F.coalesce(F.get(cuts, i - 1), F.lit(0))), F.array_repeat(F.lit(0.0), F.get(gaps, i).cast("int"))))
+    last = F.coalesce(F.try_element_at(cuts, F.lit(-1)), F.lit(0))
+    rest = F.slice(samples, last + 1, F.greatest(F.size(samples) - last, F.lit(0)))
+    return F.concat(F.coalesce(F.flatten(pieces), none), rest)
+
+
+def _level(length: Column, width: float) -> Column:
+    """How often `width` has to double until it is at least `length`."""
+    return F.greatest(F.ceil(F.log2(length / width)), F.lit(0)).cast("int")
+
+
+def _binned(rows: DataFrame, start: str, end: str, width: float, levels: list[int]) -> DataFrame:
+    """A row for each bin that an interval touches at each of `levels` that its own doesn't exceed: _at (level), _bin, _first, _own."""
+    size = lambda level: F.lit(width) * F.pow(F.lit(2.0), level)
+    each = rows.withColumn("_home", _level(F.col(end) - F.col(start), width)).withColumn("_at", F.explode(F.array(*[F.lit(x) for x in levels]))).where("_at >= _home")
+    first, last = F.floor(F.col(start) / size(F.col("_at"))), F.greatest(F.ceil(F.col(end) / size(F.col("_at"))) - 1, F.floor(F.col(start) / size(F.col("_at"))))
+    return each.withColumn("_first", first).withColumn("_bin", F.explode(F.sequence(first, last))).withColumn("_own", F.col("_at") == F.col("_home")).drop("_home")
+
+
+def overlaps(left: DataFrame, right: DataFrame, key: str, width: float, spans: tuple[str, str, str, str] = ("a_start", "a_end", "b_start", "b_end")) -> DataFrame:
+    """Pairs of rows of one key whose intervals [start, end) share some time, each pair once: all columns of both, and `shared`.
+
+    Columns of the two but `key` differ in name. An interval lies in bins of `width`, doubled until it touches two at most; a
+    shorter one also appears in the bins of longer ones' levels. So neither long intervals nor short ones are put into many bins, and
+    short ones never meet in wide bins. A pair counts in the later one of the two first bins. A key with many rows is spread over its bins. Null, empty
+    and reversed intervals overlap with nothing, and null keys with none.
+    """
+    a_start, a_end, b_start, b_end = spans
+    known = lambda df, s, e: df.where(F.col(key).isNotNull() & (F.col(e) > F.col(s)))
+    left, right = known(left, a_start, a_end), known(right, b_start, b_end)
+    levels = lambda df, s, e: sorted(r[0] for r in df.select(_level(F.col(e) - F.col(s), width)).distinct().collect())  # noqa: E731  at most some 60
+    of_left, of_right = levels(left, a_start, a_end), levels(right, b_start, b_end)
+    if not of_left or not of_right:
+        return left.join(right, key).withColumn("shared", F.lit(0.0)).where(F.lit(False))
+    binned = _binned(left, a_start, a_end, width, sorted({*of_left, *of_right}))
+    own = binned.where("_own").drop("_own").withColumnsRenamed({"_first": "_first_a"})
+    guests = binned.where("NOT _own").drop("_own").withColumnsRenamed({"_first": "_first_a"})
+    other = _binned(right, b_start, b_end, width, sorted({*of_left, *of_right})).withColumnsRenamed({"_first": "_first_b", "_own": "_own_b"})
+    meet = (F.col(a_start) < F.col(b_end)) & (F.col(b_start) < F.col(a_end)) & (F.col("_bin") == F.greatest("_first_a", "_first_b"))
+    found = own.join(other.drop("_own_b"), [key, "_at", "_bin"]).where(meet).unionByName(guests.join(other.where("_own_b").drop("_own_b"), [key, "_at", "_bin"]).where(meet))
+    return found.drop("_at", "_bin", "_first_a", "_first_b").withColumn("shared", F.least(a_end, b_end) - F.greatest(a_start, b_start))
 
 
 #: Where the id of a sound that a person makes starts, and what it may hold.

@@ -6,8 +6,13 @@ state, and can be repeated in SQL.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from parlance.operators.metrics import upper_medians
 
 SPLITS = ("train", "dev", "test")
 
@@ -53,10 +58,32 @@ def largest_remainder(df: DataFrame, total: str, weight: str, position: str, by:
     return df.withColumn("quota", (F.col("_floor") + F.when(rank <= left, 1).otherwise(0)).cast("long")).drop("_exact", "_floor")
 
 
+def leading_range(df: DataFrame, first: Column) -> Column:
+    """A value that never falls while `first` rises and cuts it into ranges: two characters of a text, 2^24 of a whole number; else one range."""
+    kind = df.select(first).schema[0].dataType
+    if isinstance(kind, T.StringType):
+        return F.substring(first, 1, 2)
+    if isinstance(kind, T.IntegralType):
+        return F.floor(first / F.lit(float(1 << 24)))
+    return F.lit(0)
+
+
 def ranked(df: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame:
-    """`df` with rank (from 0) and group size n within `by`."""
+    """`df` with rank (from 0) and group size n within `by`.
+
+    Ranks are counted within ranges of the order's first entry, and the sizes of a group's ranges before are added, so that no
+    task holds a group of which there are only a few. Hashes, as leading entry, cut a group into 256 even ranges.
+    """
+    first = order[0] if isinstance(order[0], Column) else F.col(order[0])
+    rows = df.withColumn("_range", leading_range(df, first))
+    sizes = rows.groupBy(*by, "_range").agg(F.count("*").alias("_size"))
     whole = Window.partitionBy(*by)
-    return df.withColumn("rank", (F.row_number().over(whole.orderBy(*order)) - 1).cast("long")).withColumn("n", F.count("*").over(whole))
+    before = F.sum("_size").over(whole.orderBy(F.col("_range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    keys = [*by, "_range"]
+    places = sizes.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)], F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_size").over(whole).alias("n"))
+    own = rows.drop("rank", "n").withColumn("_own", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(keys)])
+    return own.join(places, same).withColumn("rank", (F.col("_before") + F.col("_own")).cast("long")).drop("_range", "_own", "_before", *[f"_key{i}" for i in range(len(keys))])
 
 
 def split_counts(n: Column, ratios: dict[str, float], each_one: bool = False) -> Column:
@@ -94,7 +121,7 @@ def split_counts(n: Column, ratios: dict[str, float], each_one: bool = False) ->
 def assign_split(df: DataFrame, by: list[str], order: list[Column | str], ratios: dict[str, float], each_one: bool = False) -> DataFrame:
     """`df` with `split`: each group, in the given order, cut into train, dev and test.
 
-    A group's ranks come from one window over `by`; use a fine `by` (category and theme, pool).
+    Ranks come from ranges of the order's first entry, see ranked().
     """
     rows = ranked(df, by, order).withColumn("_counts", split_counts(F.col("n"), ratios, each_one))
     train, dev = F.get("_counts", F.lit(0)), F.get("_counts", F.lit(1))
@@ -170,20 +197,28 @@ def split_report(df: DataFrame, template: str, theme: str) -> DataFrame:
     return df.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct(template).alias("templates"), F.countDistinct(theme).alias("themes"))
 
 
-def round_robin(df: DataFrame, order: str, shards: int, parts: int = 64) -> DataFrame:
-    """`df` with `shard`, the rank in `order` (a number or a time) modulo `shards`.
+def value_ranges(df: DataFrame, order: str, parts: int) -> Column:
+    """The number of the range of `order` (a number or a time) that a row is in; about equally many rows share one, and equal values always do.
 
-    The rank is made without sorting all rows in one task: quantiles cut the order into `parts` ranges, ranks are
-    counted within them, and the ranges' sizes are added up. Which range a row is in follows from its value alone.
+    Which range a row is in follows from its value alone; nulls are in none.
     """
-    cuts = df.agg(F.percentile_approx(F.col(order), [i / parts for i in range(1, parts)], F.lit(10 * parts))).first()[0]
+    cuts = df.agg(F.percentile_approx(F.col(order), [i / parts for i in range(1, parts)], F.lit(10 * parts))).first()[0] if parts > 1 else []
     cuts = F.array(*[F.lit(x) for x in sorted(set(cuts or []))]).cast(f"array<{df.schema[order].dataType.simpleString()}>")
-    rows = df.withColumn("_part", F.size(F.filter(cuts, lambda x: x < F.col(order))))
-    own = Window.partitionBy("_part").orderBy(order)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    offsets = rows.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    ranked_rows = rows.join(F.broadcast(offsets), "_part")
-    return ranked_rows.withColumn("shard", ((F.col("_before") + F.row_number().over(own) - 1) % shards).cast("long")).drop("_part", "_before")
+    return F.when(F.col(order).isNotNull(), F.size(F.filter(cuts, lambda x: x < F.col(order))))
+
+
+def round_robin(df: DataFrame, order: list[str], shards: int, parts: int = 64) -> DataFrame:
+    """`df` with `shard`, the rank in `order` (whose first is a number or a time) modulo `shards`.
+
+    The rank is made without sorting all rows in one task: quantiles cut the order into `parts` ranges, ranks are
+    counted within them, and the ranges' sizes are added up.
+    """
+    rows = df.withColumn("_part", value_ranges(df, order[0], parts))
+    own = Window.partitionBy("_part").orderBy(*order)
+    before = Window.orderBy(F.col("_part").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = rows.groupBy("_part").agg(F.count("*").alias("_size")).select(F.col("_part").alias("_key"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    ranked_rows = rows.withColumn("_own", F.row_number().over(own) - 1).join(F.broadcast(offsets), F.col("_part").eqNullSafe(F.col("_key")))
+    return ranked_rows.withColumn("shard", ((F.col("_before") + F.col("_own")) % shards).cast("long")).drop("_part", "_key", "_before", "_own")
 
 
 def shard_sizes(sharded: DataFrame, shards: int) -> DataFrame:
@@ -194,28 +229,46 @@ def shard_sizes(sharded: DataFrame, shards: int) -> DataFrame:
     return counts.unionByName(every).groupBy("shard").agg(F.sum("n").alias("n"))
 
 
-def register_cycle(df: DataFrame, by: list[str], order: list[Column | str], registers: int, salt: str = "cycle") -> DataFrame:
+def register_cycle(df: DataFrame, by: list[str], order: list[Column | str], registers: int | Column, salt: str = "cycle") -> DataFrame:
     """`df` with cycle and `register`: draws without repetition until all have been used, in an order drawn anew per cycle.
 
-    A cycle's order is that of the hashes of salt|group|cycle|register.
+    A cycle's order is that of the hashes of salt|group|cycle|register. `registers` may differ between groups; where there
+    are none, both are null.
     """
+    registers = F.nullif(F.lit(registers) if isinstance(registers, int) else registers, F.lit(0)).cast("int")
     rows = ranked(df, by, order).withColumn("cycle", F.floor(F.col("rank") / registers).cast("long"))
     key = lambda r: F.sha1(F.concat_ws("|", F.lit(salt), *[F.col(c).cast("string") for c in by], F.col("cycle").cast("string"), r.cast("string")).cast("binary"))
-    drawn = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(registers - 1)), lambda r: F.struct(key(r).alias("k"), r.cast("long").alias("r"))))
+    drawn = F.array_sort(F.transform(F.sequence(F.lit(0), registers - 1), lambda r: F.struct(key(r).alias("k"), r.cast("long").alias("r"))))
     return rows.withColumn("register", F.get(drawn, (F.col("rank") % registers).cast("int"))["r"]).drop("rank", "n")
 
 
-def event_balance(placements: DataFrame, event: str, reaction: str, reactions: list[str]) -> DataFrame:
-    """One row: how evenly events are used, and how far each event's reactions are from the overall shares (points)."""
+#: How the ids of rare events and of events of no scene start.
+RARE_PREFIX, GENERAL_PREFIX = "rare_events/", "general/"
+
+
+def event_balance(placements: DataFrame, event: str, reaction: str, reactions: tuple[str, ...] = ("pivot", "verbal", "behavioral", "ambient")) -> DataFrame:
+    """One row: how evenly events are used, and how far each event's reactions are from the overall shares (points).
+
+    n_placements and n_event_ids count rare events too; all other figures leave them out: least, upper median and most uses of
+    an event; number, mean use and share of the general ones, number and mean use of the others; mean and largest deviation; and the
+    reactions' overall shares. Figures of no events are 0, shares of no events null.
+    """
     counts = placements.groupBy(event, reaction).agg(F.count("*").alias("c"))
-    wide = counts.groupBy(event).agg(F.sum("c").alias("used"), *[F.sum(F.when(F.col(reaction) == r, F.col("c")).otherwise(0)).alias(f"r{i}") for i, r in enumerate(reactions)])
-    # overall shares: one row, joined back by a literal key
-    overall = wide.agg(F.sum("used").alias("total"), *[F.sum(f"r{i}").alias(f"t{i}") for i in range(len(reactions))])
-    rows = wide.withColumn("k", F.lit(1)).join(F.broadcast(overall.withColumn("k", F.lit(1))), "k")
-    gap = F.explode(F.array(*[F.abs(F.col(f"r{i}") / F.col("used") - F.col(f"t{i}") / F.col("total")) for i in range(len(reactions))]))
-    gaps = rows.select(gap.alias("gap")).agg((100 * F.avg("gap")).alias("mean_gap"), (100 * F.max("gap")).alias("max_gap"))
-    usage = wide.agg(F.sum("used").alias("placements"), F.count("*").alias("events"), F.min("used").alias("least"), F.max("used").alias("most"))
-    return usage.withColumn("k", F.lit(1)).join(F.broadcast(gaps.withColumn("k", F.lit(1))), "k").drop("k")
+    wide = counts.groupBy(F.col(event).alias("event")).agg(F.sum("c").alias("used"), *[F.sum(F.when(F.col(reaction) == r, F.col("c")).otherwise(0)).alias(f"r{i}") for i, r in enumerate(reactions)])
+    every = wide.agg(F.coalesce(F.sum("used"), F.lit(0)).alias("n_placements"), F.count("*").alias("n_event_ids"))
+    usual = wide.where(~F.col("event").startswith(RARE_PREFIX))
+    general = F.col("event").startswith(GENERAL_PREFIX)
+    uses = usual.agg(
+        F.coalesce(F.min("used"), F.lit(0)).alias("least"), F.coalesce(F.max("used"), F.lit(0)).alias("most"), F.count_if(general).alias("n_general"), F.count_if(~general).alias("n_scene"),
+        F.coalesce(F.avg(F.when(general, F.col("used"))), F.lit(0.0)).alias("mean_general"), F.coalesce(F.avg(F.when(~general, F.col("used"))), F.lit(0.0)).alias("mean_scene"),
+        F.coalesce(F.try_divide(F.sum(F.when(general, F.col("used"))), F.sum("used")), F.lit(0.0)).alias("share_general"),
+        *[F.try_divide(F.sum(f"r{i}"), F.sum("used")).alias(f"share_{r}") for i, r in enumerate(reactions)],
+    )
+    median = upper_medians(usual, "used").agg(F.coalesce(F.max("median"), F.lit(0)).alias("median"))
+    gap = F.explode(F.array(*[F.abs(F.col(f"r{i}") / F.col("used") - F.col(f"share_{r}")) for i, r in enumerate(reactions)]))
+    gaps = usual.join(F.broadcast(uses.select(*[f"share_{r}" for r in reactions])), F.lit(True)).select(gap.alias("gap"))  # one row of shares
+    gaps = gaps.agg(F.coalesce(100 * F.avg("gap"), F.lit(0.0)).alias("mean_gap"), F.coalesce(100 * F.max("gap"), F.lit(0.0)).alias("max_gap"))
+    return reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), [every, uses, median, gaps])  # four single rows
 
 
 #: Fixed value: share of a scene's ordinary events that are placed as supporting ones.

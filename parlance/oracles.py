@@ -131,18 +131,25 @@ _MANIFESTS = """
 WITH m AS (SELECT conv_id, turn, r_name AS scene, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS rank, 'x/' || n_name AS event_id, ['pivot', 'verbal', 'behavioral', 'ambient', 'other'][turn % 5 + 1] AS reaction,
   turn * CAST(2 AS DOUBLE) AS t, CASE WHEN turn % 6 < 5 THEN CAST(12 AS DOUBLE) - turn END AS margin_db FROM conversations JOIN nation ON n_nationkey = (conv_id + turn) % 25 LEFT JOIN region ON r_regionkey = conv_id % 6)
 """
+#: Conversations as timelines, and what is wrong with the tag of the turn behind each event that requires one.
+_TAGGED = """
+WITH t AS (SELECT conv_id, turn, turn % 4 = 3 AS heard, CASE WHEN conv_id % 6 = 5 OR role = 'user' THEN 'A' ELSE 'B' END AS speaker,
+    trim(coalesce(CASE WHEN turn % 4 = 0 AND turn > 0 THEN ['', '[gasps] ', 'It stopped. [gasps] ', 'Well... [gasps] ', 'So [Gasps] '][conv_id % 5 + 1] ELSE '' END || text, '')) AS text FROM conversations),
+faults AS (SELECT e.conv_id, e.turn, CASE WHEN n.turn IS NULL OR e.conv_id % 5 = 0 THEN 'tag missing' WHEN e.conv_id % 5 = 1 THEN 'tag opens the turn' WHEN e.conv_id % 5 = 2 THEN 'tag after a sentence' WHEN e.conv_id % 5 = 3 THEN 'tag after an ellipsis'
+    WHEN regexp_extract(lower(substring(n.text, 13)), '[a-z'']+') = 'so' THEN 'tag between equal words' END AS fault
+  FROM t AS e LEFT JOIN t AS n ON n.conv_id = e.conv_id AND n.turn = e.turn + 1 WHERE e.heard AND e.conv_id % 2 = 1)"""
 _TODOS = """
-WITH size AS (SELECT count(*) * 10 AS n FROM part WHERE p_size = 7), x AS (SELECT unnest(range(0, 4)) AS x),
+WITH size AS (SELECT count(*) * 10 AS n FROM part), x AS (SELECT unnest(range(0, 4)) AS x),
 c AS (SELECT p.x AS p, v.x AS v, b.x AS b, a.x AS a, row_number() OVER (ORDER BY p.x + v.x + b.x + a.x, p.x, v.x, b.x) AS k FROM x p, x v, x b, x a WHERE p.x <= 1 AND p.x + v.x + b.x + a.x <= 3),
 q AS (SELECT *, n // 30 + CASE WHEN k <= n % 30 THEN 1 ELSE 0 END AS quota FROM c, size),
 comps AS (SELECT 'P' || p || 'V' || v || 'B' || b || 'A' || a AS composition, p, v, b, a, quota FROM q WHERE quota > 0), pivots AS (SELECT CAST(sum(quota) FILTER (p = 1) AS BIGINT) AS pivots FROM comps)
 """
 _SCENARIO_EVENTS = _TODOS + """,
 u AS (SELECT composition, p, v, b, a, unnest(range(0, quota)) AS u FROM comps),
-s AS (SELECT row_number() OVER (ORDER BY sha1('composition|' || composition || '|' || p || '|' || v || '|' || b || '|' || a || '|' || u)) - 1 AS local, p, p + v + b + a AS n FROM u),
+s AS (SELECT row_number() OVER (ORDER BY sha1('composition|' || composition || '|' || p || '|' || v || '|' || b || '|' || a || '|' || u)) - 1 AS local, p, v, b, p + v + b + a AS n FROM u),
 h AS (SELECT local, row_number() OVER (ORDER BY sha1('rare|' || local), local) AS k FROM s WHERE p = 1),
-t AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS t FROM part WHERE p_size = 7), z AS (SELECT unnest(range(1, 11)) AS z)
-SELECT format('{}__s{:02d}', p_partkey, z) AS scenario_id, s.n, s.n AS n_different, p AS n_pivot, 0 AS n_late_pivots, CASE WHEN h.k <= round(size.n * 0.05) THEN 1 ELSE 0 END AS n_rare, s.n AS n_places
+t AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS t FROM part), z AS (SELECT unnest(range(1, 11)) AS z)
+SELECT format('{}__s{:02d}', p_partkey, z) AS scenario_id, s.n, s.n AS n_different, p AS n_pivot, 0 AS n_late_pivots, CASE WHEN h.k <= round(size.n * 0.05) THEN 1 ELSE 0 END AS n_rare, s.n AS n_places, p + v + b AS n_registers
 FROM t, z JOIN s ON s.local = t.t * 10 + z.z - 1 LEFT JOIN h USING (local), size WHERE s.n > 0"""
 
 #: Gain at 40 samples a second, t samples after a rare event's end.
@@ -201,9 +208,10 @@ ORACLES = {
     "summary_items": """
       WITH s AS (SELECT conv_id, count(*) AS n_turns FROM conversations GROUP BY conv_id), b AS (SELECT unnest([25, 75, 200]) AS budget)
       SELECT conv_id, n_turns, budget, conv_id || '::summary::' || budget AS item_id FROM s, b""",
-    "grounding_items": """
-      WITH m AS (SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'assistant' AND conv_id % 2 = 0 GROUP BY conv_id), g AS (SELECT unnest([true, false]) AS gold)
-      SELECT c.conv_id, c.turn, c.role, g.gold, c.conv_id || '::' || c.turn AS pair_id FROM conversations c JOIN m USING (conv_id, turn), g""",
+    "grounding_items": _MANIFESTS + """, g AS (SELECT m.*, f.f FROM m, (SELECT unnest([0, 1]) AS f) f WHERE (conv_id + f) % 3 < 2),
+      u AS (SELECT conv_id, f, min(rank) AS rank FROM g WHERE turn % 3 > 0 AND CASE WHEN f = 0 THEN turn % 2 = 1 ELSE turn >= conv_id % 9 END GROUP BY conv_id, f),
+      i AS (SELECT m.*, f, unnest([true, false]) AS gold FROM u JOIN m USING (conv_id, rank) WHERE NOT (conv_id % 4 = 0 AND f = 1) AND NOT (conv_id % 5 = 0 AND rank >= 2))
+      SELECT conv_id || '::pair::' || f || CASE WHEN gold THEN '::present' ELSE '::muted' END AS item_id, conv_id || '::pair::' || f AS pair_id, conv_id, scene, CASE WHEN gold THEN '/scenes/' ELSE '/without' || f || '/' END || conv_id || '.wav' AS audio, event_id, t AS start_s, margin_db, reaction, gold FROM i""",
     "event_runs": """
       WITH a AS (SELECT *, row_number() OVER w AS n, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
       b AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM a)
@@ -275,11 +283,13 @@ ORACLES = {
       SELECT page_id, CASE WHEN url IS DISTINCT FROM first THEN substring(s, 1, 15) || '-' || substring(sha1(url), 1, 8) ELSE s END AS safe_id FROM p JOIN c USING (s)""",
     "json_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "loose_json_reply": """
-      SELECT event_id, CASE WHEN event_id % 2 = 0 OR event_id % 5 <> 0 THEN 'ok' ELSE 'no_json' END AS status,
-        CASE WHEN event_id % 2 = 0 OR event_id % 5 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""",
+      SELECT event_id, CASE WHEN event_id % 10 IN (0, 1, 5, 7) THEN 'ok' WHEN event_id % 10 IN (2, 3, 8) THEN 'ok_literal' WHEN event_id % 10 = 6 THEN 'empty_response' ELSE 'no_json' END AS status,
+        CASE WHEN event_id % 10 NOT IN (4, 6, 9) THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""",
     "compositions30": """
-      WITH n AS (SELECT unnest(range(0, 4)) AS x), c AS (SELECT p.x AS "pivot", v.x AS verbal, b.x AS behavioral, a.x AS ambient FROM n p, n v, n b, n a WHERE p.x <= 1 AND p.x + v.x + b.x + a.x <= 3)
-      SELECT row_number() OVER (ORDER BY "pivot" + verbal + behavioral + ambient, "pivot", verbal, behavioral) - 1 AS position, 'P' || "pivot" || 'V' || verbal || 'B' || behavioral || 'A' || ambient AS composition, "pivot", verbal, behavioral, ambient FROM c""",
+      WITH n AS (SELECT unnest(range(0, 4)) AS x), c AS (SELECT p.x AS "pivot", v.x AS verbal, b.x AS behavioral, a.x AS ambient FROM n p, n v, n b, n a WHERE p.x <= 1 AND p.x + v.x + b.x + a.x <= 3),
+      k AS (SELECT conv_id, count(*) FILTER (turn % 4 = 0) AS "pivot", count(*) FILTER (turn % 4 = 1) AS verbal, count(*) FILTER (turn % 4 = 2) AS behavioral, count(*) FILTER (turn % 4 = 3) AS ambient FROM (SELECT conv_id, CASE WHEN turn % 3 <> 2 THEN turn END AS turn FROM conversations) GROUP BY conv_id),
+      m AS (SELECT "pivot", verbal, behavioral, ambient, count(*) AS scenarios FROM k GROUP BY ALL)
+      SELECT row_number() OVER (ORDER BY "pivot" + verbal + behavioral + ambient, "pivot", verbal, behavioral) - 1 AS position, 'P' || "pivot" || 'V' || verbal || 'B' || behavioral || 'A' || ambient AS composition, "pivot", verbal, behavioral, ambient, coalesce(scenarios, 0) AS scenarios FROM c LEFT JOIN m USING ("pivot", verbal, behavioral, ambient)""",
     "quota_even": "SELECT o_orderpriority, i, total // 7 + CASE WHEN i < total % 7 THEN 1 ELSE 0 END AS quota FROM (SELECT o_orderpriority, count(*) AS total FROM orders GROUP BY 1), (SELECT unnest(range(0, 7)) AS i)",
     "quota_weighted": """
       WITH g AS (SELECT lang, source, count(*) AS w FROM documents GROUP BY ALL), e AS (SELECT *, CAST(100 * w AS DOUBLE) / sum(w) OVER (PARTITION BY lang) AS x FROM g),
@@ -291,15 +301,21 @@ ORACLES = {
     "leak_audit": _SPLIT + "SELECT source, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM split GROUP BY source HAVING count(DISTINCT split) > 1",
     "pool_check": _SPLIT + """, p AS (SELECT lang || '/' || source AS pool, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'dev') AS dev, count(*) FILTER (split = 'test') AS test FROM split GROUP BY 1)
       SELECT * FROM p WHERE train = 0 OR dev = 0 OR test = 0""",
-    "round_robin_shards": "SELECT page_id, (row_number() OVER (ORDER BY page_id) - 1) % 4 AS shard FROM pages",
+    "round_robin_shards": "SELECT page_id, (row_number() OVER (ORDER BY page_id, url) - 1) % 4 AS shard FROM pages",
     "register_cycle": """
       WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY sha1('r|' || p_partkey), p_partkey) - 1 AS rank FROM part),
       c AS (SELECT *, rank // 7 AS cycle FROM r)
       SELECT p_partkey, cycle, CAST(string_split(list_sort(list_transform(range(7), lambda i: sha1('cycle|' || p_brand || '|' || cycle || '|' || i) || '#' || i))[rank % 7 + 1], '#')[2] AS BIGINT) AS register FROM c""",
     "event_balance": """
-      WITH c AS (SELECT l_suppkey, count(*) AS used, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1),
-      o AS (SELECT sum(a) / sum(used) AS sa, sum(n) / sum(used) AS sn, sum(r) / sum(used) AS sr FROM c), g AS (SELECT unnest([abs(a / used - sa), abs(n / used - sn), abs(r / used - sr)]) AS gap FROM c, o)
-      SELECT (SELECT CAST(sum(used) AS BIGINT) FROM c) AS placements, (SELECT count(*) FROM c) AS events, (SELECT min(used) FROM c) AS least, (SELECT max(used) FROM c) AS most, round(100 * avg(gap), 6) AS mean_gap, round(100 * max(gap), 6) AS max_gap FROM g""",
+      WITH e AS (SELECT CASE WHEN l_suppkey % 10 = 7 THEN 'rare_events/' WHEN l_suppkey % 3 = 0 THEN 'general/' ELSE 'yard/' END || l_suppkey AS id, l_returnflag AS f FROM lineitem),
+      c AS (SELECT id, count(*) AS used, count(*) FILTER (f = 'A') AS a, count(*) FILTER (f = 'N') AS n, count(*) FILTER (f = 'R') AS r FROM e GROUP BY 1),
+      u AS (SELECT *, starts_with(id, 'general/') AS g, row_number() OVER (ORDER BY used) - 1 AS k, count(*) OVER () AS m FROM c WHERE NOT starts_with(id, 'rare_events/')),
+      o AS (SELECT sum(a) / sum(used) AS share_pivot, sum(n) / sum(used) AS share_verbal, CAST(0 AS DOUBLE) AS share_behavioral, sum(r) / sum(used) AS share_ambient FROM u),
+      d AS (SELECT unnest([abs(a / used - share_pivot), abs(n / used - share_verbal), CAST(0 AS DOUBLE), abs(r / used - share_ambient)]) AS gap FROM u, o)
+      SELECT (SELECT count(*) FROM e) AS n_placements, (SELECT count(*) FROM c) AS n_event_ids, min(used) AS least, max(used) AS most, max(used) FILTER (k = m // 2) AS median, count(*) FILTER (g) AS n_general, count(*) FILTER (NOT g) AS n_scene,
+        round(coalesce(avg(used) FILTER (g), 0), 6) AS mean_general, round(coalesce(avg(used) FILTER (NOT g), 0), 6) AS mean_scene, round(coalesce(sum(used) FILTER (g), 0) / sum(used), 6) AS share_general,
+        (SELECT round(share_pivot, 6) FROM o) AS share_pivot, (SELECT round(share_verbal, 6) FROM o) AS share_verbal, (SELECT share_behavioral FROM o) AS share_behavioral, (SELECT round(share_ambient, 6) FROM o) AS share_ambient,
+        (SELECT round(100 * avg(gap), 6) FROM d) AS mean_gap, (SELECT round(100 * max(gap), 6) FROM d) AS max_gap FROM u""",
     "catalog_pool": _CATALOG + "SELECT scene, event, CAST(branch AS BIGINT) AS branch FROM pool",
     "catalog_gaps": _CATALOG + "SELECT s.scene, count(DISTINCT event) AS n FROM scenes s LEFT JOIN pool p ON p.scene = s.scene GROUP BY s.scene HAVING count(DISTINCT event) < 26",
     "catalog_unknown": "SELECT o_orderkey, o_custkey AS c_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
@@ -307,14 +323,13 @@ ORACLES = {
       UNION ALL SELECT 'scenes', count(*) FROM scenes UNION ALL SELECT 'forbidden', count(*) FROM forbidden""",
     "accept_filter": "SELECT doc_id, (n_chars % 100) / 100.0 >= 0.6 AND coalesce(CASE WHEN doc_id % 5 > 0 THEN doc_id % 4 <> 0 END, false) AS accepted FROM documents",
     "regen_list": _STEPS + "SELECT doc_id, n_attempts, state FROM steps",
-    "stratum_acceptance": _STEPS + """SELECT lang, count(*) AS n, count(*) FILTER (state = 'accepted') AS n_accepted, count(*) FILTER (state = 'accepted') / count(*) AS acceptance_rate,
-      count(*) FILTER (state = 'accepted' AND doc_id % 3 = 0) / count(*) AS first_try_rate, avg(n_attempts) FILTER (state = 'accepted') AS mean_attempts FROM steps GROUP BY lang""",
+    "stratum_acceptance": _STEPS + """SELECT lang, count(*) AS n, count(*) FILTER (state = 'accepted') AS n_accepted, count(*) FILTER (state = 'accepted') / count(*) AS acceptance_rate, count(*) FILTER (state = 'accepted' AND doc_id % 3 = 0) AS n_first_try,
+      count(*) FILTER (state = 'accepted' AND doc_id % 3 = 0) / count(*) AS first_try_rate, sum(n_attempts) / count(*) AS mean_attempts FROM steps GROUP BY lang""",
     "attempt_history": _STEPS + "SELECT doc_id, doc_id % 3 = 0 AS first, (doc_id + max(pass)) % 3 = 0 AS last, count(*) AS n FROM attempts GROUP BY doc_id",
-    "rescue_rule": """
-      WITH t AS (SELECT doc_id, doc_id // 5 AS scenario, CASE WHEN quality = 1 THEN 'behavioral' ELSE 'ambient' END AS gold, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN toxic = 1 THEN 'behavioral' ELSE 'ambient' END AS pred FROM labels),
-      r AS (SELECT *, gold = 'behavioral' AND pred = 'ambient' AND doc_id % 2 = 0 AS rescued FROM t)
-      SELECT scenario, count(*) AS n_sounds, count(*) FILTER (gold = pred OR rescued) AS n_correct, count(*) FILTER (pred = 'missing') AS n_missing, count(*) FILTER (rescued) AS n_rescued,
-        count(*) FILTER (gold = pred OR rescued) = count(*) AS reactions_ok FROM r GROUP BY scenario""",
+    "rescue_rule": _TAGGED + """, e AS (SELECT conv_id, turn, conv_id + turn AS k, EXISTS (SELECT 1 FROM faults f WHERE f.conv_id = t.conv_id AND f.turn = t.turn AND fault IS NULL) AS confirmed FROM t WHERE heard),
+      r AS (SELECT *, CASE WHEN k % 4 > 0 THEN 'behavioral' ELSE 'verbal' END AS gold, CASE WHEN k % 11 = 0 THEN 'missing' WHEN k % 3 > 0 THEN 'ambient' ELSE 'behavioral' END AS pred FROM e),
+      x AS (SELECT *, gold = 'behavioral' AND pred = 'ambient' AND confirmed AS rescued FROM r)
+      SELECT conv_id, count(*) AS n_sounds, count(*) FILTER (gold = pred OR rescued) AS n_correct, count(*) FILTER (pred = 'missing') AS n_missing, count(*) FILTER (rescued) AS n_rescued, count(*) FILTER (gold = pred OR rescued) = count(*) AS reactions_ok FROM x GROUP BY conv_id""",
     "cosine_pairs": """
       SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine
       FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3""",
@@ -366,20 +381,6 @@ ORACLES = {
         SELECT 'composition' AS kind, 'P' || p || 'V' || v || 'B' || b || 'A' || a AS value FROM s UNION ALL SELECT 'n_events', CAST(n_events AS VARCHAR) FROM s UNION ALL SELECT 'scene', 'scene_' || conv_id % 4 FROM s
         UNION ALL SELECT 'relation', CASE WHEN conv_id % 5 = 0 THEN 'clerk' ELSE 'guest' END || ' / owner' FROM s UNION ALL SELECT 'flag', 'pivot' FROM s WHERE has_pivot UNION ALL SELECT 'flag', 'rare' FROM s WHERE coalesce(flag, any_rare)
         UNION ALL SELECT 'reaction', reaction FROM e UNION ALL SELECT 'event', role || '/loud_knock_' || turn FROM e) GROUP BY ALL""",
-    "timeline_validation": f"""
-      WITH t AS (SELECT conv_id, turn, turn % 4 = 3 AS heard, CASE WHEN conv_id % 6 = 5 OR role = 'user' THEN 'A' ELSE 'B' END AS speaker, trim(coalesce(text, '')) AS text FROM conversations),
-      u AS (SELECT *, lag(speaker, 1) OVER w AS s1, lag(speaker, 2) OVER w AS s2 FROM t WHERE NOT heard WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-      a AS (SELECT conv_id, turn, coalesce(CASE WHEN text = '' THEN 'empty text' END, {_FORBIDDEN}, CASE WHEN {_SPOKEN} = '' THEN 'no speech' WHEN len({_WORDS.format(t=_SPOKEN)}) > 150 THEN 'too long' WHEN s1 = speaker AND s2 = speaker THEN 'same speaker in a row' END) AS reason FROM u),
-      own AS (SELECT conv_id, min(turn) AS position, arg_min(reason, turn) AS reason FROM a WHERE reason IS NOT NULL GROUP BY conv_id),
-      c AS (SELECT conv_id, count(*) FILTER (NOT heard) AS n, count(*) FILTER (heard) AS e, count(DISTINCT speaker) FILTER (NOT heard) AS speakers, min(turn) FILTER (heard) AS first FROM t GROUP BY conv_id),
-      p AS (SELECT conv_id, count(*) AS rest FROM t JOIN c USING (conv_id) WHERE NOT heard AND turn > first AND conv_id % 3 = 0 GROUP BY conv_id),
-      x AS (SELECT *, sum(CAST(NOT heard AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS seen, sum(CAST(NOT heard AS INT)) OVER (PARTITION BY conv_id) AS total FROM t),
-      o AS (SELECT conv_id, min(turn) AS at FROM x WHERE heard AND conv_id % 2 = 0 AND total >= 3 AND seen / total > CAST(1 AS DOUBLE) / 3 + CAST(0.1 AS DOUBLE) GROUP BY conv_id),
-      m AS (SELECT conv_id, min(turn) AS at FROM t JOIN c USING (conv_id) WHERE NOT heard AND e > 0 AND regexp_matches(lower(text), '(^|[^a-z0-9_])loud($|[^a-z0-9_])') AND regexp_matches(lower(text), '(^|[^a-z0-9_])knock($|[^a-z0-9_])') GROUP BY conv_id),
-      r AS (SELECT c.conv_id, CASE WHEN own.reason IS NOT NULL THEN own.reason WHEN n < 2 THEN 'too few turns' WHEN n > 6 + CASE WHEN c.conv_id % 3 = 0 AND e > 0 THEN e + 1 ELSE 0 END THEN 'too many turns'
-        WHEN c.conv_id % 3 = 0 AND e > 0 AND coalesce(rest, 0) < 4 THEN 'pivot too late' WHEN o.at IS NOT NULL THEN 'event outside its slot' WHEN m.at IS NOT NULL THEN 'names the event' WHEN speakers <> 2 THEN 'missing speakers' END AS reason, own.position, o.at AS slot_at, m.at AS named_at
-        FROM c LEFT JOIN own USING (conv_id) LEFT JOIN p USING (conv_id) LEFT JOIN o USING (conv_id) LEFT JOIN m USING (conv_id))
-      SELECT conv_id, reason IS NULL AS valid, reason, CASE WHEN position IS NOT NULL THEN position WHEN reason = 'event outside its slot' THEN slot_at WHEN reason = 'names the event' THEN named_at END AS position FROM r""",
     "inferred_verdicts": """
       WITH r AS (SELECT event_id, event_type, CASE WHEN event_id % 11 = 0 THEN 'not an object' WHEN event_id % 7 = 0 THEN 'subject empty or too short' WHEN event_id % 5 = 0 THEN 'invalid reaction' END AS reason FROM events)
       SELECT event_id, CASE WHEN reason IS NULL THEN 'a subject' END AS subject, CASE WHEN reason IS NULL THEN event_type || '=verbal' || CASE WHEN event_type <> 'click' THEN ',click=pivot' ELSE '' END END AS predicted, CASE WHEN reason IS NULL THEN 'ghost' END AS spurious, reason FROM r""",
@@ -423,8 +424,8 @@ ORACLES = {
     "event_tags": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '[laughs]' WHEN 2 THEN '[clears throat]' END AS tag, CASE WHEN event_id % 2 = 0 THEN '[gunshot]' END AS effect FROM events",
     "composition_sequence": """
       WITH n AS (SELECT unnest(range(0, 4)) AS x), c AS (SELECT p.x AS p, v.x AS v, b.x AS b, a.x AS a FROM n p, n v, n b, n a WHERE p.x <= 1 AND p.x + v.x + b.x + a.x <= 3),
-      e AS (SELECT *, CAST(1000 AS DOUBLE) * power(CAST(2 AS DOUBLE), p) / sum(power(CAST(2 AS DOUBLE), p)) OVER () AS x, row_number() OVER (ORDER BY p + v + b + a, p, v, b) - 1 AS position FROM c),
-      q AS (SELECT *, CAST(floor(x) AS BIGINT) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, position) <= 1000 - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS quota FROM e),
+      e AS (SELECT *, CAST((SELECT count(*) FROM part) AS DOUBLE) * power(CAST(2 AS DOUBLE), p) / sum(power(CAST(2 AS DOUBLE), p)) OVER () AS x, row_number() OVER (ORDER BY p + v + b + a, p, v, b) - 1 AS position FROM c),
+      q AS (SELECT *, CAST(floor(x) AS BIGINT) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, position) <= (SELECT count(*) FROM part) - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS quota FROM e),
       u AS (SELECT 'P' || p || 'V' || v || 'B' || b || 'A' || a AS composition, p, v, b, a, unnest(range(0, quota)) AS u FROM q)
       SELECT row_number() OVER (ORDER BY sha1('composition|' || composition || '|' || p || '|' || v || '|' || b || '|' || a || '|' || u)) - 1 AS local, composition FROM u""",
     "scenario_todos": _TODOS + """
@@ -444,11 +445,13 @@ ORACLES = {
       SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 'rare'
         WHEN CAST(('0x' || substring(sha1('layer|' || event_id), 1, 8)) AS BIGINT) / 4294967296 < 0.35 THEN 'supporting' ELSE 'core' END END AS layer FROM events""",
     "spaced_turns": """
-      WITH t AS (SELECT conv_id, turn, turn * CAST(2 AS DOUBLE) AS s, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN CAST(0 AS DOUBLE) ELSE turn * CAST(2 AS DOUBLE) + 1.5 END AS e, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
-      w AS (SELECT *, NOT last AND coalesce(e < lag(e) OVER (PARTITION BY conv_id ORDER BY turn), false) AS wrong FROM t),
-      g AS (SELECT *, CASE WHEN last OR bool_or(wrong) OVER (PARTITION BY conv_id) THEN 0 ELSE CAST(0.2 AS DOUBLE) + CAST(0.7 AS DOUBLE) * (CAST(('0x' || substring(sha1('gap|' || conv_id || '|' || turn), 1, 8)) AS BIGINT) / 4294967296) END AS gap FROM w),
-      m AS (SELECT *, coalesce(sum(gap) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved FROM g)
-      SELECT conv_id, turn, round(gap, 6) AS gap, round(s + moved, 6) AS new_start, round(e + moved, 6) AS new_end FROM m""",
+      WITH t AS (SELECT conv_id, turn, turn * CAST(2 AS DOUBLE) AS s, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN CAST(0 AS DOUBLE) WHEN conv_id % 7 = 0 AND turn = 0 THEN NULL ELSE turn * CAST(2 AS DOUBLE) + 1.5 END AS e, conv_id % 3 * CAST(4 AS DOUBLE) + 5 AS l, turn = max(turn) OVER (PARTITION BY conv_id) AS last, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+      b AS (SELECT *, CASE WHEN e IS NOT NULL THEN greatest(0, least(l, e)) END AS c FROM t),
+      w AS (SELECT *, NOT last AND (c IS NULL OR coalesce(c < lag(c) OVER (PARTITION BY conv_id ORDER BY turn), false)) AS wrong FROM b),
+      v AS (SELECT *, bool_or(wrong) OVER (PARTITION BY conv_id) OR n < 2 AS stays FROM w),
+      g AS (SELECT *, CASE WHEN last OR stays THEN 0 ELSE CAST(0.2 AS DOUBLE) + CAST(0.7 AS DOUBLE) * (CAST(('0x' || substring(sha1('gap|' || conv_id || '|' || turn), 1, 8)) AS BIGINT) / 4294967296) END AS gap FROM v),
+      m AS (SELECT *, coalesce(sum(gap) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved, lag(c) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM g)
+      SELECT conv_id, turn, round(gap, 6) AS gap, round(CASE WHEN stays THEN s ELSE coalesce(p + moved, 0) END, 6) AS new_start, round(CASE WHEN stays THEN e WHEN last THEN l + moved ELSE c + moved END, 6) AS new_end FROM m""",
     "template_faults": """
       WITH t AS (SELECT n_regionkey, n_nationkey AS i, CASE WHEN n_nationkey % 8 = 3 THEN 'same' WHEN n_nationkey % 8 = 6 THEN '' ELSE lower(n_name) END AS title, n_nationkey % 11 = 7 AS short FROM nation),
       r AS (SELECT n_regionkey, i, CASE WHEN title = '' THEN 'empty title' WHEN short THEN 'description too short' WHEN row_number() OVER (PARTITION BY n_regionkey, title ORDER BY i) > 1 THEN 'duplicate title' END AS reason FROM t)
@@ -510,6 +513,7 @@ ORACLES = {
     "final_dialogues": """
       SELECT CAST(conv_id AS VARCHAR) AS scenario_id, 'scene_' || conv_id % 4 AS scene, 'train' AS split, 'F' AS gender_a, count(*) FILTER (turn % 3 <> 2) AS n_events, count(*) FILTER (turn % 3 <> 2 AND turn % 7 <> 6) AS n_turns_total,
         count(*) FILTER (turn % 3 <> 2 AND turn % 7 <> 6 AND role = 'user') AS n_turns_a, count(*) FILTER (turn % 3 <> 2 AND turn % 7 <> 6 AND role <> 'user') AS n_turns_b, count(*) FILTER (turn % 3 = 2) AS n_events_in_timeline,
+        md5(string_agg(coalesce(text, ''), '|' ORDER BY turn)) AS texts,
         string_agg(CASE WHEN turn % 3 = 2 THEN 'event' WHEN turn % 7 = 6 THEN 'pause' ELSE 'utterance' END, ',' ORDER BY turn) AS types FROM conversations WHERE conv_id % 9 > 0 GROUP BY conv_id""",
     "batch_results": """
       SELECT CASE WHEN o_orderkey % 4 > 0 THEN '' ELSE 'c' END || o_orderkey AS item_id, CASE o_orderstatus WHEN 'F' THEN 'batch:succeeded' WHEN 'O' THEN 'batch:errored:' || CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority ELSE 'unknown' END ELSE 'batch:expired' END AS status,
@@ -517,4 +521,76 @@ ORACLES = {
     "master_levels": """
       SELECT p_partkey AS scenario_id, CASE WHEN p_partkey % 5 = 0 THEN '/a/' || p_partkey || '.mp3' ELSE '/scenes/' || p_partkey || '.wav' END AS path,
         CASE WHEN p_partkey % 3 > 0 AND p_partkey % 2 = 0 THEN p_partkey / -8 END AS master_input_lufs, CASE WHEN p_partkey % 3 > 0 AND p_partkey % 2 = 1 THEN 1.0::DOUBLE END AS master_limiter_gain FROM part""",
+    "regeneration_report": _STEPS + """, x AS (SELECT *, state = 'accepted' AS ok, doc_id % 7 > 0 AND doc_id % 5 = 0 AS rare, lang = 'en' AS pvt FROM steps)
+      SELECT count(*) AS n, count(*) FILTER (ok) AS n_accepted, count(*) FILTER (state = 'regenerate') AS n_regenerate, count(*) FILTER (state = 'abandoned') AS n_abandoned, count(*) FILTER (ok) / count(*) AS acceptance_rate,
+        count(*) FILTER (rare) AS n_rare, count(*) FILTER (rare AND ok) AS n_rare_accepted, count(*) FILTER (rare AND ok) / nullif(count(*) FILTER (rare), 0) AS rare_rate, count(*) FILTER (NOT rare) AS n_usual, count(*) FILTER (NOT rare AND ok) AS n_usual_accepted,
+        count(*) FILTER (NOT rare AND ok) / nullif(count(*) FILTER (NOT rare), 0) AS usual_rate, count(*) FILTER (pvt) AS n_pivot, count(*) FILTER (pvt AND ok) AS n_pivot_accepted, count(*) FILTER (pvt AND ok) / nullif(count(*) FILTER (pvt), 0) AS pivot_rate,
+        CAST(sum(doc_id % 4 % 2) AS BIGINT) AS n_rescued FROM x""",
+    "inference_metrics": """
+      WITH e AS (SELECT doc_id, doc_id % 13 AS k, CASE WHEN doc_id % 13 > 1 AND doc_id % 6 > 0 THEN (doc_id % 10) / CAST(10 AS DOUBLE) END AS c, CASE WHEN quality = 1 THEN 'behavioral' ELSE 'ambient' END AS g, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN toxic = 1 THEN 'behavioral' ELSE 'ambient' END AS p, quality = toxic OR (quality <> 1 AND toxic <> 1) AS alike FROM labels),
+      r AS (SELECT l.lang, e.*, coalesce(c >= 0.5, false) AS topic, alike AND doc_id % 11 > 0 AND doc_id % 2 = 0 AS exact FROM (SELECT doc_id, unnest([lang, 'all']) AS lang FROM documents) l JOIN e USING (doc_id) WHERE k > 1)
+      SELECT lang, count(*) AS n, 2 * count(*) AS n_sounds, CAST(sum(1 + CAST(p <> 'missing' AS INT)) AS BIGINT) AS n_typed, count(*) FILTER (doc_id % 11 = 0) AS n_missing, CAST(sum(doc_id % 3) AS BIGINT) AS n_spurious, sum(CAST(g = p AS INT) + CAST(doc_id % 2 = 0 AS INT)) / (2 * count(*)) AS sound_accuracy,
+        count(c) AS n_subjects, round(avg(c), 9) AS mean_cosine, count(*) FILTER (topic) / count(*) AS topic_rate, count(*) FILTER (exact) / count(*) AS reaction_rate, count(*) FILTER (topic AND exact) / count(*) AS accept_rate FROM r GROUP BY lang""",
+    "timeline_validation": _TAGGED + f""",
+      u AS (SELECT *, lag(speaker, 1) OVER w AS s1, lag(speaker, 2) OVER w AS s2 FROM t WHERE NOT heard WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+      a AS (SELECT conv_id, turn, coalesce(CASE WHEN text = '' THEN 'empty text' END, {_FORBIDDEN}, CASE WHEN {_SPOKEN} = '' THEN 'no speech' WHEN len({_WORDS.format(t=_SPOKEN)}) > 150 THEN 'too long' WHEN s1 = speaker AND s2 = speaker THEN 'same speaker in a row' END) AS reason FROM u),
+      own AS (SELECT conv_id, min(turn) AS position, arg_min(reason, turn) AS reason FROM a WHERE reason IS NOT NULL GROUP BY conv_id),
+      c AS (SELECT conv_id, count(*) FILTER (NOT heard) AS n, count(*) FILTER (heard) AS e, count(DISTINCT speaker) FILTER (NOT heard) AS speakers, min(turn) FILTER (heard) AS first FROM t GROUP BY conv_id),
+      p AS (SELECT conv_id, count(*) AS rest FROM t JOIN c USING (conv_id) WHERE NOT heard AND turn > first AND conv_id % 3 = 0 GROUP BY conv_id),
+      x AS (SELECT *, sum(CAST(NOT heard AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS seen, sum(CAST(NOT heard AS INT)) OVER (PARTITION BY conv_id) AS total FROM t),
+      o AS (SELECT conv_id, min(turn) AS at FROM x WHERE heard AND conv_id % 2 = 0 AND total >= 3 AND seen / total > CAST(1 AS DOUBLE) / 3 + CAST(0.1 AS DOUBLE) GROUP BY conv_id),
+      m AS (SELECT conv_id, min(turn) AS at FROM t JOIN c USING (conv_id) WHERE NOT heard AND e > 0 AND regexp_matches(lower(text), '(^|[^a-z0-9_])loud($|[^a-z0-9_])') AND regexp_matches(lower(text), '(^|[^a-z0-9_])knock($|[^a-z0-9_])') GROUP BY conv_id),
+      g AS (SELECT conv_id, min(turn) AS at, arg_min(fault, turn) AS fault FROM faults WHERE fault IS NOT NULL GROUP BY conv_id),
+      r AS (SELECT c.conv_id, CASE WHEN own.reason IS NOT NULL THEN own.reason WHEN n < 2 THEN 'too few turns' WHEN n > 6 + CASE WHEN c.conv_id % 3 = 0 AND e > 0 THEN e + 1 ELSE 0 END THEN 'too many turns'
+        WHEN c.conv_id % 3 = 0 AND e > 0 AND coalesce(rest, 0) < 4 THEN 'pivot too late' WHEN o.at IS NOT NULL THEN 'event outside its slot' WHEN m.at IS NOT NULL THEN 'names the event' WHEN g.at IS NOT NULL THEN g.fault WHEN speakers <> 2 THEN 'missing speakers' END AS reason, own.position, o.at AS slot_at, m.at AS named_at, g.at AS tag_at, g.fault
+        FROM c LEFT JOIN own USING (conv_id) LEFT JOIN p USING (conv_id) LEFT JOIN o USING (conv_id) LEFT JOIN m USING (conv_id) LEFT JOIN g USING (conv_id))
+      SELECT conv_id, reason IS NULL AS valid, reason, CASE WHEN position IS NOT NULL THEN position WHEN reason = 'event outside its slot' THEN slot_at WHEN reason = 'names the event' THEN named_at WHEN reason = fault THEN tag_at END AS position FROM r""",
+    "spaced_signals": """
+      WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x, vec_id % 20 + 10 AS b0, vec_id % 20 + 30 AS b1, vec_id % 4 AS g0, vec_id % 7 AS g1 FROM embeddings),
+      l AS (SELECT *, list_transform(x, lambda v: v * v) AS q FROM e),
+      a AS (SELECT *, b0 - 6 + list_position(q[b0 - 5:b0 + 6], list_min(q[b0 - 5:b0 + 6])) - 1 AS c0 FROM l),
+      c AS (SELECT *, greatest(c0, b1 - 6) + list_position(q[greatest(c0, b1 - 6) + 1:b1 + 6], list_min(q[greatest(c0, b1 - 6) + 1:b1 + 6])) - 1 AS c1 FROM a),
+      y AS (SELECT *, list_concat(list_concat(x[1:c0], list_transform(range(g0), lambda i: CAST(0 AS DOUBLE))), list_concat(list_concat(x[c0 + 1:c1], list_transform(range(g1), lambda i: CAST(0 AS DOUBLE))), x[c1 + 1:])) AS y FROM c)
+      SELECT vec_id, c0 AS cut0, c1 AS cut1, len(y) AS n, round(list_sum(list_transform(y, lambda v, i: v * i)), 6) AS weighted FROM y""",
+    "register_use": _TODOS + """,
+      k AS (SELECT 'pivot' AS reaction, ['calm', 'angry', 'afraid'] AS names, sum(quota * p) AS c FROM comps UNION ALL SELECT 'verbal', ['terse', 'warm'], sum(quota * v) FROM comps UNION ALL SELECT 'behavioral', ['quick'], sum(quota * b) FROM comps),
+      i AS (SELECT *, unnest(range(0, len(names))) AS i, CAST(c AS BIGINT) // len(names) AS cycle, CAST(c AS BIGINT) % len(names) AS rest FROM k),
+      r AS (SELECT *, row_number() OVER (PARTITION BY reaction ORDER BY sha1('event-cycle|' || reaction || '|' || cycle || '|' || i)) AS place FROM i)
+      SELECT reaction, names[i + 1] AS register, cycle + CAST(place <= rest AS BIGINT) AS n FROM r WHERE cycle + CAST(place <= rest AS BIGINT) > 0
+      UNION ALL SELECT 'ambient', NULL, CAST(sum(quota * a) AS BIGINT) FROM comps HAVING sum(quota * a) > 0""",
+    "strengthened_turns": r"""
+      WITH s AS (SELECT conv_id, turn, turn % 6 AS k, text, regexp_extract(' ' || text, '^(\s*[^.!?]*[.!?]?)', 1) AS one FROM conversations),
+      c AS (SELECT *, upper(replace(regexp_replace(one, '\.$', '!'), 'ß', 'SS')) || substring(' ' || text, length(one) + 1) AS loud FROM s),
+      o AS (SELECT *, CASE k WHEN 0 THEN '[annoyed] ' || text WHEN 1 THEN loud WHEN 2 THEN text || '  now' WHEN 3 THEN 'Wait [angry]' || loud WHEN 4 THEN text || ' [laughs] Yes ' END AS said FROM c)
+      SELECT conv_id, turn, CASE WHEN said IS NULL THEN text ELSE trim(regexp_replace(said, '[ \t]{2,}', ' ', 'g')) END AS said FROM o""",
+    "timeline_items": """
+      WITH t AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 2 THEN 'event' ELSE 'utterance' END AS type FROM conversations)
+      SELECT conv_id, type, count(*) AS n, count(*) FILTER (type <> 'event') AS n_spoken, sum(CASE WHEN type <> 'event' THEN length(text) END) AS letters, max(turn) AS "last" FROM t GROUP BY conv_id, type""",
+    "request_batches": """
+      WITH RECURSIVE o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 501 = 0 THEN 1000000 ELSE o_custkey % 97 * 40 + o_orderkey % 13 END AS bytes FROM orders),
+      f AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, sum(bytes) OVER (ORDER BY o_orderkey) AS upto FROM o WHERE bytes <= 60000),
+      b AS (SELECT CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS pos, CAST(0 AS HUGEINT) AS before UNION ALL
+        SELECT batch + 1, pos, before FROM (SELECT b.batch, min(f.pos) AS pos, min(f.upto - f.bytes) AS before FROM b JOIN f ON f.pos > b.pos AND (f.pos - b.pos >= 40 OR f.upto - b.before > 60000) GROUP BY b.batch)),
+      n AS (SELECT f.o_orderkey, f.bytes, max(b.batch) AS batch FROM f JOIN b ON b.pos <= f.pos GROUP BY ALL)
+      SELECT batch, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, min(o_orderkey) AS "first", max(o_orderkey) AS "last" FROM n GROUP BY batch
+      UNION ALL SELECT NULL, count(*), CAST(sum(bytes) AS BIGINT), min(o_orderkey), max(o_orderkey) FROM o WHERE bytes > 60000 HAVING count(*) > 0""",
+    "stored_passes": """
+      WITH p AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 5 = 0 THEN 'three' WHEN o_orderkey % 3 = 0 THEN 'two' WHEN o_orderkey % 4 < 3 THEN 'one' END AS last FROM orders),
+      k AS (SELECT o_orderkey, CASE last WHEN 'three' THEN -o_totalprice WHEN 'two' THEN 2 * o_totalprice WHEN 'one' THEN o_totalprice END AS price, last FROM p)
+      SELECT o_orderkey, CASE WHEN price >= 0 THEN price END AS price, CASE WHEN price >= 0 THEN last END AS "pass", NOT coalesce(price >= 0 AND last <> 'one', false) AS pending FROM k""",
+    "streaming_attempts": """
+      WITH a AS (SELECT doc_id, unnest(range(0, doc_id % 4 + 1)) AS pass FROM documents), n AS (SELECT doc_id, count(*) AS n_attempts, bool_or((doc_id + pass) % 3 = 0) AS ok FROM a GROUP BY doc_id)
+      SELECT doc_id, n_attempts, CASE WHEN ok THEN 'accepted' WHEN n_attempts >= 3 THEN 'abandoned' ELSE 'regenerate' END AS state FROM n""",
+    "event_takes": "WITH files AS (" + _FILES + """),
+      e AS (SELECT lang || '/' || source AS pool, split, name FROM files UNION ALL SELECT lang || '/' || source, '', name FROM files),
+      r AS (SELECT *, row_number() OVER (PARTITION BY pool, split ORDER BY sha1('file|' || name), name) - 1 AS k, count(*) OVER (PARTITION BY pool, split) AS n FROM e),
+      w AS (SELECT conv_id, turn, lang || '/' || source AS pool, ['train', 'dev', 'test', ''][turn % 4 + 1] AS split, CAST(('0x' || substring(sha1('take|' || conv_id || '-' || turn), 1, 8)) AS BIGINT) / 4294967296 AS u FROM conversations LEFT JOIN documents ON doc_id = conv_id)
+      SELECT conv_id, turn, w.pool, w.split, r.name FROM w LEFT JOIN r ON r.pool = w.pool AND r.split = w.split AND r.k = CAST(floor(u * n) AS BIGINT)""",
+    "alignment_forms": """
+      SELECT conv_id, CASE WHEN conv_id % 5 <> 3 THEN count(*) END AS n, CASE WHEN conv_id % 5 <> 3 THEN string_agg(role, ',' ORDER BY turn) END AS speakers, CASE WHEN conv_id % 5 <> 3 THEN CAST(sum(turn * 2) AS DOUBLE) END AS starts,
+        CASE WHEN conv_id % 5 = 4 THEN 0 WHEN conv_id % 5 <> 3 THEN CAST(sum(turn * 2 + 1.5) AS DOUBLE) END AS ends, conv_id % 5 <> 3 AS timed FROM conversations GROUP BY conv_id""",
+    "turn_overlaps": """
+      WITH e AS (SELECT user_id, event_id, (epoch_us(ts) - 1704067200000000) / CAST(1000000 AS DOUBLE) AS s, value * 60 AS n FROM events),
+      t AS (SELECT conv_id % 150 AS user_id, conv_id, turn, CAST((conv_id * 7919 + turn * 86400) % 2592000 AS DOUBLE) AS s, length(text) / CAST(4 AS DOUBLE) * CASE WHEN turn = 2 THEN 500 ELSE 1 END AS n FROM conversations)
+      SELECT event_id, conv_id, turn, round(least(e.s + e.n, t.s + t.n) - greatest(e.s, t.s), 4) AS shared FROM e JOIN t USING (user_id) WHERE e.s < t.s + t.n AND t.s < e.s + e.n AND e.n > 0 AND t.n > 0""",
 }

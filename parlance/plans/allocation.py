@@ -6,11 +6,14 @@ from a hash of (salt, place), so that all sequences are joined by `local` and no
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parlance.operators import quota
 from parlance.operators.quota import compositions, even_quota, hash_order, largest_remainder, uniform
 from parlance.operators.timeline import SLOTS
+from parlance.session import scratch
 
 #: Scenarios of a template, share of rare events, voices of the two speakers.
 PER_TEMPLATE, RARE_RATE = 10, 0.05
@@ -105,8 +108,8 @@ def todos(templates: DataFrame, order: str, key: str, scenes: DataFrame, relatio
     """
     spark = templates.sparkSession
     n = templates.count() * per_template
-    ranked = templates.withColumn("_t", F.row_number().over(Window.orderBy(order)) - 1)  # templates are a short list
-    rows = ranked.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(per_template)))).withColumn("local", (F.col("_t") * per_template + F.col("s") - 1).cast("long"))
+    numbered = quota.ranked(templates.withColumn("_one", F.lit(0)), ["_one"], [order])
+    rows = numbered.withColumn("_t", F.col("rank")).drop("_one", "rank", "n").withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(per_template)))).withColumn("local", (F.col("_t") * per_template + F.col("s") - 1).cast("long"))
     rows = rows.withColumn("scenario_id", F.format_string("%s__s%02d", F.col(key).cast("string"), F.col("s"))).drop("_t")
     comps = with_rare_flags(composition_sequence(spark, n, boosts, salt=f"composition{lot}"), n, salt=f"rare{lot}")
     for part in (comps, even_sequence(scenes, scenes.columns[0], n, f"scene{lot}"), relation_sequence(relations, n, f"relation{lot}"), gender_sequence(spark, n, f"gender{lot}")):
@@ -122,21 +125,154 @@ def reaction_targets(comps: DataFrame) -> DataFrame:
     return counts.select("reaction", F.try_divide("n", total).alias("share")).where("share IS NOT NULL")
 
 
-def scenario_events(rows: DataFrame, pool: DataFrame, rare: DataFrame, salt: str = "event") -> DataFrame:
-    """(scenario_id, place, event_id, reaction, is_rare, slot): the events of every scenario, none of them twice.
+def drawn_places(n: Column, size: Column, salt: str, *columns: str) -> Column:
+    """`n` different places below `size`, as an array, drawn one after the other by hashes; never more than `size`."""
+    hashed = lambda j: F.xxhash64(F.lit(salt), *columns, j)
 
-    rows: todos(); pool and rare: (scene, event_id). A scenario draws the events of its scene's pool with the smallest
-    hashes; a rare one takes the pivot's place where the scenario has it. Events are placed in a hashed order over
-    the thirds of the dialogue; a pivot never comes in the last one. A scene with too few events gives fewer: check the
-    pools first (catalog.gaps).
+    def draw(acc: Column, j: Column) -> Column:
+        """The j-th of the places that are left, counted past those taken, which are kept in order."""
+        left = F.pmod(hashed(j), size - j)
+        found = F.aggregate(acc["taken"], left, lambda x, t: F.when(x >= t, x + 1).otherwise(x))
+        return F.struct(F.array_sort(F.concat(acc["taken"], F.array(found))).alias("taken"), F.concat(acc["places"], F.array(found)).alias("places"))
+
+    none = F.array().cast("array<bigint>")
+    turns = F.when(F.least(n, size) > 0, F.sequence(F.lit(0).cast("long"), F.least(n, size).cast("long") - 1)).otherwise(none)
+    return F.aggregate(turns, F.struct(none.alias("taken"), none.alias("places")), draw, lambda acc: acc["places"])
+
+
+def short_pools(wanted: DataFrame, pool: DataFrame, rare: DataFrame) -> DataFrame:
+    """(scene, n, size, n_rare, wrong): scenes whose events don't suffice for what a scenario of theirs wants, or that have a wrong one.
+
+    wanted: (scene, n, has_rare_event, wrong), n of them ordinary.
+    """
+    most = wanted.groupBy("scene").agg(F.max("n").alias("n"), F.bool_or("has_rare_event").alias("_r"), F.bool_or("wrong").alias("wrong"))
+    sizes = pool.groupBy("scene").agg(F.count_distinct("event_id").alias("size"))
+    rares = rare.groupBy("scene").agg(F.count_distinct("event_id").alias("n_rare"))
+    rows = most.join(sizes, "scene", "left").join(rares, "scene", "left").fillna(0, ["size", "n_rare"])
+    return rows.where("wrong OR n > size OR (_r AND n_rare = 0)").drop("_r")
+
+
+def scenario_draws(rows: DataFrame, pool: DataFrame, rare: DataFrame, salt: str = "event") -> DataFrame:
+    """(scenario_id, n, events, slots, rare_event): ordinary events drawn for every scenario, none twice, and the reactions that wait for them.
+
+    rows: todos(); pool and rare: (scene, event_id). A rare event takes the pivot's place where the scenario has one. Places in a scene's
+    pool are drawn by hashes, so that a scenario meets only its own events. A scene with too few events is an error.
     """
+    wrong = ~F.col("pivot").isin(0, 1) | (F.col("has_rare_event") & (F.col("pivot") != 1))
     want = F.col("pivot") + F.col("verbal") + F.col("behavioral") + F.col("ambient")
-    own = rows.select("scenario_id", "scene", "has_rare_event", want.alias("n"), F.flatten(F.array(*[F.array_repeat(F.lit(k), F.col(k).cast("int")) for k in KINDS])).alias("reactions")).where("n > 0")
-    draw = lambda events, flag: own.join(events, "scene").withColumn("_h", hash_order(salt, "scenario_id", "event_id")).withColumn("is_rare", F.lit(flag))
-    one = Window.partitionBy("scenario_id").orderBy("_h", "event_id")
-    special = draw(rare, True).where("has_rare_event").withColumn("i", F.row_number().over(one) - 1).where("i = 0")
-    usual = draw(pool, False).withColumn("i", F.row_number().over(one) - 1 + F.col("has_rare_event").cast("int")).where("i < n")
-    drawn = special.unionByName(usual).withColumn("reaction", F.get("reactions", F.col("i")))
+    reactions = F.flatten(F.array(*[F.array_repeat(F.lit(k), F.col(k).cast("int")) for k in KINDS]))
+    special = F.col("has_rare_event").cast("int")
+    own = rows.select("scenario_id", "scene", "has_rare_event", want.alias("n"), F.slice(reactions, special + 1, F.greatest(want - special, F.lit(0)).cast("int")).alias("slots"), wrong.alias("wrong")).where("n > 0")
+    folder = scratch(rows.sparkSession, "draws")
+    own.write.parquet(f"{folder}/wanted")
+    own = rows.sparkSession.read.parquet(f"{folder}/wanted")
+    short = short_pools(own.select("scene", F.size("slots").alias("n"), "has_rare_event", "wrong"), pool, rare).limit(5).collect()
+    if any(r["wrong"] for r in short):
+        raise ValueError("a scenario has at most one pivot, and a rare event takes its place")
+    if short:
+        raise ValueError("too few events: " + "; ".join(f"scene {r['scene']!r} has {r['size']} of {r['n']}, {r['n_rare']} rare" for r in short))
+
+    def placed(events: DataFrame) -> DataFrame:
+        """(scene, event_id, place, size)"""
+        return quota.ranked(events.select("scene", "event_id").distinct(), ["scene"], ["event_id"]).select("scene", "event_id", F.col("rank").alias("place"), F.col("n").alias("size"))
+
+    def draw(some: DataFrame, events: DataFrame, n: Column, own_salt: str) -> DataFrame:
+        listed = placed(events)
+        sizes = listed.groupBy("scene").agg(F.max("size").alias("size"))
+        places = some.join(sizes, "scene").select("scenario_id", "scene", F.posexplode(drawn_places(n, F.col("size"), own_salt, "scenario_id")).alias("i", "place"))
+        return places.join(listed.drop("size"), ["scene", "place"]).select("scenario_id", "i", "event_id")
+
+    usual = draw(own, pool, F.size("slots"), salt).groupBy("scenario_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "event_id"))), lambda e: e["event_id"]).alias("events"))
+    pivots = draw(own.where("has_rare_event"), rare, F.lit(1), f"{salt}-rare").select("scenario_id", F.col("event_id").alias("rare_event"))
+    found = own.join(usual, "scenario_id", "left").join(pivots, "scenario_id", "left")
+    found.select("scenario_id", "n", F.coalesce("events", F.array().cast("array<string>")).alias("events"), "slots", "rare_event").write.parquet(f"{folder}/drawn")
+    return rows.sparkSession.read.parquet(f"{folder}/drawn")
+
+
+#: Most events times reactions whose counts are kept while pairs are balanced; they go to every task.
+MOST_COUNTS = 1_000_000
+
+
+def least_used(events: list[str], slots: list[str], order: dict[str, int], used: dict, pairs: dict, start: dict, share: float) -> list[str]:
+    """The reaction of each event: the rarest reactions choose first, each the event that has least of it so far (of equals the first drawn).
+
+    used and pairs count what this block has given out; `start` has (uses, uses with a reaction) before, of which `share` is this block's.
+    """
+    for e in events:
+        used[e] = used.get(e, 0) + 1
+    given: list[str | None] = [None] * len(events)
+    for reaction in sorted(slots, key=order.__getitem__):
+        free = [i for i, r in enumerate(given) if r is None]
+        of = lambda i: (pairs.get((events[i], reaction), 0) + share * start.get((events[i], reaction), 0)) / (used[events[i]] + share * start.get((events[i], None), 0))  # noqa: B023, E731
+        best = min(free, key=of)
+        given[best] = reaction
+        pairs[events[best], reaction] = pairs.get((events[best], reaction), 0) + 1
+    return given
+
+
+def paired(order: dict[str, int], start: dict, share: float):
+    """Pairs a block's scenarios, in the order of their hashes, from its share of the counts so far."""
+
+    def pair(rows: pd.DataFrame) -> pd.DataFrame:
+        used, pairs, out = {}, {}, []
+        for r in rows.sort_values(["h", "scenario_id"]).itertuples():
+            events = list(r.events)
+            out += [(r.scenario_id, e, x) for e, x in zip(events, least_used(events, list(r.slots), order, used, pairs, start, share))]
+        return pd.DataFrame(out, columns=["scenario_id", "event_id", "reaction"])
+
+    return pair
+
+
+def balanced_pairs(draws: DataFrame, targets: dict[str, float], rounds: int = 8, block: int = 4096, salt: str = "pair") -> DataFrame:
+    """(scenario_id, event_id, reaction): drawn events paired so that every event meets the reactions in about equal shares.
+
+    A choice depends on all choices before, through each event's uses with each reaction. Scenarios are dealt by hashes into rounds, and a
+    round into blocks of about `block`, which run side by side: a block goes through its scenarios one after the other and
+    starts from its part of the counts, as all blocks together make up for what the rounds before left uneven. Between
+    rounds the counts, one per event and reaction of the catalogue, are summed up by Spark. One round of one block is the plain loop.
+    """
+    spark = draws.sparkSession
+    folder = scratch(spark, "pairs")
+    of_round = F.floor(uniform(f"{salt}-round", "scenario_id") * rounds).cast("int")
+    draws.where(F.size("events") > 0).select("scenario_id", "events", "slots", of_round.alias("round")).write.partitionBy("round").parquet(f"{folder}/drawn")
+    drawn = spark.read.schema("scenario_id string, events array<string>, slots array<string>, round int").parquet(f"{folder}/drawn")
+    sizes = {r["round"]: r["n"] for r in drawn.groupBy("round").agg(F.count("*").alias("n")).collect()}
+    order = {r: i for i, r in enumerate(sorted(KINDS, key=lambda r: targets.get(r, 0.0)))}
+    start: dict = {}
+    paths = []
+    for number in sorted(sizes):
+        blocks = -(-sizes[number] // block)
+        place = F.pmod(F.xxhash64(F.lit(f"{salt}-block"), "scenario_id"), F.lit(blocks)).cast("int")
+        own = drawn.where(F.col("round") == number).withColumn("block", place).withColumn("h", hash_order(salt, "scenario_id"))
+        paths.append(f"{folder}/paired/round={number}")
+        own.groupBy("block").applyInPandas(paired(order, dict(start), 1.0 / blocks), "scenario_id string, event_id string, reaction string").write.parquet(paths[-1])
+        counts = spark.read.parquet(paths[-1]).groupBy("event_id", "reaction").agg(F.count("*").alias("n"))
+        for r in counts.limit(MOST_COUNTS + 1).collect():
+            for key in ((r["event_id"], r["reaction"]), (r["event_id"], None)):
+                start[key] = start.get(key, 0) + r["n"]
+        if len(start) > 2 * MOST_COUNTS:
+            raise ValueError(f"more than {MOST_COUNTS} events and reactions to balance")
+    return spark.read.schema("scenario_id string, event_id string, reaction string").parquet(*paths) if paths else spark.createDataFrame([], "scenario_id string, event_id string, reaction string")
+
+
+def scenario_events(rows: DataFrame, pool: DataFrame, rare: DataFrame, salt: str = "event", registers: dict[str, list[str]] | None = None, targets: dict[str, float] | None = None) -> DataFrame:
+    """(scenario_id, place, event_id, reaction, is_rare, slot, register): the events of every scenario, none of them twice.
+
+    Events are drawn by scenario_draws(). They meet the scenario's reactions as drawn or, with `targets` (shares of the reactions), balanced
+    by balanced_pairs(). Each reaction goes through its registers in cycles over all its events; one without any gives null. Events are
+    placed in a hashed order over the thirds of the dialogue; a pivot never comes in the last one.
+    """
+    draws = scenario_draws(rows, pool, rare, salt)
+    if targets is None:
+        usual = draws.select("scenario_id", F.explode(F.arrays_zip("events", F.col("slots").alias("slots"))).alias("p")).select("scenario_id", F.col("p.events").alias("event_id"), F.col("p.slots").alias("reaction"))
+    else:
+        usual = balanced_pairs(draws, targets, salt=f"{salt}-pair")
+    special = draws.where("rare_event IS NOT NULL").select("scenario_id", F.col("rare_event").alias("event_id"), F.lit("pivot").alias("reaction"), F.lit(True).alias("is_rare"))
+    drawn = usual.withColumn("is_rare", F.lit(False)).unionByName(special).join(draws.select("scenario_id", "n"), "scenario_id")
+    names = F.create_map(*[F.lit(x) for r in KINDS for x in (r, F.array(*[F.lit(v) for v in (registers or {}).get(r, [])]).cast("array<string>"))])[F.col("reaction")]
+    drawn = drawn.withColumn("_h", hash_order(f"{salt}-register", "scenario_id", "event_id"))
+    drawn = quota.register_cycle(drawn.withColumnRenamed("n", "_n"), ["reaction"], ["_h"], F.size(names), f"{salt}-cycle").withColumn("register", F.get(names, F.col("register").cast("int")))
+    drawn = drawn.withColumnRenamed("_n", "n").drop("_h", "cycle")
     drawn = drawn.withColumn("place", (F.row_number().over(Window.partitionBy("scenario_id").orderBy(hash_order(f"{salt}-place", "scenario_id", "event_id"))) - 1))
     # thirds: all of them for three events, else the smallest hashes, in order
     third = lambda s: F.struct(F.sha1(F.concat_ws("|", F.lit(f"{salt}-third"), "scenario_id", F.lit(s)).cast("binary")).alias("h"), F.lit(SLOTS.index(s)).alias("b"))
@@ -148,4 +284,4 @@ def scenario_events(rows: DataFrame, pool: DataFrame, rare: DataFrame, salt: str
     moved = F.when(~late, F.col("place")).when(F.col("place") == pivot_at, 0).when(F.col("place") == 0, pivot_at).otherwise(F.col("place"))
     rows = drawn.withColumn("_late", late).withColumn("_moved", moved).withColumn("place", F.col("_moved"))
     slot = F.when((F.col("reaction") == "pivot") & (band == 2), 0).otherwise(band)
-    return rows.select("scenario_id", F.col("place").cast("long").alias("place"), "event_id", "reaction", "is_rare", F.get(F.array(*[F.lit(s) for s in SLOTS]), slot.cast("int")).alias("slot"))
+    return rows.select("scenario_id", F.col("place").cast("long").alias("place"), "event_id", "reaction", "is_rare", F.get(F.array(*[F.lit(s) for s in SLOTS]), slot.cast("int")).alias("slot"), "register")

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from parlance.functions import levels, signal, tags, text
 from parlance.functions.loose_json import read_reply
 from parlance.operators import alignment, assembly, cache, catalog, filtering, items, metrics, placement, prompts, quota, records, timeline, validation, verdicts
-from parlance.plans import allocation
+from parlance.plans import allocation, batches
+from parlance.session import scratch
+from parlance.sources.store import KeyedStore
 from parlance.sources.tables import merge_summaries, parquet
+from parlance.streaming import attempts as stream_attempts
 from parlance.streaming import events as stream_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,9 +156,15 @@ def summary_items(spark, d):
 
 @query
 def grounding_items(spark, d):
-    turns = parquet(spark, d, "conversations").select("conv_id", "turn", "role")
-    muted = turns.withColumn("muted", (F.col("role") == "assistant") & (F.col("conv_id") % 2 == 0))
-    return items.grounding_items(turns, muted, "conv_id", "turn")
+    base = _manifests(spark, d).withColumn("audio", F.concat(F.lit("/scenes/"), F.col("conv_id"), F.lit(".wav")))
+    i, rank = F.col("conv_id"), F.col("rank")
+    event = lambda e: F.struct(
+        e["event_id"].alias("event_id"), F.when(~((i % 4 == 0) & (rank == 1)), e["start_s"]).alias("start_s"),
+        F.when(e["turn"] % 3 > 0, F.when(rank == 0, e["turn"] % 2 == 1).otherwise(e["turn"] >= i % 9)).alias("muted"),
+    )
+    gone = base.withColumn("rank", F.explode(F.array(F.lit(0), F.lit(1)))).where((i + rank) % 3 < 2).withColumn("events_placed", F.transform("events_placed", event))
+    gone = gone.withColumn("audio", F.concat(F.lit("/without"), rank, F.lit("/"), i, F.lit(".wav")))
+    return items.grounding_items(base.withColumn("events_placed", F.when(i % 5 == 0, F.slice("events_placed", 1, 2)).otherwise(F.col("events_placed"))), gone, "conv_id")
 
 
 # --- timelines ------------------------------------------------------------------------------
@@ -328,8 +337,14 @@ def json_props(spark, d):
 
 @query
 def loose_json_reply(spark, d):
-    raw = F.when(F.col("event_id") % 2 == 0, F.col("props")).when(F.col("event_id") % 5 == 0, F.lit("nothing")).otherwise(F.concat(F.lit("Here: "), F.col("props"), F.lit(" }")))
-    rows = parquet(spark, d, "events").select("event_id", read_reply(raw).alias("r"))
+    """Replies as models give them: plain, fenced, among words, as Python literals, cut off, empty, or none."""
+    i, props = F.col("event_id"), F.col("props")
+    k = F.get_json_object("props", "$.k")
+    forms = [
+        props, F.concat(F.lit("```json\n"), props, F.lit("\n```")), F.concat(F.lit("{'k': "), k, F.lit(", 'ok': True, 'no': None}")), F.concat(F.lit("Sure: {'k': "), k), F.lit("nothing"),
+        F.concat(F.lit("Here: "), props, F.lit(" }")), F.lit("  "), F.concat(F.lit("```"), props, F.lit("```")), F.expr("left(props, length(props) - 1)"), F.lit("a [1 or {so on"),
+    ]
+    rows = parquet(spark, d, "events").select("event_id", read_reply(F.get(F.array(*forms), (i % 10).cast("int"))).alias("r"))
     return rows.select("event_id", F.col("r.status").alias("status"), F.get_json_object("r.value", "$.k").cast("long").alias("k"))
 
 
@@ -338,8 +353,11 @@ def loose_json_reply(spark, d):
 
 @query
 def compositions30(spark, d):
+    """How many scenarios have each composition."""
     found = quota.compositions(spark)
-    return found.select(*[F.col(c).cast("long").alias(c) if c != "composition" else c for c in found.columns])
+    made = records.distributions(records.normalised(_scenarios(spark, d))).where("kind = 'composition'").select(F.col("value").alias("composition"), F.col("n").alias("scenarios"))
+    listed = found.select(*[F.col(c).cast("long").alias(c) if c != "composition" else c for c in found.columns])
+    return listed.join(made, "composition", "left").fillna(0, ["scenarios"])
 
 
 @query
@@ -397,7 +415,7 @@ def pool_check(spark, d):
 
 @query
 def round_robin_shards(spark, d):
-    return quota.round_robin(parquet(spark, d, "pages").select("page_id", "url"), "page_id", 4).select("page_id", "shard")
+    return quota.round_robin(parquet(spark, d, "pages").select("page_id", "url"), ["page_id", "url"], 4).select("page_id", "shard")
 
 
 @query
@@ -407,8 +425,11 @@ def register_cycle(spark, d):
 
 @query
 def event_balance(spark, d):
-    found = quota.event_balance(parquet(spark, d, "lineitem"), "l_suppkey", "l_returnflag", ["A", "N", "R"])
-    return found.withColumns({c: F.round(c, 6) for c in ("mean_gap", "max_gap")})
+    supplier, flag = F.col("l_suppkey"), F.col("l_returnflag")
+    event = F.concat(F.when(supplier % 10 == 7, "rare_events/").when(supplier % 3 == 0, "general/").otherwise("yard/"), supplier)
+    rows = parquet(spark, d, "lineitem").select(event.alias("event_id"), F.when(flag == "A", "pivot").when(flag == "N", "verbal").otherwise("ambient").alias("reaction"))
+    found = quota.event_balance(rows, "event_id", "reaction")
+    return found.withColumns({c: F.round(c, 6) for c in found.columns if c.startswith(("mean", "max", "share"))})
 
 
 @query
@@ -485,6 +506,32 @@ def stratum_acceptance(spark, d):
     return filtering.stratum_acceptance(filtering.next_steps(docs, ok, attempts, "doc_id", 3), first, "doc_id", "lang")
 
 
+@query
+def regeneration_report(spark, d):
+    docs, ok, attempts = _steps(spark, d)
+    i = F.col("doc_id")
+    rows = filtering.next_steps(docs, ok, attempts, "doc_id", 3).withColumn("has_rare", F.when(i % 7 > 0, i % 5 == 0)).withColumn("has_pivot", F.col("lang") == "en")
+    last = filtering.first_and_last(attempts.withColumn("n_rescued", F.col("pass") % 2), "doc_id", "pass", "n_rescued").select("doc_id", F.col("last").alias("n_rescued"))
+    return filtering.regeneration_report(rows, last, "doc_id")
+
+
+@query
+def inference_metrics(spark, d):
+    """Recovery by language and over all; some labels have no evaluation, and in some nothing was heard."""
+    i, k = F.col("doc_id"), F.col("doc_id") % 13
+    name = lambda c: F.when(F.col(c) == 1, "behavioral").otherwise("ambient")
+    first = F.struct(name("quality").alias("gold"), F.when(i % 11 == 0, "missing").otherwise(name("toxic")).alias("pred"))
+    second = F.struct(F.lit("pivot").alias("gold"), F.when(i % 2 == 0, "pivot").otherwise("verbal").alias("pred"))
+    known = lambda c: F.when(k > 0, c)
+    rows = parquet(spark, d, "labels").select(
+        "doc_id", F.when((k > 1) & (i % 6 > 0), (i % 10) / 10.0).alias("subject_cos"), known(F.when(k > 1, F.array(first, second)).otherwise(F.slice(F.array(first), 1, 0))).alias("pairs"),
+        known(F.lit(2)).alias("n_sounds"), known((i % 11 == 0).cast("long")).alias("n_missing"), known(i % 3).alias("n_spurious"), known((name("quality") == name("toxic")) & (i % 11 > 0) & (i % 2 == 0)).alias("reactions_ok"),
+    )
+    docs = parquet(spark, d, "documents").select("doc_id", F.explode(F.array("lang", F.lit("all"))).alias("lang"))
+    found = filtering.recovery_metrics(filtering.evaluated(docs, rows, "doc_id"), 0.5, text.REACTIONS, ("lang",))
+    return found.withColumn("mean_cosine", F.round("mean_cosine", 9))
+
+
 @query
 def attempt_history(spark, d):
     return filtering.first_and_last(_steps(spark, d)[2], "doc_id", "pass", "accepted")
@@ -492,12 +539,13 @@ def attempt_history(spark, d):
 
 @query
 def rescue_rule(spark, d):
-    name = lambda c: F.when(F.col(c) == 1, "behavioral").otherwise("ambient")
-    labels = parquet(spark, d, "labels")
-    gold = labels.select("doc_id", name("quality").alias("gold"))
-    predicted = labels.where("doc_id % 11 <> 0").select("doc_id", name("toxic").alias("pred"), F.lit(0).alias("ordinal"))
-    typed = filtering.typed_events(gold, predicted, ["doc_id"]).withColumn("scenario", F.floor(F.col("doc_id") / 5))
-    return filtering.recovery(typed, "scenario", F.col("doc_id") % 2 == 0)
+    """Behavioural sounds that were heard as ambient, and count where their delivery tags stand right."""
+    items_, expected = _dialogue(spark, d)
+    at = F.col("conv_id") + F.regexp_extract("event_id", "[0-9]+$", 0).cast("long")
+    gold = expected.select("conv_id", "event_id", F.when(at % 4 > 0, "behavioral").otherwise("verbal").alias("gold"))
+    predicted = expected.where(at % 11 > 0).select("conv_id", "event_id", F.when(at % 3 > 0, "ambient").otherwise("behavioral").alias("pred"), F.lit(0).alias("ordinal"))
+    typed = filtering.typed_events(gold, predicted, ["conv_id", "event_id"]).join(validation.delivery_confirmed(items_, expected, "conv_id"), ["conv_id", "event_id"], "left")
+    return filtering.recovery(typed, "conv_id", F.coalesce("confirmed", F.lit(False)))
 
 
 @query
@@ -653,15 +701,17 @@ def record_distributions(spark, d):
 
 
 def _dialogue(spark, d):
-    """Conversations as timelines: every fourth item is an event, other turns are said by A and B."""
+    """Conversations as timelines: every fourth item is an event, other turns are said by A and B; the turn behind an event may carry a tag."""
     t, i = F.col("turn"), F.col("conv_id")
     heard = t % 4 == 3
-    items_ = _turns(spark, d).select(
+    tagged = F.concat(F.get(F.array(F.lit(""), F.lit("[gasps] "), F.lit("It stopped. [gasps] "), F.lit("Well... [gasps] "), F.lit("So [Gasps] ")), (i % 5).cast("int")), F.col("text"))
+    said = F.when((t % 4 == 0) & (t > 0), tagged).otherwise(F.col("text"))
+    items_ = _turns(spark, d).withColumn("text", said).select(
         "conv_id", t.alias("position"), F.when(heard, "event").when(t % 4 == 0, F.lit(None)).otherwise("utterance").alias("type"),
         F.when(~heard, F.when(i % 6 == 5, "A").when(F.col("role") == "user", "A").otherwise("B")).alias("speaker"), F.when(~heard, F.col("text")).alias("text"), F.when(heard, F.concat(F.lit("e/loud_knock_"), t)).alias("event_id"),
     )
     items_ = items_.withColumn("type", records.item_type(*[F.col(c) for c in ("type", "speaker", "text", "event_id")]))
-    expected = items_.where("type = 'event'").select("conv_id", "event_id", F.when(i % 3 == 0, "pivot").otherwise("ambient").alias("reaction"), F.when(i % 2 == 0, "early").alias("slot"), F.array().cast("array<string>").alias("tags"))
+    expected = items_.where("type = 'event'").select("conv_id", "event_id", F.when(i % 3 == 0, "pivot").otherwise("ambient").alias("reaction"), F.when(i % 2 == 0, "early").alias("slot"), F.when(i % 2 == 1, F.array(F.lit("[gasps]"), F.lit("[sighs]"))).otherwise(F.array().cast("array<string>")).alias("tags"))
     return items_, expected
 
 
@@ -754,7 +804,7 @@ def gold_sounds(spark, d):
 @query
 def word_offsets(spark, d):
     """Per turn: words, and sums of their places and lengths."""
-    rows = tags.words_with_offsets(_turns(spark, d), ["conv_id", "turn"], "text")
+    rows = alignment.word_table(_turns(spark, d), "conv_id", "turn", "text").withColumn("offset", F.col("offset").cast("long"))
     return rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.sum("offset").alias("places"), F.max("offset").alias("last"), F.sum(F.length("word")).alias("letters"))
 
 
@@ -782,12 +832,12 @@ def event_tags(spark, d):
 
 @query
 def composition_sequence(spark, d):
-    rows = allocation.composition_sequence(spark, 1000, {"pivot": 2.0})
-    return rows.select("local", "composition")
+    """A composition for each part, those with a pivot twice as often."""
+    return allocation.composition_sequence(spark, parquet(spark, d, "part").count(), {"pivot": 2.0}).select("local", "composition")
 
 
 def _todos(spark, d):
-    templates = parquet(spark, d, "part").where("p_size = 7").select("p_partkey")
+    templates = parquet(spark, d, "part").select("p_partkey")
     region = parquet(spark, d, "region").select(F.col("r_name").alias("scene"))
     relations = parquet(spark, d, "nation").select(F.col("n_name").alias("role_a"), F.lower("n_name").alias("role_b"))
     return allocation.todos(templates, "p_partkey", "p_partkey", region, relations)
@@ -802,12 +852,36 @@ def scenario_todos(spark, d):
     return rows.select(pair.alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
 
 
+def _drawn_from(spark, d):
+    """Pools of ordinary and rare events per scene."""
+    pool = catalog.scene_pool(*_catalogue(spark, d)).select("scene", F.concat(F.when(F.col("branch") == 2, "general/").otherwise(""), "event").alias("event_id"))
+    return pool, _catalogue(spark, d)[3].withColumn("event_id", F.explode(F.array(*[F.lit(f"rare_events/{n}") for n in ("thunder", "alarm", "siren")])))
+
+
+REGISTERS = {"pivot": ["calm", "angry", "afraid"], "verbal": ["terse", "warm"], "behavioral": ["quick"]}
+
+
 @query
 def scenario_events(spark, d):
-    pool = catalog.scene_pool(*_catalogue(spark, d)).select("scene", F.col("event").alias("event_id"))
-    rare = _catalogue(spark, d)[3].withColumn("event_id", F.explode(F.array(*[F.lit(f"rare_events/{n}") for n in ("thunder", "alarm", "siren")])))
-    found = allocation.scenario_events(_todos(spark, d), pool, rare)
-    return found.groupBy("scenario_id").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_different"), F.count_if(F.expr("reaction = 'pivot'")).alias("n_pivot"), F.count_if(F.expr("slot = 'late' AND reaction = 'pivot'")).alias("n_late_pivots"), F.count_if("is_rare").alias("n_rare"), F.count_distinct("place").alias("n_places"))
+    found = allocation.scenario_events(_todos(spark, d), *_drawn_from(spark, d), registers=REGISTERS)
+    return found.groupBy("scenario_id").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_different"), F.count_if(F.expr("reaction = 'pivot'")).alias("n_pivot"), F.count_if(F.expr("slot = 'late' AND reaction = 'pivot'")).alias("n_late_pivots"), F.count_if("is_rare").alias("n_rare"), F.count_distinct("place").alias("n_places"), F.count("register").alias("n_registers"))
+
+
+@query
+def register_use(spark, d):
+    """How often each register was drawn: its reaction's events, dealt out in cycles."""
+    found = allocation.scenario_events(_todos(spark, d), *_drawn_from(spark, d), registers=REGISTERS)
+    return found.groupBy("reaction", "register").agg(F.count("*").alias("n"))
+
+
+@query
+def balanced_pairing(spark, d):
+    """How far events' reactions are from the overall shares, paired as drawn and balanced."""
+    rows, (pool, rare) = _todos(spark, d), _drawn_from(spark, d)
+    targets = {r["reaction"]: r["share"] for r in allocation.reaction_targets(rows).collect()}
+    both = [(name, allocation.scenario_events(rows, pool, rare, registers=REGISTERS, targets=own)) for name, own in (("drawn", None), ("balanced", targets))]
+    each = [quota.event_balance(found, "event_id", "reaction").withColumn("pairing", F.lit(name)) for name, found in both]
+    return each[0].unionByName(each[1])
 
 
 @query
@@ -834,12 +908,25 @@ def event_layers(spark, d):
 
 @query
 def spaced_turns(spark, d):
-    t = F.col("turn")
-    rows = _turns(spark, d).select("conv_id", "turn", (t * 2.0).alias("start"), F.when((F.col("conv_id") % 5 == 0) & (t == 1), 0.0).otherwise(t * 2.0 + 1.5).alias("end"))
-    found = placement.spaced_turns(rows, "conv_id", "turn", "start", "end", 0.2, 0.9)
+    t, i = F.col("turn"), F.col("conv_id")
+    end = F.when((i % 5 == 0) & (t == 1), 0.0).when((i % 7 == 0) & (t == 0), F.lit(None)).otherwise(t * 2.0 + 1.5)
+    rows = _turns(spark, d).select("conv_id", "turn", (t * 2.0).alias("start"), end.alias("end"), (i % 3 * 4.0 + 5).alias("length"))
+    found = placement.spaced_turns(rows, "conv_id", "turn", "start", "end", "length", 0.2, 0.9)
     return found.select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("gap", "new_start", "new_end")])
 
 
+@query
+def spaced_signals(spark, d):
+    """Signals cut at their quietest samples near two bounds, with silence put in there."""
+    i = F.col("vec_id")
+    bounds = F.array((i % 20 + 10).cast("int"), (i % 20 + 30).cast("int"))
+    rows = parquet(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), bounds.alias("bounds"))
+    rows = rows.withColumn("cuts", signal.cuts_near(6, 50)("x", "bounds")).withColumn("gaps", F.array((i % 4).cast("int"), (i % 7).cast("int")))
+    spaced = rows.withColumn("y", placement.with_silence(F.col("x"), F.col("cuts"), F.col("gaps")))
+    weighted = F.aggregate(F.zip_with("y", F.sequence(F.lit(1), F.size("y")), lambda v, k: v * k), F.lit(0.0), lambda a, v: a + v)
+    return spaced.select("vec_id", *[F.get("cuts", F.lit(k)).cast("long").alias(f"cut{k}") for k in (0, 1)], F.size("y").cast("long").alias("n"), F.round(weighted, 6).alias("weighted"))
+
+
 @query
 def template_faults(spark, d):
     n = F.col("n_nationkey")
@@ -987,7 +1074,8 @@ def audio_formats(spark, d):
 def final_dialogues(spark, d):
     told = _timelines(spark, d).where("conv_id % 9 > 0").select(F.col("conv_id").cast("string").alias("scenario_id"), "timeline")
     rows = assembly.final_dialogues(records.normalised(_scenarios(spark, d)), told)
-    return rows.select("scenario_id", "scene", "split", "gender_a", "n_events", "n_turns_total", "n_turns_a", "n_turns_b", "n_events_in_timeline", F.array_join(F.transform("timeline", lambda i: i["type"]), ",").alias("types"))
+    whole = F.md5(F.array_join(F.transform("timeline", lambda i: F.coalesce(i["text"], F.lit(""))), "|").cast("binary"))
+    return rows.select("scenario_id", "scene", "split", "gender_a", "n_events", "n_turns_total", "n_turns_a", "n_turns_b", "n_events_in_timeline", whole.alias("texts"), F.array_join(F.transform("timeline", lambda i: i["type"]), ",").alias("types"))
 
 
 @query
@@ -1008,3 +1096,97 @@ def master_levels(spark, d):
     files = rows.where(p % 5 == 0).select(F.concat(F.lit("/a/"), p, F.lit(".mp3")).alias("path"))
     declared = rows.select("scenario_id", F.concat(F.lit("/a/"), p, F.lit(".mp3")).alias("audio"))
     return assembly.master_levels(assembly.declared_audio(declared, files, "/scenes").select("scenario_id", "path"), kept)
+
+
+@query
+def strengthened_turns(spark, d):
+    """Texts with delivery tags of all kinds in front, in between and behind."""
+    t, said = F.col("turn") % 6, F.col("text")
+    tagged = F.when(t == 0, F.concat(F.lit("[slightly annoyed] "), said)).when(t == 1, F.concat(F.lit("[loudly] "), said)).when(t == 2, F.concat(said, F.lit(" [a bit] now")))
+    tagged = tagged.when(t == 3, F.concat(F.lit("Wait [shouting, angry] "), said)).when(t == 4, F.concat(said, F.lit(" [laughs] Yes [softer]"))).otherwise(said)
+    return _turns(spark, d).select("conv_id", "turn", tags.strengthened(tagged).alias("said"))
+
+
+@query
+def timeline_items(spark, d):
+    rows = records.turn_rows(_timelines(spark, d).withColumn("timeline", F.transform("timeline", lambda i: F.struct(F.when(i["turn"] % 5 > 0, i["type"]).alias("type"), F.when(i["type"] != "event", i["speaker"]).alias("speaker"), F.when(i["type"] != "event", i["text"]).alias("text"), F.when(i["type"] == "event", i["event_id"]).alias("event_id")))), "conv_id")
+    return rows.groupBy("conv_id", "type").agg(F.count("*").alias("n"), F.count("speaker").alias("n_spoken"), F.sum(F.length("text")).alias("letters"), F.max("position").cast("long").alias("last"))
+
+
+# --- lists, stores, streams of attempts -----------------------------------------------------
+
+
+@query
+def request_batches(spark, d):
+    """Orders packed in the order of their keys into batches of at most 40 of them and 60,000 bytes; a few are larger than that."""
+    key = F.col("o_orderkey")
+    size = F.when(key % 501 == 0, 1_000_000).otherwise(F.col("o_custkey") % 97 * 40 + key % 13)
+    rows = batches.batched(parquet(spark, d, "orders").select("o_orderkey", size.alias("bytes")), ["o_orderkey"], "bytes", 40, 60_000)
+    return rows.groupBy("batch").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+
+
+@query
+def stored_passes(spark, d):
+    """Orders stored in three passes, the later over the earlier; invalid ones dropped, the store compacted, and what is still to do."""
+    orders = parquet(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    store = KeyedStore(spark, scratch(spark, "store"), "o_orderkey", "o_orderkey long, price double, pass string", 16)
+    for name, own, value in (("one", key % 4 < 3, price), ("two", key % 3 == 0, price * 2), ("three", key % 5 == 0, -price)):
+        store.record(orders.where(own).select("o_orderkey", value.alias("price"), F.lit(name).alias("pass")))
+    store.drop(F.col("price") >= 0)
+    store.compact()
+    left = store.pending(orders, F.col("pass") != "one").select("o_orderkey", F.lit(True).alias("pending"))
+    return orders.select("o_orderkey").join(store.rows(), "o_orderkey", "left").join(left, "o_orderkey", "left").fillna(False, ["pending"])
+
+
+@query
+def streaming_attempts(spark, d):
+    """Attempts at every document as a stream: which documents are accepted, abandoned or to be made again."""
+    docs = spark.readStream.schema("doc_id long").parquet(f"{d}/documents*.parquet")
+    attempts = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("doc_id") % 4)).alias("pass"))
+    states = stream_attempts.attempt_states(attempts.withColumn("accepted", (F.col("doc_id") + F.col("pass")) % 3 == 0), "doc_id", "accepted", 3)
+    return stream_events.run_to_end(states, "update", ["doc_id"])
+
+
+# --- files and times ------------------------------------------------------------------------
+
+
+@query
+def event_takes(spark, d):
+    """A file of the right pool and split for every turn: a conversation's pool is that of the document of its number."""
+    docs = parquet(spark, d, "documents").select("doc_id", "lang", "source")
+    pool = F.concat_ws("/", "lang", "source")
+    files = docs.select("lang", "source", F.concat(F.lit("f"), F.col("doc_id"), F.lit(".wav")).alias("name"))
+    files = quota.assign_split(files, ["lang", "source"], [quota.hash_order("s", "name"), F.col("name")], {"train": 0.9, "dev": 0.05, "test": 0.05}, each_one=True).select(pool.alias("pool"), "split", "name")
+    split = F.get(F.array(F.lit("train"), F.lit("dev"), F.lit("test"), F.lit("")), (F.col("turn") % 4).cast("int"))
+    turns = _turns(spark, d).join(docs.select(F.col("doc_id").alias("conv_id"), pool.alias("pool")), "conv_id", "left").withColumn("k", F.concat_ws("-", "conv_id", "turn"))
+    return catalog.takes(turns.select("conv_id", "turn", "k", "pool", split.alias("split")), files, "k").select("conv_id", "turn", "pool", "split", "name")
+
+
+@query
+def alignment_forms(spark, d):
+    """Alignment files as several tools write them, read as one."""
+    i, t = F.col("conv_id"), F.col("turn")
+    form, start, end = i % 5, t * 2.0, t * 2.0 + 1.5
+    turn = F.struct(
+        "turn", F.when(form == 0, F.col("role")).alias("speaker"), F.when(form == 0, start).alias("start_s"), F.when(form == 0, end).alias("end_s"), F.when(form == 1, F.col("role")).alias("spk"), F.when(form == 1, start).alias("t_start"), F.when(form == 1, end).alias("t_end"),
+        F.when(form == 2, F.col("role")).alias("voice_id"), F.when(form == 2, end).alias("end_time_seconds"), F.when(form == 2, start).alias("start_time_seconds"), F.when(form == 4, F.col("role")).alias("speaker_label"), F.when(form == 4, start.cast("string")).alias("start"),
+    )
+    rows = _turns(spark, d).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    told = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    none = F.slice("t", 1, 0)
+    raw = F.when(form == 0, told(F.struct(F.col("t").alias("turns"), none.alias("turns_meta")))).when(form == 1, told(F.struct(none.alias("turns"), F.col("t").alias("turns_meta"))))
+    raw = raw.when(form == 2, told(F.col("t"))).when(form == 3, F.concat(F.lit("x"), told(F.col("t")))).otherwise(told(F.struct(F.lit(7).alias("turns"), F.col("t").alias("turns_meta"))))
+    found = rows.select("conv_id", alignment.read_turns(raw).alias("turns"))
+    total = lambda f: F.aggregate("turns", F.lit(0.0), lambda a, x: a + F.coalesce(x[f], F.lit(0.0)))
+    return found.select("conv_id", F.when(F.col("turns").isNotNull(), F.size("turns")).cast("long").alias("n"), F.array_join(F.transform("turns", lambda x: x["speaker"]), ",").alias("speakers"), total("start").alias("starts"), total("end").alias("ends"), alignment.is_timed(F.col("turns")).alias("timed"))
+
+
+@query
+def turn_overlaps(spark, d):
+    """Seconds that turns and events share: a user's turns take a second per four characters, an event a minute per unit of its value."""
+    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 1e6
+    heard = parquet(spark, d, "events").select(F.col("user_id").alias("user"), "event_id", seconds.alias("b_start")).join(parquet(spark, d, "events").select("event_id", "value"), "event_id").withColumn("b_end", F.col("b_start") + F.col("value") * 60).drop("value")
+    begin = (F.col("conv_id") * 7919 + F.col("turn") * 86_400) % 2_592_000
+    turns = _turns(spark, d).select((F.col("conv_id") % 150).alias("user"), "conv_id", "turn", begin.cast("double").alias("a_start"), (begin + F.length("text") / 4.0 * F.when(F.col("turn") == 2, 500).otherwise(1)).alias("a_end"))
+    return placement.overlaps(turns, heard, "user", 60.0).select("event_id", "conv_id", "turn", F.round("shared", 4).alias("shared"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.operators.alignment import read_turns
+
 EVENT = T.StructType([T.StructField("event_id", T.StringType()), T.StructField("reaction", T.StringType()), T.StructField("is_rare", T.BooleanType()), T.StructField("register", T.StringType()), T.StructField("slot", T.StringType())])
 SCENARIO = T.StructType([
     T.StructField("scenario_id", T.StringType()), T.StructField("template_id", T.StringType()), T.StructField("category", T.StringType()),
@@ -67,6 +69,15 @@ def manifests(spark: SparkSession, folder: str, schema: T.StructType) -> DataFra
     return read.withColumn("manifest_path", F.input_file_name()).where(F.col("events_placed").isNotNull())
 
 
+def turn_files(spark: SparkSession, folder: str, suffix: str = ".json", key: str = "scenario_id") -> DataFrame:
+    """(key, turns) of the alignment files `<key><suffix>` of a folder; files that hold no turns have none."""
+    read = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    named = read.select(F.url_decode(name).alias("_name"), read_turns(F.col("value")).alias("turns"))
+    other = ~F.col("_name").endswith(".meta.json") if suffix == ".json" else F.lit(True)
+    return named.where(other).select(F.substring("_name", F.lit(1), F.length("_name") - len(suffix)).alias(key), "turns")
+
+
 def audio_files(spark: SparkSession, folder: str) -> DataFrame:
     """(pool, name, path) of audio files below `folder`: pool is the sub-folder; hidden files are left out."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.session import shared_folder
+from parlance.session import scratch
 
 
 def stream(spark: SparkSession, folder: str, name: str = "events", time: str = "ts") -> DataFrame:
@@ -37,14 +36,14 @@ def once(rows: DataFrame, keys: list[str], late: str, time: str = "ts") -> DataF
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_end(result: DataFrame, mode: str, keys: list[str]) -> DataFrame:
+def run_to_end(result: DataFrame, mode: str, keys: list[str], folder: str | None = None) -> DataFrame:
     """The result table of a streaming query over all that is there now, from files in the shared folder.
 
-    Every batch is written by the executors. In complete mode the last batch is the result, in update mode the last row
+    With the `folder` of an earlier run, the stream goes on where that one stopped. Every batch is written by the executors. In complete mode the last batch is the result, in update mode the last row
     of each of `keys`; nothing passes through the driver. A batch done again after a failure replaces its files.
     """
     spark = result.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = folder or scratch(spark, "stream")
 
     def batch(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")

@@ -167,11 +167,6 @@ def test_strengthened_tags(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(tags.strengthened(F.col("t"))).first()[0] == want
 
 
-def test_words_with_offsets(spark):
-    df = spark.createDataFrame([(1, "Don't [sighs] go, now!"), (2, "123"), (3, None)], "k int, t string")
-    assert [tuple(r) for r in tags.words_with_offsets(df, ["k"], "t").orderBy("k", "n").collect()] == [(1, 0, "don't", 0), (1, 1, "go", 8), (1, 2, "now", 12)]
-
-
 @pytest.mark.parametrize(
     ("text", "words", "want"),
     [

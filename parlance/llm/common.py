@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.session import shared_folder
+from parlance.session import remove, scratch, shared_folder  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,26 +35,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in a new folder of the shared folder, for a table; what is left there goes when the driver ends."""
-    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    path, files = _hadoop(spark, folder)
-    files.mkdirs(path)
-    files.deleteOnExit(path)
-    return f"{folder}/rows"
-
-
-def remove(spark: SparkSession, table_path: str) -> None:
-    """Deletes what scratch() gave."""
-    path, files = _hadoop(spark, table_path)
-    files.delete(path.getParent(), True)
-
-
-def _hadoop(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def without(df: DataFrame, *names: str) -> list[str]:
     """Columns of `df` but those called like one of `names`, in any case, quoted for select()."""
     taken = {n.lower() for n in names}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.operators.quota import uniform
+
 #: Levels by layer (LUFS), of the voice and the background, and bounds (dB).
 LAYER_LUFS = {"core": -20.0, "supporting": -23.0, "rare": -17.0}
 VOICE_LUFS, BACKGROUND_LUFS, JITTER_DB, MOST_OVER_VOICE_DB = -20.0, -32.0, 3.0, 6.0
@@ -70,9 +72,25 @@ def with_distance_range(events: DataFrame, profiles: DataFrame, event: str = "ev
     return rows.withColumn("_r", found).withColumn("near", F.col("_r.near")).withColumn("far", F.col("_r.far")).drop("_own", "_exact", "_leaf", "_alike", "_r")
 
 
-def drawn_distance(near: Column, far: Column, u: Column, bias: float = 1.0) -> Column:
-    """A distance in the nearer `bias` part of a range, from a uniform number."""
-    return near + (far - near) * min(1.0, max(0.0, bias)) * u
+def drawn_distance(near: Column, far: Column, u: Column, bias: float | Column = 1.0) -> Column:
+    """A distance in the nearer `bias` part of a range, from a uniform number; a null bias is 1."""
+    share = F.least(F.greatest(F.coalesce(bias, F.lit(1.0)), F.lit(0.0)), F.lit(1.0)) if isinstance(bias, Column) else min(1.0, max(0.0, bias))
+    return near + (far - near) * share * u
+
+
+def by_reaction(reaction: Column, biases: dict[str, float]) -> Column:
+    """The bias of a reaction's distances; 1 for others and null."""
+    return F.coalesce(*[F.when(reaction == r, F.lit(float(b))) for r, b in biases.items()], F.lit(1.0))
+
+
+#: How far a room's length, width and microphone distance vary between splits.
+ROOM_RANGES = ((0.90, 1.10), (0.90, 1.10), (0.75, 1.25))
+
+
+def room_variation(scene: str, split: str) -> Column:
+    """Factors of a scene's room in a split, as array; 1 where there is no split."""
+    drawn = [low + (high - low) * uniform(f"room{i}", scene, split) for i, (low, high) in enumerate(ROOM_RANGES)]
+    return F.when(F.coalesce(F.col(split), F.lit("")) != "", F.array(*drawn)).otherwise(F.array(*[F.lit(1.0)] * len(ROOM_RANGES)))
 
 
 def margin_bucket(margin: Column, edges: tuple[float, ...] = MARGIN_EDGES) -> Column:

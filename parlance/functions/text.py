@@ -171,6 +171,24 @@ def read_presence(reply: Column) -> Column:
     return F.when(yes != no, yes)
 
 
+#: Words that a scenario's subject may have, and how much of a prompt's end is looked for in a reply.
+LEAST_SUBJECT, MOST_SUBJECT, PROMPT_END = 4, 60, 60
+
+
+def subject_fault(subject: Column) -> Column:
+    """What is wrong with a generated subject; null if nothing is."""
+    own = F.trim(F.regexp_replace(F.coalesce(subject, F.lit("")), r"[ \t\r\n]+", " "))
+    n = F.size(words(own))
+    return F.when(own == "", "empty subject").when(n < LEAST_SUBJECT, "subject too short").when(n > MOST_SUBJECT, "subject too long")
+
+
+def after_prompt(raw: Column, prompt: Column) -> Column:
+    """What a reply says behind the last time it repeats the prompt's end; all of it if it doesn't."""
+    end = F.trim(F.regexp_replace(F.substring(F.coalesce(prompt, F.lit("")), -PROMPT_END, PROMPT_END), r"^\s+|\s+$", ""))
+    behind = F.substr(raw, F.length(raw) - F.instr(F.reverse(raw), F.reverse(end)) + 2)
+    return F.when((end != "") & F.contains(raw, end), F.regexp_replace(behind, r"^\s+", "")).otherwise(raw)
+
+
 def strip_thinking(raw: Column) -> Column:
     """A model's reply without its thinking blocks, closed or not."""
     closed = F.regexp_replace(raw, r"(?is)<think(ing)?>.*?</think(ing)?>", " ")

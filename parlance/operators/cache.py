@@ -33,6 +33,24 @@ def run_settings(cache: DataFrame, run: str) -> DataFrame:
     return cache.groupBy(run).agg(F.count("*").alias("n"))
 
 
+def task_verdicts(items: DataFrame, caches: DataFrame, task: str, key: str, compared: list[str], is_error: str, run: str, tolerate_errors: bool = False) -> DataFrame:
+    """Per task of `items`: items, cached, missing, intruders, divergent, errors, settings, and verdict: ok, refused, or no cache.
+
+    caches: (task, key, compared, is_error, run), `run` a map or struct of a run's settings, or null. A task is refused for any finding, where two rows
+    were made under different settings, and for errors unless they are tolerated.
+    """
+    keyed = lambda df: df.withColumn("_id", F.struct(task, key))
+    found = completeness(keyed(items).drop(task, key), keyed(caches).drop(task, key), "_id", compared, is_error)
+    counts = found.groupBy(F.col("_id")[task].alias(task)).agg(*[F.count_if(F.col("finding") == f).alias(name) for f, name in (("missing", "n_missing"), ("intruder", "n_intruders"), ("divergent", "n_divergent"))])
+    wanted = items.groupBy(task).agg(F.count("*").alias("n_items"))
+    settings = F.when(F.col(run).isNotNull(), F.to_json(run))
+    held = caches.groupBy(task).agg(F.count("*").alias("n_cached"), F.count_if(is_error).alias("n_errors"), F.count_distinct(settings).alias("n_settings"))
+    rows = wanted.join(held, task, "left").join(counts, task)
+    wrong = (F.col("n_missing") + F.col("n_intruders") + F.col("n_divergent") > 0) | (F.col("n_settings") > 1) | (F.lit(not tolerate_errors) & (F.col("n_errors") > 0))
+    verdict = F.when(F.col("n_cached").isNull(), "no cache").when(wrong, "refused").otherwise("ok")
+    return rows.withColumn("verdict", verdict).fillna(0, ["n_cached", "n_errors", "n_settings"])
+
+
 def reparsed(cache: DataFrame, fresh: str, stored: str, is_error: str) -> DataFrame:
     """`cache` with `stored` replaced by `fresh` where they differ, and changed; errors are left alone."""
     differ = ~F.col(is_error) & ~F.col(fresh).eqNullSafe(F.col(stored))

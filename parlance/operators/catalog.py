@@ -38,6 +38,14 @@ def unknown_references(refs: DataFrame, known: DataFrame, key: str) -> DataFrame
     return refs.join(known.select(key), key, "left_anti")
 
 
+def rare_faults(forbidden: DataFrame, rare: DataFrame, scenes: DataFrame) -> DataFrame:
+    """(event, scene, fault) of exclusions (event, scene) of rare events that name an unknown event or an unknown scene; none where no rare event is excluded at all."""
+    rows = forbidden.join(rare.select("event", F.lit(True).alias("_e")).distinct(), "event", "left").join(scenes.select("scene", F.lit(True).alias("_s")).distinct(), "scene", "left")
+    fault = F.when(F.col("_e").isNull(), "unknown event").when(F.col("_s").isNull(), "unknown scene")
+    some = forbidden.join(rare, "event", "left_semi").limit(1).select(F.lit(True).alias("_any"))
+    return rows.select("event", "scene", fault.alias("fault")).where("fault IS NOT NULL").join(F.broadcast(some), F.lit(True)).drop("_any")  # a row at most
+
+
 def summary(**tables: DataFrame) -> DataFrame:
     """(bank, n): sizes of the catalogue's tables."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("bank"), "n") for name, df in tables.items()]

@@ -131,3 +131,66 @@ def event_placements(items: DataFrame, events: DataFrame, key: str, order: str)
     rare = F.coalesce("_rare", F.lit(False)) | F.coalesce(F.col("event_id").startswith("rare_events/"), F.lit(False))
     found = F.when(rare, "rare").when(F.coalesce("_core", F.lit(False)), "core").when(F.coalesce("_supporting", F.lit(False)), "supporting").otherwise("core")
     return rows.select(key, order, "event_id", found.alias("layer"), "after_turn", (F.coalesce("_own", F.lit(False)) | is_behavioural(F.col("event_id"))).alias("is_behavioural"), "reaction")
+
+
+#: Fields that may say that a sound is made by a person, what they say then, flags that do, and names of an event's id.
+NATURE_NAMES = ("reaction", "nature", "event_nature", "event_type", "kind", "role", "category", "class", "label", "sound_type", "behavior", "type")
+BEHAVIOURAL_WORDS, BEHAVIOURAL_FLAGS, ID_NAMES = ("behavioral", "behavioural"), ("is_behavioral", "behavioral"), ("event_id", "id", "sound_id")
+
+
+def says_behavioural(event: Column) -> Column:
+    """Whether an event (a variant) says of itself that a person makes it."""
+    words_ = [F.lower(F.trim(F.try_variant_get(event, f"$.{n}", "string"))).isin(*BEHAVIOURAL_WORDS) for n in NATURE_NAMES]
+    flags = [(F.schema_of_variant(F.try_variant_get(event, f"$.{n}", "variant")) == "BOOLEAN") & F.try_variant_get(event, f"$.{n}", "boolean") for n in BEHAVIOURAL_FLAGS]
+    return F.coalesce(F.array_max(F.array(*[F.coalesce(c, F.lit(False)) for c in (*words_, *flags)])), F.lit(False))
+
+
+def event_id_of(event: Column) -> Column:
+    """An event's id, under the first of its names that isn't empty."""
+    return F.coalesce(*[F.nullif(F.try_variant_get(event, f"$.{n}", "string"), F.lit("")) for n in ID_NAMES])
+
+
+def behavioural_ids(record: Column) -> Column:
+    """Ids, each once and in order, of the events that a dialogue's record (JSON text) says a person makes.
+
+    Looked at are `events`, every list whose name ends in `elements`, and the timeline's events.
+    """
+    root = F.try_parse_json(record)
+    fields = F.from_json(record, "map<string,string>")
+    listed = F.map_values(F.map_filter(fields, lambda k, v: (k.endswith("elements") | (k == "events")) & F.ltrim(v).startswith("[")))
+    of = lambda text: F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+    own = F.flatten(F.transform(listed, of))
+    timeline = F.filter(F.try_variant_get(root, "$.timeline", "array<variant>"), lambda i: F.try_variant_get(i, "$.type", "string") == "event")
+    none = F.filter(own, lambda e: F.lit(False))
+    every = F.concat(F.coalesce(own, none), F.coalesce(timeline, F.filter(timeline, lambda e: F.lit(False)), none))
+    ids = F.filter(F.transform(F.filter(every, says_behavioural), event_id_of), lambda i: i.isNotNull())
+    return F.array_sort(F.array_distinct(F.coalesce(ids, F.array().cast("array<string>"))))
+
+
+def least_gap(least_s: float, margin_s: float, onset_s: float, overlapping: bool) -> float:
+    """The shortest pause between turns: where events may overlap speech, one that a margin and an onset fit into."""
+    return max(least_s, margin_s + onset_s) if overlapping else least_s
+
+
+def same_speaker_across(turns: DataFrame, key: str, order: str, speaker: str) -> DataFrame:
+    """`turns` with same_across: whether the next turn of the scene is the same speaker's (nulls are alike); true behind the last."""
+    following = F.lead(F.struct(speaker)).over(Window.partitionBy(key).orderBy(order))
+    return turns.withColumn("same_across", following.isNull() | following[speaker].eqNullSafe(F.col(speaker)))
+
+
+def not_voiced(events: DataFrame, voices: DataFrame, key: str) -> DataFrame:
+    """`events` (key, event_id) that the scene's voice doesn't perform itself, in their place.
+
+    voices: (key, meta), the JSON text written beside a voice; its events_rendered_as_tags lists events with their ids. Without such a list, or
+    a readable text, every event is left.
+    """
+    listed = F.try_variant_get(F.try_parse_json("meta"), "$.events_rendered_as_tags", "array<variant>")
+    done = voices.select(F.col(key).alias("_key"), F.explode(listed).alias("_e")).select("_key", F.try_variant_get("_e", "$.event_id", "string").alias("_id")).where("_id <> ''").distinct()
+    return events.join(done, (F.col(key) == F.col("_key")) & (F.col("event_id") == F.col("_id")), "left_anti")
+
+
+def is_synthesized(meta: Column) -> Column:
+    """Whether the JSON text beside a voice tells of a voice that was made, not only planned."""
+    root = F.try_parse_json(meta)
+    planned = F.coalesce(F.try_variant_get(root, "$.dry_run", "boolean"), F.lit(False))
+    return F.coalesce(F.ltrim(meta).startswith("{") & root.isNotNull() & ~planned, F.lit(False))

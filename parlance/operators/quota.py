@@ -197,6 +197,33 @@ def split_report(df: DataFrame, template: str, theme: str) -> DataFrame:
     return df.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct(template).alias("templates"), F.countDistinct(theme).alias("themes"))
 
 
+def dataset_split_report(scenarios: DataFrame, events: DataFrame, key: str = "scenario_id", template: str = "template_id", theme: str = "theme", reactions: tuple[str, ...] = ("pivot", "verbal", "behavioral", "ambient")) -> DataFrame:
+    """Per split: scenarios, templates, themes, events, scenes and compositions with the least and most scenarios of one, rare scenarios, and each reaction's number and share.
+
+    scenarios: (key, split, template, theme, scene, composition, has_rare_event); events: (key, reaction). Shares of no events are null.
+    """
+    own = scenarios.groupBy("split").agg(F.count("*").alias("n_scenarios"), F.count_distinct(template).alias("n_templates"), F.count_distinct(theme).alias("n_themes"), F.count_if("has_rare_event").alias("n_rare"))
+    for name in ("scene", "composition"):
+        sizes = scenarios.groupBy("split", name).agg(F.count("*").alias("_n")).groupBy("split")
+        own = own.join(sizes.agg(F.count("*").alias(f"n_{name}s"), F.min("_n").alias(f"least_{name}"), F.max("_n").alias(f"most_{name}")), "split")
+    heard = events.select(key, "reaction").join(scenarios.select(key, "split"), key).groupBy("split").agg(F.count("*").alias("n_events"), *[F.count_if(F.col("reaction") == r).alias(f"n_{r}") for r in reactions])
+    rows = own.join(heard, "split", "left").fillna(0, ["n_events", *[f"n_{r}" for r in reactions]])
+    return rows.withColumns({f"share_{r}": F.try_divide(f"n_{r}", "n_events") for r in reactions})
+
+
+def audited_sources(manifests: DataFrame, split: str = "split", events: str = "events_placed", background: str = "background_source") -> DataFrame:
+    """(source, splits, n): source files of placed events and backgrounds that scenes of more than one split use; scenes without a split count under a null source.
+
+    n: the scenes that use it. Empty sources don't count.
+    """
+    of = F.array_distinct(F.concat(F.coalesce(F.transform(events, lambda e: e["source_file"]), F.array().cast("array<string>")), F.array(F.col(background))))
+    known = F.coalesce(F.col(split), F.lit("")) != ""
+    used = manifests.where(known).select(split, F.explode(of).alias("source")).where("source <> ''").groupBy("source", split).agg(F.count("*").alias("n"))
+    shared = used.groupBy("source").agg(F.array_sort(F.collect_set(split)).alias("splits"), F.sum("n").alias("n")).where("size(splits) > 1")
+    lacking = manifests.where(~known).agg(F.count("*").alias("n")).where("n > 0").select(F.lit(None).cast("string").alias("source"), F.array().cast("array<string>").alias("splits"), "n")
+    return shared.unionByName(lacking)
+
+
 def value_ranges(df: DataFrame, order: str, parts: int) -> Column:
     """The number of the range of `order` (a number or a time) that a row is in; about equally many rows share one, and equal values always do.
 

@@ -146,3 +146,11 @@ def resume_offset(text: Column, words: Column, start: Column, least: float = 1.2
     """struct(offset, kind) of whichever comes first, a break (of equals it goes first) or a pause; null for neither."""
     kinds = [F.when(offset.isNotNull(), F.struct(offset.alias("offset"), F.lit(kind).alias("kind"))) for offset, kind in ((break_offset(text, words, start), "break"), (pause_offset(text, words, start, least), "pause"))]
     return F.array_min(F.array(*kinds))
+
+
+def synthesis_plans(turns: DataFrame, key: str, order: str, text: str, limit: int) -> DataFrame:
+    """(key, n_inputs, total_chars, n_chunks, chunk_ranges): what a scene's synthesis would send, without sending it; ranges are [first, last + 1)."""
+    chunks = pack_in_order(turns, key, order, F.length(text), limit)
+    ranges = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "first", "last"))), lambda c: F.array(c["first"], c["last"] + 1))
+    planned = chunks.groupBy(key).agg(F.count("*").alias("n_chunks"), ranges.alias("chunk_ranges"))
+    return turns.groupBy(key).agg(F.count("*").alias("n_inputs"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("total_chars")).join(planned, key)

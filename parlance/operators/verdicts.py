@@ -85,3 +85,38 @@ def summary_lengths(records: DataFrame) -> DataFrame:
 
     rates = rows.groupBy("budget").agg(F.count("*").alias("n_scenes"), F.try_divide(F.count_if(F.col("w") > 1.5 * F.col("budget")), F.count("w")).alias("over_budget_rate"), F.count_if("none").alias("n_without"))
     return rates.join(upper_medians(rows, "w", ("budget",)).select("budget", F.col("median").alias("median_words")), "budget", "left")
+
+
+def _sounds(records: DataFrame) -> DataFrame:
+    """(scenario_id, budget, name, reaction, is_rare, m): gold sounds with a reaction, of records with a summary or a mention."""
+    used = records.where((F.size(F.coalesce("mentioned", F.array().cast("array<string>"))) > 0) | F.col("summary").isNotNull())
+    rows = used.select("scenario_id", "budget", "mentioned", F.explode("gold").alias("g")).where("g.reaction <> ''")
+    held = F.coalesce(F.array_contains("mentioned", F.col("g.name")), F.lit(False))
+    return rows.select("scenario_id", "budget", F.col("g.name").alias("name"), held.alias("m"))
+
+
+def mention_rates(records: DataFrame) -> DataFrame:
+    """(budget, n_sounds, n_mentioned, mention_rate): of every budget's sounds how many its summaries mention; rates of nothing are null."""
+    return _sounds(records).groupBy("budget").agg(F.count("*").alias("n_sounds"), F.count_if("m").alias("n_mentioned"), F.try_divide(F.count_if("m"), F.count("*")).alias("mention_rate"))
+
+
+def mentions_over_budgets(records: DataFrame) -> DataFrame:
+    """(n_budgets, n, mention_rate, budgets_per_mentioned): how many sounds of a scene are mentioned at how many of its budgets, 0 too.
+
+    The last two are of all sounds, on every row.
+    """
+    each = _sounds(records).groupBy("scenario_id", "name").agg(F.count_distinct(F.when(F.col("m"), F.col("budget"))).alias("n_budgets"))
+    counts = each.groupBy("n_budgets").agg(F.count("*").alias("n"))
+    whole = counts.agg(F.sum("n").alias("_n"), F.coalesce(F.sum(F.when(F.col("n_budgets") > 0, F.col("n"))), F.lit(0)).alias("_m"), F.sum(F.col("n") * F.col("n_budgets")).alias("_p"))
+    rates = counts.join(F.broadcast(whole), F.lit(True))  # one row
+    return rates.select("n_budgets", "n", F.try_divide("_m", "_n").alias("mention_rate"), F.try_divide("_p", "_m").alias("budgets_per_mentioned"))
+
+
+def judged_summaries(summaries: DataFrame, verdicts: DataFrame, key: str = "item_id") -> DataFrame:
+    """`summaries` (key, summary, gold) with what a judge said of them (key, verdicts): judged(), its names being those of the gold sounds.
+
+    A summary without a verdict has none (null), and a verdict without a summary is left out.
+    """
+    rows = summaries.join(verdicts.select(key, "verdicts"), key, "left")
+    found = judged(F.col("verdicts"), F.transform("gold", lambda g: g["name"]), F.coalesce("summary", F.lit("")))
+    return rows.withColumn("judged", F.when(F.col("verdicts").isNotNull(), found)).drop("verdicts")

@@ -155,6 +155,9 @@ FROM t, z JOIN s ON s.local = t.t * 10 + z.z - 1 LEFT JOIN h USING (local), size
 #: Gain at 40 samples a second, t samples after a rare event's end.
 _RARE_GAIN = "(CASE WHEN {t} < 0 OR {t} >= 60 THEN 1 WHEN {t} <= 1 THEN 1 + (power(10, -0.3) - 1) * {t} WHEN {t} < 44 THEN power(10, -0.3) ELSE power(10, -0.3) + (1 - power(10, -0.3)) * ({t} - 44) / 15 END)"
 
+#: A number in [0, 1) from a hash of salt and columns.
+_UNIFORM = "(CAST(('0x' || substring(sha1('{salt}' || {of}), 1, 8)) AS BIGINT) / 4294967296)"
+
 ORACLES = {
     "confusion_long": f"SELECT gold, pred, count(*) AS n FROM ({_PAIRS}) GROUP BY gold, pred",
     "confusion_dense": f"""
@@ -593,4 +596,64 @@ ORACLES = {
       WITH e AS (SELECT user_id, event_id, (epoch_us(ts) - 1704067200000000) / CAST(1000000 AS DOUBLE) AS s, value * 60 AS n FROM events),
       t AS (SELECT conv_id % 150 AS user_id, conv_id, turn, CAST((conv_id * 7919 + turn * 86400) % 2592000 AS DOUBLE) AS s, length(text) / CAST(4 AS DOUBLE) * CASE WHEN turn = 2 THEN 500 ELSE 1 END AS n FROM conversations)
       SELECT event_id, conv_id, turn, round(least(e.s + e.n, t.s + t.n) - greatest(e.s, t.s), 4) AS shared FROM e JOIN t USING (user_id) WHERE e.s < t.s + t.n AND t.s < e.s + e.n AND e.n > 0 AND t.n > 0""",
+    "signal_shapes": f"""
+      WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x, {_UNIFORM.format(salt='cut', of="'|' || vec_id")} AS u FROM embeddings),
+      a AS (SELECT *, list_transform(x, lambda v: abs(v)) AS m, list_transform(x, lambda v, i: sqrt((v * v + x[greatest(i - 1, 1)] * x[greatest(i - 1, 1)]) / 2 + 1e-12)) AS l, list_transform(range(1, 56), lambda s: list_sum(list_transform(x[s:s + 9], lambda v: v * v))) AS w, 5 + CAST(floor(u * 35) AS BIGINT) AS s FROM e),
+      p AS (SELECT *, list_position(m, list_max(m)) - 1 AS p FROM a)
+      SELECT vec_id, round(list_sum(list_transform(x, lambda v, i: v * i * CASE WHEN i > 56 THEN power(cos(0.5 * pi() * (i - 57) / 7), 2) ELSE 1 END)), 6) AS released,
+        round(list_sum(list_transform(range(1, 101), lambda i: i * CASE WHEN i <= 54 THEN x[i] WHEN i <= 64 THEN x[i] * (1 - (i - 55) / CAST(10 AS DOUBLE)) + x[i - 54] * (i - 55) / CAST(10 AS DOUBLE) ELSE x[i - 54] END)), 6) AS looped,
+        round(list_sum(list_transform(x[1:40], lambda v, i: v * i * CASE WHEN i > 32 THEN 1 - (i - 33) / CAST(7 AS DOUBLE) ELSE 1 END)), 6) AS cut,
+        round(list_sum(list_transform(x, lambda v, i: v * i * CASE WHEN i <= 40 THEN 1 + (power(10, CAST(-0.3 AS DOUBLE)) - 1) * (least(1, (i - 1) / CAST(9 AS DOUBLE)) - greatest(0, least(1, (i - 31) / CAST(9 AS DOUBLE)))) ELSE 1 END)), 6) AS ducked,
+        round(list_sum(list_transform(x[s + 1:s + 20], lambda v, i: v * i)), 6) AS "window", CASE WHEN p BETWEEN 1 AND 10 THEN 64 - p ELSE 64 END AS aligned, list_position(w, list_max(w)) - 1 AS loudest,
+        round(least(1, power(10, CAST(-0.5 AS DOUBLE)) / list_max(m)), 9) AS "limit", round(20 * log10(greatest(list_avg(l[55:64]), 1e-12) / list_aggregate(l, 'quantile_cont', 0.9)), 6) AS tail FROM p""",
+    "room_shapes": f"""
+      WITH c AS (SELECT conv_id, turn, 'scene_' || conv_id % 5 AS scene, ['train', 'dev', '', NULL][conv_id % 4 + 1] AS split, [0.25, 0.5, 1, 1, 1][turn % 5 + 1] AS bias, {_UNIFORM.format(salt='m', of="'|' || conv_id || '|' || turn")} AS u FROM conversations)
+      SELECT conv_id, turn, CASE WHEN split <> '' THEN round(0.9 + 0.2 * {_UNIFORM.format(salt='room0', of="'|' || scene || '|' || split")}, 9) ELSE 1 END AS room0, CASE WHEN split <> '' THEN round(0.9 + 0.2 * {_UNIFORM.format(salt='room1', of="'|' || scene || '|' || split")}, 9) ELSE 1 END AS room1,
+        CASE WHEN split <> '' THEN round(0.75 + 0.5 * {_UNIFORM.format(salt='room2', of="'|' || scene || '|' || split")}, 9) ELSE 1 END AS room2, round(2 + 40 * CAST(bias AS DOUBLE) * u, 6) AS metres FROM c""",
+    "generated_subjects": f"""
+      WITH w AS (SELECT conv_id, turn, array_to_string({_WORDS.format(t='text')}[1:(conv_id * 7 + turn * 11) % 71], ' ') AS said FROM conversations), n AS (SELECT *, len({_WORDS.format(t='said')}) AS n FROM w)
+      SELECT conv_id, turn, md5(said) AS digest, CASE WHEN n = 0 THEN 'empty subject' WHEN n < 4 THEN 'subject too short' WHEN n > 60 THEN 'subject too long' END AS fault FROM n""",
+    "reply_lists": "SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 2, 4) THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events",
+    "reply_values": """SELECT p_partkey, [true, false, true, NULL][p_partkey % 4 + 1] AS presence, CASE WHEN p_partkey % 3 = 0 THEN ['pivot', 'verbal', 'behavioral', 'ambient'][p_partkey % 4 + 1] WHEN p_partkey % 3 = 1 THEN 'verbal' END AS reaction FROM part""",
+    "behavioural_events": """
+      SELECT conv_id, coalesce(string_agg(CASE WHEN turn % 4 IN (0, 2) AND (conv_id % 4 < 2 OR (conv_id % 4 = 2 AND (conv_id + turn) % 2 = 0)) THEN 'e' || turn END, ',' ORDER BY 'e' || turn), '') AS ids FROM conversations GROUP BY conv_id""",
+    "speakers_across": """
+      WITH s AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 > 0 AND turn % 5 < 3 THEN role END AS speaker FROM conversations)
+      SELECT conv_id, turn, lead(turn) OVER w IS NULL OR speaker IS NOT DISTINCT FROM lead(speaker) OVER w AS same_across FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    "unvoiced_events": "SELECT conv_id, turn, conv_id % 4 IN (0, 2) AS made FROM conversations WHERE NOT (conv_id % 4 < 2 AND turn % 3 = 0)",
+    "synthesis_plans": _PACK + """, t2 AS (SELECT conv_id, count(*) AS n_inputs, CAST(sum(length(text)) AS BIGINT) AS total_chars FROM conversations GROUP BY conv_id)
+      SELECT conv_id, n_inputs, total_chars, count(*) AS n_chunks, string_agg("first" || '-' || ("last" + 1), ',' ORDER BY chunk) AS chunk_ranges FROM packed JOIN t2 USING (conv_id) GROUP BY conv_id, n_inputs, total_chars""",
+    "cache_verdicts": """
+      WITH e AS (SELECT event_id AS i, event_type, event_type || CASE WHEN event_id % 2 = 0 THEN '-a' ELSE '-b' END AS task FROM events),
+      c AS (SELECT *, NOT (event_type = 'click' AND i % 11 = 0) AND task <> 'error-a' AS held, task = 'purchase-b' AND i % 9 = 0 AS error, task = 'purchase-a' AND i % 7 = 0 AS other, CASE WHEN i % 5 > 0 THEN CASE WHEN event_type = 'view' AND i % 10 = 2 THEN 'other' ELSE 'one' END END AS run FROM e),
+      n AS (SELECT task, count(*) AS n_items, count(*) FILTER (held) AS n_cached, count(*) FILTER (NOT held) AS n_missing, 0 AS n_intruders, count(*) FILTER (held AND other) AS n_divergent, count(*) FILTER (held AND error) AS n_errors, count(DISTINCT run) FILTER (held) AS n_settings FROM c GROUP BY task)
+      SELECT *, CASE WHEN n_cached = 0 THEN 'no cache' WHEN n_missing + n_divergent + n_errors > 0 OR n_settings > 1 THEN 'refused' ELSE 'ok' END AS verdict FROM n""",
+    "summary_mentions": _SUMMARIES + "SELECT budget, count(*) AS n_sounds, count(*) FILTER (m) AS n_mentioned, count(*) FILTER (m) / count(*) AS mention_rate FROM g WHERE used AND reaction <> '' GROUP BY budget",
+    "summary_mentions_over_budgets": _SUMMARIES + """, s AS (SELECT conv_id, turn, count(*) FILTER (m) AS n_budgets FROM g WHERE used AND reaction <> '' GROUP BY conv_id, turn)
+      SELECT n_budgets, count(*) AS n, (SELECT count(*) FILTER (n_budgets > 0) / count(*) FROM s) AS mention_rate, (SELECT sum(n_budgets) / nullif(count(*) FILTER (n_budgets > 0), 0) FROM s) AS budgets_per_mentioned FROM s GROUP BY n_budgets""",
+    "judged_summaries": _MANIFESTS + """, g AS (SELECT conv_id, list(replace(replace(event_id, 'x/', ''), '_', ' ') ORDER BY rank) AS names FROM m GROUP BY conv_id), b AS (SELECT unnest([25, 75, 200]) AS budget),
+      f AS (SELECT g.*, budget, len(list_filter(string_split(lower(coalesce(text, '')), ' ')[1:3], lambda w: w <> '')) >= 2 AS quoted FROM g CROSS JOIN b LEFT JOIN conversations c ON c.conv_id = g.conv_id AND c.turn = 0),
+      k AS (SELECT *, list_transform(names, lambda x, i: i - 1) AS at FROM f)
+      SELECT conv_id || '::summary::' || budget AS item_id, len(names) AS n_gold,
+        CASE WHEN budget <> 75 THEN CASE WHEN quoted THEN array_to_string(list_filter(names, lambda x, i: (i - 1) % 6 = 0), ',') ELSE '' END END AS heard, CASE WHEN budget <> 75 THEN CASE WHEN quoted THEN array_to_string(list_filter(names, lambda x, i: (i - 1) % 6 = 4), ',') ELSE '' END END AS nature,
+        CASE WHEN budget <> 75 THEN CASE WHEN quoted THEN array_to_string(list_filter(names, lambda x, i: (i - 1) % 6 = 2), ',') ELSE '' END END AS discussed, CASE WHEN budget <> 75 THEN array_to_string(list_filter(names, lambda x, i: (i - 1) % 2 = 1 OR NOT quoted), ',') END AS no_evidence FROM k""",
+    "dataset_split_report": _TODOS + """,
+      u AS (SELECT composition, p, v, b, a, unnest(range(0, quota)) AS u FROM comps),
+      s AS (SELECT row_number() OVER (ORDER BY sha1('composition|' || composition || '|' || p || '|' || v || '|' || b || '|' || a || '|' || u)) - 1 AS local, composition, p, v, b, a FROM u),
+      h AS (SELECT local, row_number() OVER (ORDER BY sha1('rare|' || local), local) AS k FROM s WHERE p = 1),
+      l AS (SELECT r_name AS scene, unnest(range(0, n // 5 + CASE WHEN place <= n % 5 THEN 1 ELSE 0 END)) AS u FROM (SELECT r_name, row_number() OVER (ORDER BY r_name) AS place FROM region), size),
+      z AS (SELECT scene, row_number() OVER (ORDER BY sha1('scene|' || scene || '|' || u)) - 1 AS local FROM l),
+      t AS (SELECT p_partkey, p_brand, CASE WHEN p_size % 10 < 8 THEN 'train' WHEN p_size % 10 = 8 THEN 'dev' ELSE 'test' END AS split, row_number() OVER (ORDER BY p_partkey) - 1 AS t FROM part),
+      y AS (SELECT split, p_partkey, p_brand, scene, composition, p, v, b, a, coalesce(h.k <= round(n * 0.05), false) AS rare FROM t, (SELECT unnest(range(0, 10)) AS i) i, size JOIN s ON s.local = t.t * 10 + i.i JOIN z ON z.local = s.local LEFT JOIN h ON h.local = s.local WHERE split <> 'dev'),
+      sc AS (SELECT split, count(*) AS n_scenes, min(n) AS least_scene, max(n) AS most_scene FROM (SELECT split, scene, count(*) AS n FROM y GROUP BY ALL) GROUP BY split), cc AS (SELECT split, count(*) AS n_compositions, min(n) AS least_composition, max(n) AS most_composition FROM (SELECT split, composition, count(*) AS n FROM y GROUP BY ALL) GROUP BY split)
+      SELECT split, count(*) AS n_scenarios, count(DISTINCT p_partkey) AS n_templates, count(DISTINCT p_brand) AS n_themes, count(*) FILTER (rare) AS n_rare, any_value(n_scenes) AS n_scenes, any_value(least_scene) AS least_scene, any_value(most_scene) AS most_scene, any_value(n_compositions) AS n_compositions, any_value(least_composition) AS least_composition, any_value(most_composition) AS most_composition,
+        CAST(sum(p + v + b + a) AS BIGINT) AS n_events, CAST(sum(p) AS BIGINT) AS n_pivot, CAST(sum(v) AS BIGINT) AS n_verbal, CAST(sum(b) AS BIGINT) AS n_behavioral, CAST(sum(a) AS BIGINT) AS n_ambient, round(sum(p) / sum(p + v + b + a), 9) AS share_pivot, round(sum(v) / sum(p + v + b + a), 9) AS share_verbal, round(sum(b) / sum(p + v + b + a), 9) AS share_behavioral, round(sum(a) / sum(p + v + b + a), 9) AS share_ambient
+      FROM y JOIN sc USING (split) JOIN cc USING (split) GROUP BY split""",
+    "source_audit": """
+      WITH c AS (SELECT conv_id, ['train', 'dev', 'train', '', 'test', NULL][conv_id % 6 + 1] AS split, CASE WHEN turn % 4 > 0 THEN 'take' || length(text) % 23 END AS take, CASE WHEN conv_id % 3 > 0 THEN 'bed' || conv_id % 7 END AS bed FROM conversations),
+      u AS (SELECT DISTINCT conv_id, split, unnest([take, bed]) AS source FROM c WHERE split <> ''), n AS (SELECT source, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(*) AS n FROM u WHERE source IS NOT NULL GROUP BY source HAVING count(DISTINCT split) > 1)
+      SELECT * FROM n UNION ALL SELECT NULL, '', count(DISTINCT conv_id) FROM c WHERE coalesce(split, '') = '' HAVING count(*) > 0""",
+    "rare_exclusions": """
+      WITH r AS (SELECT DISTINCT CASE WHEN p_partkey % 40 = 0 THEN lower(p_brand) ELSE p_brand END AS event, coalesce(r_name, 'MOON') AS scene FROM part LEFT JOIN region ON r_regionkey = p_partkey % 6)
+      SELECT event, scene, CASE WHEN event NOT IN (SELECT p_brand FROM part) THEN 'unknown event' ELSE 'unknown scene' END AS fault FROM r WHERE event NOT IN (SELECT p_brand FROM part) OR scene = 'MOON'""",
 }

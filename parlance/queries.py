@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import levels, signal, tags, text
-from parlance.functions.loose_json import read_reply
+from parlance.functions.loose_json import list_in, read_reply
 from parlance.operators import alignment, assembly, cache, catalog, filtering, items, metrics, placement, prompts, quota, records, timeline, validation, verdicts
 from parlance.plans import allocation, batches
 from parlance.session import scratch
@@ -376,7 +376,7 @@ def quota_weighted(spark, d):
 def _split(spark, d):
     docs = parquet(spark, d, "documents").select("doc_id", "lang", "source")
     n = docs.count()
-    sizes = {"train": n - 2 * (n // 10), "dev": n // 10, "test": n // 10}
+    sizes = quota.parse_sizes(f"{n - 2 * (n // 10)}/{n // 10}/{n // 10}", n)
     return quota.assign_sizes(docs, ["lang", "source"], [quota.hash_order("7", "doc_id"), F.col("doc_id")], sizes)
 
 
@@ -833,7 +833,7 @@ def event_tags(spark, d):
 @query
 def composition_sequence(spark, d):
     """A composition for each part, those with a pivot twice as often."""
-    return allocation.composition_sequence(spark, parquet(spark, d, "part").count(), {"pivot": 2.0}).select("local", "composition")
+    return allocation.composition_sequence(spark, parquet(spark, d, "part").count(), allocation.parse_boosts("pivot=2")).select("local", "composition")
 
 
 def _todos(spark, d):
@@ -1190,3 +1190,170 @@ def turn_overlaps(spark, d):
     begin = (F.col("conv_id") * 7919 + F.col("turn") * 86_400) % 2_592_000
     turns = _turns(spark, d).select((F.col("conv_id") % 150).alias("user"), "conv_id", "turn", begin.cast("double").alias("a_start"), (begin + F.length("text") / 4.0 * F.when(F.col("turn") == 2, 500).otherwise(1)).alias("a_end"))
     return placement.overlaps(turns, heard, "user", 60.0).select("event_id", "conv_id", "turn", F.round("shared", 4).alias("shared"))
+
+
+# --- shapes of signals and rooms ------------------------------------------------------------
+
+
+@query
+def signal_shapes(spark, d):
+    """What the helpers of mixing make of each signal: sums weighted by place, lengths, places and levels."""
+    x = F.col("x")
+    rows = parquet(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    weighted = lambda y: F.round(F.aggregate(F.zip_with(y, F.sequence(F.lit(1), F.size(y)), lambda v, k: v * k), F.lit(0.0), lambda a, v: a + v), 6)
+    made = rows.withColumns({
+        "released": signal.shaped(lambda s: signal.release(s, 8))(x), "looped": signal.shaped(lambda s: signal.loop_or_cut(s, 100, 10))(x), "cut": signal.shaped(lambda s: signal.cut_overlap(s, 40, 8))(x),
+        "ducked": signal.shaped(lambda s: s * signal.duck_envelope(len(s), 40, -6.0, 10))(x), "aligned": signal.shaped(lambda s: signal.aligned(s, 200))(x), "window": signal.drawn_window(20, 5, 4)(x, quota.uniform("cut", "vec_id")),
+        "loudest": signal.number(lambda s: signal.loudest_window(s, 10))(x), "limit": signal.number(lambda s: signal.limiter_gain(s, -10.0))(x), "tail": signal.number(lambda s: signal.tail_level(s, 200))(x),
+    })
+    return made.select("vec_id", *[weighted(F.col(c)).alias(c) for c in ("released", "looped", "cut", "ducked", "window")], F.size("aligned").cast("long").alias("aligned"), F.col("loudest").cast("long").alias("loudest"), F.round("limit", 9).alias("limit"), F.round("tail", 6).alias("tail"))
+
+
+@query
+def room_shapes(spark, d):
+    """How rooms vary between splits, and distances that reactions bring nearer."""
+    i, t = F.col("conv_id"), F.col("turn")
+    split = F.get(F.array(F.lit("train"), F.lit("dev"), F.lit("")), (i % 4).cast("int"))
+    rows = _turns(spark, d).select("conv_id", "turn", F.concat(F.lit("scene_"), i % 5).alias("scene"), split.alias("split"), F.get(F.array(*[F.lit(r) for r in text.REACTIONS]), (t % 5).cast("int")).alias("reaction"))
+    bias = levels.by_reaction(F.col("reaction"), {"pivot": 0.25, "verbal": 0.5, "ambient": 3.0})
+    metres = levels.drawn_distance(F.lit(2.0), F.lit(42.0), quota.uniform("m", "conv_id", "turn"), bias)
+    return rows.withColumn("room", levels.room_variation("scene", "split")).select("conv_id", "turn", *[F.round(F.get("room", F.lit(k)), 9).alias(f"room{k}") for k in range(3)], F.round(metres, 6).alias("metres"))
+
+
+# --- replies, ids and plans -----------------------------------------------------------------
+
+
+@query
+def generated_subjects(spark, d):
+    """Subjects of 0 to 70 words out of replies that repeat the prompt's end, and what is wrong with them."""
+    said = F.array_join(F.slice(text.words(F.col("text")), F.lit(1), ((F.col("conv_id") * 7 + F.col("turn") * 11) % 71).cast("int")), " ")
+    prompt = F.concat(F.lit("Describe scene "), F.col("conv_id"), F.lit(" in your own words, without naming any of its sounds:"))
+    raw = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<s>"), prompt, F.lit("\n "), said)).otherwise(said)
+    rows = _turns(spark, d).select("conv_id", "turn", text.after_prompt(raw, prompt).alias("subject"))
+    return rows.select("conv_id", "turn", F.md5(F.col("subject").cast("binary")).alias("digest"), text.subject_fault(F.col("subject")).alias("fault"))
+
+
+@query
+def reply_lists(spark, d):
+    """Lists in replies: the root, under a known name, under the only name that has one, or none that is sure."""
+    i, props = F.col("event_id"), F.col("props")
+    one = F.concat(F.lit("["), props, F.lit("]"))
+    forms = [one, F.concat(F.lit('{"n": 1, "items": '), one, F.lit("}")), F.concat(F.lit('{"other": '), one, F.lit(', "text": "[1]x"}')), F.concat(F.lit('{"a": '), one, F.lit(', "b": [2]}')), F.concat(F.lit('{"a": [0], "list": '), one, F.lit("}")), props]
+    found = list_in(F.get(F.array(*forms), (i % 6).cast("int")), ("items", "list"))
+    return parquet(spark, d, "events").select("event_id", F.get_json_object(found, "$[0].k").cast("long").alias("k"))
+
+
+@query
+def reply_values(spark, d):
+    """Answers out of replies' values: objects with one of several names, plain strings and others."""
+    k = F.col("p_partkey")
+    present = F.when(k % 4 == 0, '{"present": true}').when(k % 4 == 1, '{"x": 1, "answer": " No "}').when(k % 4 == 2, '"oui"').otherwise('{"present": null, "answer": "yes"}')
+    reaction = F.when(k % 3 == 0, F.concat(F.lit('{"reaction": "'), F.upper(F.get(F.array(*[F.lit(r) for r in text.REACTIONS]), (k % 4).cast("int"))), F.lit('"}'))).when(k % 3 == 1, '"verbal "').otherwise(F.concat(F.lit('"'), "p_brand", F.lit('"')))
+    return parquet(spark, d, "part").select("p_partkey", text.presence_of(present).alias("presence"), text.reaction_of(reaction).alias("reaction"))
+
+
+@query
+def behavioural_events(spark, d):
+    """Events that dialogues' records say a person makes, in lists and timelines, under several names."""
+    i, t = F.col("conv_id"), F.col("turn")
+    named = F.concat(F.lit("e"), t)
+    event = F.struct(
+        "turn", F.when(t % 3 == 0, named).alias("event_id"), F.when(t % 3 == 1, named).alias("id"), F.when(t % 3 == 2, named).alias("sound_id"), F.when(t % 4 == 0, " Behavioural ").when(t % 4 == 1, "verbal").alias("nature"),
+        F.when(t % 4 == 2, True).alias("is_behavioral"), F.when(t % 4 == 3, "true").alias("behavioral"), F.when((i + t) % 2 == 0, "event").otherwise("utterance").alias("type"),
+    )
+    rows = _turns(spark, d).groupBy("conv_id").agg(F.sort_array(F.collect_list(event)).alias("t"))
+    record = F.when(i % 4 == 0, F.to_json(F.struct(F.col("t").alias("core_elements"), F.lit("x").alias("my_elements")))).when(i % 4 == 1, F.to_json(F.struct(F.col("t").alias("events"), F.col("t").alias("elements"))))
+    record = record.when(i % 4 == 2, F.to_json(F.struct(F.col("t").alias("timeline"), F.col("t").alias("others")))).otherwise(F.lit("{cut"))
+    return rows.select("conv_id", F.array_join(placement.behavioural_ids(record), ",").alias("ids"))
+
+
+@query
+def speakers_across(spark, d):
+    rows = _turns(spark, d).withColumn("speaker", F.when(F.col("conv_id") % 3 > 0, F.when(F.col("turn") % 5 < 3, F.col("role"))))
+    return placement.same_speaker_across(rows, "conv_id", "turn", "speaker").select("conv_id", "turn", "same_across")
+
+
+@query
+def unvoiced_events(spark, d):
+    """Events that stay to be placed when voices perform some of them; some voices were planned only, or tell nothing."""
+    i, t = F.col("conv_id"), F.col("turn")
+    events = _turns(spark, d).select("conv_id", "turn", F.concat(F.lit("e"), t).alias("event_id"))
+    done = F.collect_list(F.when(t % 3 == 0, F.struct(F.concat(F.lit("e"), t).alias("event_id"))))
+    voices = _turns(spark, d).groupBy("conv_id").agg(done.alias("done"))
+    meta = F.when(i % 4 == 0, F.to_json(F.struct(F.col("done").alias("events_rendered_as_tags")))).when(i % 4 == 1, F.to_json(F.struct(F.col("done").alias("events_rendered_as_tags"), F.lit(True).alias("dry_run")))).when(i % 4 == 2, '{"events_rendered_as_tags": 5}').otherwise("[]")
+    voices = voices.select("conv_id", meta.alias("meta"))
+    left = placement.not_voiced(events, voices, "conv_id")
+    return left.join(voices.select("conv_id", placement.is_synthesized(F.col("meta")).alias("made")), "conv_id", "left").select("conv_id", "turn", "made")
+
+
+@query
+def synthesis_plans(spark, d):
+    rows = timeline.synthesis_plans(_turns(spark, d), "conv_id", "turn", "text", 2000)
+    return rows.withColumn("chunk_ranges", F.array_join(F.transform("chunk_ranges", lambda r: F.array_join(r.cast("array<string>"), "-")), ","))
+
+
+# --- reports --------------------------------------------------------------------------------
+
+
+@query
+def cache_verdicts(spark, d):
+    """Whether each task's cache may be used: events are the items, their types the tasks."""
+    i = F.col("event_id")
+    rows = parquet(spark, d, "events").select("event_type", "event_id", F.concat_ws("-", "event_type", "user_id").alias("answer"))
+    task = F.concat(F.col("event_type"), F.when(i % 2 == 0, "-a").otherwise("-b"))
+    rows = rows.select(task.alias("task"), "event_id", "answer", "event_type")
+    settings = F.create_map(F.lit("model"), F.when((F.col("event_type") == "view") & (i % 10 == 2), "other").otherwise("one"), F.lit("seed"), F.lit("7"))
+    held = rows.where(~((F.col("event_type") == "click") & (i % 11 == 0)) & (F.col("task") != "error-a")).withColumn("error", (F.col("task") == "purchase-b") & (i % 9 == 0)).withColumn("run", F.when(i % 5 > 0, settings))
+    held = held.withColumn("answer", F.when((F.col("task") == "purchase-a") & (i % 7 == 0), "?").otherwise(F.col("answer")))
+    return cache.task_verdicts(rows.drop("event_type"), held.drop("event_type"), "task", "event_id", ["answer"], "error", "run")
+
+
+@query
+def summary_mentions(spark, d):
+    return verdicts.mention_rates(_summaries(spark, d))
+
+
+@query
+def summary_mentions_over_budgets(spark, d):
+    return verdicts.mentions_over_budgets(_summaries(spark, d))
+
+
+@query
+def judged_summaries(spark, d):
+    """Items of the summary task with their gold sounds and what a judge said of the conversation's text."""
+    gold = items.gold_sounds(_manifests(spark, d), "conv_id")
+    rows = items.summary_items(gold, "conv_id").join(_turns(spark, d).where("turn = 0").select("conv_id", F.col("text").alias("summary")), "conv_id", "left")
+    first = F.array_join(F.slice(F.split("summary", " "), 1, 3), " ")
+    said = F.transform("gold", lambda g, k: F.struct(g["name"].alias("sound"), F.when(k % 3 == 0, "heard").when(k % 3 == 1, "nature").otherwise("discussed").alias("verdict"), F.when(k % 2 == 0, first).otherwise("nobody said so").alias("evidence")))
+    told = rows.where("budget <> 75").select("item_id", F.to_json(said).alias("verdicts"))
+    found = verdicts.judged_summaries(rows, told)
+    return found.select("item_id", F.size("gold").cast("long").alias("n_gold"), *[F.array_join(f"judged.{c}", ",").alias(c) for c in ("heard", "nature", "discussed", "no_evidence")])
+
+
+@query
+def dataset_split_report(spark, d):
+    """Scenarios of templates that have a split: what each split holds."""
+    part = parquet(spark, d, "part").select("p_partkey", F.col("p_brand").alias("theme"), F.when(F.col("p_size") % 10 < 8, "train").when(F.col("p_size") % 10 == 8, "dev").otherwise("test").alias("split"))
+    rows = _todos(spark, d).join(part, "p_partkey").withColumnRenamed("p_partkey", "template_id")
+    each = F.flatten(F.array(*[F.array_repeat(F.lit(k), F.col(k).cast("int")) for k in allocation.KINDS]))
+    found = quota.dataset_split_report(records.restricted(rows, ("train", "test")), rows.select("scenario_id", F.explode(each).alias("reaction")))
+    return found.withColumns({c: F.round(c, 9) for c in found.columns if c.startswith("share")})
+
+
+@query
+def source_audit(spark, d):
+    """Files that scenes of several splits use; a conversation is a scene, its turns' texts choose the files."""
+    i, t = F.col("conv_id"), F.col("turn")
+    event = F.struct("turn", F.when(t % 4 > 0, F.concat(F.lit("take"), F.length("text") % 23)).otherwise("").alias("source_file"))
+    rows = _turns(spark, d).groupBy("conv_id").agg(F.sort_array(F.collect_list(event)).alias("events_placed"))
+    rows = rows.select("events_placed", F.when(i % 3 > 0, F.concat(F.lit("bed"), i % 7)).alias("background_source"), F.get(F.array(F.lit("train"), F.lit("dev"), F.lit("train"), F.lit(""), F.lit("test")), (i % 6).cast("int")).alias("split"))
+    return quota.audited_sources(rows).withColumn("splits", F.array_join("splits", ","))
+
+
+@query
+def rare_exclusions(spark, d):
+    """Exclusions of brands in regions that name brands or regions unknown to the catalogue."""
+    part, region = parquet(spark, d, "part"), parquet(spark, d, "region")
+    rows = part.select(F.when(F.col("p_partkey") % 40 == 0, F.lower("p_brand")).otherwise(F.col("p_brand")).alias("event"), (F.col("p_partkey") % 6).alias("r")).distinct()
+    named = rows.join(region.select(F.col("r_regionkey").alias("r"), F.col("r_name").alias("scene")), "r", "left").select("event", F.coalesce("scene", F.lit("MOON")).alias("scene"))
+    return catalog.rare_faults(named, part.select(F.col("p_brand").alias("event")).distinct(), region.select(F.col("r_name").alias("scene")))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.session import remove, scratch, shared_folder  # noqa: F401
@@ -144,13 +144,15 @@ def sigmoid(z):
 
 #: Longer texts are scored like all others, but no classifier learns from them, so that a sample's size is bounded.
 LONGEST = 1 << 19
+#: Characters that a sample holds in all; documents behind that, in the order in which they are drawn, are left out of it.
+MOST_CHARACTERS = 1 << 28
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int = 5, longest: int = LONGEST) -> tuple[DataFrame, dict[int, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int = 5, longest: int = LONGEST, characters: int = MOST_CHARACTERS) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, text, y): at most `per_class` labelled documents of each class outside fold 0, those
     with the smallest hash of the id; and how many there are of each class in all.
 
-    The bounds are the operator's parameters. Ids are drawn from `labels` alone; texts follow by a join
+    The bounds are the operator's parameters, `characters` that of all texts together. Ids are drawn from `labels` alone; texts follow by a join
     in which at most 2 x per_class ids (16 bytes each) are broadcast. Of the rows of one id one is learned from
     (the smallest text of at most `longest` characters; null ones if there is no other), picked with partial aggregation. Null
     labels, ids and labels other than 0 and 1 take no part; repeated labels of a document count once (the largest).
@@ -165,7 +167,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         drawn = part if drawn is None else drawn.unionByName(part)
     fine = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
-    return fine.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), totals
+    sample = fine.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    # at most 2 x per_class rows, which one task fits in any case
+    upto = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return sample.withColumn("_upto", upto).where(F.col("_upto") <= characters).drop("_upto"), totals
 
 
 def class_weights(y: np.ndarray, totals: dict[int, int]) -> np.ndarray:
@@ -181,8 +186,11 @@ def fit_in_task(sample: DataFrame, fit: Callable[[pd.DataFrame], object]) -> obj
     The sample's rows are sorted by doc_id first, so the result doesn't depend on how they arrive.
     """
 
+    none = pd.DataFrame({"doc_id": [], "text": [], "y": np.zeros(0, int)})
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "y": np.zeros(0, int)}), *parts], ignore_index=True).astype({"y": int}).sort_values("doc_id", kind="stable", ignore_index=True)
+        rows = pd.concat([none, *parts], ignore_index=True).astype({"y": int}).sort_values("doc_id", kind="stable", ignore_index=True)
         yield pd.DataFrame({"model": [pickle.dumps(fit(rows))]})
 
-    return pickle.loads(sample.repartition(1).mapInPandas(run, "model binary").first()["model"])
+    made = sample.repartition(1).mapInPandas(run, "model binary").first()  # an empty sample may have no task at all
+    return pickle.loads(made["model"]) if made else fit(none)

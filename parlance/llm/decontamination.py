@@ -15,7 +15,7 @@ at most, as longer items have many anchors). Items are walked likewise from anch
 (each word of items below 24 words, then every twelfth part of the item, at most `STRIDE` words apart, and near
 the end), so that edits near one anchor leave others. A key that an item and a window share makes a candidate.
 Walks are repeated until `target` of trial copies of the benchmark's own items, edited at random to the very
-limit of the budget, are found (MOST_WALKS at most). Each candidate is verified by the exact edit distance (in
+limit of the budget, are found (MOST_WALKS at most; fewer found by these is an error). Each candidate is verified by the exact edit distance (in
 words, bit-parallel) between the item and the best-fitting stretch of text around the candidate.
 
 A document holds an item if the distance is at most (1 - `similarity`) x the item's words. Items of fewer
@@ -98,7 +98,7 @@ def move(moves: np.ndarray, words: np.ndarray, j: int) -> np.ndarray:
 
 
 def prepare(ids: list, texts: list[str | None], similarity: float = 0.8, samples: int = 6, width: int = 5, target: float = 0.98, seed: int = 5) -> Items:
-    """The items with as many walks as the target asks for."""
+    """The items with as many walks as the target asks for; an error if the most walks don't reach it."""
     found = [(i, words) for i, words in ((i, words_of(t)) for i, t in zip(ids, texts)) if words]
     vocabulary: dict[bytes, int] = {}
     coded = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int32) for _, words in found]
@@ -111,9 +111,10 @@ def prepare(ids: list, texts: list[str | None], similarity: float = 0.8, samples
         steps = sample_steps(walks, samples, width, far, seed)
         keys, owners, anchors = item_keys(coded, moves, steps, mixers)
         items = Items([i for i, _ in found], coded, budgets, vocabulary, moves, steps, far, mixers, keys, owners, anchors, bit_table(keys), shared_runs(coded, budgets, mixers[0]), short_runs(coded, mixers[0]))
-        if trial_recall(items) >= target:
-            break
-    return items
+        recall = trial_recall(items)
+        if recall >= target:
+            return items
+    raise ValueError(f"{MOST_WALKS} walks find {recall:.3f} of the items' edited copies, not {target}: raise MOST_WALKS or take fewer samples a key")
 
 
 def edited(own: np.ndarray, budget: int, random: np.random.Generator) -> np.ndarray:

@@ -146,7 +146,7 @@ def masks(depth: int, budget: int) -> list[int]:
     return [sum(1 << bit for bit in bits) for k in range(min(budget, depth) + 1) for bits in combinations(range(depth), k)]
 
 
-def link(fps: DataFrame, budget: int = 2, subtree: int = 1024, most: int = 4096) -> DataFrame:
+def link(fps: DataFrame, budget: int = 2, subtree: int = 1 << 16, most: int = 1 << 18) -> DataFrame:
     """(a, b): links of distinct fingerprints `fps` (fp long) that span every component of them."""
     count = fps.count()
     depth = min(24, max(6, math.ceil(math.log2(max(1, count) / subtree))))
@@ -182,7 +182,7 @@ def link(fps: DataFrame, budget: int = 2, subtree: int = 1024, most: int = 4096)
     return dealt.groupBy("p", "slice", "q", "other").applyInPandas(walk, "a long, b long")
 
 
-def grouped(docs: DataFrame, row: Column, budget: int = 2, subtree: int = 1024, most: int = 4096, large: int = 256, listed: int = 1 << 20) -> DataFrame:
+def grouped(docs: DataFrame, row: Column, budget: int = 2, subtree: int = 1 << 16, most: int = 1 << 18, large: int = 256, listed: int = 1 << 20) -> DataFrame:
     """(doc_id, row, fp, component_id, best): `best` is the row of a component that stays, as (no id, doc_id, row).
 
     Fingerprints of at least `large` documents are told by a broadcast of at most `listed` of them (by count, `large`

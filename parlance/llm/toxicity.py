@@ -188,6 +188,6 @@ def locate(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 own = sentences(text)
                 p = sigmoid(scorer.logits([words for _, _, words in own])) if own else []
                 rows += [(doc_id, start, end, float(x)) for (start, end, _), x in zip(own, p) if x >= threshold]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "score"])
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "score"]).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(spans, "doc_id long, start long, end long, score double")

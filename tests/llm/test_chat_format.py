@@ -42,3 +42,10 @@ def test_against_sql(spark):
 
 def test_empty(spark):
     assert chat_format.digest(chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_rows_without_a_conversation_or_a_turn(spark):
+    """A null conv_id is a conversation of its own; null turns come first."""
+    df = spark.createDataFrame([(None, 1, "user", "b"), (None, 0, "user", "a"), (7, None, "user", "first"), (7, 0, "user", "then"), (7, None, None, None)], "conv_id long, turn long, role string, text string")
+    found = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat_format.read_back(chat_format.format_chats(df)).collect()}
+    assert found == {None: [("user", "a"), ("user", "b")], 7: [("", ""), ("user", "first"), ("user", "then")]}

@@ -172,3 +172,18 @@ def test_a_sample_holds_one_row_of_an_id(spark, label):
     rows = sample.collect()
     assert len(rows) == len({r["doc_id"] for r in rows}) <= 80 and sum(totals.values()) == docs.select("doc_id").distinct().where("crc32(cast(doc_id AS string)) % 5 <> 0").count()
     assert all(len(r["text"]) <= 50 for r in rows)
+
+
+def test_a_sample_is_bounded_in_characters(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    whole, _ = labelled_sample(docs, labels, "quality", 100)
+    some, totals = labelled_sample(docs, labels, "quality", 100, characters=1050)
+    assert some.count() == 10 < whole.count() and sum(totals.values()) == whole.count()
+
+
+def test_sentences_of_rows_without_an_id(spark):
+    model = toxicity.train(*corpus(spark))
+    odd = spark.createDataFrame([(None, f"{CLEAN}. {BAD}."), (5, f"{BAD}."), (6, None)], "doc_id long, text string")
+    found = toxicity.locate(odd, model).collect()
+    assert {r["doc_id"] for r in found} == {None, 5}

@@ -58,6 +58,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\r\n]+"), lambda w: w != "")
 
 
+def event_id(category: Column, name: Column) -> Column:
+    """An event's id; null without a category or a name."""
+    return F.concat(category, F.lit("/"), name)
+
+
 def event_name(event_id: Column) -> Column:
     """What follows the first slash; an id without one is its own name."""
     return F.regexp_replace(event_id, "^[^/]*/", "")

@@ -34,6 +34,27 @@ def final_dialogues(normal: DataFrame, dialogues: DataFrame, key: str = "scenari
     return rows.withColumns({"n_turns_total": said(lambda i: F.lit(True)), "n_turns_a": said(lambda i: i["speaker"] == "A"), "n_turns_b": said(lambda i: i["speaker"] == "B"), "n_events_in_timeline": heard})
 
 
+#: What a finished dialogue takes from its scenario where it hasn't its own.
+CARRIED = ("template_id", "category", "theme", "theme_label", "metadata", "split")
+
+
+def finished_dataset(accepted: DataFrame, normal: DataFrame, key: str = "scenario_id") -> DataFrame:
+    """A row per accepted dialogue (key, timeline, CARRIED), with its scenario's scene, roles, subject, events and rare flag.
+
+    normal: records.normalised() and those of CARRIED that it has. Empty values count as none. A theme that is a JSON object gives its title as
+    the label where there is no other. Dialogues without a scenario stay, with nothing of one.
+    """
+    text = lambda df: [c for c in CARRIED if c in df.columns]
+    own = accepted.select(key, "timeline", *[F.col(c).alias(f"_own_{c}") for c in text(accepted)])
+    other = normal.select(F.col(key).alias("_key"), "scene", "role_a", "role_b", "subject", "events", "has_rare", *[F.col(c).alias(f"_other_{c}") for c in text(normal)])
+    rows = own.join(other, F.col(key) == F.col("_key"), "left")
+    either = lambda c: F.coalesce(*[filled(F.col(n)) for n in (f"_own_{c}", f"_other_{c}") if n in rows.columns], F.lit(None).cast("string"))
+    fields = {c: either(c) for c in CARRIED}
+    title = filled(F.get_json_object(F.when(F.ltrim(fields["theme"]).startswith("{"), fields["theme"]), "$.title"))
+    fields["theme_label"] = F.coalesce(fields["theme_label"], title)
+    return rows.select(key, "scene", "role_a", "role_b", "subject", "events", F.coalesce("has_rare", F.lit(False)).alias("has_rare_event"), "timeline", *[c.alias(n) for n, c in fields.items()])
+
+
 def batch_results(results: DataFrame, sent: DataFrame, custom: str = "custom_id", key: str = "item_id", longest: int = 400) -> DataFrame:
     """(key, status, reply, note): results of a batch under the ids of the items that were sent.
 

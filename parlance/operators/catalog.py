@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from parlance.operators.quota import hash_order, ranked, uniform
 
 
+#: Most values of a catalogue's column that one row may list; the row goes to every task.
+MOST_LISTED = 100_000
+
+
+def one_list(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """One row whose `name` lists the different values of a short column, in order; more than MOST_LISTED raise."""
+    values = F.array_sort(F.collect_set(column))
+    return rows.agg(F.count_distinct(column).alias("_n"), values.alias("_v")).select(F.when(F.col("_n") > MOST_LISTED, F.raise_error(F.lit(f"more than {MOST_LISTED} values of {column}"))).otherwise(F.col("_v")).alias(name))
+
+
 def scene_pool(own: DataFrame, shared: DataFrame, general: DataFrame, scenes: DataFrame, forbidden: DataFrame) -> DataFrame:
     """(scene, event, branch): own events, shared ones, then general ones that the scene doesn't forbid.
 
@@ -22,7 +32,7 @@ def scene_pool(own: DataFrame, shared: DataFrame, general: DataFrame, scenes: Da
 
 def allowed_everywhere(events: DataFrame, scenes: DataFrame, forbidden: DataFrame) -> DataFrame:
     """(scene, event): events of no scene of their own (general or rare ones) in every scene that doesn't forbid them."""
-    listed = scenes.agg(F.collect_set("scene").alias("s")).withColumn("k", F.lit(1))
+    listed = one_list(scenes, "scene", "s").withColumn("k", F.lit(1))
     everywhere = events.withColumn("k", F.lit(1)).join(F.broadcast(listed), "k").select(F.explode("s").alias("scene"), "event")
     return everywhere.join(forbidden, ["scene", "event"], "left_anti")
 

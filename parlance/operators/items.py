@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import REACTIONS, pretty
+from parlance.operators.catalog import one_list
 from parlance.operators.metrics import ratio
 
 
@@ -76,9 +77,9 @@ def _item(key: str, *parts: str | Column) -> Column:
 def scene_items(manifests: DataFrame, scenes: DataFrame, key: str = "scenario_id") -> DataFrame:
     """A multiple-choice item per scene of the catalogue: which place is it? The places are a short list."""
     plain = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
-    listed = scenes.agg(F.array_sort(F.collect_set("scene")).alias("_all"))
+    listed = one_list(scenes, "scene", "_all")
     known = scenes.select("scene", F.lit(1).alias("_k")).distinct().join(F.broadcast(listed.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    rows = manifests.join(F.broadcast(known), "scene").withColumn("item_id", _item(key, "scene")).withColumn("gold", plain(F.col("scene")))
+    rows = manifests.join(known, "scene").withColumn("item_id", _item(key, "scene")).withColumn("gold", plain(F.col("scene")))
     return rows.withColumn("options", options(F.col("item_id"), F.col("gold"), F.transform("_all", plain))).select("item_id", key, "scene", "gold", "options")
 
 
@@ -94,7 +95,7 @@ def sound_items(manifests: DataFrame, pool: DataFrame, key: str = "scenario_id")
     """
     names = pool.groupBy("scene").agg(F.array_sort(F.collect_set(pretty(F.col("event")))).alias("_pool"))
     heard = manifests.withColumn("_heard", F.transform("events_placed", lambda e: pretty(e["event_id"])))
-    rows = heard.join(F.broadcast(names), "scene").select(key, "scene", "bed", F.array_except("_pool", "_heard").alias("_others"), F.posexplode("events_placed").alias("rank", "event"))
+    rows = heard.join(names, "scene").select(key, "scene", "bed", F.array_except("_pool", "_heard").alias("_others"), F.posexplode("events_placed").alias("rank", "event"))
     rows = rows.withColumn("item_id", _item(key, "mcq-sound", F.col("rank"))).withColumn("gold", pretty(F.col("event.event_id")))
     rows = rows.withColumn("options", options(F.col("item_id"), F.col("gold"), F.col("_others"))).where("options IS NOT NULL")
     return rows.select("item_id", key, "scene", F.col("event.start_s").alias("t"), "gold", "options", F.col("event.reaction").alias("reaction"), margin(F.col("event.level_lufs"), F.col("bed")).alias("margin_db"))

@@ -71,6 +71,10 @@ def pivot_of(events: Column) -> Column:
     return F.get(F.filter(events, lambda e: F.coalesce(e["reaction"] == "pivot", F.lit(False))), F.lit(0))["event_id"]
 
 
+#: What an event's line is made of.
+BEFORE_EVENT, BEFORE_REACTION, RARE_MARK, PLACE_MARK = "    - ", "  →  ", "  (rare, disruptive)", ("   [PLACEMENT: ", "]")
+
+
 def with_event_lines(scenarios: DataFrame, registers: DataFrame, move: str, tags: str, events: str = "events", none: str = "    (none)", name: str = "event_lines") -> DataFrame:
     """`scenarios` with `event_lines`: per event its id, reaction, whether it is rare, its place, its register's move and tags.
 
@@ -88,7 +92,7 @@ def with_event_lines(scenarios: DataFrame, registers: DataFrame, move: str, tags
     def lines(e: Column) -> Column:
         found = moves[key(e["reaction"], e["register"])]
         where = F.when(text_or_empty(e["slot"]) != "", place[e["slot"]])
-        first = F.concat(F.lit("    - "), text_or_empty(e["event_id"]), F.lit("  →  "), F.upper(text_or_empty(e["reaction"])), F.when(F.coalesce(e["is_rare"], F.lit(False)), "  (rare, disruptive)").otherwise(""), F.coalesce(F.concat(F.lit("   [PLACEMENT: "), where, F.lit("]")), F.lit("")))
+        first = F.concat(F.lit(BEFORE_EVENT), text_or_empty(e["event_id"]), F.lit(BEFORE_REACTION), F.upper(text_or_empty(e["reaction"])), F.when(F.coalesce(e["is_rare"], F.lit(False)), RARE_MARK).otherwise(""), F.coalesce(F.concat(F.lit(PLACE_MARK[0]), where, F.lit(PLACE_MARK[1])), F.lit("")))
         moved = F.when(found["move"].isNotNull(), filled_in(move, register=e["register"], move=found["move"]))
         tagged = F.when(F.size(found["tags"]) > 0, filled_in(tags, tags=F.array_join(found["tags"], ", ")))
         return F.concat_ws("\n", first, moved, tagged)

@@ -149,16 +149,21 @@ def proportional_shares(size: Column, left: Column) -> Column:
     return F.transform(base, lambda b, i: b + (F.get(open_, i) & (before(i) < rest)).cast("long"))
 
 
+#: Most groups that assign_sizes() folds in one row.
+MOST_GROUPS = 100_000
+
+
 def assign_sizes(df: DataFrame, by: list[str], order: list[Column | str], sizes: dict[str, int]) -> DataFrame:
     """`df` with `split`: in all as many rows per split as `sizes` asks for, spread over the groups of `by`.
 
     Groups are taken in the order of their names, each shared out in proportion to what the splits still need, which is
     carried from group to group. The groups' names and sizes (a catalogue's categories and themes) are folded in one row;
-    the rows themselves are ranked within their group.
+    the rows themselves are ranked within their group. More than MOST_GROUPS raise.
     """
     name = F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in by])
     groups = df.groupBy(name.alias("_g")).agg(F.count("*").alias("n"))
-    listed = groups.agg(F.array_sort(F.collect_list(F.struct("_g", "n"))).alias("groups"))
+    few = F.when(F.count("*") > MOST_GROUPS, F.raise_error(F.lit(f"more than {MOST_GROUPS} groups"))).otherwise(F.array_sort(F.collect_list(F.struct("_g", "n"))))
+    listed = groups.agg(few.alias("groups"))
     needed = F.array(*[F.lit(int(sizes.get(s, 0))).cast("long") for s in SPLITS])
     none = F.expr("cast(array() as array<struct<_g:string,shares:array<bigint>>>)")
 
@@ -167,7 +172,7 @@ def assign_sizes(df: DataFrame, by: list[str], order: list[Column | str], sizes:
         return F.struct(F.concat(acc["done"], F.array(F.struct(g["_g"].alias("_g"), shares.alias("shares")))).alias("done"), F.zip_with(acc["left"], shares, lambda x, y: x - y).alias("left"))
 
     shares = listed.select(F.explode(F.aggregate("groups", F.struct(none.alias("done"), needed.alias("left")), step, lambda acc: acc["done"])).alias("s")).select("s.*")
-    rows = ranked(df.withColumn("_g", name), ["_g"], order).join(F.broadcast(shares), "_g")
+    rows = ranked(df.withColumn("_g", name), ["_g"], order).join(shares, "_g")
     train, dev, test = (F.get("shares", F.lit(i)) for i in range(3))
     split = F.when(F.col("rank") < train, "train").when(F.col("rank") < train + dev, "dev").when(F.col("rank") < train + dev + test, "test")
     return rows.withColumn("split", split).drop("_g", "rank", "n", "shares")
@@ -308,6 +313,25 @@ def layer(event_id: Column, is_rare: Column, u: Column, rate: float = SUPPORTING
     return F.when(F.coalesce(event_id, F.lit("")) != "", F.when(rare, "rare").when(u < rate, "supporting").otherwise("core"))
 
 
+def layer_sets(dialogues: DataFrame, key: str, salt: str = "layer") -> DataFrame:
+    """(key, core, supporting, rare): ids of a dialogue's events by layer, each id once and in order.
+
+    dialogues: (key, events: array of (event_id, is_rare), core_elements and supporting_elements: arrays of (event_id, nature)). Events come by
+    layer(); of the elements only sounds (nature acoustic_event) count, whose id no event has. Ids drawn twice share a layer.
+    """
+    none, ids = F.array().cast("array<string>"), lambda c: F.transform(c, lambda e: e["event_id"])
+    drawn = lambda i: F.conv(F.substring(F.sha1(F.concat_ws("|", F.lit(salt), F.col(key).cast("string"), i).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    layered = F.transform("events", lambda e: F.struct(e["event_id"].alias("event_id"), layer(e["event_id"], e["is_rare"], drawn(e["event_id"])).alias("layer")))
+    rows = dialogues.withColumn("_l", layered).withColumn("_rare", F.coalesce(ids(F.filter("_l", lambda e: e["layer"] == "rare")), none))
+    of = lambda name: F.array_except(F.coalesce(ids(F.filter("_l", lambda e: e["layer"] == name)), none), F.col("_rare"))
+    rows = rows.withColumn("_core", of("core")).withColumn("_supporting", of("supporting")).withColumn("_known", F.concat("_core", "_supporting", "_rare"))
+    more = lambda c: F.array_except(F.coalesce(ids(F.filter(c, lambda e: (e["nature"] == "acoustic_event") & (e["event_id"] != ""))), none), F.col("_known"))
+    rows = rows.withColumn("_more", more("core_elements"))
+    is_rare = lambda i: i.startswith(RARE_PREFIX)
+    sets = {"core": F.concat("_core", F.filter("_more", lambda i: ~is_rare(i))), "supporting": F.concat("_supporting", more("supporting_elements")), "rare": F.concat("_rare", F.filter("_more", is_rare))}
+    return rows.select(key, *[F.array_sort(F.array_distinct(c)).alias(n) for n, c in sets.items()])
+
+
 def parse_sizes(spec: str | None, n: int) -> dict[str, int] | None:
     """Rows per split from `train/dev/test`, as numbers or percentages of n, which must add up to n; None for no split."""
     if not spec or spec.lower() in ("none", "off"):

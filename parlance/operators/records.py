@@ -104,3 +104,11 @@ def item_type(declared: Column, speaker: Column, text: Column, event_id: Column)
 def event_terms(event_id: Column) -> Column:
     """Words of at least four letters of an event's name."""
     return F.filter(F.split(F.lower(event_name(event_id)), r"[_\-\s]+"), lambda w: F.length(w) >= 4)
+
+
+def flat_templates(themes: DataFrame) -> DataFrame:
+    """(template_id, category, theme, index, title, description): a row per template of the themes (category, theme, templates) that have any."""
+    rows = themes.where(F.size("templates") > 0).select("category", "theme", F.posexplode("templates").alias("_i", "t"))
+    name = F.concat_ws("__", F.coalesce("category", F.lit("")), F.coalesce("theme", F.lit("")), F.lpad((F.col("_i") + 1).cast("string"), 2, "0"))
+    full = F.when(F.col("_i") < 99, name).otherwise(F.concat_ws("__", F.coalesce("category", F.lit("")), F.coalesce("theme", F.lit("")), (F.col("_i") + 1).cast("string")))
+    return rows.select(F.replace(full, F.lit(" "), F.lit("_")).alias("template_id"), "category", "theme", (F.col("_i") + 1).alias("index"), "t.title", "t.description")

@@ -16,7 +16,7 @@ from parlance.operators.timeline import most_turns, slot_ok
 #: Turns of a dialogue, words of a turn, turns of one speaker in a row, turns after a pivot.
 LEAST_TURNS, MOST_TURNS, MOST_WORDS, MOST_IN_A_ROW, LEAST_AFTER_PIVOT = 8, 13, 60, 3, 4
 QUOTES = r"""["'”’)\]]*\s*$"""
-#: A sentence's end, and what only looks like one: dots in a row, abbreviations, acronyms, numbers.
+#: A sentence's end, and what only looks like one: dots in a row, abbreviations, acronyms, numbers.
 SENTENCE_END = "[.!?]" + QUOTES
 NO_SENTENCE_END = r"(?:\.\.|…|\b(?:Mr|Mrs|Ms|Dr|Prof|St|Sgt|Lt|vs|etc)|\b[A-Z](?:\.[A-Z])*|\d)\." + QUOTES
 

@@ -656,4 +656,25 @@ ORACLES = {
     "rare_exclusions": """
       WITH r AS (SELECT DISTINCT CASE WHEN p_partkey % 40 = 0 THEN lower(p_brand) ELSE p_brand END AS event, coalesce(r_name, 'MOON') AS scene FROM part LEFT JOIN region ON r_regionkey = p_partkey % 6)
       SELECT event, scene, CASE WHEN event NOT IN (SELECT p_brand FROM part) THEN 'unknown event' ELSE 'unknown scene' END AS fault FROM r WHERE event NOT IN (SELECT p_brand FROM part) OR scene = 'MOON'""",
+    "layer_sets": """
+      WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 6 THEN '' ELSE CASE WHEN turn % 5 = 4 THEN 'rare_events/' ELSE 'x/' END || 'e' || (conv_id + turn) % 6 END AS id, CASE WHEN turn % 3 = 0 THEN 'rare_events/' ELSE 'x/' END || 'e' || turn % 8 AS el FROM conversations),
+      l AS (SELECT DISTINCT conv_id, id, CASE WHEN turn % 9 = 8 OR starts_with(id, 'rare_events/') THEN 'rare' WHEN CAST(('0x' || substring(sha1('layer|' || conv_id || '|' || id), 1, 8)) AS BIGINT) / 4294967296 < 0.35 THEN 'supporting' ELSE 'core' END AS layer FROM c WHERE turn % 2 = 0 AND id <> ''),
+      k AS (SELECT conv_id, id, layer FROM l AS o WHERE layer = 'rare' OR NOT EXISTS (SELECT 1 FROM l AS r WHERE r.conv_id = o.conv_id AND r.id = o.id AND r.layer = 'rare')),
+      e AS (SELECT DISTINCT conv_id, el AS id, CASE WHEN turn % 4 = 3 THEN 'supporting' WHEN starts_with(el, 'rare_events/') THEN 'rare' ELSE 'core' END AS layer FROM c WHERE turn % 4 IN (1, 3) AND conv_id % 4 > 0 AND NOT EXISTS (SELECT 1 FROM l WHERE l.conv_id = c.conv_id AND l.id = c.el)),
+      a AS (SELECT * FROM k UNION SELECT * FROM e)
+      SELECT conv_id, coalesce(string_agg(id, ',' ORDER BY id) FILTER (layer = 'core'), '') AS core, coalesce(string_agg(id, ',' ORDER BY id) FILTER (layer = 'supporting'), '') AS supporting, coalesce(string_agg(id, ',' ORDER BY id) FILTER (layer = 'rare'), '') AS rare
+      FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN a USING (conv_id) GROUP BY conv_id""",
+    "flat_templates": """
+      WITH r AS (SELECT p_brand AS category, p_type AS theme, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS "index", p_name AS title, CAST(p_size AS VARCHAR) AS description FROM part)
+      SELECT replace(category || '__' || theme || '__' || CASE WHEN "index" < 10 THEN '0' ELSE '' END || "index", ' ', '_') AS template_id, category, theme, "index", title, description FROM r""",
+    "finished_dataset": """
+      WITH d AS (SELECT conv_id AS i, count(*) AS n, conv_id % 7 > 0 AS known FROM conversations WHERE conv_id % 4 < 3 GROUP BY conv_id),
+      r AS (SELECT conv_id AS i, bool_or(turn % 3 <> 2 AND turn % 2 = 0 AND turn % 5 = 4) AS rare FROM conversations GROUP BY conv_id),
+      t AS (SELECT *, CASE WHEN i % 4 = 0 THEN 'Template' WHEN i % 3 = 0 THEN 'Theme ' || i WHEN i % 3 = 1 THEN 'Plain ' || i END AS title FROM d JOIN r USING (i))
+      SELECT CAST(i AS VARCHAR) AS scenario_id, CASE WHEN known THEN 'scene_' || i % 4 END AS scene, CASE WHEN known THEN CASE WHEN i % 2 = 0 THEN 'subject ' || i ELSE 'made ' || i END END AS subject, known AND rare AS has_rare_event, n, CASE WHEN known THEN CAST(i % 10 AS VARCHAR) END AS template_id,
+        CASE WHEN i % 3 = 0 THEN 'own ' || i WHEN known THEN 'c' END AS category, CASE WHEN i % 6 = 0 THEN '{"title": "My title"}' WHEN known THEN title END AS theme, CASE WHEN i % 6 = 0 THEN 'My title' END AS theme_label, 'm' AS metadata, CASE WHEN i % 5 = 0 THEN 'dev' WHEN known THEN 'train' END AS split FROM t""",
+    "pending_subjects": f"""
+      WITH s AS (SELECT conv_id, least((conv_id * 5) % 67, len({_WORDS.format(t='text')})) AS n FROM conversations WHERE turn = 1)
+      SELECT DISTINCT conv_id FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM s WHERE n BETWEEN 4 AND 60)""",
 }
+ORACLES["pending_dialogues"] = f"SELECT conv_id FROM ({ORACLES['timeline_validation']}) WHERE NOT valid"

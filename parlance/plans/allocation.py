@@ -255,14 +255,13 @@ def balanced_pairs(draws: DataFrame, targets: dict[str, float], rounds: int = 8,
     return spark.read.schema("scenario_id string, event_id string, reaction string").parquet(*paths) if paths else spark.createDataFrame([], "scenario_id string, event_id string, reaction string")
 
 
-def scenario_events(rows: DataFrame, pool: DataFrame, rare: DataFrame, salt: str = "event", registers: dict[str, list[str]] | None = None, targets: dict[str, float] | None = None) -> DataFrame:
+def scenario_events(draws: DataFrame, salt: str = "event", registers: dict[str, list[str]] | None = None, targets: dict[str, float] | None = None) -> DataFrame:
     """(scenario_id, place, event_id, reaction, is_rare, slot, register): the events of every scenario, none of them twice.
 
-    Events are drawn by scenario_draws(). They meet the scenario's reactions as drawn or, with `targets` (shares of the reactions), balanced
+    draws: scenario_draws(). Events meet the scenario's reactions as drawn or, with `targets` (shares of the reactions), balanced
     by balanced_pairs(). Each reaction goes through its registers in cycles over all its events; one without any gives null. Events are
     placed in a hashed order over the thirds of the dialogue; a pivot never comes in the last one.
     """
-    draws = scenario_draws(rows, pool, rare, salt)
     if targets is None:
         usual = draws.select("scenario_id", F.explode(F.arrays_zip("events", F.col("slots").alias("slots"))).alias("p")).select("scenario_id", F.col("p.events").alias("event_id"), F.col("p.slots").alias("reaction"))
     else:

@@ -130,7 +130,8 @@ def mcq_items(spark, d):
 def _answers(spark, d):
     reply = F.when(F.col("item_id") % 3 == 0, F.upper("gold")).when(F.col("item_id") % 3 == 1, F.concat(F.lit("it is "), F.get("w", F.lit(0)))).otherwise(F.lit(""))
     rows = _items(spark, d).where(F.col("options").isNotNull())
-    return rows.withColumn("answer", text.read_choice(reply, F.col("options")))
+    value = F.when(F.col("item_id") % 4 == 1, F.to_json(F.struct(F.lit(1).alias("n"), reply.alias("choice")))).otherwise(reply)
+    return rows.withColumn("answer", text.read_choice(text.field_of(value, text.ANSWER_FIELDS), F.col("options")))
 
 
 @query
@@ -321,7 +322,7 @@ def reply_readers(spark, d):
 
 @query
 def event_names(spark, d):
-    event_id = F.concat_ws("/", "source", F.concat_ws("_", "lang", F.lit("bell"), F.col("doc_id").cast("string")))
+    event_id = text.event_id(F.col("source"), F.concat_ws("_", "lang", F.lit("bell"), F.col("doc_id").cast("string")))
     return parquet(spark, d, "documents").select("doc_id", text.event_name(event_id).alias("name"), text.pretty(event_id).alias("pretty"))
 
 
@@ -863,23 +864,24 @@ REGISTERS = {"pivot": ["calm", "angry", "afraid"], "verbal": ["terse", "warm"],
 
 @query
 def scenario_events(spark, d):
-    found = allocation.scenario_events(_todos(spark, d), *_drawn_from(spark, d), registers=REGISTERS)
+    found = allocation.scenario_events(allocation.scenario_draws(_todos(spark, d), *_drawn_from(spark, d)), registers=REGISTERS)
     return found.groupBy("scenario_id").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_different"), F.count_if(F.expr("reaction = 'pivot'")).alias("n_pivot"), F.count_if(F.expr("slot = 'late' AND reaction = 'pivot'")).alias("n_late_pivots"), F.count_if("is_rare").alias("n_rare"), F.count_distinct("place").alias("n_places"), F.count("register").alias("n_registers"))
 
 
 @query
 def register_use(spark, d):
     """How often each register was drawn: its reaction's events, dealt out in cycles."""
-    found = allocation.scenario_events(_todos(spark, d), *_drawn_from(spark, d), registers=REGISTERS)
+    found = allocation.scenario_events(allocation.scenario_draws(_todos(spark, d), *_drawn_from(spark, d)), registers=REGISTERS)
     return found.groupBy("reaction", "register").agg(F.count("*").alias("n"))
 
 
 @query
 def balanced_pairing(spark, d):
     """How far events' reactions are from the overall shares, paired as drawn and balanced."""
-    rows, (pool, rare) = _todos(spark, d), _drawn_from(spark, d)
+    rows = _todos(spark, d)
     targets = {r["reaction"]: r["share"] for r in allocation.reaction_targets(rows).collect()}
-    both = [(name, allocation.scenario_events(rows, pool, rare, registers=REGISTERS, targets=own)) for name, own in (("drawn", None), ("balanced", targets))]
+    draws = allocation.scenario_draws(rows, *_drawn_from(spark, d))
+    both = [(name, allocation.scenario_events(draws, registers=REGISTERS, targets=own)) for name, own in (("drawn", None), ("balanced", targets))]
     each = [quota.event_balance(found, "event_id", "reaction").withColumn("pairing", F.lit(name)) for name, found in both]
     return each[0].unionByName(each[1])
 
@@ -889,7 +891,7 @@ def distance_ranges(spark, d):
     profiles = spark.createDataFrame([("beach/view", 5.0, 60.0), ("rare_events/click", 300.0, 3000.0)], "event_id string, near double, far double")
     i = F.col("event_id")
     rows = parquet(spark, d, "events").select(i.alias("n"), F.concat_ws("/", F.when(i % 3 == 0, "beach").when(i % 3 == 1, "rare_events").otherwise("rural"), "event_type").alias("event_id"), F.when(i % 2 == 0, "office").alias("scene"))
-    found = levels.with_distance_range(rows, F.broadcast(profiles))
+    found = levels.with_distance_range(rows, profiles)
     return found.select("n", "near", "far", F.round(levels.drawn_distance(F.col("near"), F.col("far"), quota.uniform("m", "n")), 6).alias("metres"), F.round(levels.wet_mix(F.lit(0.05), F.col("near")), 9).alias("wet"))
 
 
@@ -1357,3 +1359,51 @@ def rare_exclusions(spark, d):
     rows = part.select(F.when(F.col("p_partkey") % 40 == 0, F.lower("p_brand")).otherwise(F.col("p_brand")).alias("event"), (F.col("p_partkey") % 6).alias("r")).distinct()
     named = rows.join(region.select(F.col("r_regionkey").alias("r"), F.col("r_name").alias("scene")), "r", "left").select("event", F.coalesce("scene", F.lit("MOON")).alias("scene"))
     return catalog.rare_faults(named, part.select(F.col("p_brand").alias("event")).distinct(), region.select(F.col("r_name").alias("scene")))
+
+
+# --- finished tables ------------------------------------------------------------------------
+
+
+@query
+def layer_sets(spark, d):
+    """Events of dialogues by layer, with elements of two other lists."""
+    i, t = F.col("conv_id"), F.col("turn")
+    named = F.when(t % 7 == 6, "").otherwise(F.concat(F.when(t % 5 == 4, "rare_events/").otherwise("x/"), F.lit("e"), (i + t) % 6))
+    events = F.collect_list(F.when(t % 2 == 0, F.struct(named.alias("event_id"), (t % 9 == 8).alias("is_rare"))))
+    element = lambda k: F.collect_list(F.when(t % 4 == k, F.struct(F.concat(F.when(t % 3 == 0, "rare_events/").otherwise("x/"), F.lit("e"), t % 8).alias("event_id"), F.when(i % 4 > 0, "acoustic_event").alias("nature"))))
+    rows = _turns(spark, d).groupBy("conv_id").agg(events.alias("events"), element(1).alias("core_elements"), element(3).alias("supporting_elements"))
+    found = quota.layer_sets(rows, "conv_id")
+    return found.select("conv_id", *[F.array_join(c, ",").alias(c) for c in ("core", "supporting", "rare")])
+
+
+@query
+def flat_templates(spark, d):
+    """Parts as the templates of their brands and types."""
+    rows = parquet(spark, d, "part").groupBy(F.col("p_brand").alias("category"), F.col("p_type").alias("theme")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.col("p_name").alias("title"), F.col("p_size").cast("string").alias("description")))).alias("templates"))
+    return records.flat_templates(rows).withColumn("index", F.col("index").cast("long"))
+
+
+@query
+def finished_dataset(spark, d):
+    i = F.col("conv_id")
+    told = _timelines(spark, d).where(i % 4 < 3).select(i.cast("string").alias("scenario_id"), "timeline", F.when(i % 3 == 0, F.concat(F.lit("own "), i)).when(i % 3 == 1, "").alias("category"), F.when(i % 5 == 0, "dev").alias("split"), F.when(i % 6 == 0, '{"title": "My title"}').alias("theme"), F.lit("m").alias("metadata"))
+    normal = records.normalised(_scenarios(spark, d)).where("cast(scenario_id AS long) % 7 > 0").drop("theme_label").withColumn("theme", F.col("theme_title"))
+    found = assembly.finished_dataset(told, normal)
+    return found.select("scenario_id", "scene", "subject", "has_rare_event", F.size("timeline").cast("long").alias("n"), *assembly.CARRIED)
+
+
+@query
+def pending_subjects(spark, d):
+    """Scenes whose stored subject can't be used, or that have none: they are generated again."""
+    said = F.array_join(F.slice(text.words(F.col("text")), F.lit(1), ((F.col("conv_id") * 5) % 67).cast("int")), " ")
+    stored = _turns(spark, d).where("turn = 1").select("conv_id", said.alias("subject"))
+    return filtering.pending(_turns(spark, d).select("conv_id").distinct(), stored.where(text.subject_fault(F.col("subject")).isNull()), "conv_id")
+
+
+@query
+def pending_dialogues(spark, d):
+    """Scenes whose stored dialogue no longer passes validation."""
+    items_, expected = _dialogue(spark, d)
+    scenes = items_.select("conv_id").distinct()
+    valid = validation.validated(scenes, items_, expected, "conv_id", least=2, most=6, most_words=150).where("valid")
+    return filtering.pending(scenes, valid, "conv_id")

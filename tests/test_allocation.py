@@ -66,14 +66,14 @@ def test_too_few_events_are_an_error(spark):
     with pytest.raises(ValueError, match="'y' has 1 of"):
         allocation.scenario_draws(rows, pool.where("scene = 'x' OR event_id = 'y1'"), rare)
     with pytest.raises(ValueError, match="0 rare"):
-        allocation.scenario_events(rows, pool, rare.where("scene = 'x'"))
+        allocation.scenario_draws(rows, pool, rare.where("scene = 'x'"))
     with pytest.raises(ValueError, match="at most one pivot"):
         allocation.scenario_draws(rows.withColumn("pivot", F.lit(2)), pool, rare)
 
 
 def test_registers_go_in_cycles(spark):
     rows, pool, rare = tables(spark, 90)
-    found = allocation.scenario_events(rows, pool, rare, registers={"pivot": ["p", "q"], "verbal": ["u", "v", "w"]}, targets=TARGETS)
+    found = allocation.scenario_events(allocation.scenario_draws(rows, pool, rare), registers={"pivot": ["p", "q"], "verbal": ["u", "v", "w"]}, targets=TARGETS)
     counts = {(r["reaction"], r["register"]): r["count"] for r in found.groupBy("reaction", "register").count().collect()}
     total = lambda x: sum(n for (reaction, _), n in counts.items() if reaction == x)
     assert {k[0] for k in counts if k[1] is None} == {"behavioral", "ambient"}

@@ -211,7 +211,7 @@ def test_events_of_a_scenario(spark):
     rows = spark.createDataFrame([(f"s{i}", "x", i % 2 == 0, 1, 1, 0, i % 2) for i in range(40)], "scenario_id string, scene string, has_rare_event boolean, pivot int, verbal int, behavioral int, ambient int")
     pool = spark.createDataFrame([("x", f"e{i}") for i in range(6)], "scene string, event_id string")
     rare = spark.createDataFrame([("x", "rare_events/boom")], "scene string, event_id string")
-    found = allocation.scenario_events(rows, pool, rare).collect()
+    found = allocation.scenario_events(allocation.scenario_draws(rows, pool, rare)).collect()
     for i in range(40):
         own = sorted((r for r in found if r["scenario_id"] == f"s{i}"), key=lambda r: r["place"])
         assert [r["place"] for r in own] == list(range(2 + i % 2)) and len({r["event_id"] for r in own}) == len(own)

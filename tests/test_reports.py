@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import levels, signal, text
 from parlance.functions.loose_json import list_in
-from parlance.operators import cache, catalog, placement, quota, timeline, verdicts
+from parlance.operators import assembly, cache, catalog, placement, quota, records, timeline, verdicts
 
 
 def column(spark, value, make, kind="string"):
@@ -129,3 +129,31 @@ def test_windows_and_impulses():
     assert signal.window_or_loop(x, 8, 0.99, 2, 1).tolist() == list(range(2, 10)) and len(signal.window_or_loop(x, 25, 0.5, 2, 1)) == 25
     impulse = np.array([0.0, 0.1, -1.0, 0.5])
     assert signal.aligned(impulse, 100).tolist() == [-1.0, 0.5] and signal.aligned(impulse, 20).tolist() == impulse.tolist() and len(signal.aligned(np.zeros(0))) == 0
+
+
+def test_layers_of_events_and_elements(spark):
+    kind = "k int, events array<struct<event_id:string,is_rare:boolean>>, core_elements array<struct<event_id:string,nature:string>>, supporting_elements array<struct<event_id:string,nature:string>>"
+    sound, other = "acoustic_event", "person"
+    rows = [
+        (1, [("a", True), ("rare_events/b", None), ("", False), (None, True), ("a", False)], [("c", sound), ("rare_events/d", sound), ("e", other), ("a", sound)], [("f", sound), ("rare_events/g", sound), ("c", sound), ("", sound)]),
+        (2, None, None, None), (3, [(f"x{i}", False) for i in range(200)], [], []),
+    ]
+    found = {r["k"]: r for r in quota.layer_sets(spark.createDataFrame(rows, kind), "k").collect()}
+    assert (found[1]["core"], found[1]["supporting"], found[1]["rare"]) == (["c"], ["c", "f", "rare_events/g"], ["a", "rare_events/b", "rare_events/d"])
+    assert (found[2]["core"], found[2]["supporting"], found[2]["rare"]) == ([], [], [])
+    assert not set(found[3]["core"]) & set(found[3]["supporting"]) and len(found[3]["core"]) + len(found[3]["supporting"]) == 200 and 40 < len(found[3]["supporting"]) < 100
+
+
+def test_flat_templates(spark):
+    rows = [("at home", "tea time", [("T1", "d1"), ("T2", None)]), ("x", None, [("T", "d")]), ("y", "z", []), ("y", "w", None)]
+    found = records.flat_templates(spark.createDataFrame(rows, "category string, theme string, templates array<struct<title:string,description:string>>")).collect()
+    assert sorted(tuple(r)[0] for r in found) == ["at_home__tea_time__01", "at_home__tea_time__02", "x____01"]
+    assert {(r["title"], r["index"], r["description"]) for r in found} == {("T1", 1, "d1"), ("T2", 2, None), ("T", 1, "d")}
+
+
+def test_finished_dataset(spark):
+    normal = spark.createDataFrame([("s", "park", "a", "b", "x", True, "t1", "c", "", "label")], "scenario_id string, scene string, role_a string, role_b string, subject string, has_rare boolean, template_id string, category string, split string, theme_label string").withColumn("events", F.array())
+    told = spark.createDataFrame([("s", "line", "", '{"title": "T"}', "dev"), ("u", "line", "own", '{"title": "T"}', "")], "scenario_id string, timeline string, category string, theme string, split string")
+    found = {r["scenario_id"]: r for r in assembly.finished_dataset(told, normal).collect()}
+    assert [found["s"][c] for c in ("scene", "has_rare_event", "template_id", "category", "theme_label", "split", "metadata")] == ["park", True, "t1", "c", "label", "dev", None]
+    assert [found["u"][c] for c in ("scene", "has_rare_event", "template_id", "category", "theme_label", "split")] == [None, False, None, "own", "T", None]

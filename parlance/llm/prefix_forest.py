@@ -125,7 +125,7 @@ class Forest:
             yield q, self.ids[rows[best]], cosine[best]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = 0.1, shard: int = 8192, block: int = 4096, trees: int = TREES, seed: int = 1) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = 0.1, shard: int = 8192, block: int = 1 << 15, trees: int = TREES, seed: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest vectors found for every row of `queries`.
 
     Both frames have vec_id and embedding. A query's own vec_id is no candidate.

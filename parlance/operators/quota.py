@@ -239,14 +239,15 @@ def value_ranges(df: DataFrame, order: str, parts: int) -> Column:
     return F.when(F.col(order).isNotNull(), F.size(F.filter(cuts, lambda x: x < F.col(order))))
 
 
-def round_robin(df: DataFrame, order: list[str], shards: int, parts: int = 64) -> DataFrame:
+def round_robin(df: DataFrame, order: str | list[str], shards: int, parts: int = 64) -> DataFrame:
     """`df` with `shard`, the rank in `order` (whose first is a number or a time) modulo `shards`.
 
     The rank is made without sorting all rows in one task: quantiles cut the order into `parts` ranges, ranks are
     counted within them, and the ranges' sizes are added up.
     """
-    rows = df.withColumn("_part", value_ranges(df, order[0], parts))
-    own = Window.partitionBy("_part").orderBy(*order)
+    names = [order] if isinstance(order, str) else order
+    rows = df.withColumn("_part", value_ranges(df, names[0], parts))
+    own = Window.partitionBy("_part").orderBy(*names)
     before = Window.orderBy(F.col("_part").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     offsets = rows.groupBy("_part").agg(F.count("*").alias("_size")).select(F.col("_part").alias("_key"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     ranked_rows = rows.withColumn("_own", F.row_number().over(own) - 1).join(F.broadcast(offsets), F.col("_part").eqNullSafe(F.col("_key")))

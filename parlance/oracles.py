@@ -122,7 +122,7 @@ s AS (SELECT i.conv_id, coalesce(n_events, 0) AS n_events, coalesce(p, 0) AS p,
   CASE WHEN i.conv_id % 7 = 0 THEN i.conv_id % 2 = 0 END AS flag, CASE i.conv_id % 3 WHEN 0 THEN 'Theme ' || i.conv_id WHEN 1 THEN 'Plain ' || i.conv_id END AS label FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN c USING (conv_id))
 """
 _SUMMARIES = """
-WITH b AS (SELECT unnest([25, 75, 200]) AS budget), f AS (SELECT conv_id, any_value(text) AS text FROM conversations WHERE turn = 0 GROUP BY conv_id),
+WITH b AS (SELECT unnest([25, 75, 200]) AS budget), f AS (SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
 r AS (SELECT c.conv_id, turn, budget, ['pivot', 'verbal', 'behavioral', 'ambient', ''][turn % 5 + 1] AS reaction, turn % 4 = 1 AS rare, (c.conv_id + turn + budget) % 3 = 0 AS m, (c.conv_id + turn) % 7 = 0 AS d, CASE WHEN c.conv_id % 5 > 0 THEN f.text END AS summary
   FROM conversations c LEFT JOIN f USING (conv_id), b),
 g AS (SELECT *, summary IS NOT NULL OR bool_or(m) OVER (PARTITION BY conv_id, budget) AS used FROM r)
@@ -417,13 +417,16 @@ ORACLES = {
       z AS (SELECT conv_id, turn, unnest(regexp_extract_all(s, '[^a-z'']*[a-z'']+')) AS piece, generate_subscripts(regexp_extract_all(s, '[^a-z'']*[a-z'']+'), 1) AS n FROM t),
       o AS (SELECT conv_id, turn, regexp_extract(piece, '[a-z'']+$') AS word, sum(length(piece)) OVER (PARTITION BY conv_id, turn ORDER BY n) - length(regexp_extract(piece, '[a-z'']+$')) AS place FROM z)
       SELECT conv_id, turn, count(*) AS n, CAST(sum(place) AS BIGINT) AS places, CAST(max(place) AS BIGINT) AS last, CAST(sum(length(word)) AS BIGINT) AS letters FROM o GROUP BY conv_id, turn""",
-    "resume_offsets": """
-      WITH w AS (SELECT conv_id, turn, turn + ((turn + conv_id) // 3) * 1.5 AS s, turn * 4 AS off, CASE conv_id % 4 WHEN 0 THEN 'one two. three... four five' WHEN 1 THEN 'one two three. four. five' ELSE 'one two three four five' END AS said FROM conversations),
-      n AS (SELECT *, min(s) OVER (PARTITION BY conv_id) AS zero, lag(s + 0.5) OVER v AS last_end, lag(off) OVER v AS last_off FROM w WINDOW v AS (PARTITION BY conv_id ORDER BY s)),
-      b AS (SELECT conv_id, min(s - zero) AS o FROM n WHERE contains(said, '...') AND off > instr(said, '...') - 1 GROUP BY conv_id),
-      p AS (SELECT conv_id, min(s - zero) AS o FROM n WHERE s - last_end >= 1.2 AND NOT regexp_matches(replace(substring(said, last_off + 1, off - last_off), '...', ' '), '[.!?]') GROUP BY conv_id)
-      SELECT conv_id, CAST(round(least(b.o, p.o), 6) AS DOUBLE) AS offset, CASE WHEN b.o <= coalesce(p.o, b.o) THEN 'break' WHEN p.o IS NOT NULL THEN 'pause' END AS kind
-      FROM (SELECT DISTINCT conv_id FROM w) LEFT JOIN b USING (conv_id) LEFT JOIN p USING (conv_id)""".replace("AS offset", 'AS "offset"'),
+    "resume_offsets": r"""
+      WITH t AS (SELECT conv_id, turn, lower(trim(regexp_replace(CASE WHEN turn % 3 = 0 THEN text || '... ' || text ELSE text END, '\[[^\]]+\]', ' ', 'g'))) AS s FROM conversations),
+      c AS (SELECT conv_id, turn, s, list_transform(range(1, length(s) + 1), lambda i: regexp_matches(substring(s, i, 1), '[a-z'']')) AS f FROM t),
+      k AS (SELECT conv_id, turn, s, list_filter(range(1, len(f) + 1), lambda i: f[i] AND (i = 1 OR NOT f[i - 1])) AS starts FROM c),
+      w AS (SELECT conv_id, turn, s, starts[n] - 1 AS off, n - 1 AS n, (n - 1) * CAST(0.4 AS DOUBLE) + ((n - 1) // 7) * CAST(1.3 AS DOUBLE) AS z FROM (SELECT *, unnest(range(1, len(starts) + 1)) AS n FROM k)),
+      l AS (SELECT *, lag(z) OVER v + CAST(0.3 AS DOUBLE) AS ended, lag(off) OVER v AS before FROM w WINDOW v AS (PARTITION BY conv_id, turn ORDER BY n)),
+      b AS (SELECT conv_id, turn, min(z) AS o FROM w WHERE off > least(CASE WHEN contains(s, '...') THEN instr(s, '...') END, CASE WHEN contains(s, '…') THEN instr(s, '…') END) - 1 GROUP BY conv_id, turn),
+      p AS (SELECT conv_id, turn, min(z) AS o FROM l WHERE z - ended >= 1.2 AND NOT regexp_matches(replace(replace(substring(s, before + 1, off - before), '...', ' '), '…', ' '), '[.!?]') GROUP BY conv_id, turn)
+      SELECT conv_id, turn, CAST(round(least(b.o, p.o), 6) AS DOUBLE) AS "offset", CASE WHEN b.o <= coalesce(p.o, b.o) THEN 'break' WHEN p.o IS NOT NULL THEN 'pause' END AS kind
+      FROM (SELECT DISTINCT conv_id, turn FROM w) LEFT JOIN b USING (conv_id, turn) LEFT JOIN p USING (conv_id, turn)""",
     "event_tags": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '[laughs]' WHEN 2 THEN '[clears throat]' END AS tag, CASE WHEN event_id % 2 = 0 THEN '[gunshot]' END AS effect FROM events",
     "composition_sequence": """
       WITH n AS (SELECT unnest(range(0, 4)) AS x), c AS (SELECT p.x AS p, v.x AS v, b.x AS b, a.x AS a FROM n p, n v, n b, n a WHERE p.x <= 1 AND p.x + v.x + b.x + a.x <= 3),

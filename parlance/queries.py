@@ -741,13 +741,13 @@ def judge_verdicts(spark, d):
 
 
 def _summaries(spark, d):
-    """Three budgets for each conversation; its turns are the sounds, some mentioned."""
+    """Three budgets for each conversation, whose texts are the summary; its turns are the sounds, some mentioned."""
     i, t = F.col("conv_id"), F.col("turn")
     name = F.concat(F.lit("s"), t)
     gold = F.struct(name.alias("name"), F.get(F.array(*[F.lit(r) for r in (*text.REACTIONS, "")]), (t % 5).cast("int")).alias("reaction"), (t % 4 == 1).alias("is_rare"))
     rows = _turns(spark, d).withColumn("budget", F.explode(F.array(F.lit(25), F.lit(75), F.lit(200))))
     return rows.groupBy(F.col("conv_id").alias("scenario_id"), "budget").agg(
-        F.collect_list(gold).alias("gold"), F.collect_list(F.when((i + t + F.col("budget")) % 3 == 0, name)).alias("mentioned"), F.collect_list(F.when((i + t) % 7 == 0, name)).alias("discussed"), F.max(F.when(t == 0, F.when(i % 5 > 0, F.col("text")))).alias("summary"),
+        F.collect_list(gold).alias("gold"), F.collect_list(F.when((i + t + F.col("budget")) % 3 == 0, name)).alias("mentioned"), F.collect_list(F.when((i + t) % 7 == 0, name)).alias("discussed"), F.when(F.max(i) % 5 > 0, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), " ")).alias("summary"),
     )
 
 
@@ -811,14 +811,15 @@ def word_offsets(spark, d):
 
 @query
 def resume_offsets(spark, d):
-    """Each conversation's words, a second apart, with longer pauses behind some."""
-    t = F.col("turn")
-    start = t * 1.0 + F.floor((t + F.col("conv_id")) / 3) * 1.5
-    word = F.struct(start.alias("start"), (start + 0.5).alias("end"), (t * 4).alias("off"))
-    rows = _turns(spark, d).groupBy("conv_id").agg(F.sort_array(F.collect_list(word)).alias("words"))
-    said = F.when(F.col("conv_id") % 4 == 0, "one two. three... four five").when(F.col("conv_id") % 4 == 1, "one two three. four. five").otherwise("one two three four five")
-    found = timeline.resume_offset(said, F.col("words"), F.get("words", F.lit(0))["start"])
-    return rows.select("conv_id", found.alias("r")).select("conv_id", F.round("r.offset", 6).alias("offset"), "r.kind")
+    """Where turns go on after a break or a pause: words last 0.3 s, with a longer pause behind every seventh; every third turn says its text twice, broken off between."""
+    said = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("... "), "text")).otherwise(F.col("text"))
+    turns = _turns(spark, d).select("conv_id", "turn", F.lower(text.strip_tags(said)).alias("said"))
+    n = F.col("position")
+    word = F.struct((n * 0.4 + F.floor(n / 7) * 1.3).alias("start"), (n * 0.4 + F.floor(n / 7) * 1.3 + 0.3).alias("end"), F.col("offset").cast("long").alias("off"))
+    words = alignment.word_table(turns, "conv_id", "turn", "said").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(word)).alias("words"))
+    found = timeline.resume_offset(F.col("said"), F.col("words"), F.get("words", F.lit(0))["start"])
+    rows = turns.join(words, ["conv_id", "turn"]).select("conv_id", "turn", found.alias("r"))
+    return rows.select("conv_id", "turn", F.round("r.offset", 6).alias("offset"), "r.kind")
 
 
 @query

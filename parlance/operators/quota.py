@@ -68,14 +68,15 @@ def leading_range(df: DataFrame, first: Column) -> Column:
     return F.lit(0)
 
 
-def ranked(df: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame:
+def ranked(df: DataFrame, by: list[str], order: list[Column | str], ranges: Column | None = None) -> DataFrame:
     """`df` with rank (from 0) and group size n within `by`.
 
     Ranks are counted within ranges of the order's first entry, and the sizes of a group's ranges before are added, so that no
-    task holds a group of which there are only a few. Hashes, as leading entry, cut a group into 256 even ranges.
+    task holds a group of which there are only a few. Hashes, as leading entry, cut a group into 256 even ranges. Other `ranges` of
+    that entry, such as value_ranges(), may be given.
     """
     first = order[0] if isinstance(order[0], Column) else F.col(order[0])
-    rows = df.withColumn("_range", leading_range(df, first))
+    rows = df.withColumn("_range", leading_range(df, first) if ranges is None else ranges)
     sizes = rows.groupBy(*by, "_range").agg(F.count("*").alias("_size"))
     whole = Window.partitionBy(*by)
     before = F.sum("_size").over(whole.orderBy(F.col("_range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
@@ -211,7 +212,7 @@ def dataset_split_report(scenarios: DataFrame, events: DataFrame, key: str = "sc
     for name in ("scene", "composition"):
         sizes = scenarios.groupBy("split", name).agg(F.count("*").alias("_n")).groupBy("split")
         own = own.join(sizes.agg(F.count("*").alias(f"n_{name}s"), F.min("_n").alias(f"least_{name}"), F.max("_n").alias(f"most_{name}")), "split")
-    heard = events.select(key, "reaction").join(scenarios.select(key, "split"), key).groupBy("split").agg(F.count("*").alias("n_events"), *[F.count_if(F.col("reaction") == r).alias(f"n_{r}") for r in reactions])
+    heard = events.select(key, "reaction").join(scenarios.select(key, "split").hint("merge"), key).groupBy("split").agg(F.count("*").alias("n_events"), *[F.count_if(F.col("reaction") == r).alias(f"n_{r}") for r in reactions])
     rows = own.join(heard, "split", "left").fillna(0, ["n_events", *[f"n_{r}" for r in reactions]])
     return rows.withColumns({f"share_{r}": F.try_divide(f"n_{r}", "n_events") for r in reactions})
 

@@ -2,6 +2,9 @@
 
 Every sequence is a table (local, value) with as many rows as there are scenarios; its values come by quota, its order
 from a hash of (salt, place), so that all sequences are joined by `local` and none is drawn on the driver.
+
+Tables of a row per scenario are joined by sorting, as asked for: Spark takes a few rows that are exploded into many for a small
+table and would send them all through the driver.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.operators import quota
 from parlance.operators.quota import compositions, even_quota, hash_order, largest_remainder, uniform
@@ -19,6 +23,8 @@ from parlance.session import scratch
 PER_TEMPLATE, RARE_RATE = 10, 0.05
 GENDER_PAIRS = (("F", "F"), ("F", "M"), ("M", "F"), ("M", "M"))
 KINDS = ("pivot", "verbal", "behavioral", "ambient")
+#: Units of a quota that a task makes at most, in runs of RUN, where the quotas' sum is known.
+UNITS, RUN = 250_000, 1 << 14
 
 
 def parse_boosts(spec: str | None) -> dict[str, float]:
@@ -40,13 +46,15 @@ def composition_weight(boosts: dict[str, float]) -> Column:
     return weight
 
 
-def dealt(values: DataFrame, salt: str) -> DataFrame:
-    """`values` (quota, ...) as a sequence: a row (local, ...) per unit of quota, in hash order.
+def dealt(values: DataFrame, salt: str, n: int = 0) -> DataFrame:
+    """`values` (quota, ...) as a sequence: a row (local, ...) per unit of quota, in hash order. n: the sum of the quotas, which tells the tasks.
 
     Ranks come from a window over hash ranges and the sizes of the ranges before, not from one sort of all rows.
     """
     names = [c for c in values.columns if c != "quota"]
-    units = values.where("quota > 0").withColumn("_u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)))
+    runs = values.where("quota > 0").withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1, F.lit(RUN).cast("long"))))
+    runs = runs.repartition(-(-n // UNITS)) if n > UNITS else runs
+    units = runs.withColumn("_u", F.explode(F.sequence("_run", F.least(F.col("_run") + RUN, F.col("quota")) - 1))).drop("_run")
     units = units.withColumn("_h", F.sha1(F.concat_ws("|", F.lit(salt), *[F.col(c).cast("string") for c in names], F.col("_u").cast("string")).cast("binary"))).withColumn("_b", F.substring("_h", 1, 2))
     sizes = units.groupBy("_b").agg(F.count("*").alias("_n"))
     before = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # 256 rows
@@ -72,14 +80,14 @@ def composition_sequence(spark: SparkSession, n: int, boosts: dict[str, float] |
         shared = own.withColumn("quota", (F.floor(F.col("total") / parts) + (rank < F.col("total") % parts).cast("int")).cast("long"))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    return dealt(shared.select("composition", *KINDS, "quota"), salt)
+    return dealt(shared.select("composition", *KINDS, "quota"), salt, n)
 
 
 def even_sequence(values: DataFrame, order: str, n: int, salt: str) -> DataFrame:
     """(local, ...): the rows of a short table, each as often as the others, the first ones once more for the remainder."""
     k = values.count()
     place = F.row_number().over(Window.orderBy(order)) - 1  # a catalogue's scenes or relations
-    return dealt(values.withColumn("quota", even_quota(F.lit(n), k, place)), salt)
+    return dealt(values.withColumn("quota", even_quota(F.lit(n), k, place)), salt, n)
 
 
 def gender_sequence(spark: SparkSession, n: int, salt: str = "gender") -> DataFrame:
@@ -96,9 +104,9 @@ def relation_sequence(relations: DataFrame, n: int, salt: str = "relation") -> D
 
 def with_rare_flags(comps: DataFrame, n: int, rate: float = RARE_RATE, salt: str = "rare") -> DataFrame:
     """`comps` with has_rare_event: round(n x rate) scenarios with a pivot, or all of these if they are fewer, by smallest hash."""
-    eligible = comps.where("pivot = 1").select("local", hash_order(salt, "local").alias("_h"))
-    chosen = eligible.orderBy("_h", "local").limit(round(n * rate)).select("local", F.lit(True).alias("_r"))
-    return comps.join(chosen, "local", "left").withColumn("has_rare_event", F.coalesce("_r", F.lit(False))).drop("_r")
+    eligible = F.col("pivot") == 1
+    rows = quota.ranked(comps.withColumn("_eligible", eligible), ["_eligible"], [hash_order(salt, "local"), F.col("local")])
+    return rows.withColumn("has_rare_event", F.coalesce(eligible & (F.col("rank") < round(n * rate)), F.lit(False))).drop("_eligible", "rank", "n")
 
 
 def todos(templates: DataFrame, order: str, key: str, scenes: DataFrame, relations: DataFrame, boosts: dict[str, float] | None = None, per_template: int = PER_TEMPLATE, lot: str = "") -> DataFrame:
@@ -108,12 +116,14 @@ def todos(templates: DataFrame, order: str, key: str, scenes: DataFrame, relatio
     """
     spark = templates.sparkSession
     n = templates.count() * per_template
-    numbered = quota.ranked(templates.withColumn("_one", F.lit(0)), ["_one"], [order])
+    whole = isinstance(templates.schema[order].dataType, T.IntegralType)
+    ranges = quota.value_ranges(templates, order, -(-n // UNITS)) if whole and n > UNITS else None
+    numbered = quota.ranked(templates.withColumn("_one", F.lit(0)), ["_one"], [order], ranges)
     rows = numbered.withColumn("_t", F.col("rank")).drop("_one", "rank", "n").withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(per_template)))).withColumn("local", (F.col("_t") * per_template + F.col("s") - 1).cast("long"))
     rows = rows.withColumn("scenario_id", F.format_string("%s__s%02d", F.col(key).cast("string"), F.col("s"))).drop("_t")
     comps = with_rare_flags(composition_sequence(spark, n, boosts, salt=f"composition{lot}"), n, salt=f"rare{lot}")
     for part in (comps, even_sequence(scenes, scenes.columns[0], n, f"scene{lot}"), relation_sequence(relations, n, f"relation{lot}"), gender_sequence(spark, n, f"gender{lot}")):
-        rows = rows.join(part, "local")
+        rows = rows.join(part.hint("merge"), "local")
     return rows.withColumnRenamed("s", "scenario_idx_in_template")
 
 
@@ -184,7 +194,7 @@ def scenario_draws(rows: DataFrame, pool: DataFrame, rare: DataFrame, salt: str
 
     usual = draw(own, pool, F.size("slots"), salt).groupBy("scenario_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "event_id"))), lambda e: e["event_id"]).alias("events"))
     pivots = draw(own.where("has_rare_event"), rare, F.lit(1), f"{salt}-rare").select("scenario_id", F.col("event_id").alias("rare_event"))
-    found = own.join(usual, "scenario_id", "left").join(pivots, "scenario_id", "left")
+    found = own.join(usual.hint("merge"), "scenario_id", "left").join(pivots.hint("merge"), "scenario_id", "left")
     found.select("scenario_id", "n", F.coalesce("events", F.array().cast("array<string>")).alias("events"), "slots", "rare_event").write.parquet(f"{folder}/drawn")
     return rows.sparkSession.read.parquet(f"{folder}/drawn")
 
@@ -267,7 +277,7 @@ def scenario_events(draws: DataFrame, salt: str = "event", registers: dict[str,
     else:
         usual = balanced_pairs(draws, targets, salt=f"{salt}-pair")
     special = draws.where("rare_event IS NOT NULL").select("scenario_id", F.col("rare_event").alias("event_id"), F.lit("pivot").alias("reaction"), F.lit(True).alias("is_rare"))
-    drawn = usual.withColumn("is_rare", F.lit(False)).unionByName(special).join(draws.select("scenario_id", "n"), "scenario_id")
+    drawn = usual.withColumn("is_rare", F.lit(False)).unionByName(special).join(draws.select("scenario_id", "n").hint("merge"), "scenario_id")
     names = F.create_map(*[F.lit(x) for r in KINDS for x in (r, F.array(*[F.lit(v) for v in (registers or {}).get(r, [])]).cast("array<string>"))])[F.col("reaction")]
     drawn = drawn.withColumn("_h", hash_order(f"{salt}-register", "scenario_id", "event_id"))
     drawn = quota.register_cycle(drawn.withColumnRenamed("n", "_n"), ["reaction"], ["_h"], F.size(names), f"{salt}-cycle").withColumn("register", F.get(names, F.col("register").cast("int")))

@@ -113,3 +113,26 @@ def test_ranks_of_nulls_and_numbers(spark):
     df = spark.createDataFrame([(None, 3), (None, None), ("a", 1 << 30), ("a", 5), ("a", -7)], "g string, v long")
     found = {(r["g"], r["v"]): (r["rank"], r["n"]) for r in quota.ranked(df, ["g"], ["v"]).collect()}
     assert found == {(None, None): (0, 2), (None, 3): (1, 2), ("a", -7): (0, 3), ("a", 5): (1, 3), ("a", 1 << 30): (2, 3)}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def many_todos(spark, n, **more):
+    templates = spark.range(n).withColumnRenamed("id", "t")
+    return allocation.todos(templates, "t", "t", spark.createDataFrame([("x",), ("y",)], "scene string"), spark.createDataFrame([("a", "b"), ("c", "d"), ("e", "f")], "role_a string, role_b string"), **more)
+
+
+def test_scenarios_are_not_broadcast(spark):
+    rows = many_todos(spark, 30)
+    assert "BroadcastHashJoin [local" not in plan(rows) and "TakeOrdered" not in plan(rows) and "Limit" not in plan(rows)
+    assert rows.count() == 300 and rows.where("has_rare_event").count() == 15
+
+
+def test_units_made_by_many_tasks_are_the_same(spark, monkeypatch):
+    of = lambda: sorted(tuple(r) for r in many_todos(spark, 60).collect())
+    want = of()
+    monkeypatch.setattr(allocation, "UNITS", 100)
+    monkeypatch.setattr(allocation, "RUN", 7)
+    assert of() == want and len(want) == 600

@@ -136,3 +136,9 @@ def test_units_made_by_many_tasks_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(allocation, "UNITS", 100)
     monkeypatch.setattr(allocation, "RUN", 7)
     assert of() == want and len(want) == 600
+
+
+@pytest.mark.parametrize("registers", [None, {"pivot": ["p", "q"], "verbal": ["u"]}])
+def test_events_of_scenarios_are_not_broadcast(spark, registers):
+    draws = allocation.scenario_draws(*tables(spark, 60))
+    assert "BroadcastHashJoin [scenario_id" not in plan(allocation.scenario_events(draws, registers=registers))

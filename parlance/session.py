@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC keeps timestamps equal on every engine; AQE splits skewed joins and merges small partitions.
 SETTINGS = {
@@ -56,6 +56,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder}/rows"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """`rows`, written to a scratch() table, so that several readers don't each make them."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def remove(spark: SparkSession, table_path: str) -> None:
     """Deletes what scratch() gave."""
     path, files = _hadoop(spark, table_path)

@@ -157,3 +157,11 @@ def test_finished_dataset(spark):
     found = {r["scenario_id"]: r for r in assembly.finished_dataset(told, normal).collect()}
     assert [found["s"][c] for c in ("scene", "has_rare_event", "template_id", "category", "theme_label", "split", "metadata")] == ["park", True, "t1", "c", "label", "dev", None]
     assert [found["u"][c] for c in ("scene", "has_rare_event", "template_id", "category", "theme_label", "split")] == [None, False, None, "own", "T", None]
+
+
+def test_splits_of_scenarios_are_not_broadcast(spark, tmp_path):
+    rows = spark.createDataFrame([("s1", "train", "t1", "h", "x", "P1", True)], "scenario_id string, split string, template_id string, theme string, scene string, composition string, has_rare_event boolean")
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    found = quota.dataset_split_report(rows, rows.select("scenario_id", F.lit("pivot").alias("reaction")))
+    assert "BroadcastHashJoin [scenario_id" not in found._jdf.queryExecution().executedPlan().toString()

@@ -19,8 +19,10 @@ from parlance.session import scratch
 
 #: Items and bytes of a batch, and the share of the bytes that is used.
 MOST_ITEMS, MOST_BYTES, BYTES_MARGIN = 100_000, 256 * 1024 * 1024, 0.9
-#: Batches' worth of items and bytes in a segment; either makes up at least half of what is over 2, more than a batch.
+#: Batches' worth of items and bytes in a segment at least; either makes up at least half of what is over 2, more than a batch.
 SPACING = 5
+#: Items that a segment of small batches has room for: a group costs a task some milliseconds, however few items it has.
+SEGMENT_ITEMS = 50_000
 
 
 class Segment:
@@ -70,7 +72,8 @@ def placed(items: DataFrame, order: list[str], size: str, most: int, budget: int
     rows = rows.join(F.broadcast(offsets), F.col("_part").eqNullSafe(F.col("_key")))  # a row per range
     rows = rows.withColumn("_pos", F.col("_n0") + F.col("_i")).withColumn("_before", (F.col("_b0") + F.col("_b")).cast("long"))
     exact = lambda c: F.col(c).cast("decimal(38,0)")
-    weight = (exact("_before") * most + exact("_pos") * budget) / F.lit(SPACING * most * budget).cast("decimal(38,0)")
+    spacing = max(SPACING, -(-SEGMENT_ITEMS // most))
+    weight = (exact("_before") * most + exact("_pos") * budget) / F.lit(spacing * most * budget).cast("decimal(38,0)")
     return rows.withColumn("_segment", F.floor(weight).cast("long")).drop("_part", "_key", "_n0", "_b0", "_i", "_b")
 
 

@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from parlance.plans import batches
 from parlance.plans.batches import batched
 
 
@@ -35,3 +37,17 @@ def test_odd_lists(spark):
     assert batched(df.where("k = 3"), ["k"], "size", 2, 10).first()["batch"] is None
     with pytest.raises(ValueError):
         batched(df, ["k"], "size", 0, 10)
+
+
+@pytest.mark.parametrize(("most", "budget", "items"), [(3, 1000, 1), (7, 100, 100), (50, 30, 400)])
+def test_segments_of_several_sizes_are_as_the_plain_loop(spark, monkeypatch, most, budget, items):
+    monkeypatch.setattr(batches, "SEGMENT_ITEMS", items)
+    sizes = np.random.default_rng(most).integers(0, 60, 1500).tolist()
+    df = spark.createDataFrame(list(enumerate(sizes)), "k long, size long").repartition(5)
+    found = sorted(batched(df, ["k"], "size", most, budget).collect(), key=lambda r: r["k"])
+    assert [r["batch"] for r in found] == loop(sizes, most, budget)
+
+
+def test_small_batches_share_a_segment(spark):
+    df = spark.range(20_000).select("id", F.lit(1).cast("long").alias("size"))
+    assert batches.placed(df, ["id"], "size", 3, 1000, 4).select("_segment").distinct().count() <= 2

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,17 +21,26 @@ MOST_GAIN_DB, LEAST_GAIN_DB = 12.0, 0.1
 MOST_VOICES = 100_000
 
 
+def word_starts(said: Column) -> Column:
+    """The character each word of a text starts at, from 0, as an array; a null text has none. One pass over the text."""
+    word = re.compile(f"{LETTER}+")
+
+    @F.pandas_udf("array<int>")
+    def starts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield part.map(lambda t: [m.start() for m in word.finditer(t or "")])
+
+    return starts(said)
+
+
 def word_table(turns: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """(key, order, position, word, offset): words of each turn without its tags, in lower case, and the character each starts at.
 
     Within the row: a word starts at a letter that none comes before. Turns without a word, null ones too, give no row.
     """
     said = F.lower(strip_tags(F.col(text)))
-    letters = F.split(F.regexp_replace(said, r"[\x{10000}-\x{10FFFF}]", "_"), "")
-    is_letter = F.transform(letters, lambda c: c.rlike(LETTER))
-    starts = lambda flags: F.filter(F.transform(flags, lambda f, i: F.when(f & ~F.coalesce(F.get(flags, i - 1), F.lit(False)), i)), lambda i: i.isNotNull())
-    rows = turns.select(key, order, F.regexp_extract_all(said, F.lit(f"({LETTER}+)")).alias("_words"), is_letter.alias("_flags"))
-    rows = rows.select(key, order, F.posexplode(F.arrays_zip(F.col("_words").alias("word"), starts(F.col("_flags")).alias("offset"))).alias("position", "w"))
+    rows = turns.select(key, order, F.regexp_extract_all(said, F.lit(f"({LETTER}+)")).alias("_words"), word_starts(F.coalesce(said, F.lit(""))).alias("_starts"))
+    rows = rows.select(key, order, F.posexplode(F.arrays_zip(F.col("_words").alias("word"), F.col("_starts").alias("offset"))).alias("position", "w"))
     return rows.select(key, order, "position", F.col("w.word").alias("word"), F.col("w.offset").alias("offset"))
 
 

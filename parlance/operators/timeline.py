@@ -6,6 +6,8 @@ utterance. Windows are over one scene, whose rows are few; no frame is collected
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,14 +125,19 @@ def most_turns(has_pivot: Column, n_events: Column, base: int = 13) -> Column:
 ELLIPSES, CLOSERS = ("...", "…"), "[.!?]"
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with `value` worked out once for a row and not again for each element of an array that `f` goes through."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def break_offset(text: Column, words: Column, start: Column) -> Column:
     """Seconds from a turn's start to the first word behind its first ellipsis; null without one, or without a word there.
 
     words: (start, end, off), off being a word's place in the text from 0.
     """
     places = F.filter(F.array(*[F.instr(text, F.lit(m)) for m in ELLIPSES]), lambda p: p > 0)
-    behind = F.get(F.filter(words, lambda w: w["off"] > F.array_min(places) - 1), F.lit(0))
-    return F.greatest(behind["start"] - start, F.lit(0.0)) * F.nullif(behind.isNotNull().cast("int"), F.lit(0))
+    behind = once(F.array_min(places), lambda p: F.get(F.filter(words, lambda w: w["off"] > p - 1), F.lit(0)))
+    return once(behind, lambda b: F.when(b.isNotNull(), F.greatest(b["start"] - start, F.lit(0.0))))
 
 
 def pause_offset(text: Column, words: Column, start: Column, least: float = 1.2) -> Column:
@@ -139,13 +146,17 @@ def pause_offset(text: Column, words: Column, start: Column, least: float = 1.2)
     inside = lambda a, b: ~F.coalesce(between(a, b).rlike(CLOSERS), F.lit(False))
     follow = F.transform(words, lambda w, i: F.struct(w.alias("a"), F.get(words, i + 1).alias("b")))
     found = F.get(F.filter(follow, lambda p: p["b"].isNotNull() & (p["b"]["start"] - p["a"]["end"] >= least) & inside(p["a"], p["b"])), F.lit(0))["b"]
-    return F.when(found.isNotNull(), F.greatest(found["start"] - start, F.lit(0.0)))
+    return once(found, lambda b: F.when(b.isNotNull(), F.greatest(b["start"] - start, F.lit(0.0))))
 
 
 def resume_offset(text: Column, words: Column, start: Column, least: float = 1.2) -> Column:
     """struct(offset, kind) of whichever comes first, a break (of equals it goes first) or a pause; null for neither."""
-    kinds = [F.when(offset.isNotNull(), F.struct(offset.alias("offset"), F.lit(kind).alias("kind"))) for offset, kind in ((break_offset(text, words, start), "break"), (pause_offset(text, words, start, least), "pause"))]
-    return F.array_min(F.array(*kinds))
+
+    def first(x: Column) -> Column:
+        told = lambda offset, kind: once(offset, lambda o: F.when(o.isNotNull(), F.struct(o.alias("offset"), F.lit(kind).alias("kind"))))
+        return F.array_min(F.array(told(break_offset(x["text"], x["words"], x["start"]), "break"), told(pause_offset(x["text"], x["words"], x["start"], least), "pause")))
+
+    return once(F.struct(text.alias("text"), words.alias("words"), start.alias("start")), first)
 
 
 def synthesis_plans(turns: DataFrame, key: str, order: str, text: str, limit: int) -> DataFrame:

@@ -814,11 +814,11 @@ def resume_offsets(spark, d):
     """Where turns go on after a break or a pause: words last 0.3 s, with a longer pause behind every seventh; every third turn says its text twice, broken off between."""
     said = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("... "), "text")).otherwise(F.col("text"))
     turns = _turns(spark, d).select("conv_id", "turn", F.lower(text.strip_tags(said)).alias("said"))
-    n = F.col("position")
-    word = F.struct((n * 0.4 + F.floor(n / 7) * 1.3).alias("start"), (n * 0.4 + F.floor(n / 7) * 1.3 + 0.3).alias("end"), F.col("offset").cast("long").alias("off"))
-    words = alignment.word_table(turns, "conv_id", "turn", "said").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(word)).alias("words"))
+    turns = turns.withColumn("starts", alignment.word_starts(F.col("said"))).where("size(starts) > 0")
+    word = lambda off, n: F.struct((n * 0.4 + F.floor(n / 7) * 1.3).alias("start"), (n * 0.4 + F.floor(n / 7) * 1.3 + 0.3).alias("end"), off.cast("long").alias("off"))
+    turns = turns.withColumn("words", F.transform("starts", word))
     found = timeline.resume_offset(F.col("said"), F.col("words"), F.get("words", F.lit(0))["start"])
-    rows = turns.join(words, ["conv_id", "turn"]).select("conv_id", "turn", found.alias("r"))
+    rows = turns.select("conv_id", "turn", found.alias("r"))
     return rows.select("conv_id", "turn", F.round("r.offset", 6).alias("offset"), "r.kind")
 
 

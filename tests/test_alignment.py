@@ -4,7 +4,10 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from parlance.operators import alignment, filtering
+from parlance.queries import QUERIES
 from parlance.sources import tables
 
 
@@ -58,3 +61,13 @@ def test_listed_ids_leave_the_store(spark, tmp_path):
         path.write_text(json.dumps(held))
         found = filtering.without(stored, tables.listed_ids(spark, str(path)), "scenario_id")
         assert "".join(sorted(r["v"] for r in found.collect())) == kept
+
+
+def test_words_start_at_characters(spark):
+    rows = spark.createDataFrame([(0, "it's \U0001f600 a b"), (1, ""), (2, None), (3, "é ab")], "i int, said string")
+    assert [r["s"] for r in rows.orderBy("i").select(alignment.word_starts(F.col("said")).alias("s")).collect()] == [[0, 7, 9], [], [], [2]]
+
+
+def test_resume_offsets_stay_within_their_rows(spark):
+    found = QUERIES["resume_offsets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in found and "Generate" not in found

@@ -142,3 +142,8 @@ def test_units_made_by_many_tasks_are_the_same(spark, monkeypatch):
 def test_events_of_scenarios_are_not_broadcast(spark, registers):
     draws = allocation.scenario_draws(*tables(spark, 60))
     assert "BroadcastHashJoin [scenario_id" not in plan(allocation.scenario_events(draws, registers=registers))
+
+
+def test_balanced_pairs_are_not_broadcast(spark):
+    draws = allocation.scenario_draws(*tables(spark, 60))
+    assert "BroadcastHashJoin [scenario_id" not in plan(allocation.scenario_events(draws, targets=TARGETS))

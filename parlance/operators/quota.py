@@ -73,7 +73,8 @@ def ranked(df: DataFrame, by: list[str], order: list[Column | str], ranges: Colu
 
     Ranks are counted within ranges of the order's first entry, and the sizes of a group's ranges before are added, so that no
     task holds a group of which there are only a few. Hashes, as leading entry, cut a group into 256 even ranges. Other `ranges` of
-    that entry, such as value_ranges(), may be given.
+    that entry, such as value_ranges(), may be given. Every row meets its range; a left join keeps Spark from ever taking the rows for
+    the small side, as their estimated size may be the lesser one, and sending them through the driver.
     """
     first = order[0] if isinstance(order[0], Column) else F.col(order[0])
     rows = df.withColumn("_range", leading_range(df, first) if ranges is None else ranges)
@@ -84,7 +85,7 @@ def ranked(df: DataFrame, by: list[str], order: list[Column | str], ranges: Colu
     places = sizes.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)], F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_size").over(whole).alias("n"))
     own = rows.drop("rank", "n").withColumn("_own", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(keys)])
-    return own.join(places, same).withColumn("rank", (F.col("_before") + F.col("_own")).cast("long")).drop("_range", "_own", "_before", *[f"_key{i}" for i in range(len(keys))])
+    return own.join(places, same, "left").withColumn("rank", (F.col("_before") + F.col("_own")).cast("long")).drop("_range", "_own", "_before", *[f"_key{i}" for i in range(len(keys))])
 
 
 def split_counts(n: Column, ratios: dict[str, float], each_one: bool = False) -> Column:

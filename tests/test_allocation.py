@@ -147,3 +147,10 @@ def test_events_of_scenarios_are_not_broadcast(spark, registers):
 def test_balanced_pairs_are_not_broadcast(spark):
     draws = allocation.scenario_draws(*tables(spark, 60))
     assert "BroadcastHashJoin [scenario_id" not in plan(allocation.scenario_events(draws, targets=TARGETS))
+
+
+def test_rows_are_not_the_small_side_of_their_ranks(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 3).alias("g"))
+    found = quota.ranked(rows, ["g"], ["id"])
+    assert "BuildLeft" not in plan(found)
+    assert found.where("rank <> id DIV 3 OR n <> 1000 OR rank IS NULL").count() == 0 and found.count() == 3000

@@ -162,6 +162,17 @@ def short_pools(wanted: DataFrame, pool: DataFrame, rare: DataFrame) -> DataFram
     return rows.where("wrong OR n > size OR (_r AND n_rare = 0)").drop("_r")
 
 
+def drawn_events(some: DataFrame, events: DataFrame, n: Column, salt: str) -> DataFrame:
+    """(scenario_id, i, event_id): `n` events of its scene for every scenario of `some` (scenario_id, scene, ...), none twice.
+
+    The scenarios are the left side of left joins, so that the catalogue alone is ever broadcast: scenes and their sizes, a row each, always.
+    """
+    listed = quota.ranked(events.select("scene", "event_id").distinct(), ["scene"], ["event_id"]).select("scene", "event_id", F.col("rank").alias("place"), F.col("n").alias("size"))
+    sizes = listed.groupBy("scene").agg(F.max("size").alias("size"))
+    places = some.join(F.broadcast(sizes), "scene", "left").select("scenario_id", "scene", F.posexplode(drawn_places(n, F.col("size"), salt, "scenario_id")).alias("i", "place"))
+    return places.join(listed.drop("size"), ["scene", "place"], "left").select("scenario_id", "i", "event_id")
+
+
 def scenario_draws(rows: DataFrame, pool: DataFrame, rare: DataFrame, salt: str = "event") -> DataFrame:
     """(scenario_id, n, events, slots, rare_event): ordinary events drawn for every scenario, none twice, and the reactions that wait for them.
 
@@ -182,18 +193,8 @@ def scenario_draws(rows: DataFrame, pool: DataFrame, rare: DataFrame, salt: str
     if short:
         raise ValueError("too few events: " + "; ".join(f"scene {r['scene']!r} has {r['size']} of {r['n']}, {r['n_rare']} rare" for r in short))
 
-    def placed(events: DataFrame) -> DataFrame:
-        """(scene, event_id, place, size)"""
-        return quota.ranked(events.select("scene", "event_id").distinct(), ["scene"], ["event_id"]).select("scene", "event_id", F.col("rank").alias("place"), F.col("n").alias("size"))
-
-    def draw(some: DataFrame, events: DataFrame, n: Column, own_salt: str) -> DataFrame:
-        listed = placed(events)
-        sizes = listed.groupBy("scene").agg(F.max("size").alias("size"))
-        places = some.join(sizes, "scene").select("scenario_id", "scene", F.posexplode(drawn_places(n, F.col("size"), own_salt, "scenario_id")).alias("i", "place"))
-        return places.join(listed.drop("size"), ["scene", "place"]).select("scenario_id", "i", "event_id")
-
-    usual = draw(own, pool, F.size("slots"), salt).groupBy("scenario_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "event_id"))), lambda e: e["event_id"]).alias("events"))
-    pivots = draw(own.where("has_rare_event"), rare, F.lit(1), f"{salt}-rare").select("scenario_id", F.col("event_id").alias("rare_event"))
+    usual = drawn_events(own, pool, F.size("slots"), salt).groupBy("scenario_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "event_id"))), lambda e: e["event_id"]).alias("events"))
+    pivots = drawn_events(own.where("has_rare_event"), rare, F.lit(1), f"{salt}-rare").select("scenario_id", F.col("event_id").alias("rare_event"))
     found = own.join(usual.hint("merge"), "scenario_id", "left").join(pivots.hint("merge"), "scenario_id", "left")
     found.select("scenario_id", "n", F.coalesce("events", F.array().cast("array<string>")).alias("events"), "slots", "rare_event").write.parquet(f"{folder}/drawn")
     return rows.sparkSession.read.parquet(f"{folder}/drawn")

@@ -154,3 +154,12 @@ def test_rows_are_not_the_small_side_of_their_ranks(spark):
     found = quota.ranked(rows, ["g"], ["id"])
     assert "BuildLeft" not in plan(found)
     assert found.where("rank <> id DIV 3 OR n <> 1000 OR rank IS NULL").count() == 0 and found.count() == 3000
+
+
+def test_scenarios_are_not_the_small_side_of_their_pools(spark):
+    some = spark.createDataFrame([("a", "x", 2), ("b", "y", 1), ("c", "z", 0)], "scenario_id string, scene string, k int")
+    pool = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("scene"), F.col("id").cast("string").alias("event_id"))
+    found = allocation.drawn_events(some, pool, F.col("k"), "draw")
+    assert "BuildLeft" not in plan(found)
+    rows = found.join(pool.withColumnRenamed("scene", "of"), "event_id").join(some, "scenario_id").collect()
+    assert sorted((r["scenario_id"], r["i"]) for r in rows) == [("a", 0), ("a", 1), ("b", 0)] and all(r["of"] == r["scene"] for r in rows)

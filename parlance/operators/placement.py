@@ -71,12 +71,14 @@ def _level(length: Column, width: float) -> Column:
     return F.greatest(F.ceil(F.log2(length / width)), F.lit(0)).cast("int")
 
 
-def _binned(rows: DataFrame, start: str, end: str, width: float, levels: list[int]) -> DataFrame:
-    """A row for each bin that an interval touches at each of `levels` that its own doesn't exceed: _at (level), _bin, _first, _own."""
+def _binned(rows: DataFrame, start: str, end: str, width: float, others: list[int]) -> DataFrame:
+    """A row for each bin that an interval touches at its own level and at those of `others` above: _at (level), _bin, _first, _own."""
     size = lambda level: F.lit(width) * F.pow(F.lit(2.0), level)
-    each = rows.withColumn("_home", _level(F.col(end) - F.col(start), width)).withColumn("_at", F.explode(F.array(*[F.lit(x) for x in levels]))).where("_at >= _home")
+    home = F.col("_home")
+    above = F.filter(F.array(*[F.lit(x) for x in others]), lambda x: x > home)
+    each = rows.withColumn("_home", _level(F.col(end) - F.col(start), width)).withColumn("_at", F.explode(F.concat(F.array(home), above)))
     first, last = F.floor(F.col(start) / size(F.col("_at"))), F.greatest(F.ceil(F.col(end) / size(F.col("_at"))) - 1, F.floor(F.col(start) / size(F.col("_at"))))
-    return each.withColumn("_first", first).withColumn("_bin", F.explode(F.sequence(first, last))).withColumn("_own", F.col("_at") == F.col("_home")).drop("_home")
+    return each.withColumn("_first", first).withColumn("_bin", F.explode(F.sequence(first, last))).withColumn("_own", F.col("_at") == home).drop("_home")
 
 
 def overlaps(left: DataFrame, right: DataFrame, key: str, width: float, spans: tuple[str, str, str, str] = ("a_start", "a_end", "b_start", "b_end")) -> DataFrame:
@@ -86,6 +88,9 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, width: float, spans: t
     shorter one also appears in the bins of longer ones' levels. So neither long intervals nor short ones are put into many bins, and
     short ones never meet in wide bins. A pair counts in the later one of the two first bins. A key with many rows is spread over its bins. Null, empty
     and reversed intervals overlap with nothing, and null keys with none.
+
+    Rows of `right` whose key no row of `left` has are put into no bin, and a row only into bins of levels that the other side has. Bins are
+    joined by sorting, as asked for: Spark takes rows that are exploded for a small table and would send them through the driver.
     """
     a_start, a_end, b_start, b_end = spans
     known = lambda df, s, e: df.where(F.col(key).isNotNull() & (F.col(e) > F.col(s)))
@@ -94,12 +99,13 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, width: float, spans: t
     of_left, of_right = levels(left, a_start, a_end), levels(right, b_start, b_end)
     if not of_left or not of_right:
         return left.join(right, key).withColumn("shared", F.lit(0.0)).where(F.lit(False))
-    binned = _binned(left, a_start, a_end, width, sorted({*of_left, *of_right}))
-    own = binned.where("_own").drop("_own").withColumnsRenamed({"_first": "_first_a"})
-    guests = binned.where("NOT _own").drop("_own").withColumnsRenamed({"_first": "_first_a"})
-    other = _binned(right, b_start, b_end, width, sorted({*of_left, *of_right})).withColumnsRenamed({"_first": "_first_b", "_own": "_own_b"})
+    binned = _binned(left, a_start, a_end, width, of_right).withColumnsRenamed({"_first": "_first_a"})
+    own, guests = (binned.where(c).drop("_own") for c in ("_own", "NOT _own"))
+    met = right.join(left.select(key).distinct(), key, "left_semi")
+    other = _binned(met, b_start, b_end, width, of_left).withColumnsRenamed({"_first": "_first_b"})
     meet = (F.col(a_start) < F.col(b_end)) & (F.col(b_start) < F.col(a_end)) & (F.col("_bin") == F.greatest("_first_a", "_first_b"))
-    found = own.join(other.drop("_own_b"), [key, "_at", "_bin"]).where(meet).unionByName(guests.join(other.where("_own_b").drop("_own_b"), [key, "_at", "_bin"]).where(meet))
+    pairs = lambda some, others: some.join(others.drop("_own").hint("merge"), [key, "_at", "_bin"]).where(meet)
+    found = pairs(own, other.where(F.col("_at").isin(of_left))).unionByName(pairs(guests, other.where("_own")))
     return found.drop("_at", "_bin", "_first_a", "_first_b").withColumn("shared", F.least(a_end, b_end) - F.greatest(a_start, b_start))
 
 

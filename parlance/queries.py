@@ -1189,7 +1189,7 @@ def alignment_forms(spark, d):
 def turn_overlaps(spark, d):
     """Seconds that turns and events share: a user's turns take a second per four characters, an event a minute per unit of its value."""
     seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 1e6
-    heard = parquet(spark, d, "events").select(F.col("user_id").alias("user"), "event_id", seconds.alias("b_start")).join(parquet(spark, d, "events").select("event_id", "value"), "event_id").withColumn("b_end", F.col("b_start") + F.col("value") * 60).drop("value")
+    heard = parquet(spark, d, "events").select(F.col("user_id").alias("user"), "event_id", seconds.alias("b_start"), (seconds + F.col("value") * 60).alias("b_end"))
     begin = (F.col("conv_id") * 7919 + F.col("turn") * 86_400) % 2_592_000
     turns = _turns(spark, d).select((F.col("conv_id") % 150).alias("user"), "conv_id", "turn", begin.cast("double").alias("a_start"), (begin + F.length("text") / 4.0 * F.when(F.col("turn") == 2, 500).otherwise(1)).alias("a_end"))
     return placement.overlaps(turns, heard, "user", 60.0).select("event_id", "conv_id", "turn", F.round("shared", 4).alias("shared"))

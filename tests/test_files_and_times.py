@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import signal
 from parlance.operators import alignment, catalog, filtering, items, placement
+from parlance.queries import QUERIES
 from parlance.sources import tables
 
 
@@ -59,6 +60,21 @@ def test_overlaps_against_all_pairs(spark, width):
     assert placement.overlaps(left.where("false"), right, "k", width).count() == 0
 
 
+def test_overlaps_are_joined_by_sorting(spark):
+    left = spark.range(300).select((F.col("id") % 5).alias("k"), F.col("id").alias("i"), F.col("id").cast("double").alias("a_start"), (F.col("id") + 3.0).alias("a_end"))
+    right = spark.range(300).select((F.col("id") % 50).alias("k"), F.col("id").alias("j"), F.col("id").cast("double").alias("b_start"), (F.col("id") + 40.0).alias("b_end"))
+    found = placement.overlaps(left, right, "k", 1.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "_bin" in x] and "LeftSemi" in plan
+    assert found.count() == sum(i % 5 == j % 50 and i < j + 40 and j < i + 3 for i in range(300) for j in range(300))
+
+
+def test_turn_overlaps_reads_events_once(spark, tmp_path):
+    spark.sql("SELECT 7L AS event_id, 3L AS user_id, timestamp_micros(1704097200000000 + k * 10000000) AS ts, 2.0D AS value FROM (SELECT explode(array(0L, 1L)) AS k)").write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("SELECT 3L AS conv_id, 0L AS turn, 'user' AS role, repeat('x', 800000) AS text").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(r["shared"] for r in QUERIES["turn_overlaps"](spark, str(tmp_path)).collect()) == [120.0, 120.0]
+
+
 def test_spaced_turns_by_hand(spark):
     # cut at 1.0; a pause of 0.5 behind it: the second turn starts at 1.5 and ends with the audio, at 4.5.
     schema = "k int, t int, start double, end double, length double"

@@ -13,8 +13,8 @@ so the probabilities of all words add up to one.
 
 The network starts from a fixed seed and is trained in numpy in rounds. In a round every partition trains on the
 documents that a hash of id and text gives to this round: each document, also one without an id, is learned
-from in one round, unless a smaller `share` is asked for. As in masked language models, a share of a document's words, drawn
-anew for every text, is predicted; the others are only seen beside them. Small partitions are put together until a task has LEAST
+from in one round, unless a smaller `share` is asked for. Every word of a document is predicted, unless a smaller share `masked`
+of them, drawn anew for every text, is asked for; the others are then only seen beside them. Small partitions are put together until a task has LEAST
 words. Then every row of the parameters (a word's embedding, a node, a place) is
 averaged over the partitions, weighted by how often each has met it, so that a word which few partitions hold
 learns as fast as others. Blocks of rows are averaged apart, in two levels of Spark aggregation; the driver gets one
@@ -42,9 +42,9 @@ from pyspark.sql import functions as F
 from parlance.llm.common import batches, cut_lineage, sums, unused, without
 
 SIDE, WIDTH = 2, 16
-#: Words and hashed classes; with the padding they are numbered in 16 bits. MASKED is the share of words that training predicts.
+#: Words and hashed classes; with the padding they are numbered in 16 bits. MASKED is the share of words that training predicts: all.
 WORDS, HASHED = (1 << 16) - (1 << 10) - 1, 1 << 10
-MASKED = 0.4
+MASKED = 1.0
 TAIL, SLICES, UNSEEN = 1 << 20, 64, 0.1
 STEP, HEAVY, TINY = 2048, 128, 1e-300
 #: Words that a task learns from in a round at least, as every task sends all its parameters.
@@ -131,6 +131,7 @@ class Tree:
 
         # a node is heavier than those below it, so the heavy ones are the first of every way
         self.heavy = max(0, n - 1 - HEAVY)
+        self.width = n - 1 - self.heavy
         self.signs = np.where(self.right, np.float32(1), np.float32(-1))
         owner = np.repeat(np.arange(n), depth)
         self.tops = np.bincount(owner, self.nodes >= self.heavy, n).astype(np.int64)
@@ -154,9 +155,10 @@ class Ways:
         self.heavy, starts, tops = tree.heavy, tree.starts[codes], tree.tops[codes]
         self.rests = tree.sizes[codes] - tops
         owner, place = tree.part(starts, tops)
-        self.top_at, self.top_sign = (owner, tree.nodes[place].astype(np.int32) - self.heavy), tree.signs[place]
+        self.top_node, self.top_sign = np.take(tree.nodes, place).astype(np.int64) - self.heavy, np.take(tree.signs, place)
+        self.top_at = self.top_node + owner.astype(np.int64) * tree.width  # in a table of words and heavy nodes
         self.owner, place = tree.part(starts + tops, self.rests)
-        self.node, self.sign = tree.nodes[place], tree.signs[place]
+        self.node, self.sign = np.take(tree.nodes, place), np.take(tree.signs, place)
         self.top_first = np.cumsum(tops) - tops
         self.some = np.flatnonzero(self.rests)  # words with a decision beyond the heavy nodes
         self.first = (np.cumsum(self.rests) - self.rests)[self.some]
@@ -164,7 +166,7 @@ class Ways:
     def scores(self, nodes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What the decisions at heavy nodes and at others are made by, and weights and inputs of the others."""
         weights, inputs = np.take(nodes, self.node, axis=0), np.take(h, self.owner, axis=0)
-        return (h @ nodes[self.heavy :].T)[self.top_at], np.einsum("ij,ij->i", weights, inputs), weights, inputs
+        return np.take(h @ nodes[self.heavy :].T, self.top_at), np.einsum("ij,ij->i", weights, inputs), weights, inputs
 
 
 def chance(z: np.ndarray, sign: np.ndarray) -> np.ndarray:
@@ -248,6 +250,11 @@ def log_probabilities(model: Model, codes: np.ndarray, neighbours: np.ndarray) -
     return np.log(np.maximum(p, TINY))
 
 
+def summed(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that start at `first`; two numbers are added at once, as the parts of a complex one."""
+    return np.add.reduceat(rows.view(np.result_type(rows, np.complex64)), first).view(rows.dtype)
+
+
 class Trainer:
     """AdaGrad on the rows that a window touches, `batch` windows at a time. met: how often each row was."""
 
@@ -267,16 +274,22 @@ class Trainer:
 
     def moved(self, rows: np.ndarray | slice, gradient: np.ndarray, times: np.ndarray | int) -> None:
         self.met[rows] += times
-        seen = self.seen[rows] + gradient * gradient
+        whole = isinstance(rows, slice)
+        seen = gradient * gradient
+        seen += self.seen[rows] if whole else np.take(self.seen, rows, axis=0)
         self.seen[rows] = seen
-        self.params[rows] -= self.rate * gradient / np.sqrt(seen)
+        np.sqrt(seen, out=seen)
+        np.divide(gradient, seen, out=seen)
+        seen *= -self.rate
+        seen += self.params[rows] if whole else np.take(self.params, rows, axis=0)
+        self.params[rows] = seen
 
     def by_row(self, rows: np.ndarray, gradients: np.ndarray, offset: int = 0) -> None:
         """Adds up the gradients of equal rows, numbered in 16 bits, and moves these."""
         order = np.argsort(rows, kind="stable")
         own = rows[order]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        self.moved(own[first].astype(np.int64) + offset, np.add.reduceat(gradients[order], first), np.diff(first, append=len(own)))
+        self.moved(own[first].astype(np.int64) + offset, summed(np.take(gradients, order, axis=0), first), np.diff(first, append=len(own)))
 
     def step(self, codes: np.ndarray, neighbours: np.ndarray) -> None:
         at, n = self.at, len(codes)
@@ -284,18 +297,18 @@ class Trainer:
         h, embedded = hidden(self.params, at, neighbours)
         ways, nodes = self.tree.ways(codes), self.params[at["nodes"]]
         top, rest, weights, inputs = ways.scores(nodes, h)
-        wide = np.zeros((n, len(nodes) - ways.heavy), np.float32)
-        wide[ways.top_at] = (chance(top, ways.top_sign) - 1) * ways.top_sign
+        wide = np.zeros((n, self.tree.width), np.float32)
+        wide.ravel()[ways.top_at] = (chance(top, ways.top_sign) - 1) * ways.top_sign
         error = ((chance(rest, ways.sign) - 1) * ways.sign)[:, None].astype(np.float32)
         back = wide @ nodes[ways.heavy :]
         if len(ways.some):
-            back[ways.some] += np.add.reduceat(error * weights, ways.first)
+            back[ways.some] += summed(error * weights, ways.first)
         back *= 1 - h * h  # nothing at the last output, which is 1
         scale = self.params[at["places"]].copy()
         weighted = np.stack([np.einsum("ij,ij->j", back, own) for own in embedded])
         if len(ways.some):
             self.by_row(ways.node, error * inputs, at["nodes"].start)
-        self.moved(slice(at["nodes"].start + ways.heavy, at["nodes"].stop), wide.T @ h, np.bincount(ways.top_at[1], minlength=wide.shape[1]))
+        self.moved(slice(at["nodes"].start + ways.heavy, at["nodes"].stop), wide.T @ h, np.bincount(ways.top_node, minlength=wide.shape[1]))
         self.by_row(neighbours.ravel().astype(np.uint16), (back[None] * scale[:, None]).reshape(-1, WIDTH))
         self.moved(at["places"], weighted, n)
         self.moved(at["bias"], back.sum(axis=0, keepdims=True), n)

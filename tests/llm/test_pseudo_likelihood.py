@@ -1,3 +1,4 @@
+import inspect
 import math
 import zlib
 
@@ -163,3 +164,16 @@ def test_words_beyond_the_vocabulary_share_one_probability(spark):
     counts = spark.createDataFrame([("a", 7), ("b", 1), ("c", 2)], "word string, n long")
     tail, total = P.tail_of(counts, ("c", 2))
     assert tail.max() <= 0 and len(tail) >= P.HASHED and total.sum() == np.float32(1 + P.UNSEEN * len(tail)) or abs(total.sum() - 1 - P.UNSEEN * len(tail)) < 1e-3
+
+
+def test_training_predicts_every_word():
+    model, codes = small_model(), np.arange(1000, dtype=np.int32) % 5
+    trainer = P.Trainer(model, masked=inspect.signature(P.train).parameters["masked"].default)
+    trainer.learn(codes, P.neighbours_of(codes, model.classes))
+    assert trainer.windows == 1000
+
+
+def test_runs_of_rows_are_summed():
+    random = np.random.default_rng(7)
+    rows, first = random.standard_normal((500, P.WIDTH)).astype(np.float32), np.array([0, 1, 5, 100, 499])
+    assert np.allclose(P.summed(rows, first), np.add.reduceat(rows.astype(float), first), atol=1e-4)

@@ -83,7 +83,7 @@ def op4_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs)).drop("text")
+    return pseudo_likelihood.scored(docs)
 
 
 def op11_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

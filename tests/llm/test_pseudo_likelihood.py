@@ -177,3 +177,56 @@ def test_runs_of_rows_are_summed():
     random = np.random.default_rng(7)
     rows, first = random.standard_normal((500, P.WIDTH)).astype(np.float32), np.array([0, 1, 5, 100, 499])
     assert np.allclose(P.summed(rows, first), np.add.reduceat(rows.astype(float), first), atol=1e-4)
+
+
+def test_words_are_looked_up_once(spark):
+    """The query's way scores as training and scoring apart do, and what it scores holds no texts any more."""
+    rows = [(i, t, "x") for i, t in enumerate([*sentences(30, 4), "s1 v1 o1 unheard Ä İ ퟿", "", None, "s1 v1 o1"])]
+    rows += [(None, "s1 v1 o1", "x"), (33, "s1 v1 o1", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, Text string, n_words string")
+    names = ["doc_id", "n_words", "log_likelihood", "mean_log_probability"]
+    found = P.scored(docs)
+    apart = P.score(docs, P.train(docs)).drop("text")
+    assert found.columns == apart.columns == names and "text" not in found._jdf.queryExecution().analyzed().toString().lower()
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, apart.collect())) and found.count() == len(rows)
+    assert P.scored(docs.limit(0)).count() == 0
+
+
+def test_packed_words():
+    model = small_model()
+    model.tail = np.zeros(4 * P.HASHED, np.float32)
+    n, classes, rare = P.coder_of(model).pack("A zz b q")
+    buckets = [zlib.crc32(w) % (4 * P.HASHED) for w in (b"zz", b"q")]
+    assert n == 4 and np.frombuffer(rare, np.int32).tolist() == buckets
+    assert np.frombuffer(classes, np.uint16).tolist() == [0, 5 + buckets[0] % P.HASHED, 1, 5 + buckets[1] % P.HASHED]
+    assert P.coder_of(model).pack(None) == P.coder_of(model).pack("") == (0, b"", b"")
+
+
+def test_a_line_of_texts_trains_as_windows_apart():
+    model, random = small_model(), np.random.default_rng(2)
+    each = [random.integers(0, 40, n).astype(np.uint16) for n in (1, 300, 2, 500, 1, 1, 700)]
+    line, apart = P.Trainer(model), P.Trainer(model)
+    line.learn_line(*P.lined(each, model.classes))
+    codes, sides = np.concatenate(each), np.concatenate([P.neighbours_of(c, model.classes) for c in each], axis=1)
+    apart.learn(codes, sides)
+    assert np.allclose(line.params, apart.params, atol=1e-4) and (line.params != model.params).any() and line.windows == apart.windows == len(codes)
+    at, met = P.rows_of(model.classes), line.met()
+    assert (met == apart.met()).all()
+    assert met[at["embeddings"]].tolist() == np.bincount(sides.ravel(), minlength=model.classes + 1).tolist()
+    ways = [model.tree.nodes[s : s + n] for s, n in zip(model.tree.starts[codes], model.tree.sizes[codes])]
+    assert met[at["nodes"]].tolist() == np.bincount(np.concatenate(ways), minlength=model.classes - 1).tolist()
+
+
+def test_gradients_of_equal_rows_are_added_up():
+    random = np.random.default_rng(9)
+    rows = np.concatenate([random.integers(0, 30, 200), np.full(50, 3), np.arange(40, 60)]).astype(np.uint16)
+    source, at, weights = random.standard_normal((70, P.WIDTH)).astype(np.float32), random.integers(0, 70, len(rows)), random.standard_normal(len(rows)).astype(np.float32)
+    want = np.zeros((100, P.WIDTH))
+    np.add.at(want, rows + 7, source[at] * weights[:, None])
+    trainer = P.Trainer(small_model())
+    found = []
+    trainer.moved = lambda where, gradient: found.append((where, gradient))
+    trainer.by_row(rows, source, at, weights, 7)
+    trainer.by_row(rows, source[at] * weights[:, None], offset=7)
+    for where, gradient in found:
+        assert len(set(where.tolist())) == len(where) == len(set(rows.tolist())) and np.allclose(gradient, want[where], atol=1e-4)

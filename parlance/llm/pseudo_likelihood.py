@@ -459,12 +459,13 @@ class Trainer:
         put(spread, spots, back)
         for weight, to in zip(scale, beside(asked)):
             to += spread * weight
-        places = [(spread.T @ own).diagonal() for own in beside(embedded)]
+        ones = np.ones(len(spread), spread.dtype)
+        places = [ones @ (spread * own) for own in beside(embedded)]
         if len(ways.node):
             self.by_row(ways.node, h, ways.owner, error, at["nodes"].start)
         self.by_row(line.astype(np.uint16), asked)
         # heavy nodes, places and bias are the last rows
-        self.moved(slice(at["nodes"].start + ways.heavy, at["bias"].stop), np.vstack([wide.T @ h, *places, back.sum(axis=0)]))
+        self.moved(slice(at["nodes"].start + ways.heavy, at["bias"].stop), np.vstack([wide.T @ h, *places, ones @ spread]))
 
 
 def averaged(rows: pd.DataFrame) -> pd.DataFrame:

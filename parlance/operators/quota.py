@@ -38,7 +38,7 @@ def compositions(spark, most: int = 3) -> DataFrame:
     return rows.select((F.row_number().over(order) - 1).alias("position"), key.alias("composition"), "pivot", "verbal", "behavioral", "ambient")
 
 
-def even_quota(total: Column, k: int, i: Column) -> Column:
+def even_quota(total: Column, k: int | Column, i: Column) -> Column:
     """The i-th (from 0) of k even parts; the remainder goes to the first ones."""
     return (F.floor(total / k) + F.when(i < total % k, 1).otherwise(0)).cast("long")
 
@@ -264,17 +264,23 @@ def shard_sizes(sharded: DataFrame, shards: int) -> DataFrame:
     return counts.unionByName(every).groupBy("shard").agg(F.sum("n").alias("n"))
 
 
+def cycled(rank: Column, registers: Column, salt: str, *group: Column) -> tuple[Column, Column]:
+    """The cycle and register of the draw with this rank in its group: all registers once per cycle, in the order of the hashes of salt|group|cycle|register."""
+    registers = F.nullif(registers, F.lit(0)).cast("int")
+    cycle = F.floor(rank / registers).cast("long")
+    key = lambda r: F.sha1(F.concat_ws("|", F.lit(salt), *[c.cast("string") for c in group], cycle.cast("string"), r.cast("string")).cast("binary"))
+    drawn = F.sort_array(F.transform(F.sequence(F.lit(0), registers - 1), lambda r: F.struct(key(r).alias("k"), r.cast("long").alias("r"))))
+    return cycle, F.get(drawn, (rank % registers).cast("int"))["r"]
+
+
 def register_cycle(df: DataFrame, by: list[str], order: list[Column | str], registers: int | Column, salt: str = "cycle") -> DataFrame:
     """`df` with cycle and `register`: draws without repetition until all have been used, in an order drawn anew per cycle.
 
     A cycle's order is that of the hashes of salt|group|cycle|register. `registers` may differ between groups; where there
     are none, both are null.
     """
-    registers = F.nullif(F.lit(registers) if isinstance(registers, int) else registers, F.lit(0)).cast("int")
-    rows = ranked(df, by, order).withColumn("cycle", F.floor(F.col("rank") / registers).cast("long"))
-    key = lambda r: F.sha1(F.concat_ws("|", F.lit(salt), *[F.col(c).cast("string") for c in by], F.col("cycle").cast("string"), r.cast("string")).cast("binary"))
-    drawn = F.array_sort(F.transform(F.sequence(F.lit(0), registers - 1), lambda r: F.struct(key(r).alias("k"), r.cast("long").alias("r"))))
-    return rows.withColumn("register", F.get(drawn, (F.col("rank") % registers).cast("int"))["r"]).drop("rank", "n")
+    cycle, register = cycled(F.col("rank"), F.lit(registers) if isinstance(registers, int) else registers, salt, *map(F.col, by))
+    return ranked(df, by, order).withColumn("cycle", cycle).withColumn("register", register).drop("rank", "n")
 
 
 #: How the ids of rare events and of events of no scene start.

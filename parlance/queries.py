@@ -838,8 +838,8 @@ def composition_sequence(spark, d):
     return allocation.composition_sequence(spark, parquet(spark, d, "part").count(), allocation.parse_boosts("pivot=2")).select("local", "composition")
 
 
-def _todos(spark, d):
-    templates = parquet(spark, d, "part").select("p_partkey")
+def _todos(spark, d, *more):
+    templates = parquet(spark, d, "part").select("p_partkey", *more)
     region = parquet(spark, d, "region").select(F.col("r_name").alias("scene"))
     relations = parquet(spark, d, "nation").select(F.col("n_name").alias("role_a"), F.lower("n_name").alias("role_b"))
     return allocation.todos(templates, "p_partkey", "p_partkey", region, relations)
@@ -865,8 +865,10 @@ REGISTERS = {"pivot": ["calm", "angry", "afraid"], "verbal": ["terse", "warm"],
 
 @query
 def scenario_events(spark, d):
-    found = allocation.scenario_events(allocation.scenario_draws(_todos(spark, d), *_drawn_from(spark, d)), registers=REGISTERS)
-    return found.groupBy("scenario_id").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_different"), F.count_if(F.expr("reaction = 'pivot'")).alias("n_pivot"), F.count_if(F.expr("slot = 'late' AND reaction = 'pivot'")).alias("n_late_pivots"), F.count_if("is_rare").alias("n_rare"), F.count_distinct("place").alias("n_places"), F.count("register").alias("n_registers"))
+    found = allocation.events_of_scenarios(allocation.scenario_draws(_todos(spark, d), *_drawn_from(spark, d)), registers=REGISTERS)
+    many = lambda test: F.size(F.filter("events", test)).cast("long")
+    different = lambda name: F.size(F.array_distinct(F.col("events")[name])).cast("long")
+    return found.select("scenario_id", many(lambda e: F.lit(True)).alias("n"), different("event_id").alias("n_different"), many(lambda e: e["reaction"] == "pivot").alias("n_pivot"), many(lambda e: (e["slot"] == "late") & (e["reaction"] == "pivot")).alias("n_late_pivots"), many(lambda e: e["is_rare"]).alias("n_rare"), different("place").alias("n_places"), many(lambda e: e["register"].isNotNull()).alias("n_registers"))
 
 
 @query
@@ -879,9 +881,9 @@ def register_use(spark, d):
 @query
 def balanced_pairing(spark, d):
     """How far events' reactions are from the overall shares, paired as drawn and balanced."""
-    rows = kept(_todos(spark, d), "todos")
+    rows = _todos(spark, d)
     targets = {r["reaction"]: r["share"] for r in allocation.reaction_targets(rows).collect()}
-    draws = allocation.scenario_draws(rows, *_drawn_from(spark, d))
+    draws = kept(allocation.scenario_draws(rows, *_drawn_from(spark, d)), "draws")
     both = [(name, allocation.scenario_events(draws, registers=REGISTERS, targets=own)) for name, own in (("drawn", None), ("balanced", targets))]
     each = [quota.event_balance(found, "event_id", "reaction").withColumn("pairing", F.lit(name)) for name, found in both]
     return each[0].unionByName(each[1])
@@ -1336,8 +1338,8 @@ def judged_summaries(spark, d):
 @query
 def dataset_split_report(spark, d):
     """Scenarios of templates that have a split: what each split holds."""
-    part = parquet(spark, d, "part").select("p_partkey", F.col("p_brand").alias("theme"), F.when(F.col("p_size") % 10 < 8, "train").when(F.col("p_size") % 10 == 8, "dev").otherwise("test").alias("split"))
-    rows = kept(_todos(spark, d).join(part.hint("merge"), "p_partkey").withColumnRenamed("p_partkey", "template_id"), "todos")
+    split = F.when(F.col("p_size") % 10 < 8, "train").when(F.col("p_size") % 10 == 8, "dev").otherwise("test")
+    rows = _todos(spark, d, F.col("p_brand").alias("theme"), split.alias("split")).withColumnRenamed("p_partkey", "template_id")
     each = F.flatten(F.array(*[F.array_repeat(F.lit(k), F.col(k).cast("int")) for k in allocation.KINDS]))
     found = quota.dataset_split_report(records.restricted(rows, ("train", "test")), rows.select("scenario_id", F.explode(each).alias("reaction")))
     return found.withColumns({c: F.round(c, 9) for c in found.columns if c.startswith("share")})

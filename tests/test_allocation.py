@@ -163,3 +163,43 @@ def test_scenarios_are_not_the_small_side_of_their_pools(spark):
     assert "BuildLeft" not in plan(found)
     rows = found.join(pool.withColumnRenamed("scene", "of"), "event_id").join(some, "scenario_id").collect()
     assert sorted((r["scenario_id"], r["i"]) for r in rows) == [("a", 0), ("a", 1), ("b", 0)] and all(r["of"] == r["scene"] for r in rows)
+
+
+def test_events_follow_from_their_scenario_without_a_shuffle(spark):
+    pool = spark.createDataFrame([(s, f"{s}{k}") for s in "xy" for k in range(7)], "scene string, event_id string")
+    rare = spark.createDataFrame([(s, "rare_events/boom") for s in "xy"], "scene string, event_id string")
+    found = allocation.scenario_events(allocation.scenario_draws(many_todos(spark, 60), pool, rare), registers={"pivot": ["p", "q"], "verbal": ["u", "v", "w"]})
+    text = plan(found)
+    keys = [line.split("hashpartitioning(")[1] for line in text.splitlines() if "hashpartitioning(" in line]
+    assert keys and all(k.startswith(("_block", "_range", "scene", "event")) for k in keys), keys
+    assert sum(k.startswith("_block") for k in keys) == 2  # templates and blocks, each once
+    rows = found.collect()
+    assert len({(r["scenario_id"], r["event_id"]) for r in rows}) == len({(r["scenario_id"], r["place"]) for r in rows}) == len(rows) > 600
+    for reaction, names in (("pivot", "pq"), ("verbal", "uvw")):
+        own = [sum(r["reaction"] == reaction and r["register"] == name for r in rows) for name in names]
+        assert sum(own) == sum(r["reaction"] == reaction for r in rows) and max(own) - min(own) <= 1
+
+
+def test_blocks_of_any_size_are_the_same(spark, monkeypatch):
+    of = lambda: sorted((r["scenario_id"], r["local"], r["composition"], r["scene"], r["role_a"], r["gender_a"], r["has_rare_event"]) for r in many_todos(spark, 12, per_template=9).collect())
+    want = of()
+    monkeypatch.setattr(allocation, "BLOCK", 4)  # a template has several blocks, and a range of hashes too
+    assert of() == want and [r[1] for r in sorted(want, key=lambda r: r[1])] == list(range(108))
+
+
+def test_a_sequence_is_in_the_order_of_its_hashes(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(allocation, "BLOCK", 8)
+    values = spark.createDataFrame([("a", 1, 70), ("b", 2, 0), ("c", None, 55)], "x string, y int, quota long")
+    found = {r["local"]: (r["x"], r["y"]) for r in allocation.dealt(values, "salt", 125).collect()}
+    units = [(("a", 1), f"salt|a|1|{u}") for u in range(70)] + [(("c", None), f"salt|c|{u}") for u in range(55)]
+    assert found == dict(enumerate(v for v, _ in sorted(units, key=lambda p: hashlib.sha1(p[1].encode()).hexdigest())))
+
+
+def test_rare_scenarios_have_the_smallest_hashes(spark):
+    comps = spark.range(2000).select(F.col("id").alias("local"), (F.col("id") % 3 == 0).cast("int").alias("pivot"))
+    ranked = [r["local"] for r in comps.where("pivot = 1").orderBy(quota.hash_order("rare", "local"), "local").collect()]
+    for rate in (0.0, 0.0005, 0.1, 0.9):
+        found = {r["local"] for r in allocation.with_rare_flags(comps, 2000, rate).where("has_rare_event").collect()}
+        assert found == set(ranked[: round(2000 * rate)])

@@ -885,7 +885,7 @@ def balanced_pairing(spark, d):
     targets = {r["reaction"]: r["share"] for r in allocation.reaction_targets(rows).collect()}
     draws = kept(allocation.scenario_draws(rows, *_drawn_from(spark, d)), "draws")
     both = [(name, allocation.scenario_events(draws, registers=REGISTERS, targets=own)) for name, own in (("drawn", None), ("balanced", targets))]
-    each = [quota.event_balance(found, "event_id", "reaction").withColumn("pairing", F.lit(name)) for name, found in both]
+    each = [quota.event_balance(kept(found.select("event_id", "reaction"), name), "event_id", "reaction").withColumn("pairing", F.lit(name)) for name, found in both]
     return each[0].unionByName(each[1])
 
 
